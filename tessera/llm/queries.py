@@ -16,5 +16,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {"op1_mixing": op1_mixing}
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(_docs(spark, sf_dir)).select("row.doc_id", "text", "n_lines", "n_deleted", "n_runs")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op5_line_dedup": op5_line_dedup}
 ORACLES: dict[str, str] = {}
