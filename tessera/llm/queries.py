@@ -22,5 +22,21 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_docs(spark, sf_dir)).select("row.doc_id", "text", "n_lines", "n_deleted", "n_runs")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op5_line_dedup": op5_line_dedup}
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import place
+
+    docs = _docs(spark, sf_dir).select("doc_id", "source", "n_chars")
+    return place(docs, ["doc_id"], [f"shard-{i:03d}" for i in range(128)])
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import doc_crc, score_documents, train_on
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text")
+    model = train_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    held = F.coalesce(doc_crc() % 5 == 0, F.lit(False))
+    return score_documents(docs, model).select("doc_id", held.alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"), F.col("tox_segments").alias("segments"))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
