@@ -38,5 +38,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, model).select("doc_id", held.alias("held_out"), F.col("tox_score").alias("score"), (F.col("tox_score") >= 0.5).cast("int").alias("predicted"), F.col("tox_segments").alias("segments"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op10_toxicity": op10_toxicity}
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .language import fit, identify
+    from .toxicity import doc_crc
+
+    docs = _docs(spark, sf_dir).select("doc_id", "text", "lang")
+    net = fit(docs, doc_crc() % 3 != 1)
+    held = F.coalesce(doc_crc() % 3 == 1, F.lit(False))
+    return identify(docs.select("doc_id", "text"), net).select("doc_id", held.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_features
+
+    return media_features(_docs(spark, sf_dir))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op3_language": op3_language, "op7_media": op7_media, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
