@@ -54,5 +54,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(_docs(spark, sf_dir))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op3_language": op3_language, "op7_media": op7_media, "op10_toxicity": op10_toxicity}
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import substring_dedup
+
+    return substring_dedup(_docs(spark, sf_dir))
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op3_language": op3_language, "op7_media": op7_media, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
