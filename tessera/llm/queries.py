@@ -60,5 +60,11 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_docs(spark, sf_dir))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op3_language": op3_language, "op7_media": op7_media, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity}
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .near_dup import near_duplicates
+
+    return near_duplicates(_docs(spark, sf_dir), k=3, percent=85)
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op3_language": op3_language, "op7_media": op7_media, "op8_near_dup": op8_near_dup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
