@@ -66,5 +66,17 @@ def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_docs(spark, sf_dir), k=3, percent=85)
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op3_language": op3_language, "op7_media": op7_media, "op8_near_dup": op8_near_dup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity}
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import nearest
+
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import encode_documents
+
+    return encode_documents(_docs(spark, sf_dir).select("doc_id", "text"), check=True).drop("text")
+
+
+QUERIES = {"op1_mixing": op1_mixing, "op2_neighbours": op2_neighbours, "op6_pieces": op6_pieces, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op3_language": op3_language, "op7_media": op7_media, "op8_near_dup": op8_near_dup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity}
 ORACLES: dict[str, str] = {}
