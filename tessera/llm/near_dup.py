@@ -7,7 +7,7 @@ token there, so similar sets keep meeting and others part. Nodes of up to `SMALL
 classes are compared exhaustively; in larger ones every class is compared with a
 few pivots, and the node is branched again. A node that is tight (nine in ten of its
 first classes look like its pivot) is not branched: after linking, those of its classes
-that are not in its main component are compared with all its others, in blocks.
+that are not in its main component are compared with all its others, in blocks, by full sets.
 
 Compared means: the signatures' agreement lets the pair pass as a candidate (a bound
 that a linked pair misses with a chance of about 1e-7). Every link is confirmed on the full
@@ -48,6 +48,8 @@ PIVOTS = 4
 DEPTH = 8
 #: Rows of a node in one task.
 SALT_ROWS = 20_000
+#: Sets of a tight node that are asked about at once.
+ASKED = 1024
 
 _RNG = np.random.Generator(np.random.PCG64(85))
 _A = _RNG.integers(1, 2**63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -265,15 +267,9 @@ def _level(rows: DataFrame, similarity: float) -> DataFrame:
 # ----------------------------------------------------------------- confirming
 
 
-def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) with 100 * intersection >= percent * union of the full sets.
-
-    a's set is sent once to each group of 256 of its partners, b's once a pair."""
-    size = pairs.groupBy(F.col("b").alias("_b")).agg(F.count(F.lit(1)).alias("m"))
-    pairs = pairs.join(size, F.col("b") == F.col("_b")).withColumn("g", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / 256)).cast("int")).select("a", "b", "g")
-    pairs = staged(pairs)
-    uses = pairs.select(F.col("a").alias("rep"), F.col("b").alias("base"), "g", F.lit(1).alias("role")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("b").alias("base"), "g", F.lit(0).alias("role")).distinct())
-    need = staged(uses.select("rep").distinct().join(reps.select("rep", "d1", "d2"), "rep"))
+def full_sets(docs: DataFrame, reps: DataFrame, need: DataFrame, k: int) -> DataFrame:
+    """rep, set (binary, sorted 64-bit) of the classes in need (rep, distinct)."""
+    need = staged(need.join(reps.select("rep", "d1", "d2"), "rep"))
     text = docs.select("doc_id", "text").join(maybe_broadcast(need, 48), F.col("doc_id") == F.col("rep"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +281,18 @@ def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percen
                     out.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(out, pa.binary())], ["rep", "set"])
 
-    full = text.select("rep", "d1", "d2", "text").mapInArrow(sets, "rep long, set binary")
+    return text.select("rep", "d1", "d2", "text").mapInArrow(sets, "rep long, set binary").dropDuplicates(["rep"])
+
+
+def confirmed(docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of pairs (a, b) with 100 * intersection >= percent * union of the full sets.
+
+    b's set is sent once to each group of 256 of its partners, a's once a pair."""
+    size = pairs.groupBy(F.col("b").alias("_b")).agg(F.count(F.lit(1)).alias("m"))
+    pairs = pairs.join(size, F.col("b") == F.col("_b")).withColumn("g", F.pmod(F.xxhash64("a"), F.ceil(F.col("m") / 256)).cast("int")).select("a", "b", "g")
+    pairs = staged(pairs)
+    uses = pairs.select(F.col("a").alias("rep"), F.col("b").alias("base"), "g", F.lit(1).alias("role")).unionByName(pairs.select(F.col("b").alias("rep"), F.col("b").alias("base"), "g", F.lit(0).alias("role")).distinct())
+    full = full_sets(docs, reps, uses.select("rep").distinct(), k)
     met = uses.join(full, "rep").repartition(F.col("base"), F.col("g")).sortWithinPartitions("base", "g", "role", "rep")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,46 +323,75 @@ def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return p.filter("ra <> rb").select("a", "b")
 
 
-def _leftovers(tight: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Candidates among tight nodes: classes outside the main component of their node
-    against all of the node that are not in their own, in blocks."""
+class _Asked:
+    """Sets that are asked about, as lists of their numbers by shingle."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.size = np.array([len(s) for s in sets])
+        flat = np.concatenate(sets)
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.size)[order]
+        self.shingle, first = np.unique(flat[order], return_index=True)
+        self.first = np.append(first, len(flat))
+
+    def shared(self, s: np.ndarray) -> np.ndarray:
+        """How many shingles of s each of the sets has."""
+        i = np.minimum(np.searchsorted(self.shingle, s), len(self.shingle) - 1)
+        i = i[self.shingle[i] == s]
+        a, n = self.first[i], self.first[i + 1] - self.first[i]
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.bincount(self.owner[at], minlength=len(self.size))
+
+
+def _leftovers(docs: DataFrame, reps: DataFrame, tight: DataFrame, roots: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) within tight nodes between classes outside the main component of their node
+    and all that are not in their own, by full sets.
+
+    The classes asked about come in blocks, as an inverted list; the others of the node stream
+    past each block, which counts their common shingles with all its sets at once. Of the
+    links, only those between parts not yet connected in the block are given."""
     r = roots.select(F.col("node").alias("_n"), "root")
     t = tight.join(r, F.col("rep") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "rep")).drop("_n")
-    t = staged(t.select("node", "rep", "n", "sig", "root"))
+    t = staged(t.select("node", "rep", "root"))
     counts = t.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"))
     main = counts.groupBy("node").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("most"))
-    main = main.filter("m > most").select("node", "main", "m", F.ceil((F.col("m") - F.col("most")) / 512).cast("int").alias("blocks"))
-    main = staged(main)
-    t = t.join(main, "node")
-    ask = t.filter("root <> main").select("node", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), "rep", "n", "sig", "root")
     salts = F.ceil(F.col("m") / SALT_ROWS).cast("int")
-    ask = ask.join(main.select("node", salts.alias("salts")), "node").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    rest = t.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("node", "block", F.lit(1).alias("role"), "rep", "n", "sig", "root", F.pmod(F.xxhash64("rep"), salts).cast("int").alias("salt"))
-    cols = ["node", "block", "salt", "role", "rep", "n", "sig", "root"]
+    main = staged(main.filter("m > most").select("node", "main", salts.alias("salts"), F.ceil((F.col("m") - F.col("most")) / ASKED).cast("int").alias("blocks")))
+    t = t.join(main, "node")
+    t = t.join(full_sets(docs, reps, t.select("rep").distinct(), k), "rep")
+    ask = t.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("role", F.lit(0)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    rest = t.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1)).withColumn("salt", F.pmod(F.xxhash64("rep"), "salts").cast("int"))
+    cols = ["node", "block", "salt", "role", "rep", "root", "set"]
     dealt = ask.select(cols).unionByName(rest.select(cols)).repartition(F.col("node"), F.col("block"), F.col("salt")).sortWithinPartitions("node", "block", "salt", "role", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, asked = None, None
+        key, held, asked, parent = None, [], None, {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                x = parent[x]
+            return x
+
         for b in batches:
             left, right = [], []
-            c = {x: b.column(x).to_numpy(zero_copy_only=False) for x in ("node", "block", "salt", "role", "rep", "n", "root")}
-            sig = offsets_of(b.column("sig"))[0].view("<u2").reshape(-1, SIGNATURE)
-            edge = np.flatnonzero((c["node"][1:] != c["node"][:-1]) | (c["block"][1:] != c["block"][:-1]) | (c["salt"][1:] != c["salt"][:-1])) + 1
-            for lo, hi in zip([0, *edge], [*edge, b.num_rows], strict=True):
-                here = (c["node"][lo], c["block"][lo], c["salt"][lo])
-                if here != key:
-                    key, asked = here, None
-                ask = np.arange(lo, hi)[c["role"][lo:hi] == 0]
-                if len(ask):
-                    new = (c["rep"][ask].copy(), c["n"][ask].copy(), sig[ask].copy(), c["root"][ask].copy())
-                    asked = new if asked is None else tuple(np.concatenate(x) for x in zip(asked, new, strict=True))
-                rest = np.arange(lo, hi)[c["role"][lo:hi] == 1]
-                for at in range(0, len(rest) if asked is not None else 0, 256):
-                    r = rest[at : at + 256]
-                    ok = _passing(asked[2], asked[1], sig[r], c["n"][r], similarity) * (asked[3][:, None] != c["root"][r][None, :])
-                    i, j = np.nonzero(ok)
-                    left += np.maximum(asked[0][i], c["rep"][r][j]).tolist()
-                    right += np.minimum(asked[0][i], c["rep"][r][j]).tolist()
+            for node, block, salt, role, rep, root, raw in zip(*(b.column(c).to_pylist() for c in cols[:-1]), b.column("set"), strict=True):
+                s = np.frombuffer(raw.as_buffer(), np.uint64)
+                if key != (node, block, salt):
+                    key, held, asked, parent = (node, block, salt), [], None, {}
+                if role == 0:
+                    held.append((rep, root, s.copy()))
+                    continue
+                if not held:
+                    continue
+                if asked is None:
+                    asked = _Asked([h[2] for h in held])
+                both = asked.shared(s)
+                for i in np.flatnonzero(100 * both >= percent * (asked.size + len(s) - both)).tolist():
+                    x, y = find(held[i][1]), find(root)
+                    if x != y:
+                        parent[max(x, y)] = min(x, y)
+                        left.append(max(rep, held[i][0]))
+                        right.append(min(rep, held[i][0]))
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -394,10 +430,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     rest = _between(pairs.filter(F.col("kind") == MORE_PAIRS).select("a", "b"), tied)
     for t in tight[1:]:
         tight[0] = tight[0].unionByName(t)
-    rest = staged(rest.unionByName(_leftovers(tight[0], tied, similarity)).distinct())
-    if not rest.isEmpty():
-        links = links.unionByName(confirmed(docs, reps, rest, k, percent))
-        tied = components(links)
+    links = links.unionByName(_leftovers(docs, reps, tight[0], tied, k, percent)).unionByName(confirmed(docs, reps, rest.distinct(), k, percent))
+    tied = components(links)
     classes = reps.select("d1", "d2", "rep").join(tied.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("root", "rep").alias("root"))
     here = marks.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2", F.when(F.col("n") > 0, F.col("doc_id")).isNotNull().alias("has"))
     out = here.join(classes, F.col("has") & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
