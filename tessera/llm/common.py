@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only if its measured rows need no more than this.
 BROADCAST_BYTES = 32 << 20
+#: Rows of an Arrow batch of texts.
+BATCH_ROWS = 1000
 #: Bytes of text that a numpy kernel handles at once (a longer text comes alone).
 BLOCK_BYTES = 4 << 20
 
@@ -49,6 +51,15 @@ def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> D
     return F.broadcast(df) if n * row_bytes <= BROADCAST_BYTES else df
 
 
+def bound_batches(df: DataFrame) -> DataFrame:
+    """Arrow batches of at most BATCH_ROWS rows from here on in the session: a batch of whole
+    texts is held on both sides of the pipe to Python."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
 def text_key() -> Column:
     """Tells apart texts under one doc_id."""
     return F.xxhash64(F.col("text"))

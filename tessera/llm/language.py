@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import blocks, offsets_of
+from .common import blocks, bound_batches, offsets_of
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -176,4 +176,4 @@ def identify(docs: DataFrame, net: Network | None) -> DataFrame:
                 score = np.where(known, total.max(axis=1) / np.where(mass > 0, mass, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*own.columns, pa.array(best, pa.string()), pa.array(np.clip(score, 0, 1), pa.float64())], [*own.schema.names, "lang_pred", "lang_score"])
 
-    return rows.mapInArrow(run, schema)
+    return bound_batches(rows).mapInArrow(run, schema)

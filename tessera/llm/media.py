@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, gear_cuts, maybe_broadcast, staged
+from .common import blocks, bound_batches, gear_cuts, maybe_broadcast, staged
 
 UNIT = 576
 PAD = 255
@@ -84,7 +84,7 @@ def manifests(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("bytes"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, payload binary, chunks array<binary>")
+    return bound_batches(rows).mapInArrow(run, f"doc_id {kind}, n_bytes long, payload binary, chunks array<binary>")
 
 
 def store(docs: DataFrame) -> tuple[DataFrame, DataFrame]:

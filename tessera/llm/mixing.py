@@ -67,8 +67,8 @@ def apportion(table: DataFrame, group: list[str], weight: str, seats: str, cap:
         .groupBy(*keys)
         .agg(F.sum(F.signum("_d")).cast("long").alias("_more"))
     )
-    renamed = won.select(*[F.col(k).alias(f"_{k}") for k in keys], "_more")
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    renamed = won.select(*[F.col(k).alias(f"_key_{k}") for k in keys], "_more")
+    on = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
     return t.join(renamed, on, "left").withColumn(out, F.col("_q") + F.coalesce("_more", F.lit(0))).select(*table.columns, out)
 
 

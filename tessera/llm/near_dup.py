@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER, blocks, hash_spans, maybe_broadcast, mix64, offsets_of, spans_of, staged
+from .common import LOWER, blocks, bound_batches, hash_spans, maybe_broadcast, mix64, offsets_of, spans_of, staged
 from .components import components
 
 TREES, ROOTS = 4, 2
@@ -113,7 +113,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 sig.append((m & np.uint64(0xFFFF)).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(roots, pa.list_(pa.int64())), pa.array(sig, pa.binary())], ["doc_id", "n", "d1", "d2", "roots", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, roots array<long>, sig binary")
+    return bound_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, n long, d1 long, d2 long, roots array<long>, sig binary")
 
 
 # ----------------------------------------------------------------- nodes of the trees

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import blocks
+from .common import blocks, bound_batches
 
 #: Fixed values of the file format.
 MARK = "▁"
@@ -298,7 +298,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, check: bool = Fa
                 new.append(pa.array([None if t is None else encoder.decode(flat[a:z].tolist()) == t for t, a, z in zip(texts, ends[:-1], ends[1:], strict=True)], pa.bool_()))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *[f.name for f in more]])
 
-    return docs.mapInArrow(run, schema)
+    return bound_batches(docs).mapInArrow(run, schema)
 
 
 def decode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
@@ -316,4 +316,4 @@ def decode_documents(docs: DataFrame, model: str | None = None) -> DataFrame:
                 out = [None if x is None else encoder.decode(x) for x in b.column(b.schema.get_field_index("token_ids")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "decoded"])
 
-    return docs.mapInArrow(run, schema)
+    return bound_batches(docs).mapInArrow(run, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, blocks, hash_spans, offsets_of, spans_of, staged
+from .common import LOWER, blocks, bound_batches, hash_spans, offsets_of, spans_of, staged
 
 #: Labelled documents that are learnt from at most, lowest seeded hash first.
 TRAIN_ROWS = 30_000
@@ -167,7 +167,7 @@ def train(rows: DataFrame, min_z: float = 3.0, min_docs: int = 5, alpha: float =
 
     prior: the Dirichlet prior's weight as a share of the pooled counts. The bar on
     z rises with the number of tokens tried, as the largest of so many would by chance."""
-    rows = staged(rows.select("text", F.col("toxic").cast("int").alias("toxic")))
+    rows = staged(bound_batches(rows).select("text", F.col("toxic").cast("int").alias("toxic")))
     n0, n1 = rows.agg(F.count(F.when(F.col("toxic") <= 0, 1)), F.count(F.when(F.col("toxic") > 0, 1))).first()
     if not n0 or not n1:
         raise ValueError("both labels are needed to train")
@@ -253,7 +253,7 @@ def score_documents(docs: DataFrame, model: Model, passages: bool = False) -> Da
                 new.append(pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64()), ("log_p", pa.float64())]))))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *[f.name for f in more]])
 
-    return docs.mapInArrow(run, schema)
+    return bound_batches(docs).mapInArrow(run, schema)
 
 
 def doc_crc() -> Column:
