@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import GEAR, blocks, hash_spans, maybe_broadcast, offsets_of, staged, text_key
+from .common import GEAR, blocks, bound_batches, hash_spans, offsets_of, staged, text_key
 
 #: Chunks of 32 to 128 bytes, 48 in the mean. 32 bytes is the hash's window: no cut
 #: depends on bytes of another text.
@@ -74,14 +74,14 @@ def chunks(docs: DataFrame) -> DataFrame:
             place = pa.array(doc)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(place), b.column("th").take(place), pa.array((starts - offsets[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(d1), pa.array(d2)], ["doc_id", "th", "start", "size", "d1", "d2"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, th long, start int, size int, d1 long, d2 long")
+    return bound_batches(rows).mapInArrow(run, f"doc_id {kind}, th long, start int, size int, d1 long, d2 long")
 
 
 def repeated_spans(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     """doc_id, th, start, end, first_doc_ids: byte runs that are later copies."""
     twice = chunks(docs).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     twice = staged(twice)
-    met = staged(chunks(docs).join(maybe_broadcast(twice, 48), ["d1", "d2"]))
+    met = staged(chunks(docs).join(twice, ["d1", "d2"]))
     place = F.struct("doc_id", "th", "start")
     first = met.groupBy("d1", "d2").agg(F.min(place).alias("first"))
     later = met.join(first, ["d1", "d2"]).filter(~place.eqNullSafe(F.col("first")))
@@ -100,8 +100,7 @@ def substring_dedup(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     span = F.struct("start", "end")
     per = repeated_spans(docs, min_bytes).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("first_doc_ids")))).alias("first_doc_ids"))
     per = staged(per.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans", "first_doc_ids"))
-    n, spans = per.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans") + F.size("first_doc_ids")), F.lit(0))).first()
-    rows = docs.select("doc_id", text_key().alias("_th"), "text").join(maybe_broadcast(per, 32, 3 * n + spans), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
+    rows = docs.select("doc_id", text_key().alias("_th"), "text").join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = rows.select("doc_id", "first_doc_ids", "spans", "text")
 
