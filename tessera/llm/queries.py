@@ -79,4 +79,54 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_mixing": op1_mixing, "op2_neighbours": op2_neighbours, "op6_pieces": op6_pieces, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op3_language": op3_language, "op7_media": op7_media, "op8_near_dup": op8_near_dup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity}
-ORACLES: dict[str, str] = {}
+_WORD = r"[^\x20\x09-\x0D]+"
+
+#: Sainte-Laguë by its definition: every seat's quotient, sorted.
+_MIXING = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
+t AS (SELECT sum(size)::BIGINT AS total FROM d),
+k AS (SELECT d.*, ('0x' || substr(key, 1, 8))::BIGINT % greatest(1, ceil(total / 250000.0)::BIGINT) AS shard FROM d, t),
+s1 AS (SELECT source, source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 2.0::DOUBLE * source_size AS cap FROM (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY 1)),
+s2 AS (SELECT *, cap / w AS ratio, ((SELECT 1.5::DOUBLE * total FROM t) - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
+s3 AS (SELECT source, source_size, coalesce(least(w * (SELECT level FROM s2 WHERE level <= ratio ORDER BY ratio, source NULLS LAST LIMIT 1), cap), cap) AS target FROM s2),
+s4 AS (SELECT source, target, unnest(range(1, ceil(target / 16)::BIGINT + 1)) AS seat FROM s3),
+s5 AS (SELECT source, row_number() OVER (ORDER BY target / (2 * seat - 1) DESC, source NULLS LAST) <= (SELECT floor(1.5::DOUBLE * total / 16 + 0.5) FROM t) AS won FROM s4),
+s6 AS (SELECT source, source_size, target, (SELECT count(*) FROM s5 WHERE won AND s5.source IS NOT DISTINCT FROM s3.source) AS quota FROM s3),
+c1 AS (SELECT source, shard, sum(size)::BIGINT AS tokens, ceil(sum(size) / 16.0)::BIGINT AS n FROM k GROUP BY 1, 2),
+c2 AS (SELECT source, shard, tokens, unnest(range(1, 2 * n + 1)) AS seat FROM c1),
+c3 AS (SELECT c2.source, shard, row_number() OVER (PARTITION BY c2.source ORDER BY tokens::DOUBLE / (2 * seat - 1) DESC, shard) <= quota AS won FROM c2 JOIN s6 ON c2.source IS NOT DISTINCT FROM s6.source),
+c4 AS (SELECT source, shard, count(*) FILTER (won) AS quota FROM c3 GROUP BY 1, 2),
+c5 AS (SELECT c1.source, c1.shard, n, coalesce(quota, 0) // nullif(n, 0) AS base, coalesce(quota, 0) % nullif(n, 0) AS r, ('0x' || substr(md5('mix:' || coalesce(c1.source, '') || c1.shard), 1, 8))::BIGINT % nullif(n, 0) AS o
+  FROM c1 LEFT JOIN c4 ON c1.source IS NOT DISTINCT FROM c4.source AND c1.shard = c4.shard),
+p AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY key, size ROWS UNBOUNDED PRECEDING)::BIGINT AS z FROM k),
+q AS (SELECT p.doc_id, p.source, p.size, n, base, (16 * ((z // 16 * r + o) // n) + z % 16 * (((z // 16 + 1) * r + o) // n - (z // 16 * r + o) // n)) - (16 * (((z - size) // 16 * r + o) // n) + (z - size) % 16 * ((((z - size) // 16 + 1) * r + o) // n - ((z - size) // 16 * r + o) // n)) AS extra
+  FROM p JOIN c5 ON p.source IS NOT DISTINCT FROM c5.source AND p.shard = c5.shard)
+SELECT doc_id, size, source_size, target, coalesce(base * size + extra, 0)::BIGINT AS taken FROM q JOIN s6 ON q.source IS NOT DISTINCT FROM s6.source"""
+
+#: For each line the shortest run from it with five words; every run but its first is cut.
+_LINES = rf"""
+WITH n AS (SELECT doc_id, i AS line, l[i] AS t, len(regexp_extract_all(l[i], '{_WORD}')) AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i FROM n WHERE w > 0),
+g AS (SELECT doc_id, i, CASE WHEN w >= 5 THEN [t] WHEN sum(w) OVER a1 >= 5 THEN [t, lead(t, 1) OVER o] WHEN sum(w) OVER a2 >= 5 THEN [t, lead(t, 1) OVER o, lead(t, 2) OVER o]
+  WHEN sum(w) OVER a3 >= 5 THEN [t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o] WHEN sum(w) OVER a4 >= 5 THEN [t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o, lead(t, 4) OVER o] END AS run
+  FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i), a1 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), a2 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING),
+  a3 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), a4 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
+h AS (SELECT doc_id, i, len(run) AS k, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM g WHERE run IS NOT NULL),
+x AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM h WHERE nth > 1),
+y AS (SELECT doc_id, count(*) AS n_deleted, count(*) FILTER (first) AS n_runs FROM (SELECT doc_id, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) < i - 1, true) AS first FROM x) GROUP BY 1),
+z AS (SELECT n.doc_id, string_agg(n.t, chr(10) ORDER BY n.line) FILTER (x.i IS NULL) AS text, count(f.i) AS n_lines FROM n LEFT JOIN f USING (doc_id, line) LEFT JOIN x ON x.doc_id = n.doc_id AND x.i = f.i GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(z.text, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_deleted, 0) AS n_deleted, coalesce(n_runs, 0) AS n_runs FROM documents d LEFT JOIN z USING (doc_id) LEFT JOIN y USING (doc_id)"""
+
+#: Every pair that shares a shingle, and every node a node reaches.
+_NEAR = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+s AS (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, min(c) = d.doc_id AS kept FROM documents d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
+
+ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op5_line_dedup": _LINES, "op8_near_dup": _NEAR}
