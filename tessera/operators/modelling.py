@@ -265,7 +265,7 @@ def cross_validate(matrix: DataFrame, line: str, features: str, y: str, factory:
     shared = spark.sparkContext.broadcast((x, t, ids, g, plan))
     jobs = [(r, int(f)) for r in range(len(plan)) for f in sorted(set(plan[r].tolist()) - {-1})]
 
-    def run(key, _: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
         xs, ys, names, groups, folds_ = shared.value
         r, f = map(int, key)
         train, test = folds_[r] != f, folds_[r] == f

@@ -310,10 +310,10 @@ def set_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
-@query(f"""WITH {UNIVERSE}, q AS (SELECT gene FROM u WHERE length(gene) > 5), s AS (SELECT DISTINCT "set", gene FROM st WHERE gene IN (SELECT gene FROM u)), c AS (SELECT "set", count(*) AS b, count(*) FILTER (gene IN (SELECT gene FROM q)) AS k FROM s GROUP BY 1),
+@query(f"""WITH {UNIVERSE}, q AS (SELECT gene FROM u WHERE length(gene) > 5), s AS (SELECT DISTINCT "set", gene FROM st WHERE gene IN (SELECT gene FROM u)), c AS (SELECT "set", count(s.gene) AS b, count(*) FILTER (s.gene IN (SELECT gene FROM q)) AS k FROM (SELECT DISTINCT "set" FROM st) LEFT JOIN s USING ("set") GROUP BY 1),
 n AS (SELECT (SELECT count(*) FROM u)::DOUBLE AS u, (SELECT count(*) FROM q)::DOUBLE AS a)
-SELECT "set", u::BIGINT AS universe_size, b AS signature_size, a::BIGINT AS query_size, k AS observed, round(a * b / u, 6) AS expected, round(k / (a * b / u), 6) AS fold,
-round(least(1.0, (SELECT sum(exp(lgamma(a + 1) - lgamma(i + 1) - lgamma(a - i + 1) + lgamma(u - a + 1) - lgamma(b - i + 1) - lgamma(u - a - b + i + 1) - lgamma(u + 1) + lgamma(b + 1) + lgamma(u - b + 1))) FROM range(0, 100) t(i) WHERE i >= greatest(k, a + b - u) AND i <= least(a, b))), 6) AS p_value FROM c, n""")
+SELECT "set", u::BIGINT AS universe_size, b AS signature_size, a::BIGINT AS query_size, k AS observed, round(nullif(a * b / u, 0), 6) AS expected, round(k / nullif(a * b / u, 0), 6) AS fold,
+round(CASE WHEN b > 0 THEN least(1.0, (SELECT sum(exp(lgamma(a + 1) - lgamma(i + 1) - lgamma(a - i + 1) + lgamma(u - a + 1) - lgamma(b - i + 1) - lgamma(u - a - b + i + 1) - lgamma(u + 1) + lgamma(b + 1) + lgamma(u - b + 1))) FROM range(0, 100) t(i) WHERE i >= greatest(k, a + b - u) AND i <= least(a, b))) END, 6) AS p_value FROM c, n""")
 def set_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     st, u, _ = _sets(spark, sf_dir)
     e = stats.enrichment(u.filter(F.length("gene") > 5), st, u, "gene")
@@ -433,3 +433,70 @@ def deconfounded_in_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, train = W.partitionBy("g"), F.when(F.col("fold") != 0, F.col("v"))
     z = F.try_divide(F.col("v") - F.avg(train).over(w), F.nullif(F.stddev_samp(train).over(w), F.lit(0.0)))
     return rounded(e.select("sample", z.alias("z")))
+
+
+# ---------------------------------------------------------------- resampling and models: tested in tests/
+
+
+def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    x = F.col("embedding").cast("array<double>")
+    y = x[0] * 2 + x[1] - x[2] * 1.5 + F.col("label") * 0.05
+    return e.select(F.col("vec_id").alias("model_id"), x.alias("features"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("lineage"), y.alias("y"))
+
+
+@query()
+def cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.modelling import cross_validate, fixed_model
+
+    return cross_validate(_cohort(spark, sf_dir), "model_id", "features", "y", fixed_model, "lineage", True, repeats=2)
+
+
+@query()
+def bootstrap_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.resampling import grouped_bootstrap
+
+    return grouped_bootstrap(table(spark, sf_dir, "orders").withColumn("d", F.col("o_custkey") % 97), "o_totalprice", "d", ["o_orderpriority"], 200, order="o_orderkey")
+
+
+@query()
+def set_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    from ..operators.resampling import set_shift as shift
+
+    c = _cohort(spark, sf_dir).orderBy("model_id").toPandas()
+    x = np.stack(c["features"])
+    m = spark.createDataFrame([(i, x[:, i].tolist()) for i in range(x.shape[1])], "feature int, v array<double>")
+    out = shift(m, "feature", "v", c["y"].to_numpy(), {"first": {0, 1, 2}, "even": set(range(0, 64, 2))}, {i: i % 3 for i in range(64)}, c["lineage"].to_numpy(), 200)
+    return spark.createDataFrame(out)
+
+
+@query()
+def baseline_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .stages import baselines
+
+    t = _cohort(spark, sf_dir).withColumn("x0", F.col("features")[0]).withColumn("x1", F.col("features")[1])
+    return spark.createDataFrame(baselines(t, "y", ["x0", "x1"], "lineage").drop(columns="leak").astype({"baseline": str}))
+
+
+@query()
+def batch_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .stages import batch_adjusted as adjust
+
+    long = features(spark, sf_dir)
+    return adjust(long, "feature", "sample", "value", table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), (F.col("label") % 3).alias("batch")))
+
+
+@query()
+def logistic_set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import numpy as np
+
+    from ..operators.modelling import logit
+    from .stages import random_sets_null
+
+    c = _cohort(spark, sf_dir).orderBy("model_id").toPandas()
+    x, y = np.stack(c["features"]), (c["y"] > c["y"].median()).to_numpy(float)
+    s = x[:, :4].mean(axis=1)
+    z = float(logit(((s - s.mean()) / s.std())[:, None], y).z[1])
+    return spark.createDataFrame([(4, z, random_sets_null(spark, x, y, 4, z, draws=200))], "size int, z double, p double")

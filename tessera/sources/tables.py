@@ -85,7 +85,7 @@ def counts(spark: SparkSession, path: str, samples: dict[str, tuple[int, str]],
 def set_files(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
     """set, line_no, gene of a directory of *.txt files, a symbol a line; a set is called after
     its file, or by names."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias("f"), "value")
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("f"), "value")
     stem = F.regexp_replace("f", r"\.txt$", "")
     called = F.coalesce(F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[stem], stem) if names else stem
     return raw.filter(F.col("f").endswith(".txt")).select(called.alias("set"), F.posexplode(F.split("value", r"\r?\n"))).select("set", F.col("pos").alias("line_no"), F.col("col").alias("gene"))
