@@ -137,7 +137,7 @@ def interleaved(spark: SparkSession, path: str, value: str = "_AVG.Beta", p: str
     whose columns pair values and p-values by suffix."""
     head = spark.read.text(path).first().value.split(sep)
     body = ", ".join(f"`{c}` string" for c in [probe, *head])
-    raw = spark.read.option("sep", sep).schema(body).csv(path).filter(F.col(f"`{head[0]}`") != head[0])
+    raw = spark.read.option("sep", sep).schema(body).csv(path).filter(F.col(probe) != head[0])  # the header line, one field short
     names = [c[: -len(value)] for c in head if c.endswith(value) and c[: -len(value)] + p in head]
     cells = F.array(*[F.struct(F.lit(n).alias("sample"), number(F.col(f"`{n}{value}`")).alias("beta"), number(F.col(f"`{n}{p}`")).alias("pval")) for n in names])
     return raw.select(probe, F.inline(cells))
