@@ -59,9 +59,10 @@ def segments(at: np.ndarray, score: np.ndarray, background: float) -> list[tuple
     """All maximal scoring segments (first token, last token, score) of one text.
 
     at, score: places and scores of the tokens that are not background. Linear
-    time: candidates are kept on a stack with the sums before and after each;
-    background tokens between two places are one step."""
-    found: list[list[float]] = []  # first, last, sum before, sum after
+    time: candidates are kept on a stack with the sums before and after each and a link
+    to the next that a later one could join; background between two places is one step."""
+    # first, last, sum before, sum after, place of the nearest earlier one that starts lower
+    found: list[list] = []
     total, last = 0.0, -1
     for p, s in zip(at.tolist(), score.tolist(), strict=True):
         total += background * (p - last - 1)
@@ -69,18 +70,18 @@ def segments(at: np.ndarray, score: np.ndarray, background: float) -> list[tuple
         before, total = total, total + s
         if s <= 0:
             continue
-        new = [p, p, before, total]
+        new = [p, p, before, total, -1]
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= new[2]:
-                # no later segment can start with one that starts higher
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= new[3]:
+                new[4] = j
                 found.append(new)
                 break
-            new = [found[j][0], new[1], found[j][2], new[3]]
+            new = [found[j][0], new[1], found[j][2], new[3], -1]
             del found[j:]
-    return [(int(f), int(e), b - a) for f, e, a, b in found]
+    return [(int(f), int(e), b - a) for f, e, a, b, _ in found]
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
