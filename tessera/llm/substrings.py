@@ -77,7 +77,7 @@ def chunks(docs: DataFrame) -> DataFrame:
     return bound_batches(rows).mapInArrow(run, f"doc_id {kind}, th long, start int, size int, d1 long, d2 long")
 
 
-def repeated_spans(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
+def repeated_spans(docs: DataFrame, min_bytes: int = 140) -> DataFrame:
     """doc_id, th, start, end, first_doc_ids: byte runs that are later copies."""
     twice = chunks(docs).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     twice = staged(twice)
@@ -93,7 +93,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
     return runs.filter(F.col("end") - F.col("start") >= min_bytes).drop("run")
 
 
-def substring_dedup(docs: DataFrame, min_bytes: int = 100) -> DataFrame:
+def substring_dedup(docs: DataFrame, min_bytes: int = 140) -> DataFrame:
     """Documents with later copies: doc_id, n_bytes, dup_bytes, first_doc_ids (where the
     first copies stand), spans (start, end in bytes) and text without them. A
     document that is not listed has none."""
