@@ -500,3 +500,43 @@ def difference_p(r1: float, n1: int, r2: float, n2: int) -> float:
 
 def correlation_p(r: float, n: int) -> float:
     return pearson_p(r, n)
+
+
+# ---------------------------------------------------------------- L21, L24, and p-values of trends
+
+
+def with_trend_p(trend: DataFrame) -> DataFrame:
+    """trend_p of the correlation with time, and ttest_p of last against first."""
+    return trend.withColumn("trend_p", stats.pearson_p_udf(F.col("trend_r"), F.col("n").cast("double"))).withColumn("ttest_p", stats.t_two_sided_udf(F.col("t"), F.col("t_df")))
+
+
+def promoter_strata(annotation: DataFrame, promoter: list[str], least_coverage: float = 5.0, covered: DataFrame | None = None) -> DataFrame:
+    """stratum, probe, gene: promoter probes by their relation to the island, and the enhancer
+    probes, those only if every set's coverage (pct_genes_with_enhancer_probe) allows it.
+
+    annotation: probe, gene, region (';' lists), relation_to_island, enhancer."""
+    pairs = genomics.explode_lists(annotation, ["probe", "relation_to_island", "enhancer"], "gene", "region", distinct=True)
+    near = pairs.filter(F.col("region").isin(promoter)).select(F.concat(F.lit("promoter_"), F.col("relation_to_island")).alias("stratum"), "probe", "gene").distinct()
+    if covered is not None:
+        low = covered.agg(F.min("pct_genes_with_enhancer_probe")).first()[0]
+        if low is None or low < least_coverage:
+            return near
+    enh = pairs.filter(F.upper(F.coalesce(F.col("enhancer"), F.lit(""))) == "TRUE").select(F.lit("enhancer").alias("stratum"), "probe", "gene").distinct()
+    return near.unionByName(enh)
+
+
+def view(lines: DataFrame, lineage: str, chosen: list[str] | None, x: str, y: str) -> tuple[DataFrame, dict]:
+    """What the dashboard shows of a selection: the points, and n, r, slope and intercept of their fit."""
+    rows = (lines if not chosen else lines.filter(F.col(lineage).isin(chosen))).select("line", lineage, x, y).dropna(subset=[x, y])
+    slope, intercept, n = stats.affine_fit(rows, x, y)
+    return rows, {"n": n, "r": rows.agg(safe_corr(x, y)).first()[0], "slope": slope, "intercept": intercept}
+
+
+def share_of_ceiling(r: float, ceiling: float) -> float:
+    return 100 * r / ceiling if ceiling else math.nan
+
+
+def split_readouts(score: DataFrame, ranks: DataFrame, parts: DataFrame, target: DataFrame, y: str, sample: str = "sample") -> DataFrame:
+    """part, n, r, p of each part of a set (set, gene) with a response, beside the whole set's."""
+    s = scoring.background_score(ranks, parts, sample, "gene").select(sample, "set", "score").unionByName(score.select(sample, F.lit("whole").alias("set"), "score"))
+    return stats.pearson(s.join(target.select(sample, y), sample), "score", y, "set")
