@@ -5,9 +5,9 @@ Classes are then branched down independent trees: in a node, a few positions of
 minwise signature are chosen, and a class goes to one child for each, named by its
 token there, so similar sets keep meeting and others part. Nodes of up to `SMALL`
 classes are compared exhaustively; in larger ones every class is compared with a
-few pivots, and the node is branched again. A node that is tight (nine in ten of its
-first classes look like its pivot) is not branched: after linking, those of its classes
-that are not in its main component are compared with all its others, in blocks, by full sets.
+few pivots, and the node is branched again. A node that is tight (seven in ten of its
+first classes share half of its pivot's signature) is not branched, as that would only
+copy it: after linking, those of its classes that are not in its main component are compared with all its others, in blocks, by full sets.
 
 Compared means: the signatures' agreement lets the pair pass as a candidate (a bound
 that a linked pair misses with a chance of about 1e-7). Every link is confirmed on the full
@@ -190,8 +190,8 @@ def _walk(similarity: float):
     def large(out: _Rows, c: dict, lo: int, hi: int, state: dict) -> None:
         if not state:
             p = slice(lo, min(lo + PIVOTS, hi))
-            ok = _passing(c["sig"][lo : min(lo + SMALL, hi)], c["n"][lo : min(lo + SMALL, hi)], c["sig"][lo : lo + 1], c["n"][lo : lo + 1], similarity)
-            state |= {"rep": c["rep"][p].copy(), "sig": c["sig"][p].copy(), "n": c["n"][p].copy(), "tight": (ok > 0).mean() >= 0.9 or c["depth"][lo] >= DEPTH, "node": int(c["node"][lo])}
+            like = (c["sig"][lo : min(lo + SMALL, hi)] == c["sig"][lo]).mean(axis=1) >= 0.5
+            state |= {"rep": c["rep"][p].copy(), "sig": c["sig"][p].copy(), "n": c["n"][p].copy(), "tight": like.mean() >= 0.7 or c["depth"][lo] >= DEPTH, "node": int(c["node"][lo])}
         own = np.flatnonzero(c["lead"][lo:hi] == 1) + lo
         rep, n, sig = c["rep"][own], c["n"][own], c["sig"][own]
         ok = _passing(sig, n, state["sig"], state["n"], similarity)
