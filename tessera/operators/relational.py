@@ -258,3 +258,23 @@ def baseline_shift(df: DataFrame, group: str, time: str, value: str) -> DataFram
 
 def missing_shares(long: DataFrame, key: str, value: str) -> DataFrame:
     return long.groupBy(key).agg((F.sum(F.when(F.col(value).isNull(), 1).otherwise(0)) / F.count(F.lit(1)).cast("double")).alias("missing_frac"))
+
+
+def suffixed_union(parts: dict[str, DataFrame], feature: str) -> DataFrame:
+    """Long tables stacked, each feature named with its part: the long form of joining wide tables
+    side by side."""
+    out = None
+    for name, df in parts.items():
+        one = df.withColumn(feature, F.concat(F.col(feature).cast("string"), F.lit(f"__{name}")))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def correlation_matrix(long: DataFrame, sample: str, feature: str, value: str) -> DataFrame:
+    """feature_a, feature_b, n, r of a bounded list of features (scores, modules), a before b.
+
+    One pass packs each sample's few values; pairs are made inside the row."""
+    packed = long.filter(F.col(value).isNotNull()).groupBy(sample).agg(F.array_sort(F.collect_list(F.struct(F.col(feature).alias("f"), F.col(value).cast("double").alias("v")))).alias("_a"))
+    pairs = packed.select(F.explode("_a").alias("a"), "_a").select("a", F.explode(F.filter("_a", lambda s: s["f"] > F.col("a.f"))).alias("b"))
+    g = pairs.select(F.col("a.f").alias(f"{feature}_a"), F.col("b.f").alias(f"{feature}_b"), F.col("a.v").alias("x"), F.col("b.v").alias("y"))
+    return g.groupBy(f"{feature}_a", f"{feature}_b").agg(pair_count("x", "y").alias("n"), safe_corr("x", "y").alias("r"))

@@ -540,3 +540,71 @@ def split_readouts(score: DataFrame, ranks: DataFrame, parts: DataFrame, target:
     """part, n, r, p of each part of a set (set, gene) with a response, beside the whole set's."""
     s = scoring.background_score(ranks, parts, sample, "gene").select(sample, "set", "score").unionByName(score.select(sample, F.lit("whole").alias("set"), "score"))
     return stats.pearson(s.join(target.select(sample, y), sample), "score", y, "set")
+
+
+# ---------------------------------------------------------------- grids over screens, drugs and penalties
+
+
+def penalty_grid(screens: dict[str, DataFrame], feature_sets: dict[str, DataFrame], y: str, lineage: str, line: str = "model_id", repeats: int = 1) -> pd.DataFrame:
+    """screen, features, target (raw / deconfounded), scaling, auc_sd, r_mean, r_sd: whether the
+    penalty's scale explains a difference, under four rules for the target's scale.
+
+    feature_sets: name -> (line, features)."""
+    rows = []
+    for s, table in screens.items():
+        sd = table.agg(F.stddev_pop(y)).first()[0]
+        rules = {
+            "fixed": modelling.fixed_model, "fixed, unit SD": lambda: modelling.ScaledTarget(modelling.fixed_model()),
+            "fixed, common SD": lambda sd=sd: modelling.ScaledTarget(modelling.fixed_model(), sd or 1.0), "tuned": modelling.transcriptome_model,
+        }
+        for f, x in feature_sets.items():
+            m = table.select(line, lineage, y).join(x, line)
+            for target in ("raw", "deconfounded"):
+                for rule, factory in rules.items():
+                    oof = modelling.cross_validate(m, line, "features", y, factory, lineage, target == "deconfounded", repeats=repeats)
+                    got = modelling.summarise(oof, rule)
+                    rows.append({"screen": s, "features": f, "target": target, "scaling": rule, "auc_sd": sd, "r_mean": got["r_mean"], "r_sd": got["r_sd"]})
+    return pd.DataFrame(rows)
+
+
+def module_discrepancy(screens: dict[str, DataFrame], line_sets: dict[str, DataFrame], y: str, lineage: str, line: str = "model_id", ceiling: float = 0.95, repeats: int = 1) -> pd.DataFrame:
+    """screen, line_set, n, n_lineages, pct_auc_ceiling, auc_sd, r_mean, r_lo, r_hi, and r between and
+    within lineages, of a module model on each screen's lines and on the shared ones.
+
+    Screens: tables with line, lineage, y and features."""
+    rows = []
+    for s, table in screens.items():
+        for name, keep in line_sets.items():
+            own = table.join(keep.select(line).distinct(), line, "left_semi").dropna(subset=[y])
+            q = own.agg(F.count(F.lit(1)).alias("n"), F.countDistinct(lineage).alias("k"), F.avg((F.col(y) > ceiling).cast("double")).alias("c"), F.stddev_samp(y).alias("sd")).first()
+            oof = modelling.cross_validate(own, line, "features", y, lambda: modelling.ScaledTarget(modelling.ElasticNet()), repeats=repeats).persist()
+            got = modelling.summarise(oof, name)
+            per = oof.groupBy("line").agg(F.first("truth").alias("t"), F.avg("pred").alias("p")).join(own.select(F.col(line).cast("string").alias("line"), lineage), "line")
+            split = relational.between_within(per, "t", "p", lineage).first()
+            rows.append({"screen": s, "line_set": name, "n": q.n, "n_lineages": q.k, "pct_auc_ceiling": 100 * (q.c or 0.0), "auc_sd": q.sd, "r_mean": got["r_mean"], "r_lo": got["r_lo"], "r_hi": got["r_hi"], "r_between_lineage": split.r_between, "r_within_lineage": split.r_within})
+    return pd.DataFrame(rows)
+
+
+def multidrug_models(drugs: dict[tuple[str, str], DataFrame], y: str, lineage: str, baseline: dict[tuple[str, str], float] | None = None, line: str = "model_id", repeats: int = modelling.REPEATS, factory=modelling.transcriptome_model) -> pd.DataFrame:
+    """drug, screen, n and both models' summaries, with a verdict against the baseline's r.
+
+    drugs: (drug, screen) -> line, lineage, y, features."""
+    rows = []
+    for (drug, screen), table in drugs.items():
+        big = relational.in_large_groups(table, lineage, MIN_LINEAGE_N)
+        for name, m, deconfound in (("raw", table, False), ("deconfounded", big, True)):
+            oof = modelling.cross_validate(m, line, "features", y, factory, lineage, deconfound, repeats=repeats).persist()
+            got = {"drug": drug, "screen": screen, "n": oof.select("line").distinct().count()} | modelling.summarise(oof, name)
+            base = (baseline or {}).get((drug, screen))
+            got["verdict"] = None if base is None else "yes" if got["r_lo"] > base else "no" if got["r_hi"] < base else "inconclusive"
+            rows.append(got)
+    return pd.DataFrame(rows)
+
+
+def chosen_screen(tables: dict[str, DataFrame], value: str = "AUC") -> str:
+    """The screen with the larger spread of responses; the first of equal ones."""
+    rows = None
+    for name, t in tables.items():
+        one = t.select(F.lit(name).alias("screen"), value)
+        rows = one if rows is None else rows.unionByName(one)
+    return relational.best_group(rows, "screen", value, list(tables)).first().screen

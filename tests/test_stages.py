@@ -99,3 +99,30 @@ def test_clinical_and_batches(spark):
     got = {(r.gene, r["sample"]): r.v for r in stages.collapse_probes(long, probes, "probe", "symbols", "sample", "v").collect()}
     assert got == {("G1", "s"): pytest.approx(5.0), ("G1", "t"): None}
     assert 0 < stages.difference_p(0.5, 50, 0.1, 60) < 0.05 and np.isnan(stages.difference_p(0.5, 3, 0.1, 60))
+
+
+def test_grids(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(45, 6))
+    y = x[:, 0] + 0.3 * rng.normal(size=45)
+    t = spark.createDataFrame([(f"m{i}", "ABC"[i % 3], float(y[i]), x[i].tolist()) for i in range(45)], "model_id string, lineage string, y double, features array<double>")
+    grid = stages.penalty_grid({"s": t.drop("features")}, {"all": t.select("model_id", "features")}, "y", "lineage")
+    assert len(grid) == 8 and grid["r_mean"].min() > 0.5
+    d = stages.module_discrepancy({"s": t}, {"all": t}, "y", "lineage")
+    assert d.loc[0, "n"] == 45 and d.loc[0, "r_within_lineage"] > 0.5
+    m = stages.multidrug_models({("d", "s"): t}, "y", "lineage", {("d", "s"): -0.5}, repeats=1, factory=__import__("tessera.operators.modelling", fromlist=["x"]).fixed_model)
+    assert list(m["verdict"]) == ["yes", "yes"]
+    assert stages.chosen_screen({"a": t, "b": t.withColumn("y", F.col("y") * 2)}, "y") == "b"
+
+
+def test_matrix_verbs(spark):
+    from tessera.operators import relational
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(9, 3))
+    long = spark.createDataFrame([(i, f"f{j}", float(v[i, j])) for i in range(9) for j in range(3)], "s int, f string, v double")
+    got = {(r.f_a, r.f_b): r.r for r in relational.correlation_matrix(long, "s", "f", "v").collect()}
+    assert got == {(f"f{a}", f"f{b}"): pytest.approx(np.corrcoef(v[:, a], v[:, b])[0, 1]) for a in range(3) for b in range(a + 1, 3)}
+    both = relational.suffixed_union({"prom": long, "body": long}, "f")
+    assert both.count() == 54 and both.select("f").distinct().count() == 6
+    assert {tuple(r) for r in relational.pairs_of(spark.createDataFrame([("b",), ("a",), ("c",)], "d string"), "d").collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
