@@ -7,7 +7,8 @@ token there, so similar sets keep meeting and others part. Nodes of up to `SMALL
 classes are compared exhaustively; in larger ones every class is compared with a
 few pivots, and the node is branched again. A node that is tight (seven in ten of its
 first classes share half of its pivot's signature) is not branched, as that would only
-copy it: after linking, those of its classes that are not in its main component are compared with all its others, in blocks, by full sets.
+copy it: after linking, those of its classes that are not in its main component are
+compared with all its others, in blocks, by full sets.
 
 Compared means: the signatures' agreement lets the pair pass as a candidate (a bound
 that a linked pair misses with a chance of about 1e-7). Every link is confirmed on the full
