@@ -1,9 +1,9 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Training (labelled rows only): for each token, the documents of either label that
+Training (labelled rows only): for each token, and each beginning of a token, the documents of either label that
 hold it give log-odds with an informative Dirichlet prior (the pooled counts), and
-a z-score. Tokens whose z-score reaches `min_z` keep their log-odds; every other
-token scores a negative background, set so that the expected score of a
+a z-score. Those whose z-score reaches `min_z` keep their log-odds, and a token has the
+largest of its word's and its beginnings'; every other token scores a negative background, set so that the expected score of a
 non-toxic token is below zero, as segment statistics need.
 
 Scoring: one pass over a text finds all maximal scoring segments (linear time).
@@ -39,6 +39,9 @@ TRAIN_ROWS = 30_000
 #: Tokens in the model at most, highest z-score first.
 MODEL_TOKENS = 20_000
 
+#: Bytes of the beginnings of a token that count as features beside the whole.
+STEMS = (4, 5, 6, 7, 8)
+
 #: A token is a run of letters: ASCII letters and every byte of a longer character.
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
@@ -84,25 +87,30 @@ def segments(at: np.ndarray, score: np.ndarray, background: float) -> list[tuple
     return [(int(f), int(e), b - a) for f, e, a, b, _ in found]
 
 
-def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """fingerprints, starts, ends, tokens per text."""
-    starts, ends, per = spans_of(data, offsets, NOT_LETTER)
-    return hash_spans(LOWER[data], starts, ends), starts, ends, per
+def features_of(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places of tokens, fingerprints) of the whole words, then of their beginnings of each
+    length in STEMS: inflected and compounded words are known by their stems."""
+    yield np.arange(len(starts)), hash_spans(low, starts, ends)
+    for n in STEMS:
+        i = np.flatnonzero(ends - starts > n)
+        yield i, hash_spans(low, starts[i], starts[i] + n, 1)
 
 
 def scored_tokens(data: np.ndarray, offsets: np.ndarray, tokens: np.ndarray, scores: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of each text: number of tokens, places and scores of the model's, byte starts and ends."""
-    h, starts, ends, per = tokens_of(data, offsets)
-    if len(tokens):
+    starts, ends, per = spans_of(data, offsets, NOT_LETTER)
+    best = np.zeros(len(starts))
+    for place, h in features_of(LOWER[data], starts, ends) if len(tokens) else ():
         i = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
-        hit = np.flatnonzero(tokens[i] == h)
-    else:
-        i, hit = np.zeros(len(h), np.int64), np.empty(0, np.int64)
+        known = tokens[i] == h
+        place, i = place[known], i[known]
+        best[place] = np.maximum(best[place], scores[i])
+    hit = np.flatnonzero(best)
     first = np.concatenate([[0], np.cumsum(per)])
     cut = np.searchsorted(hit, first)
     for d in range(len(per)):
         own = hit[cut[d] : cut[d + 1]]
-        yield int(per[d]), own - first[d], scores[i[own]] if len(own) else np.empty(0), starts[first[d] : first[d + 1]], ends[first[d] : first[d + 1]]
+        yield int(per[d]), own - first[d], best[own], starts[first[d] : first[d + 1]], ends[first[d] : first[d + 1]]
 
 
 def _tail(k: float, lam: float, n: int, s: float) -> float:
@@ -146,8 +154,10 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for b in blocks(batches, "text"):
         data, offsets = offsets_of(b.column("text"))
         toxic = np.asarray(b.column("toxic").to_pylist(), np.int64) > 0
-        h, _, _, per = tokens_of(data, offsets)
-        doc = np.repeat(np.arange(len(per)), per)
+        starts, ends, per = spans_of(data, offsets, NOT_LETTER)
+        of = np.repeat(np.arange(len(per)), per)
+        found = list(features_of(LOWER[data], starts, ends))
+        h, doc = np.concatenate([x for _, x in found]), np.concatenate([of[i] for i, _ in found])
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
         new = np.ones(len(h), bool)
