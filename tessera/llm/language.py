@@ -130,8 +130,10 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 500, windows_each: i
     """A network from the documents with learn true; only text and lang are looked at."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
     th = F.xxhash64("text", F.lit("language"))
-    order = W.partitionBy("lang").orderBy("th", "text")
-    picked = rows.select("lang", "text", th.alias("th")).withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= per_language)
+    keys = rows.select("lang", th.alias("th")).distinct()  # equal texts count once
+    keys = keys.withColumn("rn", F.row_number().over(W.partitionBy("lang").orderBy("th"))).filter(F.col("rn") <= per_language)
+    keys = keys.select(F.col("lang").alias("_lang"), F.col("th").alias("_th"))  # per_language rows a language
+    picked = rows.join(F.broadcast(keys), (F.col("lang") == F.col("_lang")) & (th == F.col("_th"))).groupBy("lang", "_th").agg(F.min("text").alias("text"))
     got = sorted((r.lang, r.text.encode("utf-8", "replace")) for r in picked.select("lang", "text").toLocalIterator())
     languages = sorted({g[0] for g in got})
     if not languages:
