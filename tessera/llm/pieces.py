@@ -37,8 +37,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
-#: Words whose pieces a worker remembers.
-CACHE = 400_000
+#: Words whose pieces a worker remembers, and pairs of pieces.
+CACHE = 1_000_000
 
 
 def default_model() -> str:
@@ -158,6 +158,8 @@ class Encoder:
         """Whether piece b stays whole after piece a."""
         key = a * len(self.v.pieces) + b
         if (known := self._beside.get(key)) is None:
+            if len(self._beside) > CACHE:
+                self._beside.clear()
             pa_, pb = self.v.pieces[a], self.v.pieces[b]
             known = self._beside[key] = self.merge(list(pa_ + pb)) == [pa_, pb]
         return known
@@ -174,6 +176,7 @@ class Encoder:
         last: list[int] = [-2]  # last piece of each prefix; -1: a character of its own
         best: list[float] = [0.0]
         open_: list[list[tuple[int, dict]]] = [[]]  # pieces begun in each prefix
+        whole, beside, n_pieces = self._whole, self._beside, len(v.pieces)
         before = ""
         for word in words:
             n = len(os.path.commonprefix((before, word)))
@@ -194,9 +197,16 @@ class Encoder:
                     if unigram:
                         if (s := best[j] + v.scores[t]) > score or tok < 0:
                             tok, score = t, s
-                    elif (self._stands(t) if last[j] < 0 else self._stands(t) and self._fits(last[j], t)):
-                        tok = t
-                        break
+                    else:
+                        # the known answers first, without a call
+                        if (good := whole.get(t)) is None:
+                            good = self._stands(t)
+                        if good and (b := last[j]) >= 0:
+                            if (good := beside.get(b * n_pieces + t)) is None:
+                                good = self._fits(b, t)
+                        if good:
+                            tok = t
+                            break
                 last.append(tok)
                 best.append(score)
             before = word
