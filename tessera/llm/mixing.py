@@ -23,6 +23,8 @@ from pyspark.sql import Window as W
 from .common import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A chance of 1 in whole numbers: sums of them are exact in any order.
+UNIT = 1 << 20
 
 
 def n_words(text: str = "text") -> Column:
@@ -104,7 +106,7 @@ def mix(
     """One row per document: doc_id, source, size, source_size, target, base, extra, taken.
 
     taken = base * size + extra words; `carry` keeps the documents' own columns
-    as well, as the struct column `row`."""
+    as well, as the struct column `row`, and the shard and key."""
     own = [F.struct(*docs.columns).alias("row")] if carry else []
     sized = docs.select("doc_id", "source", n_words().alias("size"), seed_key(seed, "doc_id").alias("key"), *own)
     sized = staged(sized)
@@ -142,13 +144,21 @@ def mix(
 
     out = out.withColumn("extra", F.expr(f"CASE WHEN n = 0 THEN 0L ELSE {upto('z')} - {upto('a')} END").cast("long"))
     cols = ["doc_id", "source", "size", "source_size", "target", "base", "extra", (F.col("base") * F.col("size") + F.col("extra")).alias("taken")]
-    return out.select(*cols, *(["row"] if carry else []))
+    return out.select(*cols, *(["shard", "key", "row"] if carry else []))
 
 
 def mix_documents(docs: DataFrame, seed: str = "mix", **more) -> DataFrame:
-    """The mix as whole documents: each comes base times, and once more where the
-    middle of its words lies in a picked block (extra covers half of it or more)."""
+    """The mix as whole documents: each comes base times, and once more with a chance of
+    extra / size, so that a source's words are right on average at any document length.
+
+    The draw is systematic from a seeded start, over a shard's documents in order of size:
+    of documents of like size, their share gets the copy, and a shard's words are off by
+    little more than its longest document."""
     picked = mix(docs, seed=seed, carry=True, **more)
-    copies = F.col("base") + F.when((F.col("size") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)
-    rows = picked.withColumn("copies", copies.cast("int")).filter("copies > 0")
+    chance = F.coalesce(F.expr(f"extra * {UNIT} div nullif(size, 0)"), F.lit(0)).cast("long")
+    start = seed_number(seed_key(f"{seed}:copy", "source", "shard")) % UNIT
+    upto = F.sum("_chance").over(W.partitionBy("source", "shard").orderBy("size", "key").rowsBetween(W.unboundedPreceding, 0)) + start
+    rows = picked.withColumn("_chance", chance).withColumn("_upto", upto)
+    once = F.expr(f"_upto div {UNIT} - (_upto - _chance) div {UNIT}")
+    rows = rows.withColumn("copies", F.when(F.col("size") > 0, F.col("base") + once).otherwise(0).cast("int")).filter("copies > 0")
     return rows.select(F.explode(F.array_repeat("row", F.col("copies"))).alias("row")).select("row.*")

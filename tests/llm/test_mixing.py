@@ -69,3 +69,15 @@ def test_mixed_documents_keep_their_columns(spark):
     assert out.columns == df.columns
     n = out.groupBy("doc_id").count().agg({"count": "max"}).first()[0]
     assert n <= 2 and abs(out.count() - 120) < 12
+
+
+def test_mixed_long_documents_meet_the_targets(spark):
+    """Long documents, leftover shares under and over a half: no source loses or gains all its copies."""
+    data = rows([t for n in (320, 500, 32) for t in prose(n, 120, n)])
+    df = spark.createDataFrame(data, SCHEMA)
+    for budget in (0.6, 1.5):
+        target = {r.source: r.target for r in mix(df, budget=budget).collect()}
+        got = defaultdict(int)
+        for r in mix_documents(df, budget=budget).collect():
+            got[r.source] += len(words(r.text))
+        assert all(abs(got[s] - t) <= 0.1 * t for s, t in target.items()), (got, target)
