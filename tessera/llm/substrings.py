@@ -1,15 +1,20 @@
-"""Substring dedup by content-defined chunking.
+"""Substring dedup by content-defined places of a gear rolling hash.
 
-A text's UTF-8 bytes are cut where a gear rolling hash of the last 32 bytes has zero
-upper bits (never inside a character), so the cuts inside a repeated passage are the
-same wherever it stands, whatever was inserted before it. Chunks with one 128-bit
-digest are copies; the first in order of (doc_id, text, place) stays, and later ones
-are joined to runs. Runs of `min_bytes` or more are deleted.
+The gear hash of each 32 bytes is taken at every place of a text; of each 64 places in a
+row, the one with the least hash is chosen. What is chosen inside a repeated passage is the
+same wherever it stands, so two copies of any 95 bytes share a chosen window. Of the windows
+with one digest the first in order of (doc_id, text, place) stays; later ones are joined
+to runs, and a run is compared byte by byte with the first copy, 64 bytes beyond it on
+both sides: a passage ends within 63 bytes of its last chosen window. Stretches of equal
+bytes that meet are one; cut back to whole words, those of `min_bytes` or more are deleted.
 
-Digests are counted before any chunk row meets another, so a chunk that stands in a
+Digests are counted before any window meets another, so a window that stands in a
 third of all documents is one row of the join's small side, and no pairs are made.
 
-Edge cases: null and empty texts have no chunks; null doc_ids come first in order;
+`repeated_spans` gives the runs of whole content-defined chunks instead: there the
+cuts come from the upper bits of the same hash (never inside a character).
+
+Edge cases: null and empty texts have no windows; null doc_ids come first in order;
 rows equal in doc_id and text are one document; a text may become empty; repeats
 within one text count as well; other columns are ignored.
 """
@@ -25,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import GEAR, blocks, bound_batches, hash_spans, offsets_of, staged, text_key
+from .common import GEAR, SPACES, blocks, bound_batches, hash_spans, offsets_of, staged, text_key
 
 #: Chunks of 32 to 128 bytes, 48 in the mean. 32 bytes is the hash's window: no cut
 #: depends on bytes of another text.
 LEAST, MASK_BITS, MOST = 32, 4, 128
+#: Bytes of a window, and places of which one is chosen.
+WINDOW, REACH = 32, 64
 
 
 def cut_texts(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, mask_bits: int = MASK_BITS, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,29 +100,163 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 140) -> DataFrame:
     return runs.filter(F.col("end") - F.col("start") >= min_bytes).drop("run")
 
 
+def windows_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Starts of the chosen windows, in order; positions in data."""
+    h = GEAR[data]
+    for w in (1, 2, 4, 8, 16):
+        h[w:] += h[:-w] << np.uint32(w)
+    low = np.uint64(0xFFFFFFFF)
+    key = (h.astype(np.uint64) << np.uint64(32)) | (low - np.arange(len(data), dtype=np.uint64))
+    for w in (1, 2, 4, 8, 16, 32):
+        key[w:] = np.minimum(key[w:], key[:-w])
+    skip = WINDOW + REACH - 2  # the first place whose 64 windows all lie in the text
+    n = np.maximum(np.diff(offsets) - skip, 0)
+    ends = np.repeat(offsets[:-1] + skip - (np.cumsum(n) - n), n) + np.arange(n.sum())
+    best = (low - (key[ends] & low)).astype(np.int64)
+    return best[np.concatenate([[True], best[1:] != best[:-1]])] - (WINDOW - 1) if len(best) else best
+
+
+def windows(docs: DataFrame) -> DataFrame:
+    """doc_id, th, start (bytes), d (digest) of the chosen windows."""
+    rows = docs.filter(F.octet_length("text") >= WINDOW + REACH - 1).select("doc_id", text_key().alias("th"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text", 2 << 20):
+            data, offsets = offsets_of(b.column("text"))
+            starts = windows_of(data, offsets)
+            doc = np.searchsorted(offsets, starts, side="right") - 1
+            d = hash_spans(data, starts, starts + WINDOW).view(np.int64)
+            place = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(place), b.column("th").take(place), pa.array((starts - offsets[doc]).astype(np.int32)), pa.array(d)], ["doc_id", "th", "start", "d"])
+
+    return bound_batches(rows).mapInArrow(run, f"doc_id {kind}, th long, start int, d long")
+
+
+def later_runs(docs: DataFrame) -> DataFrame:
+    """doc_id, th, start, first_doc, first_th, a, z: runs of later windows on one diagonal.
+
+    first_doc has the first copy; a to z are its bytes, and 64 more on both sides; start
+    is the place of its byte a in the later text (below 0: before it)."""
+    twice = staged(windows(docs).groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
+    met = staged(windows(docs).join(twice, "d"))
+    place = F.struct("doc_id", "th", "start")
+    first = met.groupBy("d").agg(F.min(place).alias("first"))
+    later = met.join(first, "d").filter(~place.eqNullSafe(F.col("first")))
+    later = later.select("doc_id", "th", "start", F.col("first.doc_id").alias("first_doc"), F.col("first.th").alias("first_th"), F.col("first.start").alias("at")).distinct()
+    own = W.partitionBy("doc_id", "th").orderBy("start")
+    before = lambda c: F.lag(c).over(own)
+    near = (F.col("start") - before("start") <= REACH) & (F.col("start") - before("start") == F.col("at") - before("at"))
+    same = before("first_doc").eqNullSafe(F.col("first_doc")) & (before("first_th") == F.col("first_th")) & near
+    later = later.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(own))
+    runs = later.groupBy("doc_id", "th", "run").agg(F.min("start").alias("start"), F.first("first_doc").alias("first_doc"), F.first("first_th").alias("first_th"), F.min("at").alias("at"), F.max("at").alias("last"))
+    a = F.greatest(F.col("at") - REACH, F.lit(0))
+    return runs.select("doc_id", "th", (F.col("start") - F.col("at") + a).alias("start"), "first_doc", "first_th", a.alias("a"), (F.col("last") + WINDOW + REACH).alias("z"))
+
+
+def _first_bytes(docs: DataFrame, runs: DataFrame) -> DataFrame:
+    """f, ft, fa, fz, raw: the bytes of first copies that the runs name, each once."""
+    need = runs.select("first_doc", "first_th", "a", "z").distinct().groupBy(F.col("first_doc").alias("f"), F.col("first_th").alias("ft")).agg(F.collect_list(F.struct("a", "z")).alias("parts"))
+    rows = docs.select("doc_id", text_key().alias("th"), "text").join(need, F.col("doc_id").eqNullSafe(F.col("f")) & (F.col("th") == F.col("ft")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in blocks(batches, "text"):
+            doc, a, z, raw = [], [], [], []
+            for i, (text, parts) in enumerate(zip(b.column("text").to_pylist(), b.column("parts").to_pylist(), strict=True)):
+                whole = text.encode()
+                for p in parts:
+                    doc.append(i)
+                    a.append(p["a"])
+                    z.append(p["z"])
+                    raw.append(whole[p["a"] : p["z"]])
+            place = pa.array(doc, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("f").take(place), b.column("ft").take(place), pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(raw, pa.binary())], ["f", "ft", "fa", "fz", "raw"])
+
+    return bound_batches(rows.select("f", "ft", "parts", "text")).mapInArrow(run, f"f {kind}, ft long, fa int, fz int, raw binary").dropDuplicates(["f", "ft", "fa", "fz"])
+
+
+def equal_stretches(own: np.ndarray, start: int, first: np.ndarray) -> list[tuple[int, int]]:
+    """Maximal stretches of a window or more where own from start on equals first."""
+    skip = max(0, -start)
+    first = first[skip:]
+    here = own[start + skip : start + skip + len(first)]
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], here == first[: len(here)], [0]])))
+    return [(start + skip + a, start + skip + z) for a, z in edges.reshape(-1, 2).tolist() if z - a >= WINDOW]
+
+
+def to_words(own: np.ndarray, a: int, z: int) -> tuple[int, int]:
+    """The stretch less a part of a word at its ends, or of a character if it has no such end
+    within 64 bytes."""
+    if a > 0:
+        gap = SPACES[own[a - 1 : min(a + REACH, z)]]
+        starts = np.flatnonzero(gap[:-1] & ~gap[1:])
+        if len(starts):
+            a += int(starts[0])
+        while a < z and own[a] & 0xC0 == 0x80:
+            a += 1
+    if z < len(own):
+        lo = max(a, z - REACH)
+        gap = SPACES[own[lo : z + 1]]
+        ends = np.flatnonzero(~gap[:-1] & gap[1:])
+        if len(ends):
+            z = lo + int(ends[-1]) + 1
+        while z > a and z < len(own) and own[z] & 0xC0 == 0x80:
+            z -= 1
+    return a, z
+
+
+def copied_spans(own: np.ndarray, runs: list[dict], min_bytes: int) -> tuple[list[tuple[int, int]], list]:
+    """(spans, first_doc_ids) of one text from its runs and their first copies' bytes."""
+    found = sorted((a, z, i) for i, r in enumerate(runs) for a, z in equal_stretches(own, r["start"], np.frombuffer(r["raw"], np.uint8)))
+    joined: list[list] = []
+    for a, z, i in found:
+        if joined and a <= joined[-1][1]:
+            joined[-1][1] = max(joined[-1][1], z)
+            joined[-1][2].add(runs[i]["first_doc"])
+        else:
+            joined.append([a, z, {runs[i]["first_doc"]}])
+    spans, ids = [], set()
+    for a, z, of in joined:
+        a, z = to_words(own, a, z)
+        if z - a >= min_bytes:
+            spans.append((a, z))
+            ids |= of
+    return spans, sorted(ids - {None})
+
+
 def substring_dedup(docs: DataFrame, min_bytes: int = 140) -> DataFrame:
     """Documents with later copies: doc_id, n_bytes, dup_bytes, first_doc_ids (where the
     first copies stand), spans (start, end in bytes) and text without them. A
     document that is not listed has none."""
-    span = F.struct("start", "end")
-    per = repeated_spans(docs, min_bytes).groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(span)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("first_doc_ids")))).alias("first_doc_ids"))
-    per = staged(per.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), "spans", "first_doc_ids"))
-    rows = docs.select("doc_id", text_key().alias("_th"), "text").join(per, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
+    runs = staged(later_runs(docs))
+    same = F.col("first_doc").eqNullSafe(F.col("f")) & (F.col("first_th") == F.col("ft")) & (F.col("a") == F.col("fa")) & (F.col("z") == F.col("fz"))
+    per = runs.join(_first_bytes(docs, runs), same).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("start", "first_doc", "raw")).alias("runs"))
+    rows = docs.select("doc_id", text_key().alias("_th"), "text").join(staged(per), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = rows.select("doc_id", "first_doc_ids", "spans", "text")
+    rows = rows.select("doc_id", "runs", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            size, gone, left = [], [], []
-            for text, spans in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                raw, at, parts = text.encode(), 0, []
-                for s in spans:
-                    parts.append(raw[at : s["start"]])
-                    at = s["end"]
+            doc, size, gone, ids, cut, left = [], [], [], [], [], []
+            for i in range(b.num_rows):
+                raw = b.column("text")[i].as_py().encode()
+                spans, of = copied_spans(np.frombuffer(raw, np.uint8), b.column("runs")[i].as_py(), min_bytes)
+                if not spans:
+                    continue
+                at, parts = 0, []
+                for s, e in spans:
+                    parts.append(raw[at:s])
+                    at = e
                 parts.append(raw[at:])
+                doc.append(i)
                 left.append(b"".join(parts).decode())
                 size.append(len(raw))
-                gone.append(sum(s["end"] - s["start"] for s in spans))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), b.column("first_doc_ids"), b.column("spans"), pa.array(left, pa.string())], ["doc_id", "n_bytes", "dup_bytes", "first_doc_ids", "spans", "text"])
+                gone.append(sum(e - s for s, e in spans))
+                ids.append(of)
+                cut.append([{"start": s, "end": e} for s, e in spans])
+            span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+            own = b.column("doc_id")
+            yield pa.RecordBatch.from_arrays([own.take(pa.array(doc, pa.int64())), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(ids, pa.list_(own.type)), pa.array(cut, span), pa.array(left, pa.string())], ["doc_id", "n_bytes", "dup_bytes", "first_doc_ids", "spans", "text"])
 
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, dup_bytes long, first_doc_ids array<{kind}>, spans array<struct<start:int,end:int>>, text string")
+    return bound_batches(rows).mapInArrow(run, f"doc_id {kind}, n_bytes long, dup_bytes long, first_doc_ids array<{kind}>, spans array<struct<start:int,end:int>>, text string")

@@ -97,3 +97,23 @@ def test_fingerprints_do_not_depend_on_steps():
     s = np.arange(0, len(data) - 10, 10)
     assert (hash_spans(data, s, s + 9, 0) == hash_spans(data, s, s + 9, 0, step=7)).all()
     assert (hash_spans(data, s, s + 9, 0) != hash_spans(data, s, s + 9, 1)).all()
+
+
+def test_short_passages_in_two_documents_are_found_whole(spark):
+    """51 words once in each of two documents, of long words and of words of up to 4 letters."""
+    rng, texts, passages = random.Random(51), [], []
+    for longest in (9, 4):
+        for _ in range(60):
+            word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, n)))
+            passage = " ".join(word(longest) for _ in range(51))
+            if len(passage) < 140:
+                continue
+            passages.append(passage)
+            texts += [" ".join([*(word(9) for _ in range(rng.randint(5, 90))), passage, *(word(9) for _ in range(rng.randint(5, 90)))]) for _ in range(2)]
+    assert len(passages) > 100
+    out = {r.doc_id: r for r in substring_dedup(spark.createDataFrame(rows(texts), SCHEMA)).collect()}
+    assert set(out) == set(range(1, len(texts), 2))
+    for i, p in enumerate(passages):
+        r = out[2 * i + 1]
+        raw = texts[2 * i + 1].encode()
+        assert [raw[s.start : s.end].decode() for s in r.spans] == [p] and r.first_doc_ids == [2 * i]
