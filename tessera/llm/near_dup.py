@@ -442,6 +442,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
 def dedup_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs less all but one document of each component (the smallest doc_id; of several
-    rows with that doc_id, the one whose text hashes lowest)."""
+    rows with that doc_id, the one whose text hashes lowest, and one only of equal rows).
+    Rows without a doc_id all stay."""
     gone = near_duplicates(docs, k, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    # ids are counted first, so rows with an id of their own are not sorted
+    many = staged(left.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_m"), F.min(F.xxhash64("text")).alias("_th")).filter("_m > 1").drop("_m"))
+    single = left.join(many, F.col("doc_id") == F.col("_id"), "left_anti")
+    least = left.join(many, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th"))).drop("_id", "_th")
+    return single.unionByName(least.dropDuplicates(["doc_id"]))

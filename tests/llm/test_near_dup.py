@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import near_dup
 from tessera.llm.components import components
@@ -52,3 +53,14 @@ def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+
+
+def test_one_row_stays_of_a_kept_doc_id(spark):
+    t = prose(9, 3, 40)
+    data = [(None, t[0]), (None, t[0]), (5, t[0]), (3, t[0]), (3, t[1]), (3, t[1]), (8, t[1]), (9, t[2]), (9, t[2]), (10, None), (10, None), (11, "")]
+    df = spark.createDataFrame([(i, x, None, None, 1, 1, "", "", 1) for i, x in data], SCHEMA)
+    kept = dedup_documents(df, 3, 85)
+    low = {r.text for r in df.filter("doc_id = 3").orderBy(F.xxhash64("text")).limit(1).collect()}
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 3, 9, 10, 11]
+    assert {r.text for r in kept.collect() if r.doc_id == 3} == low
