@@ -13,7 +13,9 @@ its last 2**j lines.
 A run is a repeat when the corpus has it twice or more and it holds at least
 `min_words` words. From every line the shortest such run is looked up; if its
 interval has an earlier suffix, the lines of the run are later copies and are
-deleted. Neighbouring deleted lines make up the maximal repeated runs.
+deleted. That leaves the last lines of a maximal run that hold under `min_words` words
+together; with `tails` the shortest run up to every line is looked up as well, and the
+lines of all maximal runs go. `line_dedup` is without (its SQL is), `dedup_documents` with.
 
 Everything is DataFrame code. Edge cases: null text stays null; an empty text, or
 one of blank lines, is kept as it is; blank lines are never deleted and never break
@@ -88,7 +90,7 @@ def _earlier(runs: DataFrame, names: list[str]) -> DataFrame:
     return runs.join(first, on).filter(~place.eqNullSafe(F.col("_first"))).select(*_PLACE, "need")
 
 
-def deleted_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def deleted_lines(docs: DataFrame, min_words: int = 5, tails: bool = False) -> DataFrame:
     """doc_id, th, i: the lines in later copies of repeated runs (i: among non-blank lines)."""
     if min_words < 1:
         raise ValueError("min_words must be 1 or more")
@@ -100,10 +102,16 @@ def deleted_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     sofar = F.sum("words").over
     for n in range(min_words, 0, -1):
         need = F.when(sofar(_doc().rowsBetween(0, n - 1)) >= min_words, n).otherwise(need)
+    if tails:
+        # also the runs that hold min_words words with their first line only: the shortest up to their last
+        upto = [F.lit(0), *[sofar(_doc().rowsBetween(0, n - 1)) for n in range(1, min_words + 1)]]
+        short = [(upto[n] >= min_words) & ((upto[n - 1] < min_words) | (upto[n] - F.col("words") < min_words)) for n in range(1, min_words + 1)]
+        need = F.array_compact(F.array(*[F.when(short[n - 1], n) for n in range(1, min_words + 1)]))
     level = staged(level.withColumn("need", need))
     found, k = [], 1
     while True:
-        here = level.filter(F.col("need").between(k, 2 * k - 1))
+        here = level.withColumn("need", F.explode("need")) if tails else level
+        here = here.filter(F.col("need").between(k, 2 * k - 1))
         found.append(_earlier(here.filter(F.col("need") == k), ["rank"]))
         if k > 1:
             tail = level.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("i").alias("_i"), F.col("rank").alias("tail"))
@@ -146,9 +154,9 @@ def cut_by(docs: DataFrame, gone: DataFrame) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame, min_words: int = 5) -> DataFrame:
+def line_dedup(docs: DataFrame, min_words: int = 5, tails: bool = False) -> DataFrame:
     """row (the document as it was), text (less later copies), n_lines, n_deleted, n_runs."""
-    return cut_by(docs, deleted_lines(docs, min_words))
+    return cut_by(docs, deleted_lines(docs, min_words, tails))
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 5) -> DataFrame:
@@ -159,9 +167,9 @@ def repeated_runs(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
 
 def dedup_documents(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """The documents with later copies of repeated line runs deleted, same columns;
-    n_chars, if there, is counted again."""
-    out = line_dedup(docs, min_words)
+    """The documents with later copies of repeated line runs deleted, maximal runs to
+    their ends, same columns; n_chars, if there, is counted again."""
+    out = line_dedup(docs, min_words, tails=True)
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("n_deleted") > 0, F.length("text")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -2,7 +2,7 @@ import random
 
 from tessera.llm.line_dedup import dedup_documents, line_dedup, repeated_runs
 
-from .helpers import SCHEMA, edge_texts, line_cuts, rows
+from .helpers import SCHEMA, edge_texts, line_cuts, rows, words
 
 
 def _texts():
@@ -38,3 +38,24 @@ def test_runs_and_empty_table(spark):
     df = spark.createDataFrame(rows(["a b\nc d\ne f", "z\na b\nc d\ne f\nq"]), SCHEMA)
     assert [(r.doc_id, r.start, r.n_lines) for r in repeated_runs(df).collect()] == [(1, 1, 3)]
     assert line_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_documents_lose_maximal_runs_to_their_ends(spark):
+    texts = ["a b c d e f\ng h\nq", "z\na b c d e f\ng h\ny"] + [t for t in _texts() if t is None or len(t) < 1000]
+    data = rows(texts)
+    got = {r.doc_id: r.text for r in dedup_documents(spark.createDataFrame(data, SCHEMA)).collect()}
+    assert got[1] == "z\ny"
+    seen, want = set(), {}
+    for d, text in enumerate(texts):
+        every = (text or "").split("\n")
+        full = [j for j, x in enumerate(every) if words(x)]
+        gone = set()
+        for i in range(len(full)):
+            for j in range(i, len(full)):
+                run = tuple(every[x] for x in full[i : j + 1])
+                if sum(len(words(x)) for x in run) >= 5:
+                    if run in seen:
+                        gone |= set(full[i : j + 1])
+                    seen.add(run)
+        want[d] = None if text is None else "\n".join(x for j, x in enumerate(every) if j not in gone)
+    assert got == want
