@@ -9,8 +9,9 @@ Which chunks are shared is found by a join of digests alone; payload bytes move
 for chunks that several payloads share. Reading back puts a payload's own chunks and
 the fetched ones in order, checks each against its digest, and only then computes features.
 
-Stored form of a payload: MAGIC, its length, and its list of (chunk length, chunk
-sha256), followed by the chunks. It depends on the payload alone.
+media_bytes and media_sha256 describe a canonical form of a payload, put together in memory
+from what was read back: MAGIC, its length, and its list of (chunk length, chunk sha256),
+followed by the chunks. It depends on the payload alone; the store never writes it.
 
 Edge cases: a null text is an empty payload (576 bytes of 255); equal payloads are
 stored once and each of their documents gets the same values; null and repeated doc_ids
