@@ -21,9 +21,13 @@ BLOCK_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where none is set."""
+    """The folder all executors share. In local mode, where one machine is all there is, a
+    temporary one if none is set; on a cluster that is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/tessera-shared"
         spark.sparkContext.setCheckpointDir(base)
     return base
@@ -31,18 +35,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 def staged(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage ends
-    there, and a lost executor costs no more than the tasks it was running."""
-    path = f"{shared_dir(df.sparkSession)}/staged/{uuid.uuid4().hex}"
+    there, and a lost executor costs no more than the tasks it was running.
+
+    The files go when the application ends, or before by unstage."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/staged/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing will read again."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def unstage(*tables: DataFrame) -> None:
+    """Delete the files of staged tables that nothing will read again."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
@@ -60,6 +70,14 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with more underscores before it if a column of df has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_key() -> Column:
     """Tells apart texts under one doc_id."""
     return F.xxhash64(F.col("text"))

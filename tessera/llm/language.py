@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from .common import blocks, bound_batches, offsets_of
+from .common import blocks, bound_batches, free_name, offsets_of
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -150,20 +150,21 @@ def fit(docs: DataFrame, learn: Column, per_language: int = 500, windows_each: i
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """docs with lang_pred and lang_score (columns of these names are replaced)."""
-    docs = docs.drop("lang_pred", "lang_score", "_letter")
-    rows = docs.withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    docs = docs.drop("lang_pred", "lang_score")
+    mark = free_name(docs, "_letter")
+    rows = docs.withColumn(mark, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for b in blocks(batches, "text"):
-            letter = np.asarray(b.column("_letter").to_pylist(), bool)
-            own = b.drop_columns(["_letter"])
+            letter = np.asarray(b.column(mark).to_pylist(), bool)
+            own = b.drop_columns([mark])
             if model is None:
                 best, score = ["und"] * len(letter), np.zeros(len(letter))
             else:
-                data, offsets = offsets_of(b.column("text"))
+                data, offsets = offsets_of(b.column(b.schema.get_field_index("text")))
                 doc, start, end = windows_of(data, offsets)
                 total = np.zeros((len(letter), len(model.languages)))
                 for lo in range(0, len(doc), BATCH):

@@ -11,11 +11,17 @@ between two powers is the interval named by the ranks at its first line and at
 its last 2**j lines.
 
 A run is a repeat when the corpus has it twice or more and it holds at least
-`min_words` words. From every line the shortest such run is looked up; if its
-interval has an earlier suffix, the lines of the run are later copies and are
-deleted. That leaves the last lines of a maximal run that hold under `min_words` words
-together; with `tails` the shortest run up to every line is looked up as well, and the
-lines of all maximal runs go. `line_dedup` is without (its SQL is), `dedup_documents` with.
+`min_words` words; all suffixes of its interval but the earliest begin a later copy, and the
+lines of later copies are deleted. With `tails` (op5 and the pipeline) a line goes if a
+maximal run with an earlier copy holds it; without, the last lines of such a run that hold
+under `min_words` words together stay. A maximal run is the union of the shortest runs in it that hold `min_words` words, from
+each of its lines on and up to each of its lines: if s is the last line that such a run
+starts from, fewer than `min_words` words follow it, so the shortest run up to the last line
+starts at s or before. Those have `min_words` lines at most, so the lines that go are known
+once the ranks are by as many lines as that.
+
+`repeated_runs` goes on doubling until no two suffixes share a prefix, and gives the maximal
+runs with the lines that they have in common with their earliest copy.
 
 Everything is DataFrame code. Edge cases: null text stays null; an empty text, or
 one of blank lines, is kept as it is; blank lines are never deleted and never break
@@ -26,16 +32,18 @@ result; other columns stay as they are, whatever their names.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
-from .common import staged, text_key
+from .common import maybe_broadcast, staged, text_key
 from .mixing import WORD
 
 #: Ranges of line IDs that are ranked apart.
 BUCKET_BITS = 12
+#: Next ranks of one rank that are put in order at once, and the ranges of those of a rank with more.
+RANK_ROWS, RANGES = 512, 64
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -67,9 +75,21 @@ def doubled(level: DataFrame, k: int) -> DataFrame:
     pairs = level.withColumn("_j", F.lead("i", k).over(_doc())).withColumn("_r", F.lead("rank", k).over(_doc()))
     # k rows on is k lines on only if no line between has dropped out
     pairs = staged(pairs.filter(F.col("_j") == F.col("i") + k).drop("_j"))
-    named = pairs.groupBy("rank", "_r").agg(F.count(F.lit(1)).alias("n"))
-    inside = W.partitionBy("rank").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
-    named = named.withColumn("next", F.col("rank") + F.coalesce(F.sum("n").over(inside), F.lit(0))).filter("n > 1")
+    named = staged(pairs.groupBy("rank", "_r").agg(F.count(F.lit(1)).alias("n")))
+    # a rank with very many next ranks has them ordered in ranges: the ranges' sums come first
+    hot = named.groupBy(F.col("rank").alias("_hot")).agg(F.count(F.lit(1)).alias("m"), F.max("_r").alias("top")).filter(F.col("m") > RANK_ROWS).drop("m")
+    hot = staged(hot)
+    if n_hot := hot.count():
+        width = F.expr(f"top div {RANGES} + 1")
+        named = named.join(maybe_broadcast(hot, 24, n_hot), F.col("rank") == F.col("_hot"), "left").withColumn("b", F.when(F.col("_hot").isNotNull(), F.floor(F.col("_r") / width)))
+        sums = named.filter("b IS NOT NULL").groupBy(F.col("rank").alias("_rank"), F.col("b").alias("_range")).agg(F.sum("n").alias("s"))
+        before = W.partitionBy("_rank").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+        sums = sums.withColumn("start", F.coalesce(F.sum("s").over(before), F.lit(0))).drop("s")
+        named = named.join(maybe_broadcast(sums, 32, n_hot * RANGES), (F.col("rank") == F.col("_rank")) & (F.col("b") == F.col("_range")), "left")
+    else:
+        named = named.withColumn("b", F.lit(None).cast("long")).withColumn("start", F.lit(0))
+    inside = W.partitionBy("rank", "b").orderBy("_r").rowsBetween(W.unboundedPreceding, -1)
+    named = named.withColumn("next", F.col("rank") + F.coalesce("start", F.lit(0)) + F.coalesce(F.sum("n").over(inside), F.lit(0))).filter("n > 1")
     named = named.select(F.col("rank").alias("_a"), F.col("_r").alias("_b"), "next")
     return pairs.join(named, (F.col("rank") == F.col("_a")) & (F.col("_r") == F.col("_b"))).select(*[c for c in level.columns if c != "rank"], F.col("next").alias("rank"))
 
@@ -159,11 +179,50 @@ def line_dedup(docs: DataFrame, min_words: int = 5, tails: bool = False) -> Data
     return cut_by(docs, deleted_lines(docs, min_words, tails))
 
 
+def _at(table: DataFrame, doc: str, th: str, i: Column, names: dict[str, str]) -> tuple[DataFrame, Column]:
+    """table with the columns `names` of it, under new names, and how it meets (doc, th, i)."""
+    right = table.select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.col("i").alias("_i"), *[F.col(c).alias(n) for c, n in names.items()])
+    return right, F.col(doc).eqNullSafe(F.col("_d")) & (F.col(th) == F.col("_t")) & (i == F.col("_i"))
+
+
 def repeated_runs(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """The maximal deleted runs: doc_id, start, n_lines (among non-blank lines)."""
-    gone = deleted_lines(docs, min_words)
-    island = F.col("i") - F.row_number().over(_doc())
-    return gone.withColumn("g", island).groupBy("doc_id", "th", "g").agg(F.min("i").alias("start"), F.count(F.lit(1)).alias("n_lines")).drop("th", "g")
+    """The maximal repeated runs: doc_id, start, n_lines, first_doc, first_start (lines are
+    counted among the non-blank ones).
+
+    Doubling goes on until no two suffixes share a prefix. Of each suffix the deepest interval
+    with an earlier one is taken, and their longest common prefix is put together
+    from the ranks of the levels below. Runs that go on from the line before, in both documents,
+    are left out; runs with different first copies may overlap."""
+    lines = staged(lines_of(docs))
+    level = staged(lines.join(first_ranks(lines), "id").select(*_PLACE, "rank"))
+    place = F.struct(*_PLACE)
+    levels, found, k = [], None, 1
+    while True:
+        first = level.groupBy(F.col("rank").alias("_rank")).agg(F.min(place).alias("p"))
+        here = level.join(first, F.col("rank") == F.col("_rank")).filter(~place.eqNullSafe(F.col("p"))).select(*_PLACE, "p", F.lit(k).alias("n"))
+        found = here if found is None else found.unionByName(here)
+        levels.append((k, level))
+        level = staged(doubled(level, k))
+        k *= 2
+        if level.isEmpty():
+            break
+    pairs = found.groupBy(*_PLACE).agg(F.max_by("p", "n").alias("p"), F.max("n").alias("n"))
+    pairs = staged(pairs.select(*_PLACE, F.col("p.doc_id").alias("first_doc"), F.col("p.th").alias("first_th"), F.col("p.i").alias("first_start"), "n"))
+    before = lambda c: F.lag(c).over(_doc())
+    goes_on = (before("i") == F.col("i") - 1) & before("first_doc").eqNullSafe(F.col("first_doc")) & (before("first_th") == F.col("first_th")) & (before("first_start") == F.col("first_start") - 1)
+    runs = pairs.withColumn("_on", F.coalesce(goes_on, F.lit(False))).filter("NOT _on").drop("_on")
+    for k, level in reversed(levels):
+        right, on = _at(level, "doc_id", "th", F.col("i") + F.col("n"), {"rank": "_own"})
+        runs = runs.join(right, on, "left").drop("_d", "_t", "_i")
+        right, on = _at(level, "first_doc", "first_th", F.col("first_start") + F.col("n"), {"rank": "_first"})
+        runs = runs.join(right, on, "left").drop("_d", "_t", "_i")
+        runs = staged(runs.withColumn("n", F.col("n") + F.when(F.col("_own") == F.col("_first"), k).otherwise(0)).drop("_own", "_first"))
+    sofar = lines.withColumn("upto", F.sum("words").over(_doc()))
+    right, on = _at(sofar, "doc_id", "th", F.col("i"), {"upto": "_a", "words": "_w"})
+    runs = runs.join(right, on).drop("_d", "_t", "_i")
+    right, on = _at(sofar, "doc_id", "th", F.col("i") + F.col("n") - 1, {"upto": "_z"})
+    runs = runs.join(right, on).filter(F.col("_z") - F.col("_a") + F.col("_w") >= min_words)
+    return runs.select("doc_id", F.col("i").alias("start"), F.col("n").alias("n_lines"), "first_doc", "first_start")
 
 
 def dedup_documents(docs: DataFrame, min_words: int = 5) -> DataFrame:

@@ -5,10 +5,11 @@ Classes are then branched down independent trees: in a node, a few positions of
 minwise signature are chosen, and a class goes to one child for each, named by its
 token there, so similar sets keep meeting and others part. Nodes of up to `SMALL`
 classes are compared exhaustively; in larger ones every class is compared with a
-few pivots, and the node is branched again. A node that is tight (seven in ten of its
-first classes share half of its pivot's signature) is not branched, as that would only
-copy it: after linking, those of its classes that are not in its main component are
-compared with all its others, in blocks, by full sets.
+few pivots, and the node is branched again. In a node that is tight (seven in ten of a
+hashed sample of it share half of one signature) the classes like that one are not
+branched, as that would only copy them; those with next to nothing of it are branched only,
+those between go both ways. Of what was not branched, the classes that are not in
+its main component after linking are compared with all the others, in blocks, by full sets.
 
 Compared means: the signatures' agreement lets the pair pass as a candidate (a bound
 that a linked pair misses with a chance of about 1e-7). Every link is confirmed on the full
@@ -18,14 +19,19 @@ between different components are all that is left to find.
 With TREES x ROOTS positions at the root, a pair at the threshold of 0.85 meets in no
 node with a chance of 0.15 ** 8 = 3e-7 (at 0.8: 3e-6), and deeper nodes have ROOTS tries each.
 
-A large node is spread over tasks by salt, with its pivots sent to each; tasks hold no
-more than SMALL rows of a node at a time. Pairs: at most SMALL / 2 a class in a small node,
-one in a large one.
+Rows are sorted by node and walked once, which counts a node as it comes. Only nodes of
+more than SALT_ROWS rows are counted before: they are spread over tasks by salt, with the
+sample sent to each. Tasks hold no more than SMALL rows of a node at a time. Pairs: at most
+SMALL / 2 a class in a small node, one in a large one.
+
+A class has a number of its own, so ids may be of any type and a doc_id with several texts
+mixes up nothing.
 
 Edge cases: null, empty and blank texts have an empty set, are linked with nothing and
 kept; texts with fewer words than a shingle have their whole sequence as one; null
 doc_ids take no part (component_id null, kept); rows with one doc_id are one node;
-an empty table gives no rows; extra columns are ignored.
+an empty table gives no rows; extra columns are ignored, and kept by dedup_documents
+whatever their names.
 """
 
 from __future__ import annotations
@@ -47,8 +53,12 @@ SIGNATURE = 40  # positions; the first TREES * ROOTS name the trees' children
 SMALL = 32
 PIVOTS = 4
 DEPTH = 8
-#: Rows of a node in one task.
-SALT_ROWS = 20_000
+#: Rows of a node in one task; hot nodes that are named in an expression, more are joined.
+SALT_ROWS, HOT_LIST = 1024, 64
+#: Equal places of a signature from which a class is like the tight node's, and under which it has nothing of it:
+#: a pair at 0.8 of which one has ALIKE places and the other under FAR has a chance of 1e-8.
+ALIKE, FAR = SIGNATURE // 2, 5
+TIGHT_SHARE = 0.7
 #: Sets of a tight node that are asked about at once.
 ASKED = 1024
 
@@ -152,8 +162,8 @@ class _Rows:
         self.sig += [None] * len(a)
         self.other += np.minimum(a, b).tolist()
 
-    def rows(self, kind: int, node: list, depth: int, rep: np.ndarray, n: np.ndarray, sig: np.ndarray) -> None:
-        self.kind += [kind] * len(rep)
+    def children(self, node: list, depth: int, rep: np.ndarray, n: np.ndarray, sig: np.ndarray) -> None:
+        self.kind += [CHILD] * len(rep)
         self.node += node
         self.depth += [depth] * len(rep)
         self.rep += rep.tolist()
@@ -161,20 +171,47 @@ class _Rows:
         self.sig += [s.tobytes() for s in sig]
         self.other += [None] * len(rep)
 
+    def tight(self, node: int, rep: np.ndarray, other: list) -> None:
+        """Members of a tight node, each with the pivot it may be linked with, or none."""
+        self.kind += [TIGHT] * len(rep)
+        self.node += [node] * len(rep)
+        self.depth += [None] * len(rep)
+        self.rep += rep.tolist()
+        self.n += [None] * len(rep)
+        self.sig += [None] * len(rep)
+        self.other += other
+
     def batch(self) -> pa.RecordBatch:
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(getattr(self, c), k) for c, k in zip(("kind", "node", "depth", "rep", "n", "sig", "other"), kinds, strict=True)], ["kind", "node", "depth", "rep", "n", "sig", "other"])
 
 
 def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-    out = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "salt", "depth", "m", "lead", "rep", "n")}
+    out = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "salt", "depth", "lead", "rep", "n")}
     raw, _ = offsets_of(b.column("sig"))
     out["sig"] = raw.view("<u2").reshape(-1, SIGNATURE) if len(raw) else np.empty((0, SIGNATURE), "<u2")
     return out
 
 
+class _Large:
+    """What is known of a large node: its pivots, and the class that a tight one is like."""
+
+    def __init__(self, c: dict, lo: int, hi: int) -> None:
+        sample = slice(lo, min(lo + SMALL, hi))
+        sig = c["sig"][sample]
+        like = (sig[:, None, :] == sig[None, :, :]).sum(axis=2) >= ALIKE
+        mid = int(like.sum(axis=1).argmax())
+        self.node, self.depth = int(c["node"][lo]), int(c["depth"][lo])
+        self.last = self.depth >= DEPTH
+        self.tight = like[mid].mean() >= TIGHT_SHARE
+        self.middle = sig[mid].copy()
+        # the middle and a few others are pivots
+        p = lo + np.unique([mid, *range(min(PIVOTS, len(sig)))])
+        self.rep, self.sig, self.n = c["rep"][p].copy(), c["sig"][p].copy(), c["n"][p].copy()
+
+
 def _walk(similarity: float):
-    """Rows sorted by (node, salt, lead, rep) to candidate pairs, children and tight nodes."""
+    """Rows sorted by (node, salt, lead, ord) to candidate pairs, children and tight nodes."""
 
     def small(out: _Rows, c: dict, lo: int, hi: int) -> None:
         rep = c["rep"][lo:hi]
@@ -182,67 +219,66 @@ def _walk(similarity: float):
         i = np.flatnonzero(ok.any(axis=1))
         if not len(i):
             return
-        best = np.argmax(ok[i] > 0, axis=1)  # the first that passes: the smallest id
+        best = np.argmax(ok[i] > 0, axis=1)  # the first that passes
         out.pairs(PAIR, rep[i], rep[best])
         ok[i, best] = 0
         a, b = np.nonzero(ok)
         out.pairs(MORE_PAIRS, rep[a], rep[b])
 
-    def large(out: _Rows, c: dict, lo: int, hi: int, state: dict) -> None:
-        if not state:
-            p = slice(lo, min(lo + PIVOTS, hi))
-            like = (c["sig"][lo : min(lo + SMALL, hi)] == c["sig"][lo]).mean(axis=1) >= 0.5
-            state |= {"rep": c["rep"][p].copy(), "sig": c["sig"][p].copy(), "n": c["n"][p].copy(), "tight": like.mean() >= 0.7 or c["depth"][lo] >= DEPTH, "node": int(c["node"][lo])}
+    def large(out: _Rows, c: dict, lo: int, hi: int, of: _Large) -> None:
         own = np.flatnonzero(c["lead"][lo:hi] == 1) + lo
         rep, n, sig = c["rep"][own], c["n"][own], c["sig"][own]
-        ok = _passing(sig, n, state["sig"], state["n"], similarity)
-        ok[rep[:, None] <= state["rep"][None, :]] = 0
-        i = np.flatnonzero(ok.any(axis=1))
-        if len(i):
-            out.pairs(PAIR, rep[i], state["rep"][np.argmax(ok[i] > 0, axis=1)])
-        depth = int(c["depth"][lo])
-        if state["tight"]:
-            out.rows(TIGHT, [state["node"]] * len(rep), depth, rep, n, sig)
-            return
+        ok = _passing(sig, n, of.sig, of.n, similarity)
+        ok[rep[:, None] == of.rep[None, :]] = 0
+        partner = np.where(ok.any(axis=1), of.rep[np.argmax(ok > 0, axis=1)], -1)
+        stays, goes = np.full(len(own), of.last), np.full(len(own), not of.last)
+        if of.tight and not of.last:
+            same = (sig == of.middle[None, :]).sum(axis=1)
+            stays, goes = same >= FAR, same < ALIKE
+        out.tight(of.node, rep[stays], [x if x >= 0 else None for x in partner[stays].tolist()])
+        i = ~stays & (partner >= 0)
+        out.pairs(PAIR, rep[i], partner[i])
+        rep, n, sig = rep[goes], n[goes], sig[goes]
         with np.errstate(over="ignore"):
-            for j in range(ROOTS):
-                seed = mix64(np.array([state["node"]], np.int64).view(np.uint64) + np.uint64(j + 1))[0]
+            for j in range(ROOTS if len(rep) else 0):
+                seed = mix64(np.array([of.node], np.int64).view(np.uint64) + np.uint64(j + 1))[0]
                 spot = TREES * ROOTS + int(seed % np.uint64(SIGNATURE - TREES * ROOTS))
                 child = mix64(seed + sig[:, spot].astype(np.uint64) * _PLACE[j])
-                out.rows(CHILD, child.view(np.int64).tolist(), depth + 1, rep, n, sig)
+                out.children(child.view(np.int64).tolist(), of.depth + 1, rep, n, sig)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
-        key, state = None, {}
+        at, of = None, None  # the large node that goes on, if one does
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                c = _columns(b.slice(at, 4096))
+            for lo in range(0, b.num_rows, 4096):
+                c = _columns(b.slice(lo, 4096))
                 if held is not None:
                     c = {k: np.concatenate([held[k], c[k]]) for k in c}
                     held = None
                 size = len(c["node"])
-                new = np.flatnonzero((c["node"][1:] != c["node"][:-1]) | (c["salt"][1:] != c["salt"][:-1])) + 1
-                out, bounds = _Rows(), [0, *new.tolist(), size]
-                for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-                    here = (int(c["node"][lo]), int(c["salt"][lo]))
-                    if c["m"][lo] > SMALL:
-                        if here != key:
-                            key, state = here, {}
-                        if hi == size and not state and hi - lo < SMALL:
-                            held = {k: v[lo:] for k, v in c.items()}  # enough rows to judge by
-                        else:
-                            large(out, c, lo, hi, state)
-                    elif hi == size:
-                        held = {k: v[lo:] for k, v in c.items()}
+                edges = np.flatnonzero((c["node"][1:] != c["node"][:-1]) | (c["salt"][1:] != c["salt"][:-1])) + 1
+                first, last = np.concatenate([[0], edges]), np.concatenate([edges, [size]])
+                # a row that is alone in its node meets nothing; the first group may go on, the last may come to more
+                more = (last - first > 1) | (c["salt"][first] >= 0)
+                more[0] = more[-1] = True
+                out = _Rows()
+                for a, z in zip(first[more].tolist(), last[more].tolist(), strict=True):
+                    here = (int(c["node"][a]), int(c["salt"][a]))
+                    if here == at:
+                        large(out, c, a, z, of)
+                    elif z - a > SMALL or (z < size and here[1] >= 0):
+                        at, of = here, _Large(c, a, z)
+                        large(out, c, a, z, of)
+                    elif z == size:
+                        held = {k: v[a:] for k, v in c.items()}
                     else:
-                        small(out, c, lo, hi)
+                        small(out, c, a, z)
                 if out.kind:
                     yield out.batch()
         if held is not None:
-            out = _Rows()
-            size = len(held["node"])
-            if held["m"][0] > SMALL:
-                large(out, held, 0, size, {})
+            out, size = _Rows(), len(held["node"])
+            if held["salt"][0] >= 0:
+                large(out, held, 0, size, _Large(held, 0, size))
             else:
                 small(out, held, 0, size)
             if out.kind:
@@ -252,17 +288,30 @@ def _walk(similarity: float):
 
 
 def _level(rows: DataFrame, similarity: float) -> DataFrame:
-    """One level of all trees: candidate pairs, and the rows of the next."""
-    sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    rows = rows.join(sizes, "node").withColumn("salts", F.ceil(F.col("m") / SALT_ROWS).cast("int"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int")).withColumn("lead", F.lit(1))
-    first = W.partitionBy("node").orderBy("rep")
-    pivots = rows.filter("salts > 1").withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= SMALL).drop("rn")
-    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("lead", F.lit(0))
-    cols = ["node", "salt", "depth", "m", "lead", "rep", "n", "sig"]
-    rows = rows.select(cols).unionByName(pivots.select(cols))
-    dealt = rows.repartition(F.col("node"), F.col("salt")).sortWithinPartitions("node", "salt", "lead", "rep")
-    return dealt.mapInArrow(_walk(similarity), _OUT)
+    """One level of all trees: candidate pairs, and the rows of the next.
+
+    salt is -1 in nodes that are not spread."""
+    hot = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts")).filter("salts > 1")
+    hot = staged(hot.select(F.col("node").alias("_node"), "salts"))  # a row for SALT_ROWS rows at most
+    cols = ["node", "salt", "depth", "lead", "ord", "rep", "n", "sig"]
+    rows = rows.withColumn("lead", F.lit(1)).withColumn("ord", F.xxhash64("rep", F.lit("order")))
+    if n_hot := hot.count():
+        if n_hot <= HOT_LIST:
+            salts = F.lit(None).cast("int")
+            for r in hot.collect():
+                salts = F.when(F.col("node") == r["_node"], r["salts"]).otherwise(salts)
+            rows = rows.withColumn("salts", salts)
+        else:
+            rows = rows.join(maybe_broadcast(hot, 16, n_hot), F.col("node") == F.col("_node"), "left")
+        first = W.partitionBy("node").orderBy("ord", "rep")
+        sample = rows.filter("salts > 1").withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= SMALL).drop("rn")
+        sample = sample.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("lead", F.lit(0))
+        rows = rows.withColumn("salt", F.coalesce(F.pmod(F.col("ord"), F.col("salts")), F.lit(-1)).cast("int"))
+        rows = rows.select(cols).unionByName(sample.select(cols))
+    else:
+        rows = rows.withColumn("salt", F.lit(-1)).select(cols)
+    dealt = rows.repartition(F.col("node"), F.col("salt")).sortWithinPartitions("node", "salt", "lead", "ord", "rep")
+    return dealt.drop("ord").mapInArrow(_walk(similarity), _OUT)
 
 
 # ----------------------------------------------------------------- confirming
@@ -270,8 +319,8 @@ def _level(rows: DataFrame, similarity: float) -> DataFrame:
 
 def full_sets(docs: DataFrame, reps: DataFrame, need: DataFrame, k: int) -> DataFrame:
     """rep, set (binary, sorted 64-bit) of the classes in need (rep, distinct)."""
-    need = staged(need.join(reps.select("rep", "d1", "d2"), "rep"))
-    text = docs.select("doc_id", "text").join(maybe_broadcast(need, 48), F.col("doc_id") == F.col("rep"))
+    need = staged(need.join(reps.select("rep", "low", "d1", "d2"), "rep"))
+    text = docs.select("doc_id", "text").join(maybe_broadcast(need, 64), F.col("doc_id") == F.col("low"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
@@ -348,22 +397,28 @@ def _leftovers(docs: DataFrame, reps: DataFrame, tight: DataFrame, roots: DataFr
     """Links (a, b) within tight nodes between classes outside the main component of their node
     and all that are not in their own, by full sets.
 
-    The classes asked about come in blocks, as an inverted list; the others of the node stream
-    past each block, which counts their common shingles with all its sets at once. Of the
-    links, only those between parts not yet connected in the block are given."""
+    Tight nodes with one main component have much the same members, as one group of copies makes
+    several; so all its members in tight nodes are compared at once, with the classes outside
+    it in any of those nodes. The classes asked about come in blocks, as an inverted list; the
+    others stream past each block, which counts their common shingles with all its sets at
+    once. Of the links, only those between parts not yet connected in the block are given."""
     r = roots.select(F.col("node").alias("_n"), "root")
     t = tight.join(r, F.col("rep") == F.col("_n"), "left").withColumn("root", F.coalesce("root", "rep")).drop("_n")
     t = staged(t.select("node", "rep", "root"))
-    counts = t.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("node").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("most"))
-    salts = F.ceil(F.col("m") / SALT_ROWS).cast("int")
-    main = staged(main.filter("m > most").select("node", "main", salts.alias("salts"), F.ceil((F.col("m") - F.col("most")) / ASKED).cast("int").alias("blocks")))
-    t = t.join(main, "node")
-    t = t.join(full_sets(docs, reps, t.select("rep").distinct(), k), "rep")
-    ask = t.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("role", F.lit(0)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    rest = t.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1)).withColumn("salt", F.pmod(F.xxhash64("rep"), "salts").cast("int"))
-    cols = ["node", "block", "salt", "role", "rep", "root", "set"]
-    dealt = ask.select(cols).unionByName(rest.select(cols)).repartition(F.col("node"), F.col("block"), F.col("salt")).sortWithinPartitions("node", "block", "salt", "role", "rep")
+    counts = staged(t.groupBy("node", "root").agg(F.count(F.lit(1)).alias("c")))
+    main = counts.groupBy(F.col("node").alias("_m")).agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    outside = counts.join(main, F.col("node") == F.col("_m")).filter("root <> main").select(F.col("node").alias("_m"), F.col("root").alias("_r"), "main")
+    ask = staged(t.join(outside, (F.col("node") == F.col("_m")) & (F.col("root") == F.col("_r"))).select("main", "rep", "root").distinct())
+    sizes = ask.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("blocks"))
+    inside = t.select("root", "rep").distinct().join(sizes.select(F.col("main").alias("_main")), F.col("root") == F.col("_main"), "left_semi")
+    rest = staged(inside.select(F.col("root").alias("main"), "rep", "root").unionByName(ask))
+    sizes = staged(rest.groupBy(F.col("main").alias("_main")).agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts")).join(sizes, F.col("_main") == F.col("main")).drop("main"))
+    rest = rest.join(sizes, F.col("main") == F.col("_main")).drop("_main")
+    rest = rest.join(full_sets(docs, reps, rest.select("rep").distinct(), k), "rep")
+    ask = rest.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("role", F.lit(0)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("role", F.lit(1)).withColumn("salt", F.pmod(F.xxhash64("rep"), "salts").cast("int"))
+    cols = ["main", "block", "salt", "role", "rep", "root", "set"]
+    dealt = ask.select(cols).unionByName(rest.select(cols)).repartition(F.col("main"), F.col("block"), F.col("salt")).sortWithinPartitions("main", "block", "salt", "role", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, asked, parent = None, [], None, {}
@@ -406,19 +461,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     similarity = percent / 100
     marks = staged(signatures(docs, k))
     full = marks.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = full.groupBy("d1", "d2").agg(F.min("doc_id").cast("long").alias("rep"), F.any_value("n").alias("n"), F.any_value("roots").alias("roots"), F.any_value("sig").alias("sig"))
-    reps = staged(reps)
-    # one doc_id may hold two texts: its classes are linked through it
-    twice = full.select("doc_id", "d1", "d2").distinct().join(reps.select("d1", "d2", "rep"), ["d1", "d2"]).filter("doc_id <> rep")
-    own = twice.join(full.select("doc_id").groupBy("doc_id").count().filter("count > 1").drop("count"), "doc_id").select(F.col("doc_id").cast("long").alias("a"), F.col("rep").alias("b"))
+    reps = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.any_value("n").alias("n"), F.any_value("roots").alias("roots"), F.any_value("sig").alias("sig"))
+    reps = staged(reps.withColumn("rep", F.monotonically_increasing_id()))
+    # one doc_id may hold several texts: their classes are linked through it
+    texts = full.groupBy("doc_id").agg(F.count_distinct("d1", "d2").alias("m")).filter("m > 1").drop("m")
+    own = full.join(texts, "doc_id", "left_semi").select("doc_id", "d1", "d2").distinct().join(reps.select("d1", "d2", "rep"), ["d1", "d2"])
+    own = staged(own.select("doc_id", "rep"))
+    own = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
 
     roots = reps.select("rep", "n", "sig", F.posexplode("roots").alias("i", "v"))
     rows = roots.select(F.xxhash64(F.lit("tree"), "i", "v").alias("node"), F.lit(1).alias("depth"), "rep", "n", "sig")
     found, tight = [], []
     while True:
         out = staged(_level(rows, similarity))
-        found.append(out.filter(F.col("kind") <= MORE_PAIRS).select("kind", F.col("rep").alias("a"), F.col("other").alias("b")))
-        tight.append(out.filter(F.col("kind") == TIGHT).select("node", "rep", "n", "sig"))
+        found.append(out.filter("other IS NOT NULL").select(F.when(F.col("kind") == MORE_PAIRS, MORE_PAIRS).otherwise(PAIR).alias("kind"), F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")))
+        tight.append(out.filter(F.col("kind") == TIGHT).select("node", "rep"))
         rows = out.filter(F.col("kind") == CHILD).select("node", "depth", "rep", "n", "sig")
         if rows.isEmpty():
             break
@@ -426,28 +483,46 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     for f in found[1:]:
         pairs = pairs.unionByName(f)
     pairs = staged(pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")))
-    links = staged(confirmed(docs, reps, pairs.filter(F.col("kind") == PAIR).select("a", "b"), k, percent).unionByName(own.distinct()))
+    links = staged(confirmed(docs, reps, pairs.filter(F.col("kind") == PAIR).select("a", "b"), k, percent).unionByName(own))
     tied = staged(components(links))
     rest = _between(pairs.filter(F.col("kind") == MORE_PAIRS).select("a", "b"), tied)
     for t in tight[1:]:
         tight[0] = tight[0].unionByName(t)
     links = links.unionByName(_leftovers(docs, reps, tight[0], tied, k, percent)).unionByName(confirmed(docs, reps, rest.distinct(), k, percent))
-    tied = components(links)
-    classes = reps.select("d1", "d2", "rep").join(tied.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("root", "rep").alias("root"))
+    tied = staged(components(links))
+    least = staged(tied.join(reps.select("rep", "low"), F.col("node") == F.col("rep")).groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("least")))
+    tied = tied.join(maybe_broadcast(least, 32), F.col("root") == F.col("_root")).select(F.col("node").alias("rep"), "least")
+    classes = reps.select("d1", "d2", "rep", "low").join(tied, "rep", "left").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("least", "low").alias("root"))
     here = marks.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2", F.when(F.col("n") > 0, F.col("doc_id")).isNotNull().alias("has"))
     out = here.join(classes, F.col("has") & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", F.col("doc_id").cast("long")))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def dedup_documents(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+def dedup_documents(docs: DataFrame, k: int = 5, percent: int = 80, as_read: DataFrame | None = None) -> DataFrame:
     """docs less all but one document of each component (the smallest doc_id; of several
     rows with that doc_id, the one whose text hashes lowest, and one only of equal rows).
-    Rows without a doc_id all stay."""
-    gone = near_duplicates(docs, k, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    Rows without a doc_id all stay.
+
+    as_read: the documents (doc_id, text) before an earlier step cut their texts. What is
+    left of two copies may share nothing any more; so of the rows that stay, those whose
+    documents as they were read are of one component are a group as well, and the
+    smallest doc_id of it stays. Rows without a counterpart there are not touched by this."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
+    gone = staged(near_duplicates(docs, k, percent).filter("NOT kept").select("doc_id").distinct())
+    if as_read is not None:
+        stays = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().join(gone, "doc_id", "left_anti")
+        before = as_read.select("doc_id", "text").join(docs.select("doc_id"), "doc_id", "left_semi")
+        of = near_duplicates(before, k, percent).filter("n_shingles > 0").select("doc_id", "component_id").distinct().join(stays, "doc_id", "left_semi")
+        of = staged(of)
+        one = of.groupBy("component_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+        many = of.join(one.select("component_id"), "component_id", "left_semi").join(one.select("doc_id"), "doc_id", "left_anti")
+        gone = gone.unionByName(many.select("doc_id"))
+    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
+    left = rows.join(gone, F.col("id") == F.col("_gone"), "left_anti")
     # ids are counted first, so rows with an id of their own are not sorted
-    many = staged(left.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("_m"), F.min(F.xxhash64("text")).alias("_th")).filter("_m > 1").drop("_m"))
-    single = left.join(many, F.col("doc_id") == F.col("_id"), "left_anti")
-    least = left.join(many, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_th"))).drop("_id", "_th")
-    return single.unionByName(least.dropDuplicates(["doc_id"]))
+    twice = staged(left.filter("id IS NOT NULL").groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("m"), F.min("th").alias("_th")).filter("m > 1").drop("m"))
+    single = left.join(twice, F.col("id") == F.col("_id"), "left_anti").select("row.*")
+    least = left.join(twice, (F.col("id") == F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))).dropDuplicates(["id"]).select("row.*")
+    return single.unionByName(least)

@@ -19,14 +19,21 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
-    return line_dedup(_docs(spark, sf_dir)).select("row.doc_id", "text", "n_lines", "n_deleted", "n_runs")
+    return line_dedup(_docs(spark, sf_dir), tails=True).select("row.doc_id", "text", "n_lines", "n_deleted", "n_runs")
+
+
+#: The shards of op4_sharding; a key with over one row in HOT_SHARE is spread by the text.
+SHARDS = [f"shard-{i:03d}" for i in range(128)]
+HOT_SHARE = 1024
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sharding import place
+    """Whole documents, each with its slot and shard by doc_id."""
+    from .sharding import hot_keys, place
 
-    docs = _docs(spark, sf_dir).select("doc_id", "source", "n_chars")
-    return place(docs, ["doc_id"], [f"shard-{i:03d}" for i in range(128)])
+    docs = _docs(spark, sf_dir)
+    hot = hot_keys(docs, ["doc_id"], 1 / HOT_SHARE, docs.count())
+    return place(docs, ["doc_id"], SHARDS, hot=hot, spread_by=["text"])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,15 +111,15 @@ q AS (SELECT p.doc_id, p.source, p.size, n, base, (16 * ((z // 16 * r + o) // n)
   FROM p JOIN c5 ON p.source IS NOT DISTINCT FROM c5.source AND p.shard = c5.shard)
 SELECT doc_id, size, source_size, target, coalesce(base * size + extra, 0)::BIGINT AS taken FROM q JOIN s6 ON q.source IS NOT DISTINCT FROM s6.source"""
 
-#: For each line the shortest run from it with five words; every run but its first is cut.
+#: For each line the shortest runs from it and up to it with five words; every run but its first is cut.
+#: Any run with five words is the union of such runs in it, so all lines of maximal repeated runs go.
 _LINES = rf"""
 WITH n AS (SELECT doc_id, i AS line, l[i] AS t, len(regexp_extract_all(l[i], '{_WORD}')) AS w FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS i FROM n WHERE w > 0),
-g AS (SELECT doc_id, i, CASE WHEN w >= 5 THEN [t] WHEN sum(w) OVER a1 >= 5 THEN [t, lead(t, 1) OVER o] WHEN sum(w) OVER a2 >= 5 THEN [t, lead(t, 1) OVER o, lead(t, 2) OVER o]
-  WHEN sum(w) OVER a3 >= 5 THEN [t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o] WHEN sum(w) OVER a4 >= 5 THEN [t, lead(t, 1) OVER o, lead(t, 2) OVER o, lead(t, 3) OVER o, lead(t, 4) OVER o] END AS run
-  FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY i), a1 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 1 FOLLOWING), a2 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING),
-  a3 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING), a4 AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING)),
-h AS (SELECT doc_id, i, len(run) AS k, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM g WHERE run IS NOT NULL),
+b AS (SELECT doc_id, list(t ORDER BY i) AS ts, list(w ORDER BY i) AS ws FROM f GROUP BY 1),
+s AS (SELECT f.doc_id, f.i, k, sum(g.w) AS whole, sum(g.w) FILTER (g.i < f.i + k - 1) AS but_last, sum(g.w) FILTER (g.i > f.i) AS but_first
+  FROM f, (SELECT unnest([1, 2, 3, 4, 5]) AS k) JOIN f g ON g.doc_id = f.doc_id AND g.i BETWEEN f.i AND f.i + k - 1 GROUP BY 1, 2, 3 HAVING count(*) = k),
+h AS (SELECT s.doc_id, i, k, row_number() OVER (PARTITION BY ts[i:i + k - 1] ORDER BY s.doc_id, i) AS nth FROM s JOIN b ON b.doc_id = s.doc_id WHERE whole >= 5 AND (coalesce(but_last, 0) < 5 OR coalesce(but_first, 0) < 5)),
 x AS (SELECT DISTINCT doc_id, unnest(range(i, i + k)) AS i FROM h WHERE nth > 1),
 y AS (SELECT doc_id, count(*) AS n_deleted, count(*) FILTER (first) AS n_runs FROM (SELECT doc_id, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i) < i - 1, true) AS first FROM x) GROUP BY 1),
 z AS (SELECT n.doc_id, string_agg(n.t, chr(10) ORDER BY n.line) FILTER (x.i IS NULL) AS text, count(f.i) AS n_lines FROM n LEFT JOIN f USING (doc_id, line) LEFT JOIN x ON x.doc_id = n.doc_id AND x.i = f.i GROUP BY 1)
@@ -129,4 +136,18 @@ u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r AS (SELECT doc_id AS id, doc_id AS c FROM documents UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.id)
 SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(c) AS component_id, min(c) = d.doc_id AS kept FROM documents d JOIN r ON r.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id"""
 
-ORACLES: dict[str, str] = {"op1_mixing": _MIXING, "op5_line_dedup": _LINES, "op8_near_dup": _NEAR}
+
+
+def _sharding() -> str:
+    """The table is computed here by its rule and enters the SQL as a list; hashing, hot keys and look-up are SQL."""
+    from .sharding import TABLE_SIZE, fill
+
+    slot = f"('0x' || substr(md5(coalesce({{}}::VARCHAR, chr(0))), 1, 15))::BIGINT % {{}}"
+    return f"""
+WITH k AS (SELECT *, {slot.format("doc_id", TABLE_SIZE)} AS s, {slot.format("text", 16)} AS part, count(*) OVER (PARTITION BY doc_id) * {HOT_SHARE} > count(*) OVER () AS hot FROM documents),
+p AS (SELECT * EXCLUDE (s, part, hot), (CASE WHEN hot THEN (s + part * {TABLE_SIZE // 16}) % {TABLE_SIZE} ELSE s END)::INT AS slot FROM k),
+t AS (SELECT {fill(SHARDS)}::INT[] AS shards)
+SELECT p.*, t.shards[slot + 1] AS shard FROM p, t"""
+
+
+ORACLES: dict[str, str] = {"op4_sharding": _sharding(), "op1_mixing": _MIXING, "op5_line_dedup": _LINES, "op8_near_dup": _NEAR}

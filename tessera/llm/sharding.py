@@ -8,10 +8,10 @@ A row's key is hashed to a slot, and the table, broadcast, gives its shard: m ro
 a fixed bound that does not grow with the data. No shuffle is needed to place rows.
 
 Edge cases: null keys hash like any other value, so null doc_ids share one slot;
-equal keys always get one shard, wherever they lie; a hot key can be spread over
-`spread` neighbouring shards by a second key; an empty table gives no rows; other
-columns stay as they are; fewer than one shard, or a size that is not a prime
-above the number of shards, is an error.
+equal keys get one shard, wherever they lie, but for a hot key, whose rows are spread
+over `spread` slots by a second key; an empty table gives no rows; other columns stay as
+they are, whatever their names (but for slot and shard, which are replaced); fewer than
+one shard, or a size that is not a prime above the number of shards, is an error.
 """
 
 from __future__ import annotations
@@ -65,20 +65,23 @@ def slot_of(*cols: str, size: int = TABLE_SIZE) -> Column:
 def place(df: DataFrame, key: list[str], shards: list[str], size: int = TABLE_SIZE, hot: DataFrame | None = None, spread_by: list[str] | None = None, spread: int = 16) -> DataFrame:
     """df with slot and shard (a column of either name is replaced).
 
-    hot: keys (columns named as in `key`) too frequent for one shard; their rows go
-    over `spread` slots chosen by the columns spread_by."""
-    rows = df.drop("slot", "shard").withColumn("slot", slot_of(*key, size=size))
+    hot: keys (columns named as in `key`) too frequent for one shard, from hot_keys; their rows
+    go over `spread` slots chosen by the columns spread_by. There are fewer than 1 / share of
+    them: they are broadcast, and no row moves."""
+    own = df.drop("slot", "shard").columns
+    row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("row")
+    rows = df.select(row, slot_of(*[f"`{k}`" for k in key], size=size).alias("slot"), *[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(key)])
     if hot is not None:
-        marks = hot.select(*[F.col(k).alias(f"_hot_{k}") for k in key]).distinct().withColumn("_hot", F.lit(True))
-        rows = rows.join(marks, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in key], "left")
-        moved = (F.col("slot") + slot_of(*(spread_by or key), size=spread) * (size // spread)) % size
-        rows = rows.withColumn("slot", F.when(F.col("_hot"), moved).otherwise(F.col("slot")).cast("int")).drop("_hot", *[f"_hot_{k}" for k in key])
-    return rows.join(F.broadcast(lookup(df.sparkSession, shards, size)), "slot")
+        marks = hot.select(*[F.col(f"`{k}`").alias(f"h{i}") for i, k in enumerate(key)], F.lit(True).alias("is_hot")).distinct()
+        rows = rows.join(F.broadcast(marks), [F.col(f"k{i}").eqNullSafe(F.col(f"h{i}")) for i in range(len(key))], "left")
+        moved = (F.col("slot") + slot_of(*[f"row.`{c}`" for c in spread_by or key], size=spread) * (size // spread)) % size
+        rows = rows.withColumn("slot", F.when(F.col("is_hot"), moved).otherwise(F.col("slot")).cast("int"))
+    return rows.select("row", "slot").join(F.broadcast(lookup(df.sparkSession, shards, size)), "slot").select("row.*", "slot", "shard")
 
 
 def hot_keys(df: DataFrame, key: list[str], share: float, rows: int) -> DataFrame:
-    """Keys with over `share` of all `rows`, counted before any row is moved."""
-    return df.groupBy(*key).count().filter(F.col("count") > share * rows).drop("count")
+    """Keys with over `share` of all `rows`, counted before any row is moved: fewer than 1 / share."""
+    return df.groupBy(*[F.col(f"`{k}`") for k in key]).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > share * rows).drop("_n")
 
 
 def moved(df: DataFrame, key: list[str], before: list[str], after: list[str], size: int = TABLE_SIZE) -> DataFrame:

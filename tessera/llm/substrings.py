@@ -1,20 +1,22 @@
-"""Substring dedup by content-defined places of a gear rolling hash.
+"""Substring dedup by content-defined chunking with a gear rolling hash.
 
 The gear hash of each 32 bytes is taken at every place of a text; of each 64 places in a
-row, the one with the least hash is chosen. What is chosen inside a repeated passage is the
-same wherever it stands, so two copies of any 95 bytes share a chosen window. Of the windows
-with one digest the first in order of (doc_id, text, place) stays; later ones are joined
-to runs, and a run is compared byte by byte with the first copy, 64 bytes beyond it on
-both sides: a passage ends within 63 bytes of its last chosen window. Stretches of equal
-bytes that meet are one; cut back to whole words, those of `min_bytes` or more are deleted.
-
-Digests are counted before any window meets another, so a window that stands in a
+row, the one with the least hash is a cut. A chunk goes from the 32 bytes of one cut to the end
+of the 32 bytes of the next, 33 to 96 bytes: what is cut inside a repeated passage is the
+same wherever it stands, an insertion moves only the cuts near it, and two copies of any 159
+bytes share a chunk. Of the chunks with one digest the first in order of (doc_id, text,
+place) stays; later ones are joined to runs, and a run is compared byte by byte with the
+first copy, 96 bytes beyond it on both sides, as the next cuts are no further. Stretches
+of equal bytes that meet are one; cut back to whole words, those of `min_words` words, or of
+`min_bytes` bytes where words are long or not spaced, are deleted.
+
+Digests are counted before any chunk meets another, so a chunk that stands in a
 third of all documents is one row of the join's small side, and no pairs are made.
 
-`repeated_spans` gives the runs of whole content-defined chunks instead: there the
+`repeated_spans` gives the runs of whole chunks that join up end to end instead: there the
 cuts come from the upper bits of the same hash (never inside a character).
 
-Edge cases: null and empty texts have no windows; null doc_ids come first in order;
+Edge cases: null and empty texts have no chunks; null doc_ids come first in order;
 rows equal in doc_id and text are one document; a text may become empty; repeats
 within one text count as well; other columns are ignored.
 """
@@ -30,13 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import GEAR, SPACES, blocks, bound_batches, hash_spans, offsets_of, staged, text_key
+from .common import GEAR, SPACES, blocks, bound_batches, hash_spans, maybe_broadcast, mix64, offsets_of, spans_of, staged, text_key, unstage
 
 #: Chunks of 32 to 128 bytes, 48 in the mean. 32 bytes is the hash's window: no cut
 #: depends on bytes of another text.
 LEAST, MASK_BITS, MOST = 32, 4, 128
-#: Bytes of a window, and places of which one is chosen.
+#: Bytes of a window, and places of which one is a cut.
 WINDOW, REACH = 32, 64
+#: Bytes of a block of texts, and the multiplier of its prefix sums with its inverse.
+BLOCK = 2 << 20
+_STEP = 0x9E3779B97F4A7C15
+_BACK = pow(_STEP, -1, 1 << 64)
+_UNEQUAL = np.array([True] + [False] * 255)
+_VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
 def cut_texts(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, mask_bits: int = MASK_BITS, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -101,7 +109,7 @@ def repeated_spans(docs: DataFrame, min_bytes: int = 140) -> DataFrame:
 
 
 def windows_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the chosen windows, in order; positions in data."""
+    """Starts of the windows that are cuts, in order; positions in data."""
     h = GEAR[data]
     for w in (1, 2, 4, 8, 16):
         h[w:] += h[:-w] << np.uint32(w)
@@ -116,47 +124,76 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return best[np.concatenate([[True], best[1:] != best[:-1]])] - (WINDOW - 1) if len(best) else best
 
 
-def windows(docs: DataFrame) -> DataFrame:
-    """doc_id, th, start (bytes), d (digest) of the chosen windows."""
-    rows = docs.filter(F.octet_length("text") >= WINDOW + REACH - 1).select("doc_id", text_key().alias("th"), "text")
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """1, base, base ** 2, ... modulo 2 ** 64; kept by the worker."""
+    if len(_POWERS.get(base, ())) < n:
+        _POWERS[base] = np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(max(n, BLOCK) - 1, base, np.uint64)]))
+    return _POWERS[base][:n]
+
+
+def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each span, from sums over all bytes before it: spans may overlap."""
+    with np.errstate(over="ignore"):
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(_VALUES[data] * _powers(_STEP, len(data)))])
+        h = (sums[ends] - sums[starts]) * _powers(_BACK, len(data))[starts]
+        return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
+
+
+def cut_chunks(docs: DataFrame) -> DataFrame:
+    """doc_id, th, start, size (bytes), d (digest) of the chunks between neighbouring cuts."""
+    rows = docs.filter(F.octet_length("text") >= WINDOW + REACH).select("doc_id", text_key().alias("th"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text", 2 << 20):
+        for b in blocks(batches, "text", BLOCK):
             data, offsets = offsets_of(b.column("text"))
-            starts = windows_of(data, offsets)
-            doc = np.searchsorted(offsets, starts, side="right") - 1
-            d = hash_spans(data, starts, starts + WINDOW).view(np.int64)
+            cuts = windows_of(data, offsets)
+            doc = np.searchsorted(offsets, cuts, side="right") - 1
+            own = np.flatnonzero(doc[1:] == doc[:-1])
+            starts, ends, doc = cuts[own], cuts[own + 1] + WINDOW, doc[own]
             place = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(place), b.column("th").take(place), pa.array((starts - offsets[doc]).astype(np.int32)), pa.array(d)], ["doc_id", "th", "start", "d"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(place), b.column("th").take(place), pa.array((starts - offsets[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(span_digests(data, starts, ends).view(np.int64))], ["doc_id", "th", "start", "size", "d"])
 
-    return bound_batches(rows).mapInArrow(run, f"doc_id {kind}, th long, start int, d long")
+    return bound_batches(rows).mapInArrow(run, f"doc_id {kind}, th long, start int, size int, d long")
 
 
 def later_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, th, start, first_doc, first_th, a, z: runs of later windows on one diagonal.
+    """doc_id, th, start, first_doc, first_th, a, z: runs of later chunks on one diagonal.
 
-    first_doc has the first copy; a to z are its bytes, and 64 more on both sides; start
+    first_doc has the first copy; a to z are its bytes, and more on both sides; start
     is the place of its byte a in the later text (below 0: before it)."""
-    twice = staged(windows(docs).groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    met = staged(windows(docs).join(twice, "d"))
+    cut = staged(cut_chunks(docs))
+    again = not docs.groupBy("doc_id", text_key().alias("th")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+    twice = cut.groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d")
+    met = staged(cut.join(twice, "d"))
+    unstage(cut)
     place = F.struct("doc_id", "th", "start")
     first = met.groupBy("d").agg(F.min(place).alias("first"))
     later = met.join(first, "d").filter(~place.eqNullSafe(F.col("first")))
-    later = later.select("doc_id", "th", "start", F.col("first.doc_id").alias("first_doc"), F.col("first.th").alias("first_th"), F.col("first.start").alias("at")).distinct()
+    later = later.select("doc_id", "th", "start", "size", F.col("first.doc_id").alias("first_doc"), F.col("first.th").alias("first_th"), F.col("first.start").alias("at"))
+    later = later.distinct() if again else later
     own = W.partitionBy("doc_id", "th").orderBy("start")
     before = lambda c: F.lag(c).over(own)
-    near = (F.col("start") - before("start") <= REACH) & (F.col("start") - before("start") == F.col("at") - before("at"))
+    near = (F.col("start") - before("start") <= 2 * REACH) & (F.col("start") - before("start") == F.col("at") - before("at"))
     same = before("first_doc").eqNullSafe(F.col("first_doc")) & (before("first_th") == F.col("first_th")) & near
     later = later.withColumn("run", F.sum(F.when(F.coalesce(same, F.lit(False)), 0).otherwise(1)).over(own))
-    runs = later.groupBy("doc_id", "th", "run").agg(F.min("start").alias("start"), F.first("first_doc").alias("first_doc"), F.first("first_th").alias("first_th"), F.min("at").alias("at"), F.max("at").alias("last"))
-    a = F.greatest(F.col("at") - REACH, F.lit(0))
-    return runs.select("doc_id", "th", (F.col("start") - F.col("at") + a).alias("start"), "first_doc", "first_th", a.alias("a"), (F.col("last") + WINDOW + REACH).alias("z"))
+    runs = later.groupBy("doc_id", "th", "run").agg(F.min("start").alias("start"), F.first("first_doc").alias("first_doc"), F.first("first_th").alias("first_th"), F.min("at").alias("at"), F.max(F.col("at") + F.col("size")).alias("last"))
+    beyond = WINDOW + REACH
+    a = F.greatest(F.col("at") - beyond, F.lit(0))
+    out = staged(runs.select("doc_id", "th", (F.col("start") - F.col("at") + a).alias("start"), "first_doc", "first_th", a.alias("a"), (F.col("last") + beyond).alias("z")))
+    unstage(met)
+    return out
 
 
 def _first_bytes(docs: DataFrame, runs: DataFrame) -> DataFrame:
     """f, ft, fa, fz, raw: the bytes of first copies that the runs name, each once."""
     need = runs.select("first_doc", "first_th", "a", "z").distinct().groupBy(F.col("first_doc").alias("f"), F.col("first_th").alias("ft")).agg(F.collect_list(F.struct("a", "z")).alias("parts"))
+    need = staged(need)
+    n, parts = need.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("parts")), F.lit(0))).first()
+    need = maybe_broadcast(need, 32, 2 * n + parts)
     rows = docs.select("doc_id", text_key().alias("th"), "text").join(need, F.col("doc_id").eqNullSafe(F.col("f")) & (F.col("th") == F.col("ft")))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -176,13 +213,19 @@ def _first_bytes(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return bound_batches(rows.select("f", "ft", "parts", "text")).mapInArrow(run, f"f {kind}, ft long, fa int, fz int, raw binary").dropDuplicates(["f", "ft", "fa", "fz"])
 
 
-def equal_stretches(own: np.ndarray, start: int, first: np.ndarray) -> list[tuple[int, int]]:
-    """Maximal stretches of a window or more where own from start on equals first."""
-    skip = max(0, -start)
-    first = first[skip:]
-    here = own[start + skip : start + skip + len(first)]
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], here == first[: len(here)], [0]])))
-    return [(start + skip + a, start + skip + z) for a, z in edges.reshape(-1, 2).tolist() if z - a >= WINDOW]
+def equal_stretches(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, start, end) of the maximal stretches of a window or more where the bytes of a run's
+    text, from its start on, equal those of the first copy: bounds are the runs' in raw."""
+    n = np.diff(bounds)
+    at = np.arange(len(raw)) - np.repeat(bounds[:-1] - start, n)
+    inside = (at >= 0) & (at < np.repeat(np.diff(offsets)[doc], n))
+    place = np.where(inside, at + np.repeat(offsets[:-1][doc], n), 0)
+    same = inside & (data[place] == raw) if len(data) else inside
+    a, z, per = spans_of(same.astype(np.uint8), bounds, _UNEQUAL)
+    run = np.repeat(np.arange(len(n)), per)
+    long = z - a >= WINDOW
+    run, a, z = run[long], a[long], z[long]
+    return run, a - bounds[run] + start[run], z - bounds[run] + start[run]
 
 
 def to_words(own: np.ndarray, a: int, z: int) -> tuple[int, int]:
@@ -206,57 +249,67 @@ def to_words(own: np.ndarray, a: int, z: int) -> tuple[int, int]:
     return a, z
 
 
-def copied_spans(own: np.ndarray, runs: list[dict], min_bytes: int) -> tuple[list[tuple[int, int]], list]:
-    """(spans, first_doc_ids) of one text from its runs and their first copies' bytes."""
-    found = sorted((a, z, i) for i, r in enumerate(runs) for a, z in equal_stretches(own, r["start"], np.frombuffer(r["raw"], np.uint8)))
-    joined: list[list] = []
-    for a, z, i in found:
-        if joined and a <= joined[-1][1]:
-            joined[-1][1] = max(joined[-1][1], z)
-            joined[-1][2].add(runs[i]["first_doc"])
-        else:
-            joined.append([a, z, {runs[i]["first_doc"]}])
-    spans, ids = [], set()
-    for a, z, of in joined:
-        a, z = to_words(own, a, z)
-        if z - a >= min_bytes:
-            spans.append((a, z))
-            ids |= of
-    return spans, sorted(ids - {None})
-
-
-def substring_dedup(docs: DataFrame, min_bytes: int = 140) -> DataFrame:
+def copied_spans(data: np.ndarray, offsets: np.ndarray, doc: np.ndarray, start: np.ndarray, raw: np.ndarray, bounds: np.ndarray, min_words: int, min_bytes: int) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(text, start, end, its runs) of the copied spans of a block of texts, in order."""
+    run, a, z = equal_stretches(data, offsets, doc, start, raw, bounds)
+    base = offsets[doc[run]] + doc[run]  # a gap between texts, so that stretches of two never meet
+    order = np.argsort(base + a, kind="stable")
+    run, a, z = run[order], (base + a)[order], (base + z)[order]
+    if not len(run):
+        return
+    first = np.concatenate([[True], a[1:] > np.maximum.accumulate(z)[:-1]])
+    lo = np.flatnonzero(first)
+    hi = np.append(lo[1:], len(a))
+    end = np.maximum.reduceat(z, lo)
+    for i in np.flatnonzero(end - a[lo] >= min(2 * min_words - 1, min_bytes)).tolist():
+        of = int(doc[run[lo[i]]])
+        own = data[offsets[of] : offsets[of + 1]]
+        s, e = to_words(own, int(a[lo[i]] - offsets[of] - of), int(end[i] - offsets[of] - of))
+        if e - s >= min_bytes or (e - s >= 2 * min_words - 1 and len(spans_of(own[s:e], np.array([0, e - s]))[0]) >= min_words):
+            yield of, s, e, run[lo[i] : hi[i]]
+
+
+def substring_dedup(docs: DataFrame, min_words: int = 50, min_bytes: int = 400) -> DataFrame:
     """Documents with later copies: doc_id, n_bytes, dup_bytes, first_doc_ids (where the
     first copies stand), spans (start, end in bytes) and text without them. A
     document that is not listed has none."""
-    runs = staged(later_runs(docs))
+    runs = later_runs(docs)
     same = F.col("first_doc").eqNullSafe(F.col("f")) & (F.col("first_th") == F.col("ft")) & (F.col("a") == F.col("fa")) & (F.col("z") == F.col("fz"))
     per = runs.join(_first_bytes(docs, runs), same).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("start", "first_doc", "raw")).alias("runs"))
-    rows = docs.select("doc_id", text_key().alias("_th"), "text").join(staged(per), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
+    # texts without a run do not move, as long as the ids of the others are few
+    ids = staged(runs.select(F.col("doc_id").alias("_i"), F.col("th").alias("_h")).distinct())
+    rows = docs.select("doc_id", text_key().alias("_th"), "text").join(maybe_broadcast(ids, 32), F.col("doc_id").eqNullSafe(F.col("_i")) & (F.col("_th") == F.col("_h")), "left_semi")
+    rows = rows.join(staged(per), F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = rows.select("doc_id", "runs", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text"):
-            doc, size, gone, ids, cut, left = [], [], [], [], [], []
-            for i in range(b.num_rows):
-                raw = b.column("text")[i].as_py().encode()
-                spans, of = copied_spans(np.frombuffer(raw, np.uint8), b.column("runs")[i].as_py(), min_bytes)
-                if not spans:
-                    continue
-                at, parts = 0, []
-                for s, e in spans:
-                    parts.append(raw[at:s])
+            data, offsets = offsets_of(b.column("text"))
+            lists = b.column("runs")
+            flat = lists.flatten()
+            raw, bounds = offsets_of(flat.field("raw"))
+            owner = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+            spans: dict[int, list[tuple[int, int]]] = {}
+            of: dict[int, list[np.ndarray]] = {}
+            for d, s, e, runs in copied_spans(data, offsets, owner, flat.field("start").to_numpy(), raw, bounds, min_words, min_bytes):
+                spans.setdefault(d, []).append((s, e))
+                of.setdefault(d, []).append(runs)
+            size, gone, ids, cut, left = [], [], [], [], []
+            firsts = flat.field("first_doc")
+            for d in spans:
+                text, at, parts = data[offsets[d] : offsets[d + 1]].tobytes(), 0, []
+                for s, e in spans[d]:
+                    parts.append(text[at:s])
                     at = e
-                parts.append(raw[at:])
-                doc.append(i)
+                parts.append(text[at:])
                 left.append(b"".join(parts).decode())
-                size.append(len(raw))
-                gone.append(sum(e - s for s, e in spans))
-                ids.append(of)
-                cut.append([{"start": s, "end": e} for s, e in spans])
+                size.append(len(text))
+                gone.append(sum(e - s for s, e in spans[d]))
+                ids.append(sorted(set(firsts.take(pa.array(np.concatenate(of[d]))).to_pylist()) - {None}))
+                cut.append([{"start": s, "end": e} for s, e in spans[d]])
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             own = b.column("doc_id")
-            yield pa.RecordBatch.from_arrays([own.take(pa.array(doc, pa.int64())), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(ids, pa.list_(own.type)), pa.array(cut, span), pa.array(left, pa.string())], ["doc_id", "n_bytes", "dup_bytes", "first_doc_ids", "spans", "text"])
+            yield pa.RecordBatch.from_arrays([own.take(pa.array(list(spans), pa.int64())), pa.array(size, pa.int64()), pa.array(gone, pa.int64()), pa.array(ids, pa.list_(own.type)), pa.array(cut, span), pa.array(left, pa.string())], ["doc_id", "n_bytes", "dup_bytes", "first_doc_ids", "spans", "text"])
 
     return bound_batches(rows).mapInArrow(run, f"doc_id {kind}, n_bytes long, dup_bytes long, first_doc_ids array<{kind}>, spans array<struct<start:int,end:int>>, text string")

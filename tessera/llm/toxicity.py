@@ -15,8 +15,9 @@ chance and the number of significant segments; a logistic fit on the training
 documents turns it into a score from 0 to 1.
 
 Edge cases: null and empty texts have no segment and get the score of no evidence;
-a training table without both labels raises ValueError; rows whose label is null
-are not learnt from; labels repeated for one doc_id count once, as the larger;
+where both labels are needed and missing (no labelled rows, or of one label only), train raises
+NothingToLearn (a ValueError), and train_on gives a model that knows nothing: every text
+gets the score NO_EVIDENCE and is not toxic; rows whose label is null are not learnt from; labels repeated for one doc_id count once, as the larger;
 extra columns pass through score_documents unchanged.
 """
 
@@ -36,17 +37,25 @@ from .common import LOWER, blocks, bound_batches, hash_spans, offsets_of, spans_
 
 #: Labelled documents that are learnt from at most, lowest seeded hash first.
 TRAIN_ROWS = 30_000
-#: Tokens in the model at most, highest z-score first.
+#: Tokens in the model at most, highest z-score first: a bound of the model, which is sent to every
+#: task, as TRAIN_ROWS bounds what it learns from. Tokens beyond it score as any unknown one.
 MODEL_TOKENS = 20_000
 
 #: Bytes of the beginnings of a token that count as features beside the whole.
 STEMS = (4, 5, 6, 7, 8)
 
+#: The score where nothing was learnt.
+NO_EVIDENCE = 0.01
+
 #: A token is a run of letters: ASCII letters and every byte of a longer character.
 NOT_LETTER = np.ones(256, bool)
 NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
 
+class NothingToLearn(ValueError):
+    """The training rows do not have both labels."""
+
+
 @dataclass(frozen=True)
 class Model:
     tokens: np.ndarray  # sorted fingerprints
@@ -181,7 +190,7 @@ def train(rows: DataFrame, min_z: float = 3.0, min_docs: int = 5, alpha: float =
     rows = staged(bound_batches(rows).select("text", F.col("toxic").cast("int").alias("toxic")))
     n0, n1 = rows.agg(F.count(F.when(F.col("toxic") <= 0, 1)), F.count(F.when(F.col("toxic") > 0, 1))).first()
     if not n0 or not n1:
-        raise ValueError("both labels are needed to train")
+        raise NothingToLearn("both labels are needed to train")
     counts = rows.mapInArrow(_count_tokens, _count_schema()).groupBy("token").agg(F.sum("d0").alias("d0"), F.sum("d1").alias("d1"))
     counts = staged(counts.filter(F.col("d0") + F.col("d1") >= min_docs))
     t0, t1 = counts.agg(F.sum("d0"), F.sum("d1")).first()
@@ -273,4 +282,8 @@ def doc_crc() -> Column:
 
 def train_on(docs: DataFrame, labels: DataFrame, **more) -> Model:
     """Learn from the labelled rows whose crc32(doc_id) mod 5 is not 0."""
-    return train(training_rows(docs, labels, doc_crc() % 5 != 0), **more)
+    try:
+        return train(training_rows(docs, labels, doc_crc() % 5 != 0), **more)
+    except NothingToLearn:
+        odds = math.log(NO_EVIDENCE / (1 - NO_EVIDENCE))
+        return Model(np.empty(0, np.uint64), np.empty(0), -1.0, 1.0, 1.0, 0.01, (odds, 0.0, 0.0))

@@ -85,6 +85,15 @@ def test_training_needs_both_labels_and_is_bounded(spark):
     assert score_documents(empty, model).count() == 0
 
 
+def test_without_labels_every_document_gets_a_score(spark):
+    df = spark.createDataFrame(rows(edge_texts()), SCHEMA)
+    for marks in ([], [(1, None)], [(i, 1) for i in range(16)], [(i, 0) for i in range(16)]):
+        out = score_documents(df, train_on(df, spark.createDataFrame(marks, "doc_id long, toxic int"))).collect()
+        assert len(out) == df.count() and {r.tox_score < 0.5 for r in out} == {True}
+    empty = spark.createDataFrame([], SCHEMA)
+    assert score_documents(empty, train_on(empty, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"))).count() == 0
+
+
 def _languages(seed, n):
     rng, out = random.Random(seed), []
     parts = {"aa": ["kla", "mir", "ton", "es"], "bb": ["zu", "ung", "ei", "sch"], "cc": ["ñá", "llo", "que", "ar"]}
@@ -101,6 +110,7 @@ def test_language(spark):
     net = fit(df, doc_crc() % 3 != 1)
     out = identify(df, net).collect()
     assert len(out) == len(data) + len(more)
+    assert {r._letter for r in out} == {0}
     for r in out:
         assert 0 <= r.lang_score <= 1
         if r.doc_id is None or r.doc_id < 1000:

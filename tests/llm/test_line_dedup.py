@@ -59,3 +59,20 @@ def test_documents_lose_maximal_runs_to_their_ends(spark):
                     seen.add(run)
         want[d] = None if text is None else "\n".join(x for j, x in enumerate(every) if j not in gone)
     assert got == want
+
+
+def test_a_long_run_is_one_interval(spark):
+    run = [f"line {i % 40} of {i // 3}" for i in range(300)]
+    texts = ["\n".join(run), "start\n" + "\n".join(run) + "\nend", "other\n" + "\n".join(run[40:90]) + "\nend"]
+    got = sorted((r.doc_id, r.start, r.n_lines, r.first_doc, r.first_start) for r in repeated_runs(spark.createDataFrame(rows(texts), SCHEMA)).collect())
+    assert got == [(1, 1, 300, 0, 0), (2, 1, 50, 0, 40)]
+
+
+def test_hot_ranks_are_split(spark, monkeypatch):
+    from tessera.llm import common, line_dedup as module
+
+    df = spark.createDataFrame(rows(_texts() + [f"d e f g h\nx{i} y\nd e f g h\nx{i} y" for i in range(60)]), SCHEMA)
+    want = sorted((str(r.row.doc_id), r.text) for r in line_dedup(df, 5, True).collect())
+    monkeypatch.setattr(module, "RANK_ROWS", 1)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert sorted((str(r.row.doc_id), r.text) for r in line_dedup(df, 5, True).collect()) == want

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import near_dup
+from tessera.llm import common, near_dup
 from tessera.llm.components import components
 from tessera.llm.near_dup import dedup_documents, near_duplicates
 
@@ -38,6 +38,47 @@ def test_large_nodes_are_complete(spark, monkeypatch):
     assert got == near_components([(d[0], d[1]) for d in data], 3, 85)
 
 
+def test_many_hot_nodes_are_joined(spark, monkeypatch):
+    """More hot nodes than the list takes, and no broadcast."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    monkeypatch.setattr(near_dup, "SALT_ROWS", 25)
+    monkeypatch.setattr(near_dup, "HOT_LIST", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    data = rows(_variants(7, 2, 60, edits=5) + _variants(8, 1, 40, edits=9))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(data, SCHEMA), 3, 85).collect()}
+    assert got == near_components([(d[0], d[1]) for d in data], 3, 85)
+
+
+def test_a_group_in_a_crowd_with_one_common_passage(spark, monkeypatch):
+    """Near copies come first in a node that many other texts share through one passage."""
+    monkeypatch.setattr(near_dup, "SMALL", 4)
+    monkeypatch.setattr(near_dup, "SALT_ROWS", 25)
+    passage = prose(31, 1, 30)[0]
+    texts = [f"{passage} {t}" for t in _variants(32, 1, 40, words=90, edits=3)] + [f"{passage} {t}" for t in prose(33, 60, 60)] + [f"{passage} {t}" for t in _variants(34, 20, 2, words=60, edits=2)]
+    data = rows(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(data, SCHEMA), 5, 80).collect()}
+    assert got == near_components([(d[0], d[1]) for d in data], 5, 80)
+
+
+def test_ids_of_text_and_a_doc_id_with_two_texts(spark):
+    t = prose(9, 4, 40)
+    data = [("a", t[0]), ("a", t[1]), ("b", t[0] + " x"), ("c", t[1] + " y"), ("d", t[2])]
+    df = spark.createDataFrame(data, "doc_id string, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df, 3, 85).collect()}
+    assert got == {("a", "a", True), ("b", "a", False), ("c", "a", False), ("d", "d", True)}
+
+
+def test_copies_that_an_earlier_step_cut_are_found(spark):
+    t = prose(41, 3, 60)
+    read = [(1, t[0]), (2, t[0] + " end"), (3, t[1]), (4, t[2]), (5, t[2] + " more"), (None, t[0])]
+    cut = [(1, t[0]), (2, "end"), (3, t[1]), (5, t[2] + " more"), (None, t[0])]
+    schema = "doc_id long, text string, _gone int, id string"
+    docs = spark.createDataFrame([(i, x, 7, "z") for i, x in cut], schema)
+    kept = dedup_documents(docs, 5, 80, as_read=spark.createDataFrame(read, "doc_id long, text string"))
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {None, 1, 3, 5}
+    assert {r.doc_id for r in dedup_documents(docs, 5, 80).collect()} == {None, 1, 2, 3, 5}
+
+
 def test_null_ids_repeated_ids_and_nothing(spark):
     t = prose(9, 3, 40)
     data = [(None, t[0]), (5, t[0]), (3, t[0]), (3, t[1]), (8, t[1]), (8, t[1]), (9, t[2])]
