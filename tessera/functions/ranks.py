@@ -17,6 +17,33 @@ def average_rank(value: str, *groups: str) -> Column:
     return F.when(F.col(value).isNotNull(), r)
 
 
+def in_ranges(counts: DataFrame, value: str, n: str, below: str, ranges: int = 64) -> DataFrame:
+    """counts (one row a value, with its weight n) with `below`: the weight of all smaller values.
+
+    Values are ordered within ranges, each a task of its own; what comes to the driver are the
+    borders of the ranges and their sums."""
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    borders = sorted(set(counts.agg(F.percentile_approx(value, steps, F.lit(1000)).alias("e")).first().e or []))
+    cuts = F.array(*[F.lit(float(b)) for b in borders]) if borders else F.array().cast("array<double>")
+    ranged = counts.withColumn("_range", F.size(F.filter(cuts, lambda e: e < F.col(value).cast("double"))))
+    sums = {r["_range"]: r["s"] for r in ranged.groupBy("_range").agg(F.sum(n).alias("s")).collect()}
+    starts, total = [], 0
+    for i in range(len(borders) + 1):
+        starts.append(total)
+        total += sums.get(i, 0)
+    before = F.sum(n).over(W.partitionBy("_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    return ranged.withColumn(below, F.element_at(F.array(*[F.lit(int(s)).cast("long") for s in starts]), F.col("_range") + 1) + F.coalesce(before, F.lit(0))).drop("_range")
+
+
+def with_rank(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with the 1-based rank of value in the whole table, ties at their mean; NULL stays NULL.
+
+    Equal values are counted first, so no task orders more than a range of distinct ones."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("_value")).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = in_ranges(counts, "_value", "_n", "_below").select("_value", (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)).alias(name))
+    return df.join(ranked, F.col(value) == F.col("_value"), "left").drop("_value")
+
+
 def percentile_rank(value: str, *groups: str) -> Column:
     """Average rank over the number of values in the group: in (0, 1]."""
     return average_rank(value, *groups) / F.count(F.col(value)).over(W.partitionBy(*groups))
@@ -52,7 +79,10 @@ def value_bin(value: str | Column, edges: list[float]) -> Column:
 def spearman(df: DataFrame, x: str, y: str, *groups: str) -> DataFrame:
     """groups, n, rho over rows with both values."""
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = both.select(*groups, average_rank(x, *groups).alias("_rx"), average_rank(y, *groups).alias("_ry"))
+    if groups:
+        ranked = both.select(*groups, average_rank(x, *groups).alias("_rx"), average_rank(y, *groups).alias("_ry"))
+    else:
+        ranked = with_rank(with_rank(both.select(x, y), x, "_rx"), y, "_ry")
     return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), safe_corr("_rx", "_ry").alias("rho"))
 
 

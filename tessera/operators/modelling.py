@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.local import sized_broadcast, to_local
 from ..functions.nulls import safe_corr
 from .resampling import bootstrap_lines, row_r
 
@@ -204,21 +205,32 @@ def fixed_model() -> Screened:
 # ---------------------------------------------------------------- the feature screen
 
 
-def screen_by_fold(long: DataFrame, target: DataFrame, folds: DataFrame, sample: str, feature: str, value: str, y: str, k: int = TOP_FEATURES) -> DataFrame:
+def screen_by_fold(long: DataFrame, target: DataFrame, folds: DataFrame, sample: str, feature: str, value: str, y: str, k: int = TOP_FEATURES, group: str | None = None) -> DataFrame:
     """repeat, fold, feature: the k features most correlated with y on the training rows of each fold.
 
-    One pass: sums over all rows of a repeat and over each fold's test rows are aggregated by
-    (feature, repeat, fold); training sums are their differences."""
-    f = folds.join(target.select("row_ix", sample, y).filter(F.col(y).isNotNull()), "row_ix")
-    rows = long.filter(F.col(value).isNotNull()).join(F.broadcast(f), sample)
-    x, t = F.col(value).cast("double"), F.col(y).cast("double")
+    One pass: sums over each fold's rows are aggregated by (feature, repeat, fold); training sums
+    are the other folds'. With a group column of target, values are centred and y is standardised
+    by the training rows of each group, as `deconfounded` does: the sums are kept by group."""
+    keys = [F.col(group).alias("_g")] if group else [F.lit(0).alias("_g")]
+    t = target.filter(F.col(y).isNotNull()).select("row_ix", sample, F.col(y).cast("double").alias("_y"), *keys).filter("_g IS NOT NULL")
+    f = folds.join(t, "row_ix").select("repeat", "fold", sample, "_y", "_g")
+    rows = long.filter(F.col(value).isNotNull()).join(sized_broadcast(f, 64), sample)
+    x, t = F.col(value).cast("double"), F.col("_y")
     parts = {"n": F.lit(1.0), "sx": x, "sy": t, "sxx": x * x, "syy": t * t, "sxy": x * t}
-    g = rows.groupBy("repeat", "fold", feature).agg(*[F.sum(v).alias(c) for c, v in parts.items()])
-    w = W.partitionBy("repeat", feature)
-    g = g.select("repeat", "fold", feature, *[(F.sum(c).over(w) - F.col(c)).alias(c) for c in parts])
+    own = rows.groupBy("repeat", "fold", "_g", feature).agg(*[F.sum(v).alias(c) for c, v in parts.items()])
+    # a group without a row in a fold is in that fold's training rows as a whole
+    every = F.collect_set("fold").over(W.partitionBy("repeat"))
+    whole = own.groupBy("repeat", "_g", feature).agg(*[F.sum(c).alias(f"all_{c}") for c in parts])
+    plan = folds.select("repeat", "fold").distinct().withColumn("folds", every).select("repeat", "folds").distinct()
+    whole = whole.join(F.broadcast(plan), "repeat").withColumn("fold", F.explode("folds")).drop("folds")  # a row a repeat
+    g = whole.join(own, ["repeat", "fold", "_g", feature], "left").select("repeat", "fold", feature, "_g", *[(F.col(f"all_{c}") - F.coalesce(c, F.lit(0.0))).alias(c) for c in parts]).filter("n > 0")
     n = F.col("n")
-    cov, vx, vy = n * F.col("sxy") - F.col("sx") * F.col("sy"), n * F.col("sxx") - F.col("sx") * F.col("sx"), n * F.col("syy") - F.col("sy") * F.col("sy")
-    r = F.abs(F.try_divide(cov, F.nullif(F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))), F.lit(0.0))))
+    g = g.select("repeat", "fold", feature, "n", (F.col("sxx") - F.col("sx") * F.col("sx") / n).alias("cxx"), (F.col("syy") - F.col("sy") * F.col("sy") / n).alias("cyy"), (F.col("sxy") - F.col("sx") * F.col("sy") / n).alias("cxy"))
+    if group:
+        sd = F.sqrt(F.try_divide(F.col("cyy"), F.nullif(n - 1, F.lit(0.0))))
+        g = g.filter("n > 1 AND cyy > 0").select("repeat", "fold", feature, "cxx", (F.col("cxy") / sd).alias("cxy"), (n - 1).alias("cyy"))
+        g = g.groupBy("repeat", "fold", feature).agg(*[F.sum(c).alias(c) for c in ("cxx", "cxy", "cyy")])
+    r = F.abs(F.try_divide(F.col("cxy"), F.nullif(F.sqrt(F.greatest("cxx", F.lit(0.0)) * F.greatest("cyy", F.lit(0.0))), F.lit(0.0))))
     rank = F.row_number().over(W.partitionBy("repeat", "fold").orderBy(F.desc_nulls_last("r"), feature))
     return g.withColumn("r", r).withColumn("_rn", rank).filter(F.col("_rn") <= k).select("repeat", "fold", feature)
 
@@ -244,23 +256,43 @@ def deconfounded(x: np.ndarray, y: np.ndarray, group: np.ndarray, train: np.ndar
     return xs, ys, ok
 
 
+def _fold_plan(n: int, group: np.ndarray, folds: int, repeats: int, seed: int, by_group: bool) -> np.ndarray:
+    """repeats x rows: the fold of each row; -1 for rows without a group where groups are folds."""
+    if not by_group:
+        return np.array([kfold(n, folds, seed + r) for r in range(repeats)])
+    names = sorted({v for v in group if v is not None})
+    return np.array([[names.index(v) if v is not None else -1 for v in group]])
+
+
+def _one_fold(x: np.ndarray, y: np.ndarray, names: np.ndarray, group: np.ndarray, folds: np.ndarray, r: int, f: int, factory: Callable, deconfound: bool) -> pd.DataFrame:
+    """The out-of-fold rows (OOF) of one fold."""
+    train, test = folds != f, folds == f
+    if deconfound:
+        x, y, ok = deconfounded(x, y, group, train)
+        if (test & ok).sum() < 5:
+            return pd.DataFrame(columns=[c.split()[0] for c in OOF.split(", ")])
+        train, test = train & ok & np.isfinite(y), test & ok & np.isfinite(y)
+    m = factory().fit(x[train], y[train])
+    n = int(test.sum())
+    return pd.DataFrame({"line": names[test], "repeat": r, "fold": f, "truth": y[test], "pred": m.predict(x[test]), "alpha": [m.chosen] * n, "edge": [bool(m.edge)] * n, "n_train": int(train.sum())})
+
+
 def cross_validate(matrix: DataFrame, line: str, features: str, y: str, factory: Callable, group: str | None = None, deconfound: bool = False, folds: int = FOLDS, repeats: int = REPEATS, seed: int = 0, by_group: bool = False) -> DataFrame:
-    """Out-of-fold predictions (OOF), one task per (repeat, fold).
+    """Out-of-fold predictions (OOF), one task per (repeat, fold), of a narrow table: scores, modules.
 
-    matrix: one row a line with a feature array; it is the model's block (hundreds of lines by
-    the screened features), broadcast once. by_group: each group is a fold, once."""
+    matrix: one row a line with a feature array. It is broadcast once, so lines x features are
+    counted first (TooLarge beyond functions.local.CELLS); a transcriptome goes through
+    cross_validate_long. by_group: each group is a fold, once."""
     if deconfound and group is None:
         raise ValueError("deconfounding needs a group column")
     cols = [line, features, y, *([group] if group else [])]
-    pdf = matrix.select(*cols).filter(F.col(y).isNotNull()).orderBy(line).toPandas()
+    rows = matrix.select(*cols).filter(F.col(y).isNotNull())
+    width = rows.agg(F.max(F.size(features))).first()[0] or 1
+    pdf = to_local(rows, "the lines of a model", width).sort_values(line, kind="stable")
     x = np.stack(pdf[features].to_numpy()).astype(float) if len(pdf) else np.empty((0, 0))
     t, ids = pdf[y].to_numpy(float), pdf[line].astype(str).to_numpy()
     g = pdf[group].to_numpy(object) if group else np.full(len(pdf), "all", object)
-    if by_group:
-        names = sorted({v for v in g if v is not None})
-        plan = np.array([[names.index(v) if v is not None else -1 for v in g]])
-    else:
-        plan = np.array([kfold(len(pdf), folds, seed + r) for r in range(repeats)])
+    plan = _fold_plan(len(pdf), g, folds, repeats, seed, by_group)
     spark = matrix.sparkSession
     shared = spark.sparkContext.broadcast((x, t, ids, g, plan))
     jobs = [(r, int(f)) for r in range(len(plan)) for f in sorted(set(plan[r].tolist()) - {-1})]
@@ -268,33 +300,81 @@ def cross_validate(matrix: DataFrame, line: str, features: str, y: str, factory:
     def run(key: tuple, _: pd.DataFrame) -> pd.DataFrame:
         xs, ys, names, groups, folds_ = shared.value
         r, f = map(int, key)
-        train, test = folds_[r] != f, folds_[r] == f
-        if deconfound:
-            xs, ys, ok = deconfounded(xs, ys, groups, train)
-            if (test & ok).sum() < 5:
-                return pd.DataFrame(columns=[c.split()[0] for c in OOF.split(", ")])
-            train, test = train & ok & np.isfinite(ys), test & ok & np.isfinite(ys)
-        m = factory().fit(xs[train], ys[train])
-        n = int(test.sum())
-        return pd.DataFrame({"line": names[test], "repeat": r, "fold": f, "truth": ys[test], "pred": m.predict(xs[test]), "alpha": [m.chosen] * n, "edge": [bool(m.edge)] * n, "n_train": int(train.sum())})
+        return _one_fold(xs, ys, names, groups, folds_[r], r, f, factory, deconfound)
 
     tasks = spark.createDataFrame(pd.DataFrame(jobs, columns=["repeat", "fold"])).repartition(max(1, len(jobs)), "repeat", "fold")
     return tasks.groupBy("repeat", "fold").applyInPandas(run, OOF)
 
 
+def cross_validate_long(long: DataFrame, target: DataFrame, sample: str, feature: str, value: str, y: str, factory: Callable, group: str | None = None, deconfound: bool = False, folds: int = FOLDS, repeats: int = REPEATS, seed: int = 0, by_group: bool = False, k: int = TOP_FEATURES) -> DataFrame:
+    """Out-of-fold predictions (OOF) from a long table of any number of features.
+
+    The screen runs in Spark (screen_by_fold, on the de-confounded values if asked); each (repeat,
+    fold) is then a task that gets its own k features of the lines, and fits factory() to them.
+    Values must be complete (median_fill): a line without one of the features raises ValueError."""
+    if deconfound and group is None:
+        raise ValueError("deconfounding needs a group column")
+    lines = target.filter(F.col(y).isNotNull()).join(long.select(sample).distinct(), sample, "left_semi").select(sample, y, *([group] if group else []))
+    pdf = to_local(lines, "the lines of a model").sort_values(sample, kind="stable")
+    t, ids = pdf[y].to_numpy(float), pdf[sample].to_numpy()
+    g = pdf[group].to_numpy(object) if group else np.full(len(pdf), "all", object)
+    plan = _fold_plan(len(pdf), g, folds, repeats, seed, by_group)
+    spark = long.sparkSession
+    kind = long.schema[sample].dataType.simpleString()
+    index = spark.createDataFrame([(i, v) for i, v in enumerate(ids.tolist())], f"row_ix int, {sample} {kind}")
+    table = spark.createDataFrame([(r, i, int(f)) for r in range(len(plan)) for i, f in enumerate(plan[r]) if f >= 0], "repeat int, row_ix int, fold int")
+    rows = lines.join(sized_broadcast(index, 48), sample)
+    chosen = screen_by_fold(long, rows, table, sample, feature, value, y, k, group if deconfound else None)
+    cells = long.join(sized_broadcast(index, 48), sample).select("row_ix", feature, F.col(value).cast("double").alias("v"))
+    cells = cells.join(sized_broadcast(chosen, 48), feature)  # k features a fold
+    shared = spark.sparkContext.broadcast((t, ids.astype(str), g, plan))
+
+    def run(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
+        ys, names, groups, folds_ = shared.value
+        r, f = map(int, key)
+        x = own.pivot_table(index="row_ix", columns=feature, values="v").reindex(np.arange(len(ys))).to_numpy(float)
+        if np.isnan(x).any():
+            raise ValueError("a line lacks a feature; fill the table first")
+        return _one_fold(x, ys, names, groups, folds_[r], r, f, factory, deconfound)
+
+    return cells.groupBy("repeat", "fold").applyInPandas(run, OOF)
+
+
 def concordance(y: np.ndarray, p: np.ndarray, event: np.ndarray | None = None) -> float:
-    d = y[:, None] < y[None, :]
-    if event is not None:
-        d = d & event[:, None]
-    n = d.sum()
-    return float(((p[:, None] < p[None, :])[d].sum() + 0.5 * (p[:, None] == p[None, :])[d].sum()) / n) if n else math.nan
+    """Share of pairs that p orders as y (those whose smaller y has the event), ties in p as half,
+    counted digit by digit of the order of y: n log n, as operators.stats.concordance."""
+    event = np.ones(len(y), bool) if event is None else np.asarray(event, bool)
+    number = np.unique(y, return_inverse=True)[1]
+    good = pairs = 0.0
+    for level in range(int(number.max(initial=0)).bit_length()):
+        group, high = number >> (level + 1), (number >> level) & 1 == 1
+        order = np.lexsort((p, group))
+        first, second = (~high & event)[order].astype(float), high[order].astype(float)
+        upto = np.concatenate([[0.0], np.cumsum(first)])
+        new = np.concatenate([[True], np.diff(group[order]) != 0])
+        tie = new | np.concatenate([[True], np.diff(p[order]) != 0])
+        starts, ends = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(p))
+        at, to = np.flatnonzero(tie), np.append(np.flatnonzero(tie)[1:], len(p))
+        of_group = np.cumsum(new) - 1
+        of_tie = np.cumsum(tie) - 1
+        base = upto[starts][of_group]
+        good += (second * ((upto[at] + upto[to])[of_tie] / 2 - base)).sum()
+        pairs += (second * (upto[ends][of_group] - base)).sum()
+    return float(good / pairs) if pairs else math.nan
+
+
+def within_groups(oof: DataFrame, groups: DataFrame, key: str, group: str, least: int = 10) -> DataFrame:
+    """r_within_median, n_groups_within: the median r inside groups of at least `least` rows. Unlike the
+    pooled r it does not reward a group's average."""
+    per = oof.join(groups.select(F.col(key).cast("string").alias("line"), F.col(group).alias("_g")), "line").filter("_g IS NOT NULL").groupBy("_g").agg(F.count(F.lit(1)).alias("n"), safe_corr("truth", "pred").alias("r"))
+    return per.filter(F.col("n") >= least).agg(F.median("r").alias("r_within_median"), F.count(F.lit(1)).alias("n_groups_within"))
 
 
 def summarise(oof: DataFrame, name: str, seed: int = 0) -> dict:
     """model, r_mean, r_lo, r_hi, r_sd, rho_mean, cindex_mean, alpha_median, alpha_edge_frac."""
     from ..functions.special import rank_average
 
-    pdf = oof.toPandas()
+    pdf = to_local(oof, "out-of-fold predictions")
     t, p = (pdf.pivot(index="line", columns="repeat", values=c).to_numpy(float) for c in ("truth", "pred"))
     r = row_r(t.T, p.T)
     ok = [np.isfinite(t[:, k]) & np.isfinite(p[:, k]) for k in range(t.shape[1])]

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.nulls import is_true, not_in, pair_count, safe_corr
-from ..functions.ranks import average_rank, keep_first
+from ..functions.local import TooLarge
+from ..functions.ranks import average_rank, keep_first, with_rank
+
+#: Features that go to each sample at once; items whose pairs are made.
+GRID_FEATURES, PAIR_ITEMS = 100_000, 5_000
 
 # ---------------------------------------------------------------- rows
 
@@ -42,9 +46,15 @@ def median_fill(long: DataFrame, sample: str, feature: str, value: str) -> DataF
 
 
 def _grid(long: DataFrame, sample: str, features: DataFrame) -> DataFrame:
-    """Every (sample, feature): features, a bounded dimension, go to each sample as one array."""
-    packed = features.agg(F.collect_list(F.struct(*features.columns)).alias("_f"))
-    return long.select(sample).distinct().join(F.broadcast(packed)).select(sample, F.inline("_f"))
+    """Every (sample, feature): features go to each sample as one array, GRID_FEATURES at a time."""
+    parts = max(1, -(-features.count() // GRID_FEATURES))
+    out = None
+    for i in range(parts):
+        some = features if parts == 1 else features.filter(F.pmod(F.xxhash64(features.columns[0]), F.lit(parts)) == i)
+        packed = some.agg(F.collect_list(F.struct(*features.columns)).alias("_f"))
+        one = long.select(sample).distinct().join(F.broadcast(packed)).select(sample, F.inline("_f"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def detected(counts: DataFrame, feature: str, count: str, least: int = 6) -> DataFrame:
@@ -130,7 +140,9 @@ def lookup_names(wanted: DataFrame, column: str, models: DataFrame) -> DataFrame
 
 
 def pairs_of(items: DataFrame, name: str) -> DataFrame:
-    """name_a, name_b of a bounded list, a before b."""
+    """name_a, name_b of a list of at most PAIR_ITEMS (or TooLarge), a before b."""
+    if (n := items.select(name).distinct().count()) > PAIR_ITEMS:
+        raise TooLarge(f"pairs of {n} items; at most {PAIR_ITEMS} are paired")
     ordered = items.select(name).distinct().withColumn("_o", F.row_number().over(W.orderBy(name)))
     packed = ordered.agg(F.collect_list(F.struct(F.col(name).alias("n"), F.col("_o").alias("o"))).alias("_all"))
     each = ordered.join(F.broadcast(packed)).select(F.col(name).alias(f"{name}_a"), F.explode(F.filter("_all", lambda s: s["o"] > F.col("_o"))).alias("s"))
@@ -150,6 +162,18 @@ def wide(long: DataFrame, row: str, column: str, value: str, names: list) -> Dat
     return long.groupBy(row).pivot(column, names).agg(F.avg(value))
 
 
+def tall(df: DataFrame, keys: list[str], columns: list[str], name: str, value: str) -> DataFrame:
+    """keys, name, value: the columns of a wide table as rows."""
+    return df.unpivot(keys, columns, name, value)
+
+
+def ends(df: DataFrame, by: str, key: str, first: int = 12, last: int = 5) -> DataFrame:
+    """side, and the columns of df: its `first` rows with the largest values and `last` with the smallest;
+    equal ones by key. Both are partial sorts."""
+    full = df.filter(F.col(by).isNotNull())
+    return full.orderBy(F.desc(by), key).limit(first).select(F.lit("head").alias("side"), "*").unionByName(full.orderBy(by, key).limit(last).select(F.lit("tail").alias("side"), "*"))
+
+
 def flag_matrix(events: DataFrame, ids: DataFrame, row: str, column: str, names: list) -> DataFrame:
     """0/1 for each id and name; ids without an event have zeros. A name without any
     event has no column."""
@@ -184,7 +208,10 @@ def collapse_drug(df: DataFrame, line: str, texts: list[str], numbers: list[str]
 def regression_metrics(df: DataFrame, truth: str, pred: str, *groups: str, ceiling: float | None = None) -> DataFrame:
     """groups, n, r, rho, r2, rmse, bias (and the share of a ceiling) over complete pairs."""
     both = df.filter(F.col(truth).isNotNull() & F.col(pred).isNotNull())
-    ranked = both.withColumn("_rt", average_rank(truth, *groups)).withColumn("_rp", average_rank(pred, *groups))
+    if groups:
+        ranked = both.withColumn("_rt", average_rank(truth, *groups)).withColumn("_rp", average_rank(pred, *groups))
+    else:
+        ranked = with_rank(with_rank(both, truth, "_rt"), pred, "_rp")
     t, p = F.col(truth).cast("double"), F.col(pred).cast("double")
     gap = t - p
     out = ranked.groupBy(*groups).agg(

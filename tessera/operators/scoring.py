@@ -118,3 +118,9 @@ def trend_stats(df: DataFrame, feature: str, hours: str, value: str, first: int
         feature, "n", "trend_r", "spearman", delta.alias("delta"), F.try_divide(delta, F.nullif(F.sqrt((v0 + v1) / 2), F.lit(0.0))).alias("cohens_d"),
         F.try_divide(delta, F.nullif(se, F.lit(0.0))).alias("t"), df_.alias("t_df"), "mean_first", "mean_last", "sd_first", "sd_last",
     )
+
+
+def trend_by_time(df: DataFrame, feature: str, hours: str, value: str, times: list[int]) -> DataFrame:
+    """feature, mean_<t>h and sd_<t>h at every time point."""
+    at = lambda h: F.when(F.col(hours) == h, F.col(value))
+    return df.groupBy(feature).agg(*[F.avg(at(t)).alias(f"mean_{t}h") for t in times], *[F.stddev_samp(at(t)).alias(f"sd_{t}h") for t in times])

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from ..functions.multiplicity import bh_q
 from ..functions.nulls import pair_count, safe_corr
-from ..functions.ranks import average_rank
+from ..functions.ranks import in_ranges, with_rank
 from ..functions.special import hypergeometric_tail_udf, normal_two_sided_udf, pearson_p_udf, t_two_sided_udf
 from .relational import paired
 
@@ -81,9 +81,12 @@ def partial_corr(df: DataFrame, x: str, y: str, controls: list[str]) -> DataFram
 
 def residual_axis(df: DataFrame, value: str, axis: str, *groups: str) -> DataFrame:
     """df with `residual`: value less its fit on one axis, within groups."""
-    w = W.partitionBy(*groups) if groups else W.partitionBy(F.lit(0))
     both = F.col(value).isNotNull() & F.col(axis).isNotNull()
     x, y = F.when(both, F.col(axis)), F.when(both, F.col(value))
+    if not groups:  # one row of moments goes to every row
+        m = df.agg(F.try_divide(F.covar_pop(x, y), F.nullif(F.var_pop(x), F.lit(0.0))).alias("_s"), F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
+        return df.crossJoin(F.broadcast(m)).withColumn("residual", y - (F.col("_my") + F.col("_s") * (x - F.col("_mx")))).drop("_s", "_mx", "_my")
+    w = W.partitionBy(*groups)
     slope = F.try_divide(F.covar_pop(x, y).over(w), F.nullif(F.var_pop(x).over(w), F.lit(0.0)))
     return df.withColumn("_s", slope).withColumn("residual", y - (F.avg(y).over(w) + F.col("_s") * (x - F.avg(x).over(w)))).drop("_s")
 
@@ -115,30 +118,45 @@ def enrichment(query: DataFrame, sets: DataFrame, universe: DataFrame, gene: str
 def screen_agreement(a: DataFrame, b: DataFrame, key: str, value: str, lines: DataFrame | None = None, least: int = 10) -> DataFrame:
     """n, r, p, rho over shared lines; NULL under `least` of them."""
     both = paired(a, b, key, value, lines)
-    ranked = both.withColumn("_ra", average_rank("a")).withColumn("_rb", average_rank("b"))
+    ranked = with_rank(with_rank(both, "a", "_ra"), "b", "_rb")
     g = ranked.agg(F.count(F.lit(1)).alias("n"), safe_corr("a", "b").alias("r"), safe_corr("_ra", "_rb").alias("rho"))
     enough = F.col("n") >= least
     g = g.select("n", F.when(enough, F.col("r")).alias("r"), F.when(enough, F.col("rho")).alias("rho"))
     return g.withColumn("p", pearson_p_udf(F.col("r"), F.col("n").cast("double")))
 
 
-def concordance(df: DataFrame, y: str, pred: str, event: str | None = None, bins: int = 64) -> DataFrame:
+def concordance(df: DataFrame, y: str, pred: str, event: str | None = None, ranges: int = 64) -> DataFrame:
     """pairs, concordance: share of comparable pairs (smaller y has the event) that pred orders
     alike, ties in pred as half.
 
-    Rows are ranked by y and sorted into blocks; the pairs of two blocks are met by an
-    equi-join on the block, with the y order kept inside, so tasks hold bounded blocks."""
+    The distinct y are numbered in order. Two numbers differ first at one binary digit, so
+    each pair of rows meets at one level, in the group of the digits before: those with 0 there
+    come first in y. In a group the ones of smaller and equal pred are counted by running sums, over
+    ranges of pred that are summed before. n log n rows, and no pairs."""
     rows = df.filter(F.col(y).isNotNull() & F.col(pred).isNotNull())
     e = F.lit(True) if event is None else F.coalesce(F.col(event).cast("boolean"), F.lit(False))
     rows = rows.select(F.col(y).cast("double").alias("y"), F.col(pred).cast("double").alias("p"), e.alias("e"))
-    # counting by distinct (y, pred) keeps repeated values one row
     cells = rows.groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("e"), 1).otherwise(0)).alias("ne"))
-    cells = cells.withColumn("b", F.pmod(F.xxhash64("y", "p"), F.lit(bins)).cast("int"))
-    a = cells.select(F.col("y").alias("ya"), F.col("p").alias("pa"), F.col("ne").alias("na"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("b")).filter("na > 0")
-    met = a.join(cells.select("b", "y", "p", "n"), "b").filter("ya < y")
-    w = (F.col("na") * F.col("n")).cast("double")
-    good = F.when(F.col("pa") < F.col("p"), 1.0).when(F.col("pa") == F.col("p"), 0.5).otherwise(0.0)
-    return met.agg(F.coalesce(F.sum(w), F.lit(0.0)).alias("pairs"), F.try_divide(F.sum(w * good), F.nullif(F.sum(w), F.lit(0.0))).alias("concordance"))
+    numbers = in_ranges(cells.select(F.col("y").alias("_y")).distinct().withColumn("_one", F.lit(1)), "_y", "_one", "_number").select("_y", "_number")
+    top = numbers.agg(F.max("_number")).first()[0] or 0
+    steps = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    borders = sorted(set(cells.agg(F.percentile_approx("p", steps, F.lit(1000)).alias("e")).first().e or []))
+    cuts = F.array(*[F.lit(float(b)) for b in borders]) if borders else F.array().cast("array<double>")
+    cells = cells.withColumn("range", F.size(F.filter(cuts, lambda b: b < F.col("p")))).join(numbers, F.col("y") == F.col("_y"))
+    levels = F.sequence(F.lit(0), F.lit(max(int(top).bit_length() - 1, 0)))
+    each = cells.select("p", "range", "n", "ne", "_number", F.explode(levels).alias("level"))
+    high = F.expr("shiftright(_number, level) & 1") == 1
+    g = each.groupBy("level", F.expr("shiftright(_number, level + 1)").alias("group"), "range", "p")
+    g = g.agg(F.sum(F.when(high, 0).otherwise(F.col("ne"))).alias("first"), F.sum(F.when(high, F.col("n")).otherwise(0)).alias("second"))
+    running = F.coalesce(F.sum("first").over(W.partitionBy("level", "group", "range").orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = g.select((F.col("second") * (running + F.col("first") / 2.0)).alias("good"), F.lit(0.0).alias("pairs"))
+    sums = g.groupBy("level", "group", "range").agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
+    earlier = F.coalesce(F.sum("first").over(W.partitionBy("level", "group").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    across = sums.select((F.col("second") * earlier).cast("double").alias("good"), F.lit(0.0).alias("pairs"))
+    whole = sums.groupBy("level", "group").agg(F.sum("first").alias("first"), F.sum("second").alias("second"))
+    whole = whole.select(F.lit(0.0).alias("good"), (F.col("first").cast("double") * F.col("second")).alias("pairs"))
+    total = inside.unionByName(across).unionByName(whole).agg(F.coalesce(F.sum("pairs"), F.lit(0.0)).alias("pairs"), F.sum("good").alias("good"))
+    return total.select("pairs", F.try_divide("good", F.nullif(F.col("pairs"), F.lit(0.0))).alias("concordance"))
 
 
 def corrected_ttest(df: DataFrame, diff: str, n_train: float, n_test: float, *groups: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.local import to_local
 from ..functions.multiplicity import bh_q
 from ..functions.nulls import nan_to_null
 from ..functions.ranks import bin_edges, keep_first, ordinal_bin, spearman, value_bin
@@ -447,16 +448,18 @@ def _cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.modelling import cross_validate, fixed_model
+    from ..operators.modelling import ElasticNet, cross_validate_long
 
-    return cross_validate(_cohort(spark, sf_dir), "model_id", "features", "y", fixed_model, "lineage", True, repeats=2)
+    c = _cohort(spark, sf_dir)
+    long = c.select("model_id", F.posexplode("features").alias("feature", "value"))
+    return cross_validate_long(long, c.select("model_id", "lineage", "y"), "model_id", "feature", "value", "y", ElasticNet, "lineage", True)
 
 
 @query()
 def bootstrap_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.resampling import grouped_bootstrap
 
-    return grouped_bootstrap(table(spark, sf_dir, "orders").withColumn("d", F.col("o_custkey") % 97), "o_totalprice", "d", ["o_orderpriority"], 200, order="o_orderkey")
+    return grouped_bootstrap(table(spark, sf_dir, "orders").withColumn("d", F.col("o_custkey") % 97), "o_totalprice", "d", ["o_orderpriority"], order="o_orderkey")
 
 
 @query()
@@ -465,10 +468,10 @@ def set_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from ..operators.resampling import set_shift as shift
 
-    c = _cohort(spark, sf_dir).orderBy("model_id").toPandas()
+    c = to_local(_cohort(spark, sf_dir), "a cohort", 64).sort_values("model_id")
     x = np.stack(c["features"])
     m = spark.createDataFrame([(i, x[:, i].tolist()) for i in range(x.shape[1])], "feature int, v array<double>")
-    out = shift(m, "feature", "v", c["y"].to_numpy(), {"first": {0, 1, 2}, "even": set(range(0, 64, 2))}, {i: i % 3 for i in range(64)}, c["lineage"].to_numpy(), 200)
+    out = shift(m, "feature", "v", c["y"].to_numpy(), {"first": {0, 1, 2}, "even": set(range(0, 64, 2))}, {i: i % 3 for i in range(64)}, c["lineage"].to_numpy())
     return spark.createDataFrame(out)
 
 
@@ -495,8 +498,8 @@ def logistic_set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..operators.modelling import logit
     from .stages import random_sets_null
 
-    c = _cohort(spark, sf_dir).orderBy("model_id").toPandas()
+    c = to_local(_cohort(spark, sf_dir), "a cohort", 64).sort_values("model_id")
     x, y = np.stack(c["features"]), (c["y"] > c["y"].median()).to_numpy(float)
     s = x[:, :4].mean(axis=1)
     z = float(logit(((s - s.mean()) / s.std())[:, None], y).z[1])
-    return spark.createDataFrame([(4, z, random_sets_null(spark, x, y, 4, z, draws=200))], "size int, z double, p double")
+    return spark.createDataFrame([(4, z, random_sets_null(spark, x, y, 4, z))], "size int, z double, p double")

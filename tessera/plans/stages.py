@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.local import to_local
 from ..functions.multiplicity import bh_q
 from ..functions.nulls import not_in, safe_corr
 from ..functions.ranks import keep_first
-from ..functions.special import normal_two_sided, pearson_p
+from ..functions.special import normal_two_sided, pearson_p, rank_average
 from ..operators import genesets, genomics, modelling, relational, resampling, scoring, stats
 
 #: Blood lineages that solid cohorts leave out, and stage thresholds.
@@ -82,7 +83,7 @@ def matrix_of(long: DataFrame, sample: str, feature: str, value: str, names: Dat
 def baselines(table: DataFrame, y: str, numeric: list[str], category: str, folds: int = 5, seed: int = 0, stop: bool = False) -> pd.DataFrame:
     """Pearson r and R2 of ridge on each number, on the category, on both, and on permuted
     labels: the leakage tripwire, which can stop the run."""
-    pdf = table.select(y, category, *numeric).dropna(subset=[y, *numeric]).toPandas()
+    pdf = to_local(table.select(y, category, *numeric).dropna(subset=[y, *numeric]), "the lines of a baseline")
     t, fold = pdf[y].to_numpy(float), modelling.kfold(len(pdf), folds, seed)
     lineage, x = pdf[category].fillna("UNKNOWN").to_numpy(object), pdf[numeric].to_numpy(float)
     designs = {n: ([i], False) for i, n in enumerate(numeric)} | {category: ([], True), f"{category} + numbers": (list(range(len(numeric))), True)}
@@ -107,7 +108,9 @@ def baselines(table: DataFrame, y: str, numeric: list[str], category: str, folds
 
 
 def final_models(matrix: DataFrame, y: str, lineage: str, line: str = "model_id", repeats: int = modelling.REPEATS, factory=modelling.transcriptome_model) -> tuple[pd.DataFrame, dict[str, DataFrame]]:
-    """Raw and de-confounded cross-validation, and leave-one-lineage-out: (summary, out-of-fold tables)."""
+    """Raw and de-confounded cross-validation, and leave-one-lineage-out: (summary, out-of-fold tables).
+
+    The last has the median r within held-out lineages as well: its pooled r rewards their averages."""
     big = relational.in_large_groups(matrix, lineage, MIN_LINEAGE_N)
     runs = {
         "raw": modelling.cross_validate(matrix, line, "features", y, factory, repeats=repeats),
@@ -115,7 +118,19 @@ def final_models(matrix: DataFrame, y: str, lineage: str, line: str = "model_id"
         "leave-lineage-out": modelling.cross_validate(big, line, "features", y, factory, lineage, by_group=True),
     }
     runs = {k: v.persist() for k, v in runs.items()}
-    return pd.DataFrame([modelling.summarise(v, k) for k, v in runs.items()]), runs
+    within = modelling.within_groups(runs["leave-lineage-out"], matrix, line, lineage, MIN_LINEAGE_N).first()
+    rows = [modelling.summarise(v, k) for k, v in runs.items()]
+    rows[-1] |= {"r_within_median": within.r_within_median, "n_lineages_within": within.n_groups_within}
+    return pd.DataFrame(rows), runs
+
+
+def same_split_baseline(table: DataFrame, y: str, lineage: str, number: str, line: str = "model_id", repeats: int = modelling.REPEATS, seed: int = 0) -> DataFrame:
+    """Out-of-fold predictions of ridge on all lineages (as 0/1 columns) and one number, on the folds
+    of cross_validate over the same lines: what a model has to beat, split by split (compare)."""
+    known = table.withColumn("_l", F.coalesce(F.col(lineage), F.lit("UNKNOWN")))
+    names = [r["_l"] for r in known.select("_l").distinct().orderBy("_l").limit(1000).collect()]
+    columns = [*[(F.col("_l") == n).cast("double") for n in names], F.col(number).cast("double")]
+    return modelling.cross_validate(known.withColumn("features", F.array(*columns)), line, "features", y, modelling.Ridge, repeats=repeats, seed=seed)
 
 
 def compare(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFrame:
@@ -128,11 +143,37 @@ def compare(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFrame:
 
 def transfer(matrix: DataFrame, y: str, lineage: str, target: str, factory=modelling.fixed_model, line: str = "model_id", n_boot: int = resampling.BOOT) -> dict:
     """Fit on every other lineage, tested on one: n, r, p, lo, hi."""
-    pdf = matrix.select(line, lineage, "features", y).dropna(subset=[y]).orderBy(line).toPandas()
+    t, pred, _ = _transferred(matrix, y, lineage, target, factory, line)
+    r, p, lo, hi = resampling.bootstrap_r(t, pred, n_boot)
+    return {"n": len(t), "r": r, "p": p, "lo": lo, "hi": hi}
+
+
+def _transferred(matrix: DataFrame, y: str, lineage: str, target: str, factory, line: str) -> tuple[np.ndarray, np.ndarray, pd.DataFrame]:
+    rows = matrix.select(line, lineage, "features", y).dropna(subset=[y])
+    width = rows.agg(F.max(F.size("features"))).first()[0] or 1
+    pdf = to_local(rows, "the lines of a transfer", width).sort_values(line, kind="stable")
     x, t, own = np.stack(pdf["features"]).astype(float), pdf[y].to_numpy(float), (pdf[lineage] == target).to_numpy()
-    pred = factory().fit(x[~own], t[~own]).predict(x[own])
-    r, p, lo, hi = resampling.bootstrap_r(t[own], pred, n_boot)
-    return {"n": int(own.sum()), "r": r, "p": p, "lo": lo, "hi": hi}
+    return t[own], factory().fit(x[~own], t[~own]).predict(x[own]), pdf.loc[own, [line]]
+
+
+def transfer_comparison(matrix: DataFrame, modules: DataFrame, y: str, lineage: str, target: str, factory=modelling.transcriptome_model, line: str = "model_id", repeats: int = modelling.REPEATS, n_boot: int = resampling.BOOT) -> pd.DataFrame:
+    """Three ways to one lineage, one row each: (a) ridge on the modules of its own lines, cross-
+    validated; (b) a model of every other lineage, applied; (c) the modules with (b)'s prediction
+    as one more feature, cross-validated.
+
+    modules: line and `features`, the module scores."""
+    truth, pred, lines = _transferred(matrix, y, lineage, target, factory, line)
+    spark = matrix.sparkSession
+    kind = matrix.schema[line].dataType.simpleString()
+    given = spark.createDataFrame(list(zip(lines[line].tolist(), truth.tolist(), pred.tolist(), strict=True)), f"{line} {kind}, {y} double, _pan double")
+    own = modules.select(line, "features").join(F.broadcast(given), line)  # the lines of one lineage
+    more = own.withColumn("features", F.concat("features", F.array("_pan")))
+    a, c = (modelling.summarise(modelling.cross_validate(m, line, "features", y, modelling.Ridge, repeats=repeats), n) for m, n in ((own, "modules, own lines"), (more, "modules and transfer")))
+    draws = resampling.bootstrap_draws(truth, pred, n_boot)
+    r, p, lo, hi = resampling.bootstrap_r(truth, pred, n_boot)
+    b = {"model": "transfer", "r_mean": r, "r_lo": lo, "r_hi": hi, "r_sd": float(np.nanstd(draws)), "p": p, "cindex_mean": modelling.concordance(truth, pred)}
+    b["rho_mean"] = float(resampling.row_r(rank_average(truth)[None], rank_average(pred)[None])[0])
+    return pd.DataFrame([a, b, c])
 
 
 def bands_of(oof: DataFrame, edges: tuple[float, float] = (0.90, 0.95)) -> DataFrame:
@@ -170,15 +211,16 @@ def directed_enrichment(coefficients: pd.DataFrame, sets: DataFrame, universe: D
         members.setdefault(r.set, set()).add(r.gene)
     for s, own in sorted(members.items()):
         t = resampling.signed_set_test(all_coef, np.array([n in own for n in names]))
-        rows.append((s, t["n"], t["n_positive"], t["p_sign"], None if math.isnan(t["p_rank"]) else float(t["p_rank"])))
-    extra = spark.createDataFrame(rows, "set string, coef_n long, coef_n_resistance long, coef_p_sign double, coef_p_rank double")
+        known = [None if math.isnan(t[k]) else float(t[k]) for k in ("p_sign", "mean_value", "p_rank")]
+        rows.append((s, t["n"], t["n_positive"], *known))
+    extra = spark.createDataFrame(rows, "set string, coef_n long, coef_n_resistance long, coef_p_sign double, coef_mean double, coef_p_rank double")
     return base.join(extra, "set", "left")
 
 
 def calibrate(pred: DataFrame, truth: str, value: str, key: str, seed: int = 0) -> dict:
     """Slope and intercept fitted on a seeded half of the lines, and the metrics on the other half
     before and after."""
-    pdf = pred.select(key, truth, value).dropna().orderBy(key).toPandas()
+    pdf = to_local(pred.select(key, truth, value).dropna(), "the lines of a calibration").sort_values(key, kind="stable")
     half = np.zeros(len(pdf), bool)
     half[np.random.default_rng(seed).permutation(len(pdf))[: len(pdf) // 2]] = True
     x, y = pdf[value].to_numpy(float), pdf[truth].to_numpy(float)
@@ -227,17 +269,25 @@ def specific_response(long: DataFrame, line: str, item: str, value: str, focal:
 
 
 def induction(scores: DataFrame, ranks: DataFrame, sets: dict[str, list[str]], hours: str = "hours", adjust: str = "CellCycle", draws: int = 200, seed: int = 0) -> dict[str, pd.DataFrame]:
-    """Trends of each score over time, its trend against random sets, and adjusted for one score.
+    """Trends of each score over time, its trend against random sets scored the same way, and
+    adjusted for one score.
 
     A dozen samples: the rank matrix is small, the draws run on it in numpy."""
-    trend = scoring.trend_stats(scores, "set", hours, "score").toPandas()
-    wide = ranks.groupBy("sample", hours).pivot("gene").agg(F.first("p")).orderBy("sample").toPandas()
-    genes, h = [c for c in wide.columns if c not in ("sample", hours)], wide[hours].to_numpy(float)
-    m = wide[genes].to_numpy(float)
+    trend = to_local(scoring.trend_stats(scores, "set", hours, "score"), "trends")
+    cells = ranks.groupBy("sample", hours, "gene").agg(F.first("p").alias("p"))
+    wide = to_local(cells, "the ranks of a time course").pivot(index=["sample", hours], columns="gene", values="p").sort_index()
+    genes, h = list(wide.columns), wide.index.get_level_values(hours).to_numpy(float)
+    m = wide.to_numpy(float)
     at = {g: i for i, g in enumerate(genes)}
+    mean, var = np.nanmean(m, axis=1), np.nanvar(m, axis=1, ddof=1)
 
     def r_of(index: np.ndarray) -> float:
-        return float(resampling.row_r(m[:, index].mean(axis=1)[None], h[None])[0])
+        """r with time of the background score of these genes: (mean rank - mean) / standard error."""
+        n, k = m.shape[1], len(index)
+        se = np.sqrt(var / k * (n - k) / (n - 1))
+        with np.errstate(all="ignore"):
+            score = np.where(se > 0, (m[:, index].mean(axis=1) - mean) / se, np.nan)
+        return float(resampling.row_r(score[None], h[None])[0])
 
     own = {s: np.array([at[g] for g in gs if g in at], int) for s, gs in sets.items()}
     own = {s: i for s, i in own.items() if len(i)}
@@ -251,6 +301,47 @@ def induction(scores: DataFrame, ranks: DataFrame, sets: dict[str, list[str]], h
     return {"trend": trend, "compositional": null, "adjusted": pd.DataFrame(rows)}
 
 
+def cross_arm(resistance: DataFrame, trend: DataFrame, above: float = 0.2) -> DataFrame:
+    """feature, r_resistance (across lines), r_induction (over time), both_positive.
+
+    resistance: set, r; trend: set, trend_r."""
+    j = resistance.select(F.col("set").alias("feature"), F.col("r").alias("r_resistance")).join(trend.select(F.col("set").alias("feature"), F.col("trend_r").alias("r_induction")), "feature")
+    return j.withColumn("both_positive", F.coalesce((F.col("r_resistance") > above) & (F.col("r_induction") > above), F.lit(False)))
+
+
+def low_recovery(recovery: DataFrame, features: list[str], parts: dict[str, tuple[str, ...]], least: float = 80.0) -> DataFrame:
+    """feature, low_recovery: whether a feature, or any of the sets it is made of, has under `least`
+    percent of its genes. recovery: set, pct."""
+    rows = [(f, s) for f in features for s in parts.get(f, (f,))]
+    of = recovery.sparkSession.createDataFrame(rows, "feature string, `set` string")
+    low = F.coalesce(F.max(F.col("pct") < least), F.lit(False))
+    return of.join(recovery.select("set", "pct"), "set", "left").groupBy("feature").agg(low.alias("low_recovery"))
+
+
+def shared_gene_readout(ranks: DataFrame, sets: DataFrame, a: str, b: str, sample: str = "sample", lines: DataFrame | None = None) -> dict:
+    """How much of two scores' correlation comes from shared genes: n_shared, pct of the smaller set,
+    r of the full and of the trimmed sets over samples (all, or the given ones)."""
+    own = sets.filter(F.col("set").isin(a, b)).select("set", "gene").distinct()
+    n = {r["set"]: r["count"] for r in own.groupBy("set").count().collect()}
+    both = own.groupBy("gene").agg(F.count(F.lit(1)).alias("k")).filter("k = 2").select("gene")
+    shared = both.count()
+    out = {"a": a, "b": b, "n_shared": shared, "pct": 100 * shared / min(n.get(a, 0), n.get(b, 0)) if a in n and b in n else math.nan}
+    for name, s in (("full", own), ("trimmed", own.join(both, "gene", "left_anti"))):
+        score = scoring.background_score(ranks, s, sample, "gene")
+        wide = score.groupBy(sample).pivot("set", [a, b]).agg(F.first("score"))
+        wide = wide if lines is None else wide.join(lines.select(sample).distinct(), sample, "left_semi")
+        out[f"r_{name}"] = wide.agg(safe_corr(F.col(f"`{a}`"), F.col(f"`{b}`"))).first()[0]
+    return out
+
+
+def odds_text(row: dict) -> str:
+    """One association in a line of a report, with its flag for low recovery."""
+    if row["status"] != "ok":
+        return f"n={row['n']}, {row['status']}"
+    mark = ("*" if row["p"] < 0.05 else "") + ("  **LOW RECOVERY**" if row.get("low_recovery") else "")
+    return f"n={row['n']}, OR/SD={row['OR_per_SD']:.2f} (95% CI {row['OR_CI95_lo']:.2f}-{row['OR_CI95_hi']:.2f}), p={row['p']:.3f}{mark}"
+
+
 # ---------------------------------------------------------------- L10, L11, L12 several drugs
 
 
@@ -315,7 +406,11 @@ def outcome(significant: int) -> str:
 
 def regimen(a: DataFrame, b: DataFrame, line: str = "line") -> DataFrame:
     """line, score: the mean of two drugs' standardised out-of-fold predictions."""
-    z = lambda df, n: df.groupBy(line).agg(F.avg("pred").alias("p")).select(line, F.try_divide(F.col("p") - F.avg("p").over(W.partitionBy(F.lit(0))), F.nullif(F.stddev_samp("p").over(W.partitionBy(F.lit(0))), F.lit(0.0))).alias(n))
+    def z(df: DataFrame, n: str) -> DataFrame:
+        own = df.groupBy(line).agg(F.avg("pred").alias("p"))
+        m = own.agg(F.avg("p").alias("_m"), F.stddev_samp("p").alias("_s"))  # one row
+        return own.crossJoin(F.broadcast(m)).select(line, F.try_divide(F.col("p") - F.col("_m"), F.nullif("_s", F.lit(0.0))).alias(n))
+
     return z(a, "za").join(z(b, "zb"), line).withColumn("score", (F.col("za") + F.col("zb")) / 2)
 
 
@@ -325,7 +420,7 @@ def regimen(a: DataFrame, b: DataFrame, line: str = "line") -> DataFrame:
 def clinical_tests(scores: DataFrame, covariates: DataFrame, modules: list[str], adjust: list[str], categories: list[str], sample: str = "sample_id") -> pd.DataFrame:
     """feature, model (unadjusted / adjusted), n, OR per SD, interval, p, q."""
     wide = scores.groupBy(sample).pivot("set", modules).agg(F.first("score")).join(covariates, sample).orderBy(sample)
-    pdf, rows = wide.toPandas(), []
+    pdf, rows = to_local(wide, "a clinical cohort"), []
     for m in modules:
         for model in ("unadjusted", "adjusted"):
             use = pdf.dropna(subset=[m, "response", *(adjust + categories if model == "adjusted" else [])])
@@ -484,7 +579,7 @@ def batch_adjusted(long: DataFrame, gene: str, sample: str, value: str, batch: D
     """gene, sample, value after empirical-Bayes batch adjustment of the genes all batches have.
 
     The moments' priors need all genes of a batch at once: a cohort of hundreds of samples."""
-    m = long.join(batch, sample).toPandas().pivot_table(index=gene, columns=sample, values=value).dropna()
+    m = to_local(long.join(batch, sample), "a cohort to adjust").pivot_table(index=gene, columns=sample, values=value).dropna()
     of = {r[sample]: r["batch"] for r in batch.select(sample, "batch").collect()}
     fixed = modelling.combat(m.to_numpy(float), np.array([of[c] for c in m.columns]))
     out = pd.DataFrame(fixed, index=m.index, columns=m.columns).stack().rename(value).reset_index()
