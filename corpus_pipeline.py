@@ -29,8 +29,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the smallest doc_id."""
-    return near_dup.dedup_documents(docs, k=5, percent=80)
+    """One document of each group of near-duplicates stays: the smallest doc_id.
+
+    Groups are of the texts as they come, and of the documents before line_dedup cut the
+    lines that copies share, which would leave stumps of them."""
+    return near_dup.dedup_documents(docs, k=5, percent=80, as_read=spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
