@@ -3,9 +3,11 @@ broadcasts, and numpy kernels over the raw bytes of Arrow string columns."""
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +45,40 @@ def staged(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(out)
+    return out
+
+
+#: Staged tables of the scopes that are open, innermost last.
+_SCOPES: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged inside are deleted at its end, but for those given to what it yields. An
+    operator stages its result, keeps that, and so leaves nothing else behind; the shuffle
+    files of what is gone go as well."""
+    own: list[DataFrame] = []
+    _SCOPES.append(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        own[:] = [t for t in own if t is not df]
+        if len(_SCOPES) > 1:
+            _SCOPES[-2].append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.pop()
+        if own:
+            spark = own[0].sparkSession
+            unstage(*own)
+            own.clear()
+            gc.collect()
+            spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of plans that nothing holds
 
 
 def unstage(*tables: DataFrame) -> None:

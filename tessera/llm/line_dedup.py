@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.window import WindowSpec
 
-from .common import maybe_broadcast, staged, text_key
+from .common import maybe_broadcast, scope, staged, text_key
 from .mixing import WORD
 
 #: Ranges of line IDs that are ranked apart.
@@ -176,7 +176,9 @@ def cut_by(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def line_dedup(docs: DataFrame, min_words: int = 5, tails: bool = False) -> DataFrame:
     """row (the document as it was), text (less later copies), n_lines, n_deleted, n_runs."""
-    return cut_by(docs, deleted_lines(docs, min_words, tails))
+    with scope() as keep:
+        gone = keep(staged(deleted_lines(docs, min_words, tails)))
+    return cut_by(docs, gone)
 
 
 def _at(table: DataFrame, doc: str, th: str, i: Column, names: dict[str, str]) -> tuple[DataFrame, Column]:
@@ -193,6 +195,11 @@ def repeated_runs(docs: DataFrame, min_words: int = 5) -> DataFrame:
     with an earlier one is taken, and their longest common prefix is put together
     from the ranks of the levels below. Runs that go on from the line before, in both documents,
     are left out; runs with different first copies may overlap."""
+    with scope() as keep:
+        return keep(staged(_repeated_runs(docs, min_words)))
+
+
+def _repeated_runs(docs: DataFrame, min_words: int) -> DataFrame:
     lines = staged(lines_of(docs))
     level = staged(lines.join(first_ranks(lines), "id").select(*_PLACE, "rank"))
     place = F.struct(*_PLACE)

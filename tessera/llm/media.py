@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, bound_batches, gear_cuts, maybe_broadcast, staged, unstage
+from .common import blocks, bound_batches, gear_cuts, maybe_broadcast, scope, staged, unstage
 
 UNIT = 576
 PAD = 255
@@ -196,6 +196,7 @@ def read_back(kept: DataFrame) -> DataFrame:
 
 def media_features(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and FEATURES of every document, read back from the store."""
-    rows, kept = store(docs)
-    got = staged(read_back(kept).dropDuplicates(["payload"]))
-    return rows.join(got, "payload").drop("payload")
+    with scope() as keep:
+        rows, kept = store(docs)
+        got = staged(read_back(kept).dropDuplicates(["payload"]))
+        return keep(staged(rows.join(got, "payload").drop("payload")))

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER, blocks, bound_batches, hash_spans, maybe_broadcast, mix64, offsets_of, spans_of, staged
+from .common import LOWER, blocks, bound_batches, hash_spans, maybe_broadcast, mix64, offsets_of, scope, spans_of, staged, unstage
 from .components import components
 
 TREES, ROOTS = 4, 2
@@ -458,6 +458,11 @@ def _leftovers(docs: DataFrame, reps: DataFrame, tight: DataFrame, roots: DataFr
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable), kept, of every row."""
+    with scope() as keep:
+        return keep(staged(_near_duplicates(docs, k, percent)))
+
+
+def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     similarity = percent / 100
     marks = staged(signatures(docs, k))
     full = marks.filter("n > 0 AND doc_id IS NOT NULL")
@@ -471,9 +476,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     roots = reps.select("rep", "n", "sig", F.posexplode("roots").alias("i", "v"))
     rows = roots.select(F.xxhash64(F.lit("tree"), "i", "v").alias("node"), F.lit(1).alias("depth"), "rep", "n", "sig")
-    found, tight = [], []
+    found, tight, outs = [], [], []
     while True:
         out = staged(_level(rows, similarity))
+        outs.append(out)
         found.append(out.filter("other IS NOT NULL").select(F.when(F.col("kind") == MORE_PAIRS, MORE_PAIRS).otherwise(PAIR).alias("kind"), F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")))
         tight.append(out.filter(F.col("kind") == TIGHT).select("node", "rep"))
         rows = out.filter(F.col("kind") == CHILD).select("node", "depth", "rep", "n", "sig")
@@ -483,12 +489,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     for f in found[1:]:
         pairs = pairs.unionByName(f)
     pairs = staged(pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")))
+    for t in tight[1:]:
+        tight[0] = tight[0].unionByName(t)
+    tight = staged(tight[0])
+    unstage(*outs)
     links = staged(confirmed(docs, reps, pairs.filter(F.col("kind") == PAIR).select("a", "b"), k, percent).unionByName(own))
     tied = staged(components(links))
     rest = _between(pairs.filter(F.col("kind") == MORE_PAIRS).select("a", "b"), tied)
-    for t in tight[1:]:
-        tight[0] = tight[0].unionByName(t)
-    links = links.unionByName(_leftovers(docs, reps, tight[0], tied, k, percent)).unionByName(confirmed(docs, reps, rest.distinct(), k, percent))
+    links = links.unionByName(_leftovers(docs, reps, tight, tied, k, percent)).unionByName(confirmed(docs, reps, rest.distinct(), k, percent))
     tied = staged(components(links))
     least = staged(tied.join(reps.select("rep", "low"), F.col("node") == F.col("rep")).groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("least")))
     tied = tied.join(maybe_broadcast(least, 32), F.col("root") == F.col("_root")).select(F.col("node").alias("rep"), "least")
@@ -510,19 +518,25 @@ def dedup_documents(docs: DataFrame, k: int = 5, percent: int = 80, as_read: Dat
     smallest doc_id of it stays. Rows without a counterpart there are not touched by this."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"))
-    gone = staged(near_duplicates(docs, k, percent).filter("NOT kept").select("doc_id").distinct())
-    if as_read is not None:
-        stays = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().join(gone, "doc_id", "left_anti")
-        before = as_read.select("doc_id", "text").join(docs.select("doc_id"), "doc_id", "left_semi")
-        of = near_duplicates(before, k, percent).filter("n_shingles > 0").select("doc_id", "component_id").distinct().join(stays, "doc_id", "left_semi")
-        of = staged(of)
-        one = of.groupBy("component_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("m")).filter("m > 1")
-        many = of.join(one.select("component_id"), "component_id", "left_semi").join(one.select("doc_id"), "doc_id", "left_anti")
-        gone = gone.unionByName(many.select("doc_id"))
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    left = rows.join(gone, F.col("id") == F.col("_gone"), "left_anti")
+    with scope() as keep:
+        gone = keep(staged(_gone(docs, k, percent, as_read)))
+    left = rows.join(gone.select(F.col("doc_id").alias("_gone")), F.col("id") == F.col("_gone"), "left_anti")
     # ids are counted first, so rows with an id of their own are not sorted
     twice = staged(left.filter("id IS NOT NULL").groupBy(F.col("id").alias("_id")).agg(F.count(F.lit(1)).alias("m"), F.min("th").alias("_th")).filter("m > 1").drop("m"))
     single = left.join(twice, F.col("id") == F.col("_id"), "left_anti").select("row.*")
     least = left.join(twice, (F.col("id") == F.col("_id")) & F.col("th").eqNullSafe(F.col("_th"))).dropDuplicates(["id"]).select("row.*")
     return single.unionByName(least)
+
+
+def _gone(docs: DataFrame, k: int, percent: int, as_read: DataFrame | None) -> DataFrame:
+    """doc_id of the documents that dedup_documents leaves out, each once."""
+    gone = staged(near_duplicates(docs, k, percent).filter("NOT kept").select("doc_id").distinct())
+    if as_read is None:
+        return gone
+    stays = docs.filter("doc_id IS NOT NULL").select("doc_id").distinct().join(gone, "doc_id", "left_anti")
+    before = as_read.select("doc_id", "text").join(docs.select("doc_id"), "doc_id", "left_semi")
+    of = near_duplicates(before, k, percent).filter("n_shingles > 0").select("doc_id", "component_id").distinct().join(stays, "doc_id", "left_semi")
+    of = staged(of)
+    one = of.groupBy("component_id").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    many = of.join(one.select("component_id"), "component_id", "left_semi").join(one.select("doc_id"), "doc_id", "left_anti")
+    return gone.unionByName(many.select("doc_id"))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import staged
+from .common import scope, staged
 
 SAMPLE, RECALL, LISTS, BLOCK = 8192, 0.97, 1024, 4096
 COLUMNS, EPSILON = 16, 2.1
@@ -117,6 +117,11 @@ def usable(vector: str) -> Column:
 
 def nearest(table: DataFrame, query: Column, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of every row with query true."""
+    with scope() as keep:
+        return keep(staged(_nearest(table, query, k, vec_id, vector)))
+
+
+def _nearest(table: DataFrame, query: Column, k: int, vec_id: str, vector: str) -> DataFrame:
     spark = table.sparkSession
     more = k + 1  # a query's own row is among the candidates of its class
     e = F.col(vector).cast("array<double>")

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import GEAR, SPACES, blocks, bound_batches, hash_spans, maybe_broadcast, mix64, offsets_of, spans_of, staged, text_key, unstage
+from .common import GEAR, SPACES, blocks, bound_batches, hash_spans, maybe_broadcast, mix64, offsets_of, scope, spans_of, staged, text_key, unstage
 
 #: Chunks of 32 to 128 bytes, 48 in the mean. 32 bytes is the hash's window: no cut
 #: depends on bytes of another text.
@@ -273,6 +273,11 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, min_bytes: int = 400)
     """Documents with later copies: doc_id, n_bytes, dup_bytes, first_doc_ids (where the
     first copies stand), spans (start, end in bytes) and text without them. A
     document that is not listed has none."""
+    with scope() as keep:
+        return keep(staged(_substring_dedup(docs, min_words, min_bytes)))
+
+
+def _substring_dedup(docs: DataFrame, min_words: int, min_bytes: int) -> DataFrame:
     runs = later_runs(docs)
     same = F.col("first_doc").eqNullSafe(F.col("f")) & (F.col("first_th") == F.col("ft")) & (F.col("a") == F.col("fa")) & (F.col("z") == F.col("fz"))
     per = runs.join(_first_bytes(docs, runs), same).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("start", "first_doc", "raw")).alias("runs"))

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, blocks, bound_batches, hash_spans, offsets_of, spans_of, staged
+from .common import LOWER, blocks, bound_batches, hash_spans, offsets_of, scope, spans_of, staged
 
 #: Labelled documents that are learnt from at most, lowest seeded hash first.
 TRAIN_ROWS = 30_000
@@ -283,7 +283,8 @@ def doc_crc() -> Column:
 def train_on(docs: DataFrame, labels: DataFrame, **more) -> Model:
     """Learn from the labelled rows whose crc32(doc_id) mod 5 is not 0."""
     try:
-        return train(training_rows(docs, labels, doc_crc() % 5 != 0), **more)
+        with scope():
+            return train(training_rows(docs, labels, doc_crc() % 5 != 0), **more)
     except NothingToLearn:
         odds = math.log(NO_EVIDENCE / (1 - NO_EVIDENCE))
         return Model(np.empty(0, np.uint64), np.empty(0), -1.0, 1.0, 1.0, 0.01, (odds, 0.0, 0.0))
