@@ -1,8 +1,9 @@
 """Approximate nearest neighbours: inverted lists scanned by adaptive dimensions.
 
 Equal vectors form one class, so a vector that a third of all rows share is indexed once,
-with its smallest ids. Centroids are fitted on at most `SAMPLE` classes (lowest hash
-first); every class is put into the list of its nearest centroid, and a query probes as
+with its smallest ids. Centroids are fitted on a sample of classes (lowest hash first): 16 a
+list, SAMPLE at least and MOST at most, so lists are as many as the root of the rows up to
+MOST / 16, and beyond that they grow; every class is put into the list of its nearest centroid, and a query probes as
 many lists as gave `RECALL` of the true neighbours on the sample (which a larger table
 only eases: its neighbours are nearer).
 
@@ -16,8 +17,9 @@ the queries that probe it.
 
 Edge cases: vectors that are null, empty, zero, or hold a null or non-finite component, and
 rows without an id, take no part; each dimension is a space of its own; fewer than k
-others give fewer rows; equal distances go to the smaller id; an empty table gives none;
-extra columns are ignored.
+others give fewer rows; equal distances go to the smaller id; a vec_id with several vectors
+is a candidate, and a query, with each of them, but never its own neighbour; an empty
+table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import Window as W
 
 from .common import scope, staged
 
-SAMPLE, RECALL, LISTS, BLOCK = 8192, 0.97, 1024, 4096
+SAMPLE, MOST, RECALL, BLOCK = 8192, 65_536, 0.97, 4096
 COLUMNS, EPSILON = 16, 2.1
 
 
@@ -45,7 +47,7 @@ class Index:
         dim = sample.shape[1]
         q, r = np.linalg.qr(rng.normal(size=(dim, dim)))
         self.rotation = q * np.sign(np.diag(r))
-        n = max(1, min(LISTS, round(math.sqrt(rows)), len(sample) // 16))
+        n = max(1, min(round(math.sqrt(rows)), len(sample) // 16))
         c = sample[rng.choice(len(sample), n, replace=False)].copy()
         for _ in range(10):
             own = self._near(sample, c)
@@ -132,9 +134,10 @@ def _nearest(table: DataFrame, query: Column, k: int, vec_id: str, vector: str)
     classes = staged(ids.groupBy("key").agg(F.any_value("_e").alias("e"), F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("dim", F.size("e")))
     asking = rows.filter("asks").select(F.col("vec_id").alias("query_id"), "key")
 
-    by_dim = W.partitionBy("dim").orderBy("key")
-    sample = classes.select("dim", "e", "key").withColumn("rn", F.row_number().over(by_dim)).filter(F.col("rn") <= SAMPLE).select("dim", "e").collect()
     rows_of = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
+    take = max([SAMPLE, *(min(MOST, 16 * math.isqrt(n)) for n in rows_of.values())])
+    by_dim = W.partitionBy("dim").orderBy("key")
+    sample = classes.select("dim", "e", "key").withColumn("rn", F.row_number().over(by_dim)).filter(F.col("rn") <= take).select("dim", "e").collect()
     indexes = {d: Index(np.array([r.e for r in sample if r.dim == d]), n, k) for d, n in rows_of.items()}
     shared = spark.sparkContext.broadcast(indexes)
 
@@ -147,7 +150,7 @@ def _nearest(table: DataFrame, query: Column, k: int, vec_id: str, vector: str)
                 yield pa.RecordBatch.from_arrays([*own.columns, pa.array(shared.value[d]._near(x, shared.value[d].centroids), pa.int32())], [*own.schema.names, "list"])
 
     indexed = staged(classes.mapInArrow(assign, "key string, e array<double>, ids array<long>, dim int, list int"))
-    parts = F.broadcast(indexed.groupBy("dim", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))  # at most LISTS rows a dimension
+    parts = F.broadcast(indexed.groupBy("dim", "list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts")))  # at most MOST / 16 rows a dimension
     held = indexed.join(parts, ["dim", "list"]).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
