@@ -73,21 +73,21 @@ def scope() -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield keep
     finally:
         _SCOPES.pop()
-        if own:
-            spark = own[0].sparkSession
-            unstage(*own)
-            own.clear()
-            gc.collect()
-            spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffle files of plans that nothing holds
+        unstage(*own)
+        own.clear()
 
 
 def unstage(*tables: DataFrame) -> None:
-    """Delete the files of staged tables that nothing will read again."""
+    """Delete the files of staged tables that nothing will read again, and let go of the shuffle
+    files of plans that nothing holds (Spark deletes those as the driver's garbage is collected)."""
     for df in tables:
         spark = df.sparkSession
         for file in df.inputFiles()[:1]:
             path = spark._jvm.org.apache.hadoop.fs.Path(file.rsplit("/", 1)[0])
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def maybe_broadcast(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:

@@ -38,6 +38,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import LOWER, blocks, bound_batches, hash_spans, maybe_broadcast, mix64, offsets_of, scope, spans_of, staged, unstage
+from .common import LOWER, blocks, bound_batches, hash_spans, maybe_broadcast, mix64, offsets_of, scope, spans_of, staged
 from .components import components
 
 TREES, ROOTS = 4, 2
@@ -474,37 +475,40 @@ def _near_duplicates(docs: DataFrame, k: int, percent: int) -> DataFrame:
     own = staged(own.select("doc_id", "rep"))
     own = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("b")), "doc_id").select(F.col("rep").alias("a"), "b").filter("a <> b").distinct()
 
+    with scope() as hold:
+        pairs, tight = map(hold, _candidates(reps, similarity))
+    with scope() as hold:
+        links = hold(staged(confirmed(docs, reps, pairs.filter(F.col("kind") == PAIR).select("a", "b"), k, percent).unionByName(own)))
+    with scope() as hold:
+        tied = hold(staged(components(links)))
+    with scope() as hold:
+        rest = _between(pairs.filter(F.col("kind") == MORE_PAIRS).select("a", "b"), tied)
+        more = hold(staged(_leftovers(docs, reps, tight, tied, k, percent).unionByName(confirmed(docs, reps, rest.distinct(), k, percent))))
+    with scope() as hold:
+        tied = hold(staged(components(links.unionByName(more))))
+    least = staged(tied.join(reps.select("rep", "low"), F.col("node") == F.col("rep")).groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("least")))
+    tied = tied.join(maybe_broadcast(least, 32), F.col("root") == F.col("_root")).select(F.col("node").alias("rep"), "least")
+    classes = reps.select("d1", "d2", "rep", "low").join(tied, "rep", "left").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("least", "low").alias("root"))
+    here = marks.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2", F.when(F.col("n") > 0, F.col("doc_id")).isNotNull().alias("has"))
+    out = here.join(classes, F.col("has") & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def _candidates(reps: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(a, b, kind of the pairs to confirm; node, rep of the tight nodes), from all levels of the trees."""
     roots = reps.select("rep", "n", "sig", F.posexplode("roots").alias("i", "v"))
     rows = roots.select(F.xxhash64(F.lit("tree"), "i", "v").alias("node"), F.lit(1).alias("depth"), "rep", "n", "sig")
-    found, tight, outs = [], [], []
+    pairs, tight = [], []
     while True:
         out = staged(_level(rows, similarity))
-        outs.append(out)
-        found.append(out.filter("other IS NOT NULL").select(F.when(F.col("kind") == MORE_PAIRS, MORE_PAIRS).otherwise(PAIR).alias("kind"), F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")))
+        pairs.append(out.filter("other IS NOT NULL").select(F.when(F.col("kind") == MORE_PAIRS, MORE_PAIRS).otherwise(PAIR).alias("kind"), F.greatest("rep", "other").alias("a"), F.least("rep", "other").alias("b")))
         tight.append(out.filter(F.col("kind") == TIGHT).select("node", "rep"))
         rows = out.filter(F.col("kind") == CHILD).select("node", "depth", "rep", "n", "sig")
         if rows.isEmpty():
             break
-    pairs = found[0]
-    for f in found[1:]:
-        pairs = pairs.unionByName(f)
-    pairs = staged(pairs.groupBy("a", "b").agg(F.min("kind").alias("kind")))
-    for t in tight[1:]:
-        tight[0] = tight[0].unionByName(t)
-    tight = staged(tight[0])
-    unstage(*outs)
-    links = staged(confirmed(docs, reps, pairs.filter(F.col("kind") == PAIR).select("a", "b"), k, percent).unionByName(own))
-    tied = staged(components(links))
-    rest = _between(pairs.filter(F.col("kind") == MORE_PAIRS).select("a", "b"), tied)
-    links = links.unionByName(_leftovers(docs, reps, tight, tied, k, percent)).unionByName(confirmed(docs, reps, rest.distinct(), k, percent))
-    tied = staged(components(links))
-    least = staged(tied.join(reps.select("rep", "low"), F.col("node") == F.col("rep")).groupBy(F.col("root").alias("_root")).agg(F.min("low").alias("least")))
-    tied = tied.join(maybe_broadcast(least, 32), F.col("root") == F.col("_root")).select(F.col("node").alias("rep"), "least")
-    classes = reps.select("d1", "d2", "rep", "low").join(tied, "rep", "left").select(F.col("d1").alias("_1"), F.col("d2").alias("_2"), F.coalesce("least", "low").alias("root"))
-    here = marks.select("doc_id", F.col("n").alias("n_shingles"), "d1", "d2", F.when(F.col("n") > 0, F.col("doc_id")).isNotNull().alias("has"))
-    out = here.join(classes, F.col("has") & (F.col("d1") == F.col("_1")) & (F.col("d2") == F.col("_2")), "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    every, closed = reduce(DataFrame.unionByName, pairs), reduce(DataFrame.unionByName, tight)
+    return staged(every.groupBy("a", "b").agg(F.min("kind").alias("kind"))), staged(closed)
 
 
 def dedup_documents(docs: DataFrame, k: int = 5, percent: int = 80, as_read: DataFrame | None = None) -> DataFrame:

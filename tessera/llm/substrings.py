@@ -40,7 +40,7 @@ LEAST, MASK_BITS, MOST = 32, 4, 128
 #: Bytes of a window, and places of which one is a cut.
 WINDOW, REACH = 32, 64
 #: Bytes of a block of texts, and the multiplier of its prefix sums with its inverse.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 _STEP = 0x9E3779B97F4A7C15
 _BACK = pow(_STEP, -1, 1 << 64)
 _UNEQUAL = np.array([True] + [False] * 255)
@@ -167,11 +167,12 @@ def later_runs(docs: DataFrame) -> DataFrame:
     is the place of its byte a in the later text (below 0: before it)."""
     cut = staged(cut_chunks(docs))
     again = not docs.groupBy("doc_id", text_key().alias("th")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-    twice = cut.groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d")
+    # what is counted is written before it is joined: the rows of one digest can be split over tasks
+    twice = staged(cut.groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d"))
     met = staged(cut.join(twice, "d"))
     unstage(cut)
     place = F.struct("doc_id", "th", "start")
-    first = met.groupBy("d").agg(F.min(place).alias("first"))
+    first = staged(met.groupBy("d").agg(F.min(place).alias("first")))
     later = met.join(first, "d").filter(~place.eqNullSafe(F.col("first")))
     later = later.select("doc_id", "th", "start", "size", F.col("first.doc_id").alias("first_doc"), F.col("first.th").alias("first_th"), F.col("first.start").alias("at"))
     later = later.distinct() if again else later
