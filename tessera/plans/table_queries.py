@@ -226,6 +226,22 @@ def set_shift_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spark.createDataFrame(out.astype({"set": str, "p": float})), 8)
 
 
+@query(f"""WITH {LONG}, y AS (SELECT vec_id AS sample, label % 5 AS g, embedding[1]::DOUBLE + embedding[2]::DOUBLE AS y, (row_number() OVER (ORDER BY vec_id) - 1) % 5 AS fold FROM embeddings),
+t AS (SELECT f.fold AS fold, feature, value - avg(value) OVER w AS cx, (y - avg(y) OVER w) / nullif(stddev_samp(y) OVER w, 0) AS cy FROM l JOIN y USING (sample) JOIN (SELECT unnest(range(5)) AS fold) f ON y.fold <> f.fold WINDOW w AS (PARTITION BY f.fold, feature, g)),
+r AS (SELECT fold, feature, abs(sum(cx * cy) / sqrt(sum(cx * cx) * sum(cy * cy))) AS r FROM t WHERE cy IS NOT NULL GROUP BY ALL)
+SELECT 0 AS "repeat", fold::INT AS fold, feature FROM r QUALIFY row_number() OVER (PARTITION BY fold ORDER BY round(r, 10) DESC, feature) <= 8""")
+def deconfounded_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature screen of every fold on values centred, and a response standardised, by the training
+    rows of each group."""
+    e = table(spark, sf_dir, "embeddings")
+    v = F.col("embedding").cast("array<double>")
+    y = stages.to_local(e.select(F.col("vec_id").alias("sample"), (F.col("label") % 5).alias("g"), (v[0] + v[1]).alias("y")), "lines").sort_values("sample").reset_index(drop=True)
+    y["row_ix"] = np.arange(len(y))
+    target = spark.createDataFrame(y)
+    folds = target.select(F.lit(0).alias("repeat"), "row_ix", (F.col("row_ix") % 5).cast("int").alias("fold"))
+    return modelling.screen_by_fold(features(spark, sf_dir), target, folds, "sample", "feature", "value", "y", 8, "g")
+
+
 # ---------------------------------------------------------------- models with a closed form
 
 #: Ridge with penalty 10 on one standardised column, each market segment predicted from the others.
