@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from tessera.llm.pieces import decode_documents
 
-from .helpers import prose
+from .helpers import near_components, prose
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, row string, _gone int, id string, size long, token_ids string"
 
@@ -55,9 +55,11 @@ def test_five_stages(spark, tmp_path):
     assert len(kept & set(range(first_toxic, first_toxic + 40))) <= 2
     assert kept >= set(range(first_toxic)) | {200, 201, 202, 203, None}
     assert sorted(map(str, ids["line_dedup"])) == sorted(map(str, ids["toxicity"]))
-    # no stump of a near copy stays, and every clean document does, once
+    # of documents that were alike as they were read, no stump stays; every clean one does, once
     left = ids["near_duplicates"]
-    assert not set(left) & set(range(len(base), len(base) + len(near)))
+    alike = near_components([(i, t) for i, t in texts[:first_toxic]], 5, 80)
+    gone = {i for i, (_, first) in alike.items() if first != i}
+    assert len(gone) >= 4 and gone <= set(range(len(base), len(base) + len(near))) and not set(left) & gone
     assert set(left) >= set(range(len(base))) | set(range(len(base) + len(near), first_toxic)) | {None}
     assert len(left) == len(set(left))
     mixed = out["mixing"].collect()
