@@ -85,7 +85,13 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_docs(spark, sf_dir).select("doc_id", "text"), check=True).drop("text")
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_neighbours": op2_neighbours, "op6_pieces": op6_pieces, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op3_language": op3_language, "op7_media": op7_media, "op8_near_dup": op8_near_dup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity}
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(_docs(spark, sf_dir))
+
+
+QUERIES = {"op12_packing": op12_packing, "op1_mixing": op1_mixing, "op2_neighbours": op2_neighbours, "op6_pieces": op6_pieces, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op3_language": op3_language, "op7_media": op7_media, "op8_near_dup": op8_near_dup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity}
 _WORD = r"[^\x20\x09-\x0D]+"
 
 #: Sainte-Laguë by its definition: every seat's quotient, sorted.
