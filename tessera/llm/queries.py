@@ -85,13 +85,37 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_docs(spark, sf_dir).select("doc_id", "text"), check=True).drop("text")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """conversations with planted faults, by the checksum of conversation and turn."""
+    named = rows.select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    blank = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    named = named.withColumn("fault", F.crc32(F.concat(blank("conv_id"), F.lit(":"), blank("turn"))) % 20).filter("fault <> 0")
+    text = F.when(F.col("fault") == 1, F.lit("")).when(F.col("fault") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, F.lit("user")).otherwise(F.col("role"))
+    return named.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1))).alias("copy")).drop("copy")
+
+
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .conversations import structure
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return structure(damaged(rows), rows)
+
+
 def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
     return pack(_docs(spark, sf_dir))
 
 
-QUERIES = {"op12_packing": op12_packing, "op1_mixing": op1_mixing, "op2_neighbours": op2_neighbours, "op6_pieces": op6_pieces, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op3_language": op3_language, "op7_media": op7_media, "op8_near_dup": op8_near_dup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity}
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hard_negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0, label)
+
+
+QUERIES = {"op11_conversations": op11_conversations, "op13_hard_negatives": op13_hard_negatives, "op12_packing": op12_packing, "op1_mixing": op1_mixing, "op2_neighbours": op2_neighbours, "op6_pieces": op6_pieces, "op4_sharding": op4_sharding, "op5_line_dedup": op5_line_dedup, "op3_language": op3_language, "op7_media": op7_media, "op8_near_dup": op8_near_dup, "op9_substring_dedup": op9_substring_dedup, "op10_toxicity": op10_toxicity}
 _WORD = r"[^\x20\x09-\x0D]+"
 
 #: Sainte-Laguë by its definition: every seat's quotient, sorted.
@@ -156,4 +180,47 @@ t AS (SELECT {fill(SHARDS)}::INT[] AS shards)
 SELECT p.*, t.shards[slot + 1] AS shard FROM p, t"""
 
 
-ORACLES: dict[str, str] = {"op4_sharding": _sharding(), "op1_mixing": _MIXING, "op5_line_dedup": _LINES, "op8_near_dup": _NEAR}
+#: Every anchor against every row.
+_NEGATIVES = """
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))::BIGINT AS score FROM r a JOIN r b ON len(a.e) = len(b.e) WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same AND vec_id <> anchor_id QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT p.anchor_id, positive_id, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id)::INT AS rank, s.vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, s.vec_id) <= 3"""
+
+def _edit(way: str, cost: str, letter: str, text: str = "") -> str:
+    """A way with one more edit, or null where there is none; text: the row that stays, as SQL."""
+    more = f"{way}.t || CASE WHEN {way}.k THEN chr(10) ELSE '' END || {text}" if text else f"{way}.t"
+    return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 'k': {'true' if text else f'{way}.k'}, 't': {more}}} END"
+
+
+def _conversations() -> str:
+    """The checksum bit by bit, then row by row the least (cost, audit) at the start, after a system row, after a user and after an assistant."""
+    least = lambda *ways: f"list_min(list_filter([{', '.join(ways)}], lambda w: w IS NOT NULL))"
+    put = lambda w, role: _edit(w, "5", "I", f"'{role}:'")
+    drop = lambda w: _edit(w, "2", "D")
+    keep = lambda w, r: f"CASE WHEN NOT t.gone AND t.initial = '{r}' THEN {_edit(w, 't.cut', 'K', 't.line')} END"
+    turn = lambda w, role: f"CASE WHEN NOT t.gone THEN {_edit(w, '1 + t.cut', 'R', f"'{role}:' || t.text")} END"
+    after = [drop("b.s0"), least(drop("b.s1"), keep("b.s0", "s")), least(drop("b.s2"), *[f(w, "u" if f is keep else "user") for f in (keep, turn) for w in ("b.s0", "b.s1", "b.s3")]), least(drop("b.s3"), keep("b.s2", "a"), turn("b.s2", "assistant"))]
+    users = lambda p: least(f"{p}.s2", *[put(f"{p}.{s}", "user") for s in ("s0", "s1", "s3")])
+    agents = lambda p: least(f"{p}.s3", put(f"{p}.s2", "assistant"))
+    crc = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT)), lambda a, x: list_reduce(list_prepend(xor(a, x), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda r, _: xor(r >> 1, 3988292384 * (r & 1))))"
+    return rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+h AS (SELECT * EXCLUDE (k), xor({crc}, 4294967295) % 20 AS fault FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE fault <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-]*$') AS unended FROM n),
+t AS (SELECT *, blank OR again AS gone, CASE WHEN unended THEN 5 ELSE 0 END AS cut, role || ':' || text AS line, coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS odd FROM f),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (NOT blank AND again)::BIGINT AS duplicate, count(*) FILTER (NOT gone AND unended)::BIGINT AS truncated, count(*) FILTER (odd)::BIGINT AS illegal, max(i) AS rows FROM t GROUP BY 1),
+w AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'k': false, 't': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, k BOOLEAN, t VARCHAR) AS s1, {{'c': 5::BIGINT, 'a': 'I', 'k': true, 't': 'user:'}} AS s2, {{'c': 10::BIGINT, 'a': 'II', 'k': true, 't': 'user:' || chr(10) || 'assistant:'}} AS s3 FROM g
+  UNION ALL SELECT z.conv_id, z.i, z.s0, z.s1, z.s2, {agents("z")} AS s3 FROM (SELECT y.conv_id, y.i, y.s0, y.s1, {users("y")} AS s2, y.s3 FROM (SELECT b.conv_id, t.i, {", ".join(f"{x} AS s{i}" for i, x in enumerate(after))} FROM w b JOIN t ON t.conv_id IS NOT DISTINCT FROM b.conv_id AND t.i = b.i + 1) y) z),
+r AS (SELECT w.conv_id, list_min(list_filter([s0, s3], lambda x: x IS NOT NULL)) AS best FROM w JOIN g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND w.i = g.rows)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+ORACLES: dict[str, str] = {"op11_conversations": _conversations(), "op13_hard_negatives": _NEGATIVES, "op4_sharding": _sharding(), "op1_mixing": _MIXING, "op5_line_dedup": _LINES, "op8_near_dup": _NEAR}
