@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .local import cut, sized_broadcast
 from .nulls import col, safe_corr
 
 
@@ -90,3 +91,21 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame
     """The first row of each key in an explicit order."""
     rn = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
     return df.withColumn("_rn", rn).filter("_rn = 1").drop("_rn")
+
+
+def numbered(df: DataFrame, order: list[Column | str], *groups: str, name: str = "_i", total: str = "_n") -> DataFrame:
+    """df with the 0-based place of each row in its group, in the given order, and the group's rows.
+
+    Rows are range-sorted, and numbered from what the tasks before hold of the group: a group of any
+    size is spread over tasks. The order must tell rows apart for the same places each time."""
+    keys = [*[F.col(g) for g in groups], *[F.col(c) if isinstance(c, str) else c for c in order]]
+    rows = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("_task", F.shiftrightunsigned("_at", 33))
+    w = W.partitionBy(*groups)
+    held = rows.groupBy(*groups, "_task").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_c"))  # a row a group and task
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_task").alias("_t"), (before - F.col("_first")).alias("_shift"), F.sum("_c").over(w).alias(total))
+    same = F.col("_task") == F.col("_t")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return rows.join(sized_broadcast(held, 64), same).withColumn(name, F.col("_at") + F.col("_shift")).drop("_at", "_task", "_t", "_shift", *[f"_g{i}" for i in range(len(groups))])

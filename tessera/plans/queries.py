@@ -455,13 +455,6 @@ def cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cross_validate_long(long, c.select("model_id", "lineage", "y"), "model_id", "feature", "value", "y", ElasticNet, "lineage", True)
 
 
-@query()
-def bootstrap_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators.resampling import grouped_bootstrap
-
-    return grouped_bootstrap(table(spark, sf_dir, "orders").withColumn("d", F.col("o_custkey") % 97), "o_totalprice", "d", ["o_orderpriority"], order="o_orderkey")
-
-
 @query()
 def set_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     import numpy as np
@@ -481,25 +474,3 @@ def baseline_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     t = _cohort(spark, sf_dir).withColumn("x0", F.col("features")[0]).withColumn("x1", F.col("features")[1])
     return spark.createDataFrame(baselines(t, "y", ["x0", "x1"], "lineage").drop(columns="leak").astype({"baseline": str}))
-
-
-@query()
-def batch_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .stages import batch_adjusted as adjust
-
-    long = features(spark, sf_dir)
-    return adjust(long, "feature", "sample", "value", table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), (F.col("label") % 3).alias("batch")))
-
-
-@query()
-def logistic_set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-
-    from ..operators.modelling import logit
-    from .stages import random_sets_null
-
-    c = to_local(_cohort(spark, sf_dir), "a cohort", 64).sort_values("model_id")
-    x, y = np.stack(c["features"]), (c["y"] > c["y"].median()).to_numpy(float)
-    s = x[:, :4].mean(axis=1)
-    z = float(logit(((s - s.mean()) / s.std())[:, None], y).z[1])
-    return spark.createDataFrame([(4, z, random_sets_null(spark, x, y, 4, z))], "size int, z double, p double")
