@@ -40,20 +40,20 @@ def _posterior_udf(n: pd.Series, g: pd.Series, d: pd.Series, g_bar: pd.Series, t
 
 
 def batch_effects(long: DataFrame, gene: str, value: str) -> DataFrame:
-    """gene, batch, grand, sd, effect, spread: what adjusted values are computed from.
+    """gene, batch, _grand, _sd, _effect, _spread: what adjusted values are computed from.
 
     long has one value a gene and sample, with its batch. Genes that miss a sample of any batch are left
     out. A gene that is constant in a batch keeps its values (effect 0, spread 1, and no part in the priors).
     If a batch has one sample only, spreads are not adjusted."""
-    known = long.filter(F.col(value).isNotNull() & F.col("batch").isNotNull())
-    m = known.groupBy(gene, "batch").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    known = long.select(F.col(gene).alias("_gene"), "batch", F.col(value).alias("_value")).filter("_value IS NOT NULL AND batch IS NOT NULL")
+    m = known.groupBy("_gene", "batch").agg(F.count(F.lit(1)).alias("n"), F.avg("_value").alias("m"), F.var_pop("_value").alias("v"))
     whole = m.groupBy("batch").agg(F.max("n").alias("full"))  # a batch's samples: genes without gaps have them all
     batches = whole.agg(F.count(F.lit(1)).alias("k"), F.min("full").alias("least")).first()
     mean_only = (batches.least or 0) < 2
     m = m.join(sized_broadcast(whole, 32), "batch").filter("n = full")
-    per = m.groupBy(gene).agg(F.count(F.lit(1)).alias("k"), F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("grand"), F.sqrt(F.try_divide(F.sum(F.col("n") * F.col("v")), F.sum("n"))).alias("sd"), F.min("v").alias("least"))
+    per = m.groupBy("_gene").agg(F.count(F.lit(1)).alias("k"), F.try_divide(F.sum(F.col("n") * F.col("m")), F.sum("n")).alias("grand"), F.sqrt(F.try_divide(F.sum(F.col("n") * F.col("v")), F.sum("n"))).alias("sd"), F.min("v").alias("least"))
     per = per.filter(F.col("k") == (batches.k or 0)).withColumn("moves", (F.col("sd") > 0) & (F.lit(mean_only) | (F.col("least") > 0))).drop("k", "least")
-    rows = m.join(per, gene)
+    rows = m.join(per, "_gene")
     own = F.col("n").cast("double")
     rows = rows.withColumn("g", F.when(F.col("moves"), (F.col("m") - F.col("grand")) / F.col("sd"))).withColumn("d", F.when(F.col("moves"), F.lit(1.0) if mean_only else own * F.col("v") / (own - 1) / (F.col("sd") * F.col("sd"))))
     s2, mean = F.var_samp("d"), F.avg("d")
@@ -64,13 +64,13 @@ def batch_effects(long: DataFrame, gene: str, value: str) -> DataFrame:
         rows = rows.withColumn("p", F.struct(effect.alias("g"), F.lit(1.0).alias("d")))
     else:
         rows = rows.withColumn("p", _posterior_udf(own, "g", "d", "g_bar", "t2", "a", "b"))
-    return rows.select(gene, "batch", "grand", "sd", F.when(F.col("moves"), F.col("p.g")).otherwise(0.0).alias("effect"), F.when(F.col("moves"), F.col("p.d")).otherwise(1.0).alias("spread"))
+    return rows.select(F.col("_gene").alias(gene), "batch", F.col("grand").alias("_grand"), F.col("sd").alias("_sd"), F.when(F.col("moves"), F.col("p.g")).otherwise(0.0).alias("_effect"), F.when(F.col("moves"), F.col("p.d")).otherwise(1.0).alias("_spread"))
 
 
 def batch_adjusted(long: DataFrame, gene: str, sample: str, value: str, batch: DataFrame) -> DataFrame:
     """gene, sample, value after adjustment of the genes that all samples have; batch: sample, batch."""
-    rows = long.join(sized_broadcast(batch.select(sample, "batch"), 64), sample)
+    rows = long.select(gene, sample, value).join(sized_broadcast(batch.select(sample, "batch"), 64), sample)
     found = rows.join(sized_broadcast(batch_effects(rows, gene, value), 64), [gene, "batch"])
-    z = (F.col(value) - F.col("grand")) / F.nullif("sd", F.lit(0.0))
-    moved = (z - F.col("effect")) / F.sqrt("spread") * F.col("sd") + F.col("grand")
+    z = F.try_divide(F.col(value) - F.col("_grand"), F.nullif("_sd", F.lit(0.0)))
+    moved = (z - F.col("_effect")) / F.sqrt("_spread") * F.col("_sd") + F.col("_grand")
     return found.select(gene, sample, F.coalesce(moved, F.col(value)).alias(value))

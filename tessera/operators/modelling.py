@@ -435,108 +435,3 @@ def deconfounded_fit(x: np.ndarray, y: np.ndarray, group: np.ndarray, names: lis
     i = np.flatnonzero(coef)
     out = pd.DataFrame({"gene": [names[j] for j in i], "coef": coef[i]})
     return out.reindex(out["coef"].abs().sort_values(ascending=False, kind="stable").index).reset_index(drop=True)
-
-
-# ---------------------------------------------------------------- logistic regression, PCA, batches
-
-
-@dataclass
-class Logit:
-    coef: np.ndarray
-    se: np.ndarray
-    status: str
-
-    @property
-    def z(self) -> np.ndarray:
-        return self.coef / self.se
-
-
-def logit(x: np.ndarray, y: np.ndarray, max_iter: int = 100) -> Logit:
-    """Maximum likelihood by Newton steps; status says if it failed to converge or was separated."""
-    a = np.column_stack([np.ones(len(y)), x])
-    b, nan = np.zeros(a.shape[1]), np.full(a.shape[1], np.nan)
-    if len(np.unique(y)) < 2:
-        return Logit(nan, nan, "one class")
-    for _ in range(max_iter):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -35, 35)))
-        h = (a * (p * (1 - p))[:, None]).T @ a
-        try:
-            step = np.linalg.solve(h, a.T @ (y - p))
-        except np.linalg.LinAlgError:
-            return Logit(nan, nan, "singular")
-        b = b + step
-        if np.abs(b).max() > 50:
-            return Logit(nan, nan, "separated")
-        if np.abs(step).max() < 1e-10:
-            return Logit(b, np.sqrt(np.diag(np.linalg.inv(h))), "ok")
-    return Logit(nan, nan, "not converged")
-
-
-def odds_row(score: np.ndarray, y: np.ndarray, covariates: np.ndarray | None = None) -> dict:
-    """n, coef, OR per SD with its 95 % interval, p and status of a standardised score."""
-    from ..functions.special import normal_two_sided
-
-    sd = score.std()
-    z = (score - score.mean()) / (sd if sd > 0 else 1.0)
-    m = logit(z[:, None] if covariates is None else np.column_stack([z, covariates]), y)
-    c, s = m.coef[1], m.se[1]
-    lo, hi = c - 1.959963984540054 * s, c + 1.959963984540054 * s
-    return {"n": len(y), "coef": c, "OR_per_SD": math.exp(c) if c == c else c, "OR_CI95_lo": math.exp(lo) if lo == lo else lo, "OR_CI95_hi": math.exp(hi) if hi == hi else hi, "p": normal_two_sided(c / s if s else math.nan), "status": m.status}
-
-
-def random_set_p(observed_z: float, null_z: np.ndarray) -> float:
-    """(1 + #) / (1 + n) over converged draws, two-sided."""
-    null = null_z[np.isfinite(null_z)]
-    return float((1 + (np.abs(null) >= abs(observed_z)).sum()) / (1 + len(null)))
-
-
-def ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """coefficients (intercept first), standard errors, residual degrees of freedom."""
-    a = np.column_stack([np.ones(len(y)), x])
-    b, *_ = np.linalg.lstsq(a, y, rcond=None)
-    dof = len(y) - np.linalg.matrix_rank(a)
-    s2 = ((y - a @ b) ** 2).sum() / dof if dof > 0 else math.nan
-    return b, np.sqrt(np.maximum(np.diag(np.linalg.pinv(a.T @ a)) * s2, 0)), int(dof)
-
-
-def pca_2d(matrix: np.ndarray, top: int = 2000) -> np.ndarray:
-    """Two component scores of samples on the most variable, standardised features; the sign
-    makes each component's largest loading positive."""
-    v = np.nanvar(matrix, axis=0, ddof=1)
-    x = matrix[:, np.argsort(-v, kind="stable")[:top]]
-    sd = np.nanstd(x, axis=0)
-    z = np.nan_to_num((x - np.nanmean(x, axis=0)) / np.where(sd > 0, sd, 1.0))
-    u, s, vt = np.linalg.svd(z, full_matrices=False)
-    k = min(2, len(s))
-    sign = np.sign(vt[np.arange(k), np.abs(vt[:k]).argmax(axis=1)])
-    return u[:, :k] * s[:k] * np.where(sign == 0, 1, sign)
-
-
-def combat(x: np.ndarray, batch: np.ndarray, tol: float = 1e-4) -> np.ndarray:
-    """Parametric empirical-Bayes batch adjustment (Johnson, Li and Rabinovic 2007) of
-    genes x samples, without covariates."""
-    names = pd.unique(batch)
-    one = np.stack([(batch == b).astype(float) for b in names])
-    n = one.sum(axis=1)
-    means = x @ one.T / n
-    grand = means @ (n / n.sum())
-    var = ((x - means @ one) ** 2).mean(axis=1)
-    sd = np.sqrt(np.where(var > 0, var, 1.0))
-    z = (x - grand[:, None]) / sd[:, None]
-    out = z.copy()
-    for i in range(len(names)):
-        own = z[:, one[i] > 0]
-        g, d = own.mean(axis=1), own.var(axis=1, ddof=1)
-        g_bar, t2 = g.mean(), g.var(ddof=1)
-        m, s2 = d.mean(), d.var(ddof=1)
-        a, b = (2 * s2 + m * m) / s2, (m * s2 + m**3) / s2
-        gs, ds = g.copy(), d.copy()
-        for _ in range(500):
-            gn = (n[i] * t2 * g + ds * g_bar) / (n[i] * t2 + ds)
-            dn = (0.5 * ((own - gn[:, None]) ** 2).sum(axis=1) + b) / (n[i] / 2 + a - 1)
-            change = max(np.abs((gn - gs) / np.where(gs == 0, 1, gs)).max(), np.abs((dn - ds) / ds).max())
-            gs, ds = gn, dn
-            if change < tol:
-                break
-        out[:, one[i] > 0] = (own - gs[:, None]) / np.sqrt(ds)[:, None]
-    return out * sd[:, None] + grand[:, None]

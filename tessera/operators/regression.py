@@ -70,7 +70,7 @@ def logistic(scores: DataFrame, lines: DataFrame, y: str, controls: Sequence[str
     spark = scores.sparkSession
     kind = scores.schema[feature].dataType.simpleString()
     index = spark.createDataFrame([(n, i) for i, n in enumerate(names)], f"`{feature}` {kind}, _k int")
-    known = scores.filter(F.col(score).isNotNull()).join(lines.select(sample), sample, "left_semi").join(sized_broadcast(index, 48), feature)
+    known = scores.select(sample, feature, score).filter(F.col(score).isNotNull()).join(lines.select(sample), sample, "left_semi").join(sized_broadcast(index, 48), feature)
     at = known.groupBy("_k").agg(F.avg(score).alias("_m"), F.stddev_pop(score).alias("_s"))
     z = F.try_divide(F.col(score) - F.col("_m"), F.nullif("_s", F.lit(0.0)))
     cells = known.join(sized_broadcast(at, 32), "_k").select(sample, F.struct("_k", z.alias("z")).alias("c")).filter("c.z IS NOT NULL")

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import adjustment, components, draws, regression, scoring
+from ..operators.modelling import RIDGE_ALPHAS
 from .queries import LONG, RANKS, features, query, rounded, table
 
 # ---------------------------------------------------------------- batches and components
@@ -111,17 +112,17 @@ def bootstrap_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(draws.bootstrap_difference(c, "c_acctbal", "y", "c_custkey", "c_mktsegment", "BUILDING", "MACHINERY"))
 
 
-@query(f"""WITH {LONG}, f AS (SELECT sample, feature, value, label::DOUBLE AS y FROM l JOIN embeddings ON vec_id = sample),
+@query(f"""WITH {LONG}, f AS (SELECT sample, feature % 4 AS feature, avg(value) AS value, any_value(label)::DOUBLE AS y FROM l JOIN embeddings ON vec_id = sample GROUP BY 1, 2),
 o AS (SELECT vec_id AS sample, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings),
 p AS (SELECT 4 * pack + k AS draw, {_PICK.format(slot="i")} AS i FROM o, range(500) a(pack), range(4) b(k)),
 t AS (SELECT draw, sample, count(*) AS w FROM p JOIN o ON o.i = p.i GROUP BY ALL),
-s AS (SELECT draw, feature, sum(w) AS n, sum(w * value) AS x, sum(w * y) AS y, sum(w * value * value) AS xx, sum(w * y * y) AS yy, sum(w * value * y) AS xy FROM t JOIN f USING (sample) WHERE feature < 4 GROUP BY ALL),
+s AS (SELECT draw, feature, sum(w) AS n, sum(w * value) AS x, sum(w * y) AS y, sum(w * value * value) AS xx, sum(w * y * y) AS yy, sum(w * value * y) AS xy FROM t JOIN f USING (sample)  GROUP BY ALL),
 m AS (SELECT draw, avg((xy - x * y / n) / sqrt((xx - x * x / n) * (yy - y * y / n))) AS m FROM s GROUP BY 1)
-SELECT round((SELECT avg(r) FROM (SELECT corr(value, y) AS r FROM f WHERE feature < 4 GROUP BY feature)), 6) AS r_mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
+SELECT round((SELECT avg(r) FROM (SELECT corr(value, y) AS r FROM f  GROUP BY feature)), 6) AS r_mean, round(quantile_cont(m, 0.025), 6) AS lo, round(quantile_cont(m, 0.975), 6) AS hi FROM m""")
 def bootstrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Four repeats (features) of the prediction of one label; lines drawn once for all."""
+    """Four predictions of one label, from every fourth feature each; lines drawn once for all."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), F.col("label").cast("double").alias("y"))
-    return rounded(draws.bootstrap_lines(features(spark, sf_dir).filter("feature < 4").join(e, "sample"), "sample", "feature", "y", "value"))
+    return rounded(draws.bootstrap_lines(features(spark, sf_dir).groupBy("sample", (F.col("feature") % 4).alias("quarter")).agg(F.avg("value").alias("value")).join(e, "sample"), "sample", "quarter", "y", "value"))
 
 
 @query(f"""WITH v AS (SELECT p_partkey AS gene, p_retailprice AS v, (p_size % 6)::VARCHAR AS s FROM part), w AS (SELECT p_partkey AS gene, CASE WHEN p_partkey % 13 = 0 THEN 'thirteen' ELSE 'sixes' END AS "set" FROM part WHERE p_partkey % 13 = 0 OR (p_size % 6 = 0 AND p_partkey % 13 <> 1)),
@@ -139,3 +140,50 @@ def matched_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     inside = F.when(F.col("p_partkey") % 13 == 0, "thirteen").when((F.col("p_size") % 6 == 0) & (F.col("p_partkey") % 13 != 1), "sixes")
     sets = p.select(inside.alias("set"), F.col("p_partkey").alias("gene")).filter("set IS NOT NULL")
     return rounded(draws.matched_permutation(values, sets, "gene", "v", "s"), 4)
+
+
+# ---------------------------------------------------------------- ridge
+
+#: Ridge of one penalty on two columns of customers by fold, in closed form: scaled Gram matrices of the other folds.
+_RIDGE2 = """c AS (SELECT c_custkey AS id, c_acctbal AS y, avg(o_totalprice) / 1000 AS x1, count(*)::DOUBLE AS x2, c_custkey % 5 AS fold FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+a AS (SELECT unnest([0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0])::DOUBLE AS a),
+t AS (SELECT k.fold, count(*)::DOUBLE AS n, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, stddev_pop(x1) AS s1, stddev_pop(x2) AS s2, count(*) * corr(x1, x2) AS r, count(*) * covar_pop(x1, y) / stddev_pop(x1) AS g1, count(*) * covar_pop(x2, y) / stddev_pop(x2) AS g2 FROM (SELECT DISTINCT fold FROM c) k JOIN c ON c.fold <> k.fold GROUP BY 1),
+b AS (SELECT t.*, a, ((n + a) * (n + a) - r * r) AS e, ((n + a) * g1 - r * g2) / ((n + a) * (n + a) - r * r) AS b1, ((n + a) * g2 - r * g1) / ((n + a) * (n + a) - r * r) AS b2 FROM t, a),
+l AS (SELECT b.fold, a, sum(((y - my - b1 * (x1 - m1) / s1 - b2 * (x2 - m2) / s2) / (1 - 1 / n - ((n + a) * ((x1 - m1) / s1) ** 2 - 2 * r * (x1 - m1) / s1 * (x2 - m2) / s2 + (n + a) * ((x2 - m2) / s2) ** 2) / e)) ** 2) AS loss FROM b JOIN c ON c.fold <> b.fold GROUP BY ALL),
+w AS (SELECT fold, a FROM l QUALIFY row_number() OVER (PARTITION BY fold ORDER BY loss, a) = 1)"""
+
+
+@query(f"""WITH {_RIDGE2} SELECT id, fold::INT AS fold, round(my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2, 5) AS pred, a AS alpha, n::BIGINT AS n_train FROM c JOIN w USING (fold) JOIN b USING (fold, a)""")
+def ridge_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge with the penalty of the least leave-one-out error in each training set."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    x = o.groupBy("o_custkey").agg((F.avg("o_totalprice") / 1000).alias("x1"), F.count(F.lit(1)).cast("double").alias("x2"))
+    rows = c.join(x, F.col("c_custkey") == F.col("o_custkey")).withColumn("features", F.array("x1", "x2")).withColumn("fold", (F.col("c_custkey") % 5).cast("int"))
+    out = regression.ridge_by_fold(rows, "c_custkey", "features", "c_acctbal", [0.001, 0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 10000.0])
+    return out.select(F.col("line").alias("id"), "fold", F.round("pred", 5).alias("pred"), "alpha", "n_train")
+
+
+#: Folds of a table as `regression.baselines` deals them, and ridge on one scaled number.
+_DEALT = """v AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 2 + embedding[2]::DOUBLE - embedding[3]::DOUBLE * 1.5::DOUBLE + label * 0.05::DOUBLE AS y, embedding[1]::DOUBLE AS x0, (row_number() OVER (ORDER BY md5('fold0:' || vec_id)) - 1) % 5 AS fold FROM embeddings),
+a AS (SELECT unnest([ALPHAS])::DOUBLE AS a),
+t AS (SELECT k.fold, count(*)::DOUBLE AS n, avg(y) AS my, avg(x0) AS m, stddev_pop(x0) AS s, count(*) * covar_pop(x0, y) / stddev_pop(x0) AS g FROM (SELECT DISTINCT fold FROM v) k JOIN v ON v.fold <> k.fold GROUP BY 1),
+l AS (SELECT t.fold, a, sum(((y - my - g / (n + a) * (x0 - m) / s) / (1 - 1 / n - ((x0 - m) / s) ** 2 / (n + a))) ** 2) AS loss FROM t, a, v WHERE v.fold <> t.fold GROUP BY ALL),
+w AS (SELECT fold, a FROM l QUALIFY row_number() OVER (PARTITION BY fold ORDER BY loss, a) = 1),
+p AS (SELECT y, my + g / (n + a) * (x0 - m) / s AS p FROM v JOIN w USING (fold) JOIN t USING (fold))"""
+
+
+@query("WITH " + _DEALT.replace("ALPHAS", ", ".join(str(float(x)) for x in RIDGE_ALPHAS)) + " SELECT 'x0' AS baseline, round(corr(y, p), 6) AS pearson_r, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(avg((y - p) ** 2)), 6) AS rmse, count(*) AS n FROM p")
+def baseline_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline of one number; the others are tested in tests/."""
+    return rounded(_baselines(spark, sf_dir).filter("baseline = 'x0'"))
+
+
+@query()
+def baseline_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _baselines(spark, sf_dir)
+
+
+def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding").cast("array<double>")
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", x[0].alias("x0"), x[1].alias("x1"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("lineage"), (x[0] * 2 + x[1] - x[2] * 1.5 + F.col("label") * 0.05).alias("y"))
+    return regression.baselines(rows, "vec_id", "y", ["x0", "x1"], "lineage", RIDGE_ALPHAS)

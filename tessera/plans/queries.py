@@ -466,11 +466,3 @@ def set_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = spark.createDataFrame([(i, x[:, i].tolist()) for i in range(x.shape[1])], "feature int, v array<double>")
     out = shift(m, "feature", "v", c["y"].to_numpy(), {"first": {0, 1, 2}, "even": set(range(0, 64, 2))}, {i: i % 3 for i in range(64)}, c["lineage"].to_numpy())
     return spark.createDataFrame(out)
-
-
-@query()
-def baseline_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .stages import baselines
-
-    t = _cohort(spark, sf_dir).withColumn("x0", F.col("features")[0]).withColumn("x1", F.col("features")[1])
-    return spark.createDataFrame(baselines(t, "y", ["x0", "x1"], "lineage").drop(columns="leak").astype({"baseline": str}))

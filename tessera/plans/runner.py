@@ -87,8 +87,7 @@ def baselines(spark: SparkSession, s: Settings) -> None:
     """baseline_results, with the leakage tripwire; associations of the scores, and their replication."""
     y = _read(spark, s, "y_train")
     one = _read(spark, s, "scores_train").filter(F.col("set") == s.number).select("model_id", F.col("score").alias(s.number))
-    got = stages.baselines(y.join(one, "model_id"), s.target, [s.number], s.lineage)
-    _result(s, spark.createDataFrame(got.astype({"baseline": str}).where(got.notna(), None)), "baseline_results")
+    _result(s, stages.baselines(y.join(one, "model_id"), "model_id", s.target, [s.number], s.lineage), "baseline_results")
     per = {n: stages.associations(_read(spark, s, f"scores_{n}"), _read(spark, s, f"y_{n}"), s.target, n_boot=s.n_boot) for n in SCREENS}
     _result(s, stages.replicated(per["train"], per["test"]), "associations")
 

@@ -14,12 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.local import to_local
+from ..functions.local import cut, to_local
 from ..functions.multiplicity import bh_q
 from ..functions.nulls import not_in, safe_corr
-from ..functions.ranks import keep_first
+from ..functions.ranks import bin_edges, keep_first, value_bin
 from ..functions.special import normal_two_sided, pearson_p, rank_average
-from ..operators import genesets, genomics, modelling, relational, resampling, scoring, stats
+from ..operators import draws, genesets, genomics, modelling, regression, relational, resampling, scoring, stats
+from ..operators.adjustment import batch_adjusted  # noqa: F401  a stage of its own
 
 #: Blood lineages that solid cohorts leave out, and stage thresholds.
 HAEM = ["ALL", "CLL", "DLBC", "LAML", "LCML", "MM"]
@@ -80,31 +81,13 @@ def matrix_of(long: DataFrame, sample: str, feature: str, value: str, names: Dat
     return cells.groupBy(sample).agg(F.transform(F.array_sort(F.collect_list(F.struct(F.col(feature).alias("f"), F.col(value).cast("double").alias("v")))), lambda s: s["v"]).alias("features"))
 
 
-def baselines(table: DataFrame, y: str, numeric: list[str], category: str, folds: int = 5, seed: int = 0, stop: bool = False) -> pd.DataFrame:
-    """Pearson r and R2 of ridge on each number, on the category, on both, and on permuted
-    labels: the leakage tripwire, which can stop the run."""
-    pdf = to_local(table.select(y, category, *numeric).dropna(subset=[y, *numeric]), "the lines of a baseline")
-    t, fold = pdf[y].to_numpy(float), modelling.kfold(len(pdf), folds, seed)
-    lineage, x = pdf[category].fillna("UNKNOWN").to_numpy(object), pdf[numeric].to_numpy(float)
-    designs = {n: ([i], False) for i, n in enumerate(numeric)} | {category: ([], True), f"{category} + numbers": (list(range(len(numeric))), True)}
-
-    def cv(cols: list[int], cat: bool, truth: np.ndarray) -> np.ndarray:
-        pred = np.empty(len(truth))
-        for f in range(folds):
-            train = fold != f
-            d = np.column_stack([x[:, cols], *([modelling.one_hot(lineage, train, 5)] if cat else [])])
-            pred[~train] = modelling.Ridge().fit(d[train], truth[train]).predict(d[~train])
-        return pred
-
-    rows = []
-    for name, (cols, cat) in [*designs.items(), ("permuted labels", (list(range(len(numeric))), True))]:
-        truth = modelling.permuted_labels(t, seed) if name == "permuted labels" else t
-        p = cv(cols, cat, truth)
-        r = float(resampling.row_r(truth[None], p[None])[0])
-        rows.append({"baseline": name, "pearson_r": r, "r2": 1 - ((truth - p) ** 2).sum() / ((truth - truth.mean()) ** 2).sum(), "rmse": float(np.sqrt(((truth - p) ** 2).mean())), "n": len(t)})
-        if name == "permuted labels":
-            rows[-1]["leak"] = modelling.tripwire(0.0 if math.isnan(r) else r, stop)
-    return pd.DataFrame(rows)
+def baselines(table: DataFrame, line: str, y: str, numeric: list[str], category: str, folds: int = 5, seed: int = 0, stop: bool = False) -> DataFrame:
+    """baseline, pearson_r, r2, rmse, n, leak: ridge on each number, on the category, on both, and on permuted
+    labels: the leakage tripwire, which can stop the run. `leak` is of that row only."""
+    out = cut(regression.baselines(table, line, y, numeric, category, modelling.RIDGE_ALPHAS, folds, seed))
+    r = out.filter("baseline = 'permuted labels'").first().pearson_r
+    leak = modelling.tripwire(0.0 if r is None else r, stop)
+    return out.withColumn("leak", F.when(F.col("baseline") == "permuted labels", F.lit(leak)))
 
 
 def final_models(matrix: DataFrame, y: str, lineage: str, line: str = "model_id", repeats: int = modelling.REPEATS, factory=modelling.transcriptome_model) -> tuple[pd.DataFrame, dict[str, DataFrame]]:
@@ -186,7 +169,7 @@ def bands_of(oof: DataFrame, edges: tuple[float, float] = (0.90, 0.95)) -> DataF
 def associations(scores: DataFrame, target: DataFrame, y: str, sample: str = "model_id", n_boot: int = resampling.BOOT) -> DataFrame:
     """set, n, r, p, lo, hi, q of each score with a response (bootstrap interval)."""
     rows = scores.join(target.select(sample, y), sample)
-    return resampling.grouped_bootstrap(rows, "score", y, ["set"], n_boot, order=sample).withColumn("_f", F.lit(0)).withColumn("q", bh_q("p", "_f")).drop("_f")
+    return draws.bootstrap_r(rows, "score", y, sample, ["set"], n_boot).withColumn("_f", F.lit(0)).withColumn("q", bh_q("p", "_f")).drop("_f")
 
 
 def replicated(a: DataFrame, b: DataFrame, key: str = "set") -> DataFrame:
@@ -242,13 +225,7 @@ def flag_correlations(flags: DataFrame, target: DataFrame, y: str, names: list[s
 
 def interaction(table: DataFrame, y: str, score: str, flag: str, category: str | None = None) -> dict:
     """Least squares of y ~ score * flag (+ category): the interaction's coefficient, interval and p."""
-    from ..functions.special import t_two_sided
-
-    pdf = table.select(y, score, flag, *([category] if category else [])).dropna(subset=[y, score, flag]).toPandas()
-    s, f = pdf[score].to_numpy(float), pdf[flag].to_numpy(float)
-    x = np.column_stack([s, f, s * f, *([modelling.one_hot(pdf[category].fillna("UNKNOWN").to_numpy(object), np.ones(len(pdf), bool), drop_first=True)] if category else [])])
-    b, se, dof = modelling.ols(x, pdf[y].to_numpy(float))
-    return {"n": len(pdf), "estimate": b[3], "lo": b[3] - 1.96 * se[3], "hi": b[3] + 1.96 * se[3], "p": t_two_sided(b[3] / se[3], dof) if se[3] > 0 else math.nan}
+    return regression.interaction(table, y, score, flag, category).first().asDict()
 
 
 def by_stratum(table: DataFrame, x: str, y: str, stratum: str) -> DataFrame:
@@ -417,36 +394,22 @@ def regimen(a: DataFrame, b: DataFrame, line: str = "line") -> DataFrame:
 # ---------------------------------------------------------------- L13 clinical cohorts
 
 
-def clinical_tests(scores: DataFrame, covariates: DataFrame, modules: list[str], adjust: list[str], categories: list[str], sample: str = "sample_id") -> pd.DataFrame:
-    """feature, model (unadjusted / adjusted), n, OR per SD, interval, p, q."""
-    wide = scores.groupBy(sample).pivot("set", modules).agg(F.first("score")).join(covariates, sample).orderBy(sample)
-    pdf, rows = to_local(wide, "a clinical cohort"), []
-    for m in modules:
-        for model in ("unadjusted", "adjusted"):
-            use = pdf.dropna(subset=[m, "response", *(adjust + categories if model == "adjusted" else [])])
-            x = None
-            if model == "adjusted":
-                x = np.column_stack([use[adjust].to_numpy(float), *[modelling.one_hot(use[c].to_numpy(object), np.ones(len(use), bool), drop_first=True) for c in categories]])
-            rows.append({"feature": m, "model": model} | modelling.odds_row(use[m].to_numpy(float), use["response"].to_numpy(float), x))
-    out = pd.DataFrame(rows)
-    out["q"] = np.nan
-    for _, g in out.groupby("model"):
-        out.loc[g.index, "q"] = adjusted(g["p"].to_numpy(float))
-    return out
-
-
-def random_sets_null(spark, ranks: np.ndarray, response: np.ndarray, size: int, observed_z: float, covariates: np.ndarray | None = None, draws: int = 1000, seed: int = 0) -> float:
-    """p of a score's Wald z against random sets of its size; draws are dealt over tasks."""
-    shared = spark.sparkContext.broadcast((ranks, response, covariates))
+def clinical_tests(scores: DataFrame, covariates: DataFrame, modules: list[str], adjust: list[str], categories: list[str], sample: str = "sample_id") -> DataFrame:
+    """feature, model (unadjusted / adjusted), n, coef, odds (per SD), lo, hi, p, q, status, rounds of the response on
+    each module's score, standardised over the cohort."""
+    own = scores.filter(F.col("set").isin(modules))
+    fits = [regression.logistic(own, covariates, "response", *more, sample, "set", "score").withColumn("model", F.lit(name)) for name, more in (("unadjusted", ((), ())), ("adjusted", (adjust, categories)))]
+    out = fits[0].unionByName(fits[1]).withColumnRenamed("set", "feature")
+    return out.withColumn("q", bh_q("p", "model"))
 
-    def z_of(i: int) -> float:
-        r, y, c = shared.value
-        s = r[:, np.random.default_rng([seed, i]).choice(r.shape[1], size, replace=False)].mean(axis=1)
-        s = (s - s.mean()) / (s.std() or 1.0)
-        m = modelling.logit(s[:, None] if c is None else np.column_stack([s, c]), y)
-        return float(m.z[1]) if m.status == "ok" else math.nan
 
-    return modelling.random_set_p(observed_z, resampling.distributed_draws(spark, z_of, draws))
+def clinical_null(ranks: DataFrame, covariates: DataFrame, sets: dict[str, list[list]], adjust: list[str], categories: list[str], sample: str = "sample_id", gene: str = "gene", n_draws: int = draws.NULL_DRAWS, seed: int = 0) -> DataFrame:
+    """feature, z, p_random, n_valid of each feature's genes ([set], or [up, down]) against random genes in the adjusted model."""
+    out = None
+    for name, own in sets.items():
+        one = draws.random_set_null(ranks, covariates, "response", own, adjust, categories, sample, gene, draws=n_draws, seed=seed).select(F.lit(name).alias("feature"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # ---------------------------------------------------------------- L14 to L17 methylation
@@ -529,24 +492,15 @@ def architecture(peaks: DataFrame, tss: DataFrame, links: DataFrame) -> DataFram
     return relational.region_shares(rows, "symbol", "annotation")
 
 
-def matched_shift(table: pd.DataFrame, sets: dict[str, set], value: str, bins: int = 5, n_perm: int = 2000, seed: int = 0) -> pd.DataFrame:
-    """signature, n, obs, null, z, p, q against genes of like expression and length.
+def matched_shift(table: DataFrame, sets: DataFrame, value: str, bins: int = 5, n_perm: int = draws.MATCHED, seed: int = 0) -> DataFrame:
+    """signature, metric, n, n_missing, obs, null_mean, null_sd, z, p, q against genes of like expression and length.
 
-    table: gene, expr, length and the value (tens of thousands of rows)."""
-    def cut(v: np.ndarray) -> np.ndarray:
-        edges = np.unique(np.nanquantile(v, np.linspace(0, 1, bins + 1)))
-        return np.clip(np.searchsorted(edges, v, side="left") - 1, 0, max(len(edges) - 2, 0))
-
-    strata = cut(table["expr"].to_numpy(float)) * bins + cut(np.log10(table["length"].to_numpy(float)))
-    rows = []
-    for name, genes in sets.items():
-        got = resampling.matched_permutation(table[value].to_numpy(float), strata, table["gene"].isin(genes).to_numpy(), n_perm, seed)
-        if got:
-            rows.append({"signature": name, "metric": value} | got)
-    out = pd.DataFrame(rows)
-    if len(out):
-        out["q"] = adjusted(out["p"].to_numpy(float))
-    return out
+    table: gene, expr, length and the value; sets: set, gene. Strata are quantile bins of both over all genes."""
+    log = F.log10(F.col("length").cast("double"))
+    level = lambda c, name: value_bin(c, bin_edges(table.withColumn(name, c), name, bins))
+    placed = table.withColumn("_stratum", level(F.col("expr").cast("double"), "_e") * bins + level(log, "_l"))
+    got = draws.matched_permutation(placed, sets, "gene", value, "_stratum", n_perm, seed)
+    return got.withColumnRenamed("set", "signature").withColumn("metric", F.lit(value)).withColumn("q", bh_q("p", "metric"))
 
 
 # ---------------------------------------------------------------- L20, L22 dashboard and preparation
@@ -575,17 +529,6 @@ def collapse_probes(long: DataFrame, probes: DataFrame, probe: str, symbols: str
     return genomics.gene_means(relational.log2_if_linear(long, value), pairs, probe, "gene", sample, value, propagate=True)
 
 
-def batch_adjusted(long: DataFrame, gene: str, sample: str, value: str, batch: DataFrame) -> DataFrame:
-    """gene, sample, value after empirical-Bayes batch adjustment of the genes all batches have.
-
-    The moments' priors need all genes of a batch at once: a cohort of hundreds of samples."""
-    m = to_local(long.join(batch, sample), "a cohort to adjust").pivot_table(index=gene, columns=sample, values=value).dropna()
-    of = {r[sample]: r["batch"] for r in batch.select(sample, "batch").collect()}
-    fixed = modelling.combat(m.to_numpy(float), np.array([of[c] for c in m.columns]))
-    out = pd.DataFrame(fixed, index=m.index, columns=m.columns).stack().rename(value).reset_index()
-    return long.sparkSession.createDataFrame(out)
-
-
 def difference_p(r1: float, n1: int, r2: float, n2: int) -> float:
     """p of the difference of two correlations."""
     if min(n1, n2) <= 3:

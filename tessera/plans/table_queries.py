@@ -6,9 +6,10 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.ranks import spearman, with_rank
-from ..operators import genesets, genomics, modelling, relational, resampling, scoring, stats
+from ..operators import genesets, genomics, modelling, regression, relational, resampling, scoring, stats
 from . import stages
 from .queries import DAYS, LONG, SCREENS, _screen, features, query, rounded, table
 
@@ -194,8 +195,7 @@ def residualized(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT count(*) AS n, round(regr_slope(l_extendedprice, l_quantity) FILTER (l_linestatus = 'O') - regr_slope(l_extendedprice, l_quantity) FILTER (l_linestatus <> 'O'), 3) AS estimate FROM lineitem""")
 def interaction_slope(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").withColumn("flag", (F.col("l_linestatus") == "O").cast("int"))
-    got = stages.interaction(li, "l_extendedprice", "l_quantity", "flag")
-    return spark.createDataFrame([(got["n"], float(got["estimate"]))], "n long, estimate double").withColumn("estimate", F.round("estimate", 3))
+    return rounded(regression.interaction(li, "l_extendedprice", "l_quantity", "flag").select("n", "estimate"), 3)
 
 
 @query(f"""WITH {LONG}, y AS (SELECT vec_id AS sample, label FROM embeddings) SELECT feature, count(*) AS n, round(corr(value, label), 6) AS r FROM l JOIN y USING (sample) GROUP BY 1""")
@@ -259,7 +259,10 @@ def _lines(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
 
 
 def _left_out(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
-    return modelling.cross_validate(_lines(spark, sf_dir, column), "id", "features", "y", lambda: modelling.Ridge(np.array([10.0])), "g", by_group=True)
+    rows = _lines(spark, sf_dir, column)
+    names = rows.select("g").distinct().withColumn("fold", F.dense_rank().over(W.orderBy("g")) - 1)  # one row a group
+    out = regression.ridge_by_fold(rows.join(F.broadcast(names), "g"), "id", "features", "y", [10.0])
+    return out.withColumn("line", F.col("line").cast("string")).withColumn("repeat", F.lit(0)).withColumn("n_train", F.col("n_train").cast("int"))
 
 
 @query(f"WITH {RIDGE} SELECT id::VARCHAR AS line, fold::INT AS fold, y AS truth, round(p1, 4) AS pred, n_train::INT AS n_train FROM o")

@@ -103,8 +103,6 @@ def test_bootstraps():
     y = x + rng.normal(size=60)
     a, b = rs.bootstrap_r(x, y, 300, 1), rs.bootstrap_r(x, y, 300, 1)
     assert a == b and a[2] < a[0] < a[3]
-    d, lo, hi = rs.bootstrap_difference(x, y, x, -y, 200)
-    assert d > 1 and lo > 0.5 and hi < 2
     assert np.isnan(rs.row_r(np.ones((1, 5)), np.arange(5.0)[None])[0])
     lo, hi = rs.bootstrap_lines(np.column_stack([x, x]), np.column_stack([y, y]), 200)
     assert lo < a[0] < hi
@@ -129,44 +127,13 @@ def test_set_shift_and_signs(spark):
 
 def test_permutation_nulls():
     rng = np.random.default_rng(9)
-    v, strata = rng.normal(size=500), rng.integers(0, 4, 500)
-    inside = np.arange(500) < 20
-    v[inside] += 2
-    assert rs.matched_permutation(v, strata, inside, 500)["p"] == pytest.approx(1 / 501)
-    assert rs.matched_permutation(v, strata, np.arange(500) < 3) is None
+    v = rng.normal(size=500)
+    v[:20] += 2
     assert rs.random_split_null(lambda i: v[i].mean(), np.arange(100, 140), 20, 0.0, 200) == 1.0
     c = rs.compositional_null(lambda i: v[i].mean(), 500, {"s": 20}, {"s": 3.0}, 100)
     assert c.loc[0, "p_empirical"] == 0.0
 
 
-def test_logit_ols_and_nulls(spark):
-    rng = np.random.default_rng(10)
-    x = rng.normal(size=(300, 2))
-    y = (rng.random(300) < 1 / (1 + np.exp(-(0.3 + x[:, 0])))).astype(float)
-    f = m.logit(x, y)
-    p = 1 / (1 + np.exp(-(f.coef[0] + x @ f.coef[1:])))
-    assert f.status == "ok" and np.abs(np.column_stack([np.ones(300), x]).T @ (y - p)).max() < 1e-8
-    assert m.logit(x, np.ones(300)).status == "one class" and m.logit(x[:, :1], (x[:, 0] > 0).astype(float)).status != "ok"
-    row = m.odds_row(x[:, 0], y)
-    assert row["OR_CI95_lo"] < row["OR_per_SD"] < row["OR_CI95_hi"] and row["p"] < 0.01
-    ranks = rng.random((300, 30))
-    assert 0 < stages.random_sets_null(spark, ranks, y, 5, 50.0, draws=40) <= 1 / 41 + 1e-12
-    b, se, dof = m.ols(x, x @ [2.0, -1.0] + 1)
-    assert np.allclose(b, [1, 2, -1]) and dof == 297
-
-
-def test_pca_and_batches():
-    rng = np.random.default_rng(11)
-    s = rng.normal(size=(50, 1)) @ rng.normal(size=(1, 40)) * 3 + rng.normal(size=(50, 40))
-    z = m.pca_2d(s, 30)
-    assert z.shape == (50, 2) and z[:, 0].std() > z[:, 1].std()
-    batch = np.array(["a"] * 20 + ["b"] * 30)
-    x = rng.normal(size=(60, 50)) + (batch == "b") * 2.0
-    fixed = m.combat(x, batch)
-    gap = lambda v: np.abs(v[:, batch == "a"].mean(axis=1) - v[:, batch == "b"].mean(axis=1)).mean()
-    assert gap(fixed) < 0.2 * gap(x) and fixed.shape == x.shape
-
-
 def test_tripwire_and_one_hot():
     assert not m.tripwire(0.1, True) and m.tripwire(0.5, False)
     with pytest.raises(m.LeakError):
@@ -192,6 +159,6 @@ def test_stage_gates(spark):
 
 def test_baselines_flag_nothing_on_noise(spark):
     rng = np.random.default_rng(12)
-    df = spark.createDataFrame(pd.DataFrame({"y": rng.normal(size=80), "a": rng.normal(size=80), "g": rng.choice(list("abc"), 80)}))
-    out = stages.baselines(df, "y", ["a"], "g", stop=True)
-    assert list(out["baseline"]) == ["0", "g", "g + numbers", "permuted labels"] or len(out) == 4
+    df = spark.createDataFrame(pd.DataFrame({"id": range(400), "y": rng.normal(size=400), "a": rng.normal(size=400), "g": rng.choice(list("abc"), 400)}))
+    out = stages.baselines(df, "id", "y", ["a"], "g", stop=True)
+    assert [r.baseline for r in out.collect()] == ["a", "g", "g + numbers", "permuted labels"]
