@@ -52,7 +52,10 @@ def lines_of(docs: DataFrame) -> DataFrame:
     numbered = F.transform(F.col("l"), lambda x, i: F.struct(i.alias("line"), x.alias("t")))
     full = F.filter(numbered, lambda s: s["t"].rlike(r"[^\x20\x09-\x0D]"))
     rows = rows.select("doc_id", "th", F.posexplode(full).alias("i", "s"))
-    return rows.select("doc_id", "th", F.col("s.line").alias("line"), "i", F.unhex(F.md5("s.t")).alias("id"), F.regexp_count("s.t", F.lit(WORD)).alias("words"))
+    out = rows.select("doc_id", "th", F.col("s.line").alias("line"), "i", F.unhex(F.md5("s.t")).alias("id"), F.regexp_count("s.t", F.lit(WORD)).alias("words"))
+    # rows equal in doc_id and text are one document; where there are none, nothing has to move
+    again = docs.filter(F.col("text").isNotNull()).groupBy("doc_id", text_key().alias("th")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return out if again.isEmpty() else out.dropDuplicates(["doc_id", "th", "line"])
 
 
 def first_ranks(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 The mix is made of blocks of `block` words. Every source gets its number of
 blocks by the highest quotients target / (2k - 1); within a source, each shard
-(a seeded hash group of documents of about `shard_words` words over all sources)
+(a seeded hash group of its documents of about `shard_words` words)
 gets an integer quota the same way. A shard's documents are laid end to end in
 seeded order and cut into blocks; quota // blocks whole passes are taken, and the
 remaining quota picks evenly spaced blocks from a seeded offset. What a document
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import staged
+from .common import maybe_broadcast, scope, staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: A chance of 1 in whole numbers: sums of them are exact in any order.
@@ -106,13 +106,23 @@ def mix(
     """One row per document: doc_id, source, size, source_size, target, base, extra, taken.
 
     taken = base * size + extra words; `carry` keeps the documents' own columns
-    as well, as the struct column `row`, and the shard and key."""
+    as well, as the struct column `row`, and the shard and key. A source's words are off its
+    target by less than a block a shard, as each shard's last block is short; a source of
+    whose target no block is left (under half a block) gives nothing."""
+    if carry:  # whole rows are not written once more
+        return _mix(docs, weights, budget, most, block, shard_words, seed, carry)
+    with scope() as keep:
+        return keep(staged(_mix(docs, weights, budget, most, block, shard_words, seed, carry)))
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], budget: float, most: float, block: int, shard_words: int, seed: str, carry: bool) -> DataFrame:
     own = [F.struct(*docs.columns).alias("row")] if carry else []
     sized = docs.select("doc_id", "source", n_words().alias("size"), seed_key(seed, "doc_id").alias("key"), *own)
     sized = staged(sized)
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    shards = max(1, -(-total // shard_words))
-    sized = sized.withColumn("shard", seed_number(F.col("key")) % shards)
+    of_source = staged(sized.groupBy("source").agg(F.sum("size").alias("words")))
+    n, total = of_source.agg(F.count(F.lit(1)), F.coalesce(F.sum("words"), F.lit(0))).first()
+    shards = of_source.select(F.col("source").alias("_source"), F.greatest(F.lit(1), F.ceil(F.col("words") / shard_words)).cast("long").alias("_shards"))
+    sized = sized.join(maybe_broadcast(shards, 64, n), F.col("source").eqNullSafe(F.col("_source"))).withColumn("shard", seed_number(F.col("key")) % F.col("_shards")).drop("_source", "_shards")
 
     cells = staged(sized.groupBy("source", "shard").agg(F.sum("size").alias("tokens")))
     s = targets(cells.groupBy("source").agg(F.sum("tokens").alias("source_size")), weights, budget, most)

@@ -122,7 +122,7 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _MIXING = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '{_WORD}')), 0)::BIGINT AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS key FROM documents),
 t AS (SELECT sum(size)::BIGINT AS total FROM d),
-k AS (SELECT d.*, ('0x' || substr(key, 1, 8))::BIGINT % greatest(1, ceil(total / 250000.0)::BIGINT) AS shard FROM d, t),
+k AS (SELECT *, ('0x' || substr(key, 1, 8))::BIGINT % greatest(1, ceil(sum(size) OVER (PARTITION BY source) / 250000.0)::BIGINT) AS shard FROM d),
 s1 AS (SELECT source, source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w, 2.0::DOUBLE * source_size AS cap FROM (SELECT source, sum(size)::BIGINT AS source_size FROM k GROUP BY 1)),
 s2 AS (SELECT *, cap / w AS ratio, ((SELECT 1.5::DOUBLE * total FROM t) - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s1),
@@ -212,7 +212,9 @@ WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce
 h AS (SELECT * EXCLUDE (k), xor({crc}, 4294967295) % 20 AS fault FROM k),
 d AS (SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role, CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy FROM h WHERE fault <> 0),
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i FROM d),
-f AS (SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-]*$') AS unended FROM n),
+f AS (SELECT *, left(role, 1) AS initial, NOT regexp_matches(text, '[^ 	-
+]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[.!?][ 	-
+]*$') AS unended FROM n),
 t AS (SELECT *, blank OR again AS gone, CASE WHEN unended THEN 5 ELSE 0 END AS cut, role || ':' || text AS line, coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'), false) AS odd FROM f),
 g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (blank)::BIGINT AS blank, count(*) FILTER (NOT blank AND again)::BIGINT AS duplicate, count(*) FILTER (NOT gone AND unended)::BIGINT AS truncated, count(*) FILTER (odd)::BIGINT AS illegal, max(i) AS rows FROM t GROUP BY 1),
 w AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'k': false, 't': ''}} AS s0, NULL::STRUCT(c BIGINT, a VARCHAR, k BOOLEAN, t VARCHAR) AS s1, {{'c': 5::BIGINT, 'a': 'I', 'k': true, 't': 'user:'}} AS s2, {{'c': 10::BIGINT, 'a': 'II', 'k': true, 't': 'user:' || chr(10) || 'assistant:'}} AS s3 FROM g

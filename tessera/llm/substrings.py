@@ -13,8 +13,9 @@ of equal bytes that meet are one; cut back to whole words, those of `min_words`
 Digests are counted before any chunk meets another, so a chunk that stands in a
 third of all documents is one row of the join's small side, and no pairs are made.
 
-`repeated_spans` gives the runs of whole chunks that join up end to end instead: there the
-cuts come from the upper bits of the same hash (never inside a character).
+Where `min_words` words stand within less than 159 bytes, cuts are denser as well: of each 34
+places one, so that any two copies of 99 bytes (50 words of one letter) share a chunk. A passage
+of short words says so itself, whatever stands around it, so its copies are cut alike.
 
 Edge cases: null and empty texts have no chunks; null doc_ids come first in order;
 rows equal in doc_id and text are one document; a text may become empty; repeats
@@ -23,7 +24,6 @@ within one text count as well; other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import GEAR, SPACES, blocks, bound_batches, hash_spans, maybe_broadcast, mix64, offsets_of, scope, spans_of, staged, text_key, unstage
+from .common import GEAR, SPACES, blocks, bound_batches, maybe_broadcast, mix64, offsets_of, scope, spans_of, staged, text_key, unstage
 
-#: Chunks of 32 to 128 bytes, 48 in the mean. 32 bytes is the hash's window: no cut
-#: depends on bytes of another text.
-LEAST, MASK_BITS, MOST = 32, 4, 128
 #: Bytes of a window, and places of which one is a cut.
 WINDOW, REACH = 32, 64
 #: Bytes of a block of texts, and the multiplier of its prefix sums with its inverse.
@@ -47,77 +44,19 @@ _UNEQUAL = np.array([True] + [False] * 255)
 _VALUES = mix64(np.arange(1, 257, dtype=np.uint64))
 
 
-def cut_texts(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, mask_bits: int = MASK_BITS, most: int = MOST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, chunks per text); positions in data."""
-    if least < 32:
-        raise ValueError("chunks must not be shorter than the window of the hash")
-    h = GEAR[data]
-    for w in (1, 2, 4, 8, 16):
-        h[w:] += h[:-w] << np.uint32(w)
-    marks = np.flatnonzero(h < np.uint32(1 << (32 - mask_bits))) + 1
-    inner = (data & 0xC0) == 0x80
-    marks = marks[~inner[np.minimum(marks, max(len(data) - 1, 0))] | (marks == len(data))].tolist() if len(data) else []
-    ends, per, i, n_marks = [], [], 0, len(marks)
-    for at, end in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        before = len(ends)
-        while at < end:
-            i = bisect_left(marks, at + least, i)
-            to = marks[i] if i < n_marks else end
-            if to > at + most:
-                to = at + most
-                while to < end and inner[to]:
-                    to += 1
-            at = min(to, end)
-            ends.append(at)
-        per.append(len(ends) - before)
-    ends, per = np.array(ends, np.int64), np.array(per, np.int64)
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    return starts, ends, per
-
-
-def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, th, start, size (bytes), d1, d2 (the digest)."""
-    rows = docs.filter(F.octet_length("text") > 0).select("doc_id", text_key().alias("th"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text", 2 << 20):
-            data, offsets = offsets_of(b.column("text"))
-            starts, ends, per = cut_texts(data, offsets)
-            doc = np.repeat(np.arange(len(per)), per)
-            d1, d2 = (hash_spans(data, starts, ends, w).view(np.int64) for w in (0, 1))
-            place = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(place), b.column("th").take(place), pa.array((starts - offsets[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(d1), pa.array(d2)], ["doc_id", "th", "start", "size", "d1", "d2"])
-
-    return bound_batches(rows).mapInArrow(run, f"doc_id {kind}, th long, start int, size int, d1 long, d2 long")
-
-
-def repeated_spans(docs: DataFrame, min_bytes: int = 140) -> DataFrame:
-    """doc_id, th, start, end, first_doc_ids: byte runs that are later copies."""
-    twice = chunks(docs).groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    twice = staged(twice)
-    met = staged(chunks(docs).join(twice, ["d1", "d2"]))
-    place = F.struct("doc_id", "th", "start")
-    first = met.groupBy("d1", "d2").agg(F.min(place).alias("first"))
-    later = met.join(first, ["d1", "d2"]).filter(~place.eqNullSafe(F.col("first")))
-    own = W.partitionBy("doc_id", "th").orderBy("start")
-    later = later.select("doc_id", "th", "start", (F.col("start") + F.col("size")).alias("end"), F.col("first.doc_id").alias("first_doc")).distinct()
-    later = later.withColumn("new", (F.lag("end").over(own) != F.col("start")).cast("int"))
-    later = later.withColumn("run", F.sum(F.coalesce("new", F.lit(1))).over(own))
-    runs = later.groupBy("doc_id", "th", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.array_sort(F.collect_set("first_doc")).alias("first_doc_ids"))
-    return runs.filter(F.col("end") - F.col("start") >= min_bytes).drop("run")
-
-
-def windows_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the windows that are cuts, in order; positions in data."""
+def windows_of(data: np.ndarray, offsets: np.ndarray, reach: int = REACH) -> np.ndarray:
+    """Starts of the windows that are cuts, the least of each `reach` in a row, in order; positions in data."""
     h = GEAR[data]
     for w in (1, 2, 4, 8, 16):
         h[w:] += h[:-w] << np.uint32(w)
     low = np.uint64(0xFFFFFFFF)
     key = (h.astype(np.uint64) << np.uint64(32)) | (low - np.arange(len(data), dtype=np.uint64))
-    for w in (1, 2, 4, 8, 16, 32):
+    wide = 1
+    while wide < reach:
+        w = min(wide, reach - wide)
         key[w:] = np.minimum(key[w:], key[:-w])
-    skip = WINDOW + REACH - 2  # the first place whose 64 windows all lie in the text
+        wide += w
+    skip = WINDOW + reach - 2  # the first place whose windows all lie in the text
     n = np.maximum(np.diff(offsets) - skip, 0)
     ends = np.repeat(offsets[:-1] + skip - (np.cumsum(n) - n), n) + np.arange(n.sum())
     best = (low - (key[ends] & low)).astype(np.int64)
@@ -142,30 +81,65 @@ def span_digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
         return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(56)))
 
 
-def cut_chunks(docs: DataFrame) -> DataFrame:
+def short_worded(data: np.ndarray, offsets: np.ndarray, min_words: int) -> np.ndarray:
+    """Places in a run of min_words words whose bytes are too few for two cuts."""
+    starts, ends, per = spans_of(data, offsets)
+    text = np.repeat(np.arange(len(per)), per)
+    n = max(len(starts) - min_words + 1, 0)
+    first = np.flatnonzero((text[:n] == text[min_words - 1 :]) & (ends[min_words - 1 :] - starts[:n] < WINDOW + 2 * REACH - 1)) if n else np.empty(0, np.int64)
+    edge = np.zeros(len(data) + 1, np.int32)
+    np.add.at(edge, starts[first], 1)
+    np.add.at(edge, ends[first + min_words - 1], -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
+def chunks_of(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, start, end) of the chunks between neighbouring cuts; positions in data."""
+    out = []
+    for reach in (REACH, max(1, (2 * min_words - WINDOW) // 2)):
+        if reach < REACH:
+            short = short_worded(data, offsets, min_words)
+            if not short.any():
+                break
+        elif out:
+            break
+        cuts = windows_of(data, offsets, reach)
+        doc = np.searchsorted(offsets, cuts, side="right") - 1
+        own = np.flatnonzero(doc[1:] == doc[:-1])
+        doc, starts, ends = doc[own], cuts[own], cuts[own + 1] + WINDOW
+        if out:
+            covered = np.concatenate([[0], np.cumsum(short)])
+            inside = covered[ends] - covered[starts] == ends - starts
+            doc, starts, ends = doc[inside], starts[inside], ends[inside]
+        out.append((doc, starts, ends))
+    doc, starts, ends = (np.concatenate(x) for x in zip(*out, strict=True))
+    if len(out) > 1:  # a chunk that both give is one
+        places = np.unique(np.stack([doc, starts, ends]), axis=1)
+        doc, starts, ends = places
+    return doc, starts, ends
+
+
+def cut_chunks(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, th, start, size (bytes), d (digest) of the chunks between neighbouring cuts."""
-    rows = docs.filter(F.octet_length("text") >= WINDOW + REACH).select("doc_id", text_key().alias("th"), "text")
+    rows = docs.filter(F.octet_length("text") >= WINDOW + 2).select("doc_id", text_key().alias("th"), "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", BLOCK):
             data, offsets = offsets_of(b.column("text"))
-            cuts = windows_of(data, offsets)
-            doc = np.searchsorted(offsets, cuts, side="right") - 1
-            own = np.flatnonzero(doc[1:] == doc[:-1])
-            starts, ends, doc = cuts[own], cuts[own + 1] + WINDOW, doc[own]
+            doc, starts, ends = chunks_of(data, offsets, min_words)
             place = pa.array(doc)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(place), b.column("th").take(place), pa.array((starts - offsets[doc]).astype(np.int32)), pa.array((ends - starts).astype(np.int32)), pa.array(span_digests(data, starts, ends).view(np.int64))], ["doc_id", "th", "start", "size", "d"])
 
     return bound_batches(rows).mapInArrow(run, f"doc_id {kind}, th long, start int, size int, d long")
 
 
-def later_runs(docs: DataFrame) -> DataFrame:
+def later_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """doc_id, th, start, first_doc, first_th, a, z: runs of later chunks on one diagonal.
 
     first_doc has the first copy; a to z are its bytes, and more on both sides; start
     is the place of its byte a in the later text (below 0: before it)."""
-    cut = staged(cut_chunks(docs))
+    cut = staged(cut_chunks(docs, min_words))
     again = not docs.groupBy("doc_id", text_key().alias("th")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
     # what is counted is written before it is joined: the rows of one digest can be split over tasks
     twice = staged(cut.groupBy("d").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("d"))
@@ -279,7 +253,7 @@ def substring_dedup(docs: DataFrame, min_words: int = 50, min_bytes: int = 400)
 
 
 def _substring_dedup(docs: DataFrame, min_words: int, min_bytes: int) -> DataFrame:
-    runs = later_runs(docs)
+    runs = later_runs(docs, min_words)
     same = F.col("first_doc").eqNullSafe(F.col("f")) & (F.col("first_th") == F.col("ft")) & (F.col("a") == F.col("fa")) & (F.col("z") == F.col("fz"))
     per = runs.join(_first_bytes(docs, runs), same).groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_list(F.struct("start", "first_doc", "raw")).alias("runs"))
     # texts without a run do not move, as long as the ids of the others are few

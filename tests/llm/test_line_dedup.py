@@ -34,6 +34,23 @@ def test_documents_keep_columns_and_nulls(spark):
     assert all(r.n_chars == len(r.text) for r in got if r.text is not None and r.doc_id != 0)
 
 
+def test_rows_that_come_twice_change_nothing(spark):
+    """Two documents whose first lines are alike but hold four words: each twice, and all the texts each twice."""
+    near = ["a\nb c\nd\ne", "a\nb c\nd\nf"]
+    data = rows(near)
+    got = {(r.row.doc_id, r.text, r.n_deleted) for r in line_dedup(spark.createDataFrame(data + data, SCHEMA), tails=True).collect()}
+    assert got == {(i, t, 0) for i, t in enumerate(near)}
+    data = rows(_texts())
+    for tails in (False, True):
+        once = line_dedup(spark.createDataFrame(data, SCHEMA), tails=tails).collect()
+        twice = line_dedup(spark.createDataFrame(data + data, SCHEMA), tails=tails).collect()
+        key = lambda r: (r.row.doc_id, r.text or "", r.n_lines, r.n_deleted, r.n_runs)
+        assert sorted(map(key, twice)) == sorted(2 * [*map(key, once)])
+        if not tails:
+            want = line_cuts([(d[0], d[1]) for d in data], 5)
+            assert {r.row.doc_id: (r.text, r.n_deleted) for r in twice} == want
+
+
 def test_runs_and_empty_table(spark):
     df = spark.createDataFrame(rows(["a b\nc d\ne f", "z\na b\nc d\ne f\nq"]), SCHEMA)
     assert [(r.doc_id, r.start, r.n_lines) for r in repeated_runs(df).collect()] == [(1, 1, 3)]

@@ -58,6 +58,20 @@ def test_mix_of_edge_documents(spark):
     assert sorted((r.doc_id, r.size, r.taken) for r in out) == sorted((r.doc_id, r.size, r.taken) for r in again)
 
 
+def test_small_sources_meet_their_targets_beside_a_large_one(spark):
+    """A source of 60 short documents beside one of 20 and more shards: each within a block a shard."""
+    made = [("large", i, 300) for i in range(900)] + [("small", 1000 + i, 6) for i in range(60)] + [("middle", 2000 + i, 200) for i in range(60)]
+    data = [(i, "w " * n, None, s, None, 1, "r", "k", 1) for s, i, n in made]
+    df = spark.createDataFrame(data, SCHEMA)
+    taken, target, size = defaultdict(int), {}, {}
+    for r in mix(df, shard_words=12_000).collect():
+        taken[r.source] += r.taken
+        target[r.source], size[r.source] = r.target, r.source_size
+    assert -(-size["large"] // 12_000) > 20
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 16 * -(-size[s] // 12_000), (s, taken[s], target[s])
+
+
 def test_mix_of_nothing(spark):
     assert mix(spark.createDataFrame([], SCHEMA)).count() == 0
     assert mix(spark.createDataFrame(rows([None, ""]), SCHEMA)).count() == 2
