@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import adjustment, components, draws, regression, scoring
+from ..operators import adjustment, components, draws, regression, scoring, set_tests
 from ..operators.modelling import RIDGE_ALPHAS
 from .queries import LONG, RANKS, features, query, rounded, table
 
@@ -187,3 +187,30 @@ def _baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = F.col("embedding").cast("array<double>")
     rows = table(spark, sf_dir, "embeddings").select("vec_id", x[0].alias("x0"), x[1].alias("x1"), F.concat(F.lit("L"), F.col("label").cast("string")).alias("lineage"), (x[0] * 2 + x[1] - x[2] * 1.5 + F.col("label") * 0.05).alias("y"))
     return regression.baselines(rows, "vec_id", "y", ["x0", "x1"], "lineage", RIDGE_ALPHAS)
+
+
+# ---------------------------------------------------------------- tests of sets
+
+
+@query(f"""WITH {LONG}, y AS (SELECT vec_id AS sample, label::DOUBLE + embedding[1]::DOUBLE AS y, (label % 3)::VARCHAR AS g FROM embeddings),
+b AS (SELECT sample, g, row_number() OVER (PARTITION BY g ORDER BY sample) AS k FROM y), e AS (SELECT draw, g, y, row_number() OVER (PARTITION BY draw, g ORDER BY md5('0:' || draw || ':' || sample), sample) AS k FROM y, range(1, 1001) t(draw)),
+p AS (SELECT sample, draw, y FROM b JOIN e USING (g, k) UNION ALL SELECT sample, 0, y FROM y), r AS (SELECT feature, draw, corr(value, y) AS r FROM l JOIN p USING (sample) GROUP BY ALL),
+m AS (SELECT 'first' AS "set", unnest(range(3))::INT AS feature UNION ALL SELECT 'even', unnest(range(0, 64, 2))::INT), s AS (SELECT feature % 3 AS stratum, draw, avg(r) AS back FROM r GROUP BY ALL),
+g AS (SELECT "set", r.draw AS draw, count(*) AS n, avg(r) AS mean_r, avg(back) AS background_r FROM m JOIN r USING (feature) JOIN s ON s.stratum = feature % 3 AND s.draw = r.draw GROUP BY "set", r.draw), o AS (SELECT * FROM g WHERE draw = 0)
+SELECT o."set" AS "set", o.n AS n, round(o.mean_r, 8) AS mean_r, round(o.background_r, 8) AS background_r, round(o.mean_r - o.background_r, 8) AS shift, round((1 + (SELECT count(*) FROM g WHERE g."set" = o."set" AND draw > 0 AND abs(g.mean_r - g.background_r) >= abs(o.mean_r - o.background_r))) / 1001.0::DOUBLE, 8) AS p FROM o""")
+def set_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL correlates every feature with every permutation."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), (F.col("label") + F.col("embedding")[0].cast("double")).alias("y"), (F.col("label") % 3).cast("string").alias("g"))
+    ids = spark.range(64).select(F.col("id").cast("int").alias("feature"))
+    sets = ids.filter("feature < 3").withColumn("set", F.lit("first")).unionByName(ids.filter("feature % 2 = 0").withColumn("set", F.lit("even")))
+    return rounded(set_tests.set_shift(features(spark, sf_dir), e, sets, ids.withColumn("stratum", F.col("feature") % 3), "sample", "feature", "value", "y", "g"), 8)
+
+
+@query("""WITH v AS (SELECT c_custkey AS feature, round(c_acctbal / 50) * 50 AS v FROM customer WHERE c_acctbal IS NOT NULL), r AS (SELECT feature, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0::DOUBLE AS r FROM v),
+m AS (SELECT DISTINCT c_mktsegment AS "set", c_custkey AS feature FROM customer WHERE c_mktsegment IS NOT NULL)
+SELECT "set", count(*) AS n, count(*) FILTER (v > 0) AS n_positive, round(avg(v), 6) AS mean_value, sum(r) - count(*) * (count(*) + 1) / 2.0::DOUBLE AS u FROM m JOIN r USING (feature) GROUP BY 1""")
+def signed_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    values = c.select(F.col("c_custkey").alias("feature"), (F.round(F.col("c_acctbal") / 50) * 50).alias("v"))
+    sets = c.filter("c_mktsegment IS NOT NULL").select(F.col("c_mktsegment").alias("set"), F.col("c_custkey").alias("feature"))
+    return set_tests.signed_set_test(values, sets, "feature", "v").select("set", "n", "n_positive", F.round("mean_value", 6).alias("mean_value"), "u")

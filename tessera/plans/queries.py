@@ -453,16 +453,3 @@ def cross_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _cohort(spark, sf_dir)
     long = c.select("model_id", F.posexplode("features").alias("feature", "value"))
     return cross_validate_long(long, c.select("model_id", "lineage", "y"), "model_id", "feature", "value", "y", ElasticNet, "lineage", True)
-
-
-@query()
-def set_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-
-    from ..operators.resampling import set_shift as shift
-
-    c = to_local(_cohort(spark, sf_dir), "a cohort", 64).sort_values("model_id")
-    x = np.stack(c["features"])
-    m = spark.createDataFrame([(i, x[:, i].tolist()) for i in range(x.shape[1])], "feature int, v array<double>")
-    out = shift(m, "feature", "v", c["y"].to_numpy(), {"first": {0, 1, 2}, "even": set(range(0, 64, 2))}, {i: i % 3 for i in range(64)}, c["lineage"].to_numpy())
-    return spark.createDataFrame(out)

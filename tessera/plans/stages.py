@@ -19,7 +19,7 @@ from ..functions.multiplicity import bh_q
 from ..functions.nulls import not_in, safe_corr
 from ..functions.ranks import bin_edges, keep_first, value_bin
 from ..functions.special import normal_two_sided, pearson_p, rank_average
-from ..operators import draws, genesets, genomics, modelling, regression, relational, resampling, scoring, stats
+from ..operators import draws, genesets, genomics, modelling, regression, relational, resampling, scoring, set_tests, stats
 from ..operators.adjustment import batch_adjusted  # noqa: F401  a stage of its own
 
 #: Blood lineages that solid cohorts leave out, and stage thresholds.
@@ -182,21 +182,11 @@ def replicated(a: DataFrame, b: DataFrame, key: str = "set") -> DataFrame:
 # ---------------------------------------------------------------- L4, L5 enrichment and calibration
 
 
-def directed_enrichment(coefficients: pd.DataFrame, sets: DataFrame, universe: DataFrame) -> DataFrame:
-    """Overlap of non-zero coefficients with each set, and the direction test of its coefficients."""
-    spark = sets.sparkSession
-    base = stats.enrichment(spark.createDataFrame(coefficients[["gene"]]), sets, universe, "gene")
-    value = dict(zip(coefficients["gene"], coefficients["coef"], strict=True))
-    all_coef = np.array(list(value.values()))
-    names, rows = list(value), []
-    members: dict[str, set] = {}
-    for r in sets.join(spark.createDataFrame(coefficients[["gene"]]), "gene", "left_semi").select("set", "gene").distinct().collect():
-        members.setdefault(r.set, set()).add(r.gene)
-    for s, own in sorted(members.items()):
-        t = resampling.signed_set_test(all_coef, np.array([n in own for n in names]))
-        known = [None if math.isnan(t[k]) else float(t[k]) for k in ("p_sign", "mean_value", "p_rank")]
-        rows.append((s, t["n"], t["n_positive"], *known))
-    extra = spark.createDataFrame(rows, "set string, coef_n long, coef_n_resistance long, coef_p_sign double, coef_mean double, coef_p_rank double")
+def directed_enrichment(coefficients: DataFrame, sets: DataFrame, universe: DataFrame) -> DataFrame:
+    """Overlap of non-zero coefficients (gene, coef) with each set, and the direction test of its coefficients."""
+    base = stats.enrichment(coefficients, sets, universe, "gene")
+    own = sets.select("set", "gene").join(coefficients.select("gene"), "gene", "left_semi")
+    extra = set_tests.signed_set_test(coefficients, own, "gene", "coef").select("set", *[F.col(a).alias(b) for a, b in (("n", "coef_n"), ("n_positive", "coef_n_resistance"), ("p_sign", "coef_p_sign"), ("mean_value", "coef_mean"), ("p_rank", "coef_p_rank"))])
     return base.join(extra, "set", "left")
 
 
@@ -395,11 +385,11 @@ def regimen(a: DataFrame, b: DataFrame, line: str = "line") -> DataFrame:
 
 
 def clinical_tests(scores: DataFrame, covariates: DataFrame, modules: list[str], adjust: list[str], categories: list[str], sample: str = "sample_id") -> DataFrame:
-    """feature, model (unadjusted / adjusted), n, coef, odds (per SD), lo, hi, p, q, status, rounds of the response on
+    """feature, model (unadjusted / adjusted), n, coef, OR_per_SD and its 95 % interval, p, q, status, rounds of the response on
     each module's score, standardised over the cohort."""
     own = scores.filter(F.col("set").isin(modules))
     fits = [regression.logistic(own, covariates, "response", *more, sample, "set", "score").withColumn("model", F.lit(name)) for name, more in (("unadjusted", ((), ())), ("adjusted", (adjust, categories)))]
-    out = fits[0].unionByName(fits[1]).withColumnRenamed("set", "feature")
+    out = fits[0].unionByName(fits[1]).withColumnsRenamed({"set": "feature", "odds": "OR_per_SD", "lo": "OR_CI95_lo", "hi": "OR_CI95_hi"})
     return out.withColumn("q", bh_q("p", "model"))
 
 

@@ -210,21 +210,6 @@ def trend_by_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(scoring.trend_by_time(e, "event_type", "h", "value", [0, 16, 32, 48]))
 
 
-@query(f"""WITH {LONG}, y AS (SELECT vec_id AS sample, label::DOUBLE AS y, row_number() OVER (ORDER BY vec_id) - 1 AS i, count(*) OVER () AS n FROM embeddings),
-p AS (SELECT a.sample, s AS step, b.y FROM y a CROSS JOIN range(20) t(s) JOIN y b ON b.i = (a.i + 7 * s) % a.n), r AS (SELECT feature, step, corr(value, y) AS r FROM l JOIN p USING (sample) GROUP BY ALL),
-m AS (SELECT 'first' AS "set", unnest(range(3))::INT AS feature UNION ALL SELECT 'even', unnest(range(0, 64, 2))::INT), b AS (SELECT feature % 3 AS stratum, step, avg(r) AS back FROM r GROUP BY ALL),
-g AS (SELECT "set", r.step AS step, count(*) AS n, avg(r) AS mean_r, avg(back) AS background_r FROM m JOIN r USING (feature) JOIN b ON b.stratum = feature % 3 AND b.step = r.step GROUP BY "set", r.step),
-o AS (SELECT * FROM g WHERE step = 0)
-SELECT "set", o.n, round(o.mean_r, 8) AS mean_r, round(o.background_r, 8) AS background_r, round(o.mean_r - o.background_r, 8) AS shift, (1 + (SELECT count(*) FROM g WHERE g."set" = o."set" AND step > 0 AND abs(g.mean_r - g.background_r) >= abs(o.mean_r - o.background_r))) / 20.0::DOUBLE AS p FROM o""")
-def set_shift_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shift of sets under listed permutations of the response: turns by 7, 14, ... places."""
-    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), F.col("label").cast("double").alias("y"))
-    y = stages.to_local(e, "a response").sort_values("sample")["y"].to_numpy(float)
-    m = features(spark, sf_dir).groupBy("feature").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", "value"))), lambda s: s["value"]).alias("v"))
-    turns = np.array([(np.arange(len(y)) + 7 * s) % len(y) for s in range(1, 20)])
-    out = resampling.set_shift(m, "feature", "v", y, {"first": {0, 1, 2}, "even": set(range(0, 64, 2))}, {i: i % 3 for i in range(64)}, np.zeros(len(y)), permutations=turns)
-    return rounded(spark.createDataFrame(out.astype({"set": str, "p": float})), 8)
-
 
 @query(f"""WITH {LONG}, y AS (SELECT vec_id AS sample, label % 5 AS g, embedding[1]::DOUBLE + embedding[2]::DOUBLE AS y, (row_number() OVER (ORDER BY vec_id) - 1) % 5 AS fold FROM embeddings),
 t AS (SELECT f.fold AS fold, feature, value - avg(value) OVER w AS cx, (y - avg(y) OVER w) / nullif(stddev_samp(y) OVER w, 0) AS cy FROM l JOIN y USING (sample) JOIN (SELECT unnest(range(5)) AS fold) f ON y.fold <> f.fold WINDOW w AS (PARTITION BY f.fold, feature, g)),

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions.ranks import numbered
 from tessera.functions.special import t_two_sided
-from tessera.operators import adjustment, components, draws, modelling, regression
+from tessera.functions.special import rank_sum_p
+from tessera.operators import adjustment, components, draws, modelling, regression, set_tests
 from tessera.plans import stages
 
 
@@ -226,3 +227,69 @@ def test_interaction_with_levels(spark):
         assert r.n == n and r.estimate == pytest.approx(b[3], abs=1e-9) and r.se == pytest.approx(se) and r.p == pytest.approx(t_two_sided(b[3] / se, dof))
     assert regression.interaction(df.withColumn("f", F.lit(1)), "y", "s", "f").first().estimate is None
     assert regression.interaction(df.limit(0), "y", "s", "f").first().n == 0
+
+
+def test_signs_and_ranks_of_sets(spark):
+    rng = np.random.default_rng(9)
+    v = np.round(rng.normal(size=60), 1)
+    v[:2] = 0
+    rows = [(i, float(v[i])) for i in range(60)] + [(60, None), (61, float("nan"))]
+    sets = {"big": list(range(0, 40, 2)) + [60, 61, 999], "few": [1, 3, 5], "gone": [60], "all": list(range(60))}
+    df = spark.createDataFrame(rows, "f int, v double")
+    named = spark.createDataFrame([(s, i) for s, own in sets.items() for i in own] + [("few", 1)], "set string, f int")
+    got = {r.set: r for r in set_tests.signed_set_test(df, named, "f", "v").collect()}
+    order = np.argsort(v, kind="stable")
+    rank = np.empty(60)
+    for x in set(v):
+        rank[v == x] = (v < x).sum() + ((v == x).sum() + 1) / 2
+    ties = sum(int((v == x).sum()) ** 3 - int((v == x).sum()) for x in set(v))
+    for s in ("big", "few", "all"):
+        own = [i for i in sets[s] if i < 60]
+        u = rank[own].sum() - len(own) * (len(own) + 1) / 2
+        r = got[s]
+        assert (r.n, r.n_positive, r.mean_value) == (len(own), (v[own] > 0).sum(), pytest.approx(v[own].mean()))
+        assert (r.u is None and r.p_rank is None) if s == "all" else (r.u == u and r.p_rank == pytest.approx(rank_sum_p(u, len(own), 60 - len(own), ties)))
+    assert got["gone"].n == 0 and got["gone"].p_sign is None and len(order) == 60
+
+
+def test_set_shift_by_every_correlation(spark):
+    rng = np.random.default_rng(10)
+    n, k = 60, 30
+    y, g = rng.normal(size=n), np.array(["a", "b", None], object)[rng.integers(0, 3, n)]
+    x = rng.normal(size=(n, k))
+    x[:, :6] += 0.6 * y[:, None]
+    x[:, 7] = 2.5  # constant
+    sets = {"driven": list(range(6)) + [7], "other": [10, 11, 12, 500], "constant": [7]}
+    stratum = {f: f % 2 for f in range(k - 1)}
+    long = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(n) for j in range(k)] + [(99, 0, 1.0)], "s int, f int, v double")
+    lines = spark.createDataFrame([(i, float(y[i]), g[i]) for i in range(n)] + [(98, None, "a")], "s int, y double, g string")
+    named = spark.createDataFrame([(s, i) for s, own in sets.items() for i in own], "set string, f int")
+    strata = spark.createDataFrame(list(stratum.items()), "f int, stratum int")
+    got = {r.set: r for r in set_tests.set_shift(long, lines, named, strata, "s", "f", "v", "y", "g", 50, 4).collect()}
+    assert set(got) == {"driven", "other"}
+    moved = [y]
+    for d in range(1, 51):
+        own = y.copy()
+        for level in ("a", "b", None):
+            i = [j for j in range(n) if g[j] == level]
+            own[i] = y[sorted(i, key=lambda s: hashlib.md5(f"4:{d}:{s}".encode()).hexdigest())]
+        moved.append(own)
+    with np.errstate(all="ignore"):
+        r = np.array([[np.corrcoef(x[:, j], own)[0, 1] for own in moved] for j in range(k)])
+    r[7] = np.nan
+    for s in ("driven", "other"):
+        own = [f for f in sets[s] if f < k]
+        back = sum(sum(stratum.get(f) == b for f in own) / len(own) * np.nanmean(r[[f for f in stratum if stratum[f] == b]], axis=0) for b in (0, 1))
+        gap = np.nanmean(r[own], axis=0) - back
+        assert got[s].n == len(own) and got[s].mean_r == pytest.approx(np.nanmean(r[own, 0])) and got[s].background_r == pytest.approx(back[0])
+        assert got[s].p == pytest.approx((1 + (np.abs(gap[1:]) >= abs(gap[0])).sum()) / 51)
+    per = set_tests.permuted(lines, "s", "y", "g", 3, 0)
+    assert per.filter("draw > 0").groupBy("draw").agg(F.sum("y").alias("t")).select(F.round("t", 9)).distinct().count() == 1
+
+
+def test_directed_enrichment(spark):
+    coef = spark.createDataFrame([(f"g{i}", float(i - 5) or 0.5) for i in range(12)], "gene string, coef double")
+    sets = spark.createDataFrame([("up", "g9"), ("up", "g10"), ("up", "g11"), ("up", "g50"), ("none", "g60")], "set string, gene string")
+    universe = spark.createDataFrame([(f"g{i}",) for i in range(100)], "gene string")
+    got = {r.set: r for r in stages.directed_enrichment(coef, sets, universe).collect()}
+    assert got["up"].observed == 3 and got["up"].coef_n == 3 and got["up"].coef_n_resistance == 3 and got["none"].observed == 0 and got["none"].coef_n is None

@@ -22,12 +22,22 @@ def test_tails_against_known_values():
     assert special.binomial_two_sided(2, 10) == pytest.approx(2 * (1 + 10 + 45) / 1024)
 
 
-def test_mann_whitney_exact_and_normal():
-    u, p = special.mann_whitney(np.array([1.0, 2, 3]), np.array([4.0, 5, 6, 7]))
-    assert (u, p) == (0, pytest.approx(2 / 35))
-    x, y = np.arange(40.0), np.arange(40.0) + 12.5
-    u, p = special.mann_whitney(x, y)
-    assert u == sum((a > b) + 0.5 * (a == b) for a in x for b in y) and 0 < p < 0.05
+def test_rank_sums_exact_and_normal():
+    """Against the count of all choices of ranks, and the normal limit with ties."""
+    from itertools import combinations
+
+    for n, m in ((3, 4), (4, 3), (2, 9), (9, 2)):
+        us = [sum(c) - n * (n - 1) / 2 for c in combinations(range(n + m), n)]
+        for u in range(n * m + 1):
+            want = min(1.0, 2 * sum(x >= max(u, n * m - u) for x in us) / len(us))
+            assert special.rank_sum_p(u, n, m, 0) == pytest.approx(want)
+    x, y = np.array([1.0, 2, 2, 3, 5, 5, 7, 8, 9, 10]), np.array([2.0, 4, 5, 6, 6, 8, 11, 12, 13])
+    both = np.concatenate([x, y])
+    u = special.rank_average(both)[:10].sum() - 55
+    t = np.unique(both, return_counts=True)[1]
+    sd = math.sqrt(90 / 12 * (20 - (t**3 - t).sum() / (19 * 18)))
+    assert special.rank_sum_p(u, 10, 9, float((t**3 - t).sum())) == pytest.approx(math.erfc((abs(u - 45) - 0.5) / sd / math.sqrt(2)))
+    assert special.binomial_two_sided(40, 100) == pytest.approx(0.0568879, abs=1e-6) and special.binomial_two_sided(480, 1001) == pytest.approx(0.2059, abs=1e-3)
 
 
 def test_missing_values(spark):

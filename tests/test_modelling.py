@@ -109,22 +109,6 @@ def test_bootstraps():
     assert rs.reproducible((0.1, 0.2), (0.12, 0.21)) and not rs.reproducible((0.1, 0.2), (0.2, 0.2))
 
 
-def test_set_shift_and_signs(spark):
-    rng = np.random.default_rng(8)
-    n = 120
-    y, hidden = rng.normal(size=n), rng.normal(size=n)
-    x = rng.normal(size=(n, 200))
-    x[:, :20] += 0.5 * y[:, None]
-    x[:, 20:40] += hidden[:, None]
-    df = spark.createDataFrame([(i, x[:, i].tolist()) for i in range(200)], "f int, v array<double>")
-    out = rs.set_shift(df, "f", "v", y, {"driven": set(range(20)), "coregulated": set(range(20, 40))}, {i: i % 2 for i in range(200)}, np.zeros(n), 200).set_index("set")
-    assert out.loc["driven", "p"] < 0.01 and out.loc["coregulated", "p"] > 0.02
-    v = rng.normal(size=200)
-    v[:15] = np.abs(v[:15]) + 0.5
-    t = rs.signed_set_test(v, np.arange(200) < 15)
-    assert t["n_positive"] == 15 and t["p_sign"] == pytest.approx(2 / 2**15) and t["p_rank"] < 0.01
-
-
 def test_permutation_nulls():
     rng = np.random.default_rng(9)
     v = rng.normal(size=500)

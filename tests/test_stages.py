@@ -93,7 +93,7 @@ def test_clinical_and_batches(spark):
     scores = spark.createDataFrame([(f"p{i}", "DTP", float(s[i])) for i in range(90)], "sample_id string, set string, score double")
     cov = spark.createDataFrame([(f"p{i}", int(y[i]), float(rng.random()) if i else None, "ABC"[i % 3]) for i in range(90)], "sample_id string, response int, purity double, cms string")
     out = {r.model: r for r in stages.clinical_tests(scores, cov, ["DTP"], ["purity"], ["cms"]).collect()}
-    assert out["unadjusted"].n == 90 and out["adjusted"].n == 89 and out["unadjusted"].odds > 1.5 and out["adjusted"].q == out["adjusted"].p
+    assert out["unadjusted"].n == 90 and out["adjusted"].n == 89 and out["unadjusted"].OR_per_SD > 1.5 and out["adjusted"].q == out["adjusted"].p
     probes = spark.createDataFrame([("a", "G1 /// G2"), ("b", "G1"), ("c", "")], "probe string, symbols string")
     long = spark.createDataFrame([("a", "s", 64.0), ("b", "s", 16.0), ("a", "t", None), ("b", "t", 4.0), ("c", "s", 9.0)], "probe string, sample string, v double")
     got = {(r.gene, r["sample"]): r.v for r in stages.collapse_probes(long, probes, "probe", "symbols", "sample", "v").collect()}
