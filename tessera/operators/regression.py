@@ -3,6 +3,8 @@
 * Logistic models by Newton steps: many scores share one pass over the rows a step.
 * Ridge by folds: Gram matrices of folds, training ones as the total less the fold's; the leave-one-out
   error of every penalty from leverages, in one more pass.
+* Elastic nets by folds: coordinate descent on Gram matrices of (fold, inner fold) cells, all from one pass; the
+  penalty by inner cross-validation, whose errors follow from the same matrices.
 * Least squares with an interaction; a category is absorbed by centring within its levels."""
 
 from __future__ import annotations
@@ -14,12 +16,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from ..functions.local import cut, sized_broadcast, to_local
+from ..functions.local import CELLS, TooLarge, cut, sized_broadcast, to_local
 from ..functions.special import normal_two_sided, t_two_sided
 from ..functions.sums import block_sums
 
-ROUNDS, STEP, FAR = 100, 1e-10, 50.0
+ROUNDS, STEP, FAR, SWEEPS = 100, 1e-10, 50.0, 3000
 #: Levels of a category at most, and numbers of a block in a task.
 LEVELS, BLOCK = 1000, 4_000_000
 
@@ -221,6 +224,144 @@ def ridge_by_fold(rows: DataFrame, line: str, features: str, y: str, alphas: Seq
     return full.mapInPandas(predict, out)
 
 
+def covariance_path(a: np.ndarray, c: np.ndarray, alphas: np.ndarray, l1: float, scale: float) -> np.ndarray:
+    """Coefficients (alphas x features) of the elastic net with Z'Z / n = a and Z'y / n = c of centred data, from the largest
+    penalty down, each from the one before. A step costs one column of a, whatever the rows."""
+    out, b, g, small = np.zeros((len(alphas), len(c))), np.zeros(len(c)), c.astype(float).copy(), 1e-9 * max(scale, 1e-300)
+    for k in np.argsort(-np.asarray(alphas), kind="stable"):
+        lam, ridge = alphas[k] * l1, alphas[k] * (1 - l1)
+        for _ in range(SWEEPS):
+            todo, before = np.flatnonzero((np.abs(g) > lam) | (b != 0)), b.copy()
+            for _ in range(SWEEPS):
+                move = 0.0
+                for j in todo:
+                    if a[j, j] <= 0:
+                        continue
+                    old = b[j]
+                    s = g[j] + a[j, j] * old
+                    new = math.copysign(max(abs(s) - lam, 0.0), s) / (a[j, j] + ridge)
+                    if new != old:
+                        g -= a[:, j] * (new - old)
+                        b[j] = new
+                        move = max(move, abs(new - old))
+                if move <= small:
+                    break
+            if np.abs(b - before).max(initial=0.0) <= small:
+                break
+        out[k] = b
+    return out
+
+
+def _moments(g: np.ndarray) -> tuple[float, np.ndarray, float, np.ndarray, np.ndarray]:
+    """n, means of x, mean of y, centred x'x / n and x'y / n of cross products of (1, x, y)."""
+    n = max(g[0, 0], 1.0)
+    m, base = g[0, 1:-1] / n, g[0, -1] / n
+    return g[0, 0], m, base, g[1:-1, 1:-1] / n - np.outer(m, m), g[1:-1, -1] / n - m * base
+
+
+def _squares(v: np.ndarray, b: np.ndarray, base: float) -> float:
+    """Sum of (y - base - xb)^2 over the rows behind v."""
+    w = np.concatenate([[-base], -b, [1.0]])
+    return float(max(w @ v @ w, 0.0))
+
+
+def _net(cells: np.ndarray, alphas: np.ndarray, l1: float) -> tuple[int, np.ndarray, float, int]:
+    """(penalty, raw coefficients, intercept, rows) for one training set, by inner fold: cells are their cross products."""
+    whole = cells.sum(axis=0)
+    n, m, base, a, c = _moments(whole)
+    sd = np.sqrt(np.maximum(np.diag(a), 0))
+    sd = np.where(sd > 1e-7 * np.sqrt(np.maximum(np.diag(whole)[1:-1] / max(n, 1), 1e-300)), sd, 0.0)
+    scale = np.where(sd > 0, sd, 1.0)
+    spread = math.sqrt(max(whole[-1, -1] / max(n, 1) - base * base, 0.0))
+    live = np.outer(sd > 0, sd > 0) / np.outer(scale, scale)
+    loss = np.zeros(len(alphas))
+    for v in cells if len(alphas) > 1 else ():
+        k, own, b0, ai, ci = _moments(whole - v)
+        if k < 1 or v[0, 0] < 1:
+            continue
+        for i, b in enumerate(covariance_path(ai * live, np.where(sd > 0, ci / scale, 0), alphas, l1, spread)):
+            raw = b / scale
+            loss[i] += _squares(v, raw, b0 - own @ raw) / v[0, 0]
+    best = int(loss.argmin())
+    raw = covariance_path(a * live, np.where(sd > 0, c / scale, 0), alphas[best : best + 1], l1, spread)[0] / scale
+    return best, raw, base - m @ raw, int(round(n))
+
+
+def elastic_net_by_fold(rows: DataFrame, line: str, features: str, y: str, alphas: Sequence[float], l1: float = 0.5, fold: str = "fold", inner: str = "inner") -> DataFrame:
+    """line, fold, truth, pred, alpha, edge, n_train: each fold predicted by an elastic net on the others, on scaled
+    columns, with the penalty of the least mean error over inner folds (0, 1, ...: a column of rows, unused for one penalty).
+
+    One pass of sums and one of predictions; folds are fitted in tasks of their own, from the sums. The sums are (folds x
+    inner folds) matrices of features x features, counted before they come (TooLarge): this is for narrow tables, and
+    a wide one is screened first (modelling.cross_validate_long)."""
+    full = rows.select(F.col(line).alias("line"), F.col(features).cast("array<double>").alias("x"), F.col(y).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"), F.coalesce(F.col(inner).cast("int"), F.lit(0)).alias("inner"))
+    full = cut(full.filter("y IS NOT NULL AND fold IS NOT NULL"))
+    shape = full.agg(F.max("fold"), F.max(F.size("x")), F.max("inner")).first()
+    folds, width, inners, penalties = (shape[0] if shape[0] is not None else -1) + 1, shape[1] or 0, (shape[2] or 0) + 1, np.asarray(alphas, float)
+    spark = rows.sparkSession
+    out = f"line {full.schema['line'].dataType.simpleString()}, fold int, truth double, pred double, alpha double, edge boolean, n_train long"
+    if not folds:
+        return spark.createDataFrame([], out)
+    if folds * inners * (width + 2) ** 2 > CELLS:
+        raise TooLarge(f"Gram matrices of {width} features in {folds} x {inners} cells")
+    own = block_sums(full.select("x", "y", (F.col("fold") * inners + F.col("inner")).alias("fold")), lambda pdf: _grams(pdf, folds * inners, width), folds * inners * (width + 2) ** 2, "Gram matrices of cells")
+    shared = spark.sparkContext.broadcast(own.reshape(folds, inners, width + 2, width + 2))
+
+    def fit(batches):
+        for pdf in batches:
+            found = []
+            for f in pdf["id"]:
+                train = shared.value.sum(axis=0) - shared.value[f]
+                if train[:, 0, 0].sum() > 0.5:
+                    best, b, base, n = _net(train, penalties, l1)
+                    found.append((int(f), best, b.tolist(), base, n))
+            yield pd.DataFrame(found, columns=["id", "best", "b", "base", "n"])
+
+    fits = to_local(spark.range(0, folds, 1, folds).mapInPandas(fit, "id long, best int, b array<double>, base double, n long"), "models by fold", width)
+    models = {int(r.id): (int(r.best), np.asarray(r.b, float), float(r.base), int(r.n)) for r in fits.itertuples()}
+    given = spark.sparkContext.broadcast(models)
+
+    def predict(batches):
+        for pdf in batches:
+            pdf = pdf[pdf["fold"].isin(list(given.value))]
+            own = [given.value[f] for f in pdf["fold"]]
+            pred = [base + float(np.asarray(x, float) @ b) for x, (_, b, base, _) in zip(pdf["x"], own, strict=True)]
+            yield pd.DataFrame({"line": pdf["line"], "fold": pdf["fold"], "truth": pdf["y"], "pred": np.array(pred, float), "alpha": [penalties[m[0]] for m in own], "edge": [m[0] in (0, len(penalties) - 1) for m in own], "n_train": [m[3] for m in own]})
+
+    return full.mapInPandas(predict, out)
+
+
+def cross_validate_sums(matrix: DataFrame, line: str, features: str, y: str, model: str = "ridge", group: str | None = None, folds: int = 5, repeats: int = 5, seed: int = 0, by_group: bool = False) -> DataFrame:
+    """Out-of-fold predictions on the folds of modelling.cross_validate (line, repeat, fold, truth, pred, alpha, edge,
+    n_train) by "ridge", "tuned" or "fixed" elastic nets, of a narrow table of any number of lines.
+
+    Inner folds of "tuned" follow a seeded order of all lines. by_group: each group is a fold, once."""
+    from . import modelling
+    from ..functions.ranks import numbered
+
+    rows = matrix.filter(F.col(y).isNotNull()).select(F.col(line).cast("string").alias("line"), F.col(features).alias("_x"), F.col(y).alias("_y"), *([F.col(group).alias("_g")] if group else []))
+    rows = cut(numbered(rows, ["line"]).drop("_n").withColumnRenamed("_i", "row_ix"))
+    if by_group:
+        names = rows.select("_g").filter("_g IS NOT NULL").distinct().withColumn("fold", F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy("_g")) - 1).withColumn("repeat", F.lit(0))  # a row a group
+        plans = [rows.join(sized_broadcast(names, 48), "_g")]
+    else:
+        table = modelling.fold_table(matrix.sparkSession, rows.count(), folds, repeats, seed)
+        plans = [rows.join(table.filter(F.col("repeat") == r), "row_ix") for r in range(repeats)]
+    inner = numbered(rows.select("row_ix", F.md5(F.concat_ws(":", F.lit(f"inner{seed}"), "line").cast("binary")).alias("_h")), ["_h"]).select("row_ix", (F.col("_i") % modelling.INNER).cast("int").alias("inner")) if model == "tuned" else None
+    out = None
+    for r, plan in enumerate(plans):
+        if model == "ridge":
+            got = ridge_by_fold(plan, "line", "_x", "_y", modelling.RIDGE_ALPHAS)
+        else:
+            width = rows.agg(F.max(F.size("_x"))).first()[0] or 0
+            grid = [modelling.ALPHA] if model == "fixed" else modelling.ALPHAS_WIDE if width > 50 else modelling.ALPHAS_NARROW
+            own = plan.withColumn("inner", F.lit(0)) if inner is None else plan.join(inner, "row_ix")
+            got = elastic_net_by_fold(own, "line", "_x", "_y", grid, modelling.L1_RATIO)
+        got = got.select("line", F.lit(r).alias("repeat"), "fold", "truth", "pred", "alpha", "edge", F.col("n_train").cast("int").alias("n_train"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 def baselines(table: DataFrame, line: str, y: str, numeric: Sequence[str], category: str, alphas: Sequence[float], folds: int = 5, seed: int = 0, least: int = 5) -> DataFrame:
     """baseline, pearson_r, r2, rmse, n of ridge on each number, on the category, on both, and of both on
     permuted labels (the leakage tripwire: rows are matched with the labels of others by two seeded orders).

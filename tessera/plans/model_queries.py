@@ -163,6 +163,24 @@ def ridge_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("line").alias("id"), "fold", F.round("pred", 5).alias("pred"), "alpha", "n_train")
 
 
+@query("""WITH c AS (SELECT c_custkey AS id, c_acctbal / 1000 AS y, avg(o_totalprice) / 100000 AS x, c_custkey % 5 AS fold, c_custkey // 5 % 3 AS inner_ FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY ALL),
+a AS (SELECT unnest([0.2, 0.05, 0.01, 0.002, 0.0005])::DOUBLE AS a), k AS (SELECT DISTINCT fold FROM c), i AS (SELECT DISTINCT inner_ FROM c),
+t AS (SELECT k.fold, count(*) AS n, avg(y) AS my, avg(x) AS m, stddev_pop(x) AS s, covar_pop(x, y) / stddev_pop(x) AS c FROM k JOIN c ON c.fold <> k.fold GROUP BY 1),
+v AS (SELECT t.fold, i.inner_, avg(y) AS my, avg((x - m) / s) AS mz, var_pop((x - m) / s) AS v, covar_pop((x - m) / s, y) AS c FROM t, i, c WHERE c.fold <> t.fold AND c.inner_ <> i.inner_ GROUP BY ALL),
+b AS (SELECT fold, inner_, a, my, mz, sign(c) * greatest(abs(c) - a / 2, 0) / (v + a / 2) AS b FROM v, a),
+l AS (SELECT b.fold, b.inner_, a, avg((y - b.my - b * ((x - m) / s - mz)) ** 2) AS loss FROM b JOIN t ON t.fold = b.fold JOIN c ON c.fold <> b.fold AND c.inner_ = b.inner_ GROUP BY ALL),
+w AS (SELECT fold, a FROM l GROUP BY fold, a QUALIFY row_number() OVER (PARTITION BY fold ORDER BY avg(loss), a DESC) = 1)
+SELECT id, fold::INT AS fold, round(my + sign(t.c) * greatest(abs(t.c) - a / 2, 0) / (1 + a / 2) * (x - m) / s, 6) AS pred, a AS alpha, n AS n_train FROM c JOIN w USING (fold) JOIN t USING (fold)""")
+def elastic_net_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An elastic net on one column, in closed form in the SQL, with the penalty of the least inner error."""
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    x = o.groupBy("o_custkey").agg((F.avg("o_totalprice") / 100000).alias("x"))
+    rows = c.join(x, F.col("c_custkey") == F.col("o_custkey")).withColumn("features", F.array("x")).withColumn("y", F.col("c_acctbal") / 1000)
+    rows = rows.withColumn("fold", (F.col("c_custkey") % 5).cast("int")).withColumn("inner", F.expr("cast((c_custkey div 5) % 3 as int)"))
+    out = regression.elastic_net_by_fold(rows, "c_custkey", "features", "y", [0.2, 0.05, 0.01, 0.002, 0.0005])
+    return out.select(F.col("line").alias("id"), "fold", F.round("pred", 6).alias("pred"), "alpha", "n_train")
+
+
 #: Folds of a table as `regression.baselines` deals them, and ridge on one scaled number.
 _DEALT = """v AS (SELECT vec_id AS id, embedding[1]::DOUBLE * 2 + embedding[2]::DOUBLE - embedding[3]::DOUBLE * 1.5::DOUBLE + label * 0.05::DOUBLE AS y, embedding[1]::DOUBLE AS x0, (row_number() OVER (ORDER BY md5('fold0:' || vec_id)) - 1) % 5 AS fold FROM embeddings),
 a AS (SELECT unnest([ALPHAS])::DOUBLE AS a),

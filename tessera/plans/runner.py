@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import modelling
+from ..operators import modelling, regression
 from ..sources import sinks
 from ..sources import tables as tb
 from . import stages
@@ -107,7 +107,7 @@ def models(spark: SparkSession, s: Settings) -> None:
         "transcriptome": cv(y),
         "transcriptome_deconfounded": cv(big, deconfound=True),
         "leave_lineage_out": cv(big, by_group=True),
-        "modules": modelling.cross_validate(modules, "model_id", "features", s.target, modelling.Ridge, repeats=s.repeats),
+        "modules": regression.cross_validate_sums(modules, "model_id", "features", s.target, "ridge", repeats=s.repeats),
         "lineage_and_number": stages.same_split_baseline(y.join(one, "model_id"), s.target, s.lineage, s.number, repeats=s.repeats),
     }
     rows = []

@@ -113,7 +113,7 @@ def same_split_baseline(table: DataFrame, y: str, lineage: str, number: str, lin
     known = table.withColumn("_l", F.coalesce(F.col(lineage), F.lit("UNKNOWN")))
     names = [r["_l"] for r in known.select("_l").distinct().orderBy("_l").limit(1000).collect()]
     columns = [*[(F.col("_l") == n).cast("double") for n in names], F.col(number).cast("double")]
-    return modelling.cross_validate(known.withColumn("features", F.array(*columns)), line, "features", y, modelling.Ridge, repeats=repeats, seed=seed)
+    return regression.cross_validate_sums(known.withColumn("features", F.array(*columns)), line, "features", y, "ridge", repeats=repeats, seed=seed)
 
 
 def compare(a: DataFrame, b: DataFrame, name_a: str, name_b: str) -> DataFrame:
@@ -151,7 +151,7 @@ def transfer_comparison(matrix: DataFrame, modules: DataFrame, y: str, lineage:
     given = spark.createDataFrame(list(zip(lines[line].tolist(), truth.tolist(), pred.tolist(), strict=True)), f"{line} {kind}, {y} double, _pan double")
     own = modules.select(line, "features").join(F.broadcast(given), line)  # the lines of one lineage
     more = own.withColumn("features", F.concat("features", F.array("_pan")))
-    a, c = (modelling.summarise(modelling.cross_validate(m, line, "features", y, modelling.Ridge, repeats=repeats), n) for m, n in ((own, "modules, own lines"), (more, "modules and transfer")))
+    a, c = (modelling.summarise(regression.cross_validate_sums(m, line, "features", y, "ridge", repeats=repeats), n) for m, n in ((own, "modules, own lines"), (more, "modules and transfer")))
     draws = resampling.bootstrap_draws(truth, pred, n_boot)
     r, p, lo, hi = resampling.bootstrap_r(truth, pred, n_boot)
     b = {"model": "transfer", "r_mean": r, "r_lo": lo, "r_hi": hi, "r_sd": float(np.nanstd(draws)), "p": p, "cindex_mean": modelling.concordance(truth, pred)}

@@ -293,3 +293,43 @@ def test_directed_enrichment(spark):
     universe = spark.createDataFrame([(f"g{i}",) for i in range(100)], "gene string")
     got = {r.set: r for r in stages.directed_enrichment(coef, sets, universe).collect()}
     assert got["up"].observed == 3 and got["up"].coef_n == 3 and got["up"].coef_n_resistance == 3 and got["none"].observed == 0 and got["none"].coef_n is None
+
+
+def test_elastic_nets_by_fold(spark):
+    """Against coordinate descent on the rows, with the same inner folds."""
+    rng = np.random.default_rng(11)
+    n, p = 120, 12
+    x = rng.normal(size=(n, p)) * rng.uniform(0.5, 3, p) + rng.normal(size=p)
+    x[:, 5] = 2.0
+    y = x[:, 0] - x[:, 1] + 0.5 * rng.normal(size=n)
+    fold, inner = rng.integers(0, 4, n), rng.integers(0, 3, n)
+    df = spark.createDataFrame([(i, x[i].tolist(), float(y[i]), int(fold[i]), int(inner[i])) for i in range(n)], "id int, x array<double>, y double, fold int, inner int")
+    grid = np.array([0.5, 0.1, 0.02, 0.004])
+    got = {r.line: r for r in regression.elastic_net_by_fold(df, "id", "x", "y", grid).collect()}
+    assert len(got) == n
+    for f in range(4):
+        train = fold != f
+        z, m, s = modelling.standardise(x[train])
+        yt, g, loss = y[train], inner[train], np.zeros(len(grid))
+        for k in range(3):
+            a, b = z[g != k], yt[g != k]
+            coef = modelling.elastic_net_path(a - a.mean(0), b - b.mean(), grid, tol=1e-7)
+            loss += ((yt[g == k][:, None] - b.mean() - (z[g == k] - a.mean(0)) @ coef.T) ** 2).mean(0)
+        best = grid[loss.argmin()]
+        coef = modelling.elastic_net_path(z, yt - yt.mean(), np.array([best]), tol=1e-7)[0]
+        for i in np.flatnonzero(~train):
+            assert got[i].alpha == best and got[i].n_train == train.sum() and got[i].pred == pytest.approx(yt.mean() + ((x[i] - m) / s) @ coef, abs=1e-5)
+    assert regression.elastic_net_by_fold(df.limit(0), "id", "x", "y", grid).count() == 0
+
+
+def test_sums_on_the_same_folds(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(60, 4))
+    y = x[:, 0] + 0.3 * rng.normal(size=60)
+    df = spark.createDataFrame([(f"l{i:02d}", x[i].tolist(), "abc"[i % 3], float(y[i])) for i in range(60)], "line string, features array<double>, g string, y double")
+    for more in ({"repeats": 2}, {"group": "g", "by_group": True}):
+        a = {(r.line, r.repeat): r for r in modelling.cross_validate(df, "line", "features", "y", modelling.Ridge, **more).collect()}
+        b = {(r.line, r.repeat): r for r in regression.cross_validate_sums(df, "line", "features", "y", "ridge", **more).collect()}
+        assert a.keys() == b.keys() and all((a[k].fold, a[k].alpha, a[k].n_train) == (b[k].fold, b[k].alpha, b[k].n_train) and a[k].pred == pytest.approx(b[k].pred, abs=1e-9) for k in a)
+    t = regression.cross_validate_sums(df, "line", "features", "y", "tuned", repeats=1)
+    assert t.agg(F.corr("truth", "pred")).first()[0] > 0.9 and t.columns == [c.split()[0] for c in modelling.OOF.split(", ")]
