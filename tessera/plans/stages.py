@@ -335,27 +335,28 @@ def drug_targets(responses: DataFrame, drug: str, order: str = "ordinal", least:
     return out, {"drug": drug, "drug_ids": ids, "id_agreement_r": worst, "n": q.n, "auc_mean": q.m, "auc_sd": q.s, "pct_extrapolated": 100 * q.x, "pct_auc_gt_090": 100 * q.o0, "pct_auc_gt_095": 100 * q.o1, "pct_auc_gt_098": 100 * q.o2}
 
 
-def specificity(table: DataFrame, drugs: list[str], modules: list[str], msi: str, general: str, least: int = 15) -> pd.DataFrame:
-    """drug, module, r and p raw and adjusted for MSI, the general axis, and both, with q by family.
-
-    table: one row a (drug, line) with `drug`, `auc`, the modules and both controls."""
-    rows = []
-    for d in drugs:
-        own = table.filter(F.col("drug") == d).dropna(subset=["auc", msi, general])
-        n = own.count()
-        if n < least:
-            continue
-        for m in modules:
-            row = {"drug": d, "module": m, "n": n}
-            for name, controls in (("raw", []), ("msi_adj", [msi]), ("general_adj", [general]), ("both_adj", [msi, general])):
-                got = stats.partial_corr(own, m, "auc", controls).first()
-                row |= {f"r_{name}": got.r, f"p_{name}": got.p}
-            rows.append(row)
-    out = pd.DataFrame(rows)
-    for name in ("raw", "msi_adj", "general_adj", "both_adj"):
-        if len(out):
-            out[f"q_{name}"] = adjusted(out[f"p_{name}"].to_numpy(float))
-    return out
+def specificity(table: DataFrame, drugs: list[str], modules: list[str], msi: str, general: str, least: int = 15) -> DataFrame:
+    """drug, module, n, and r, p, q raw and adjusted for MSI, the general axis, and both: raw, msi_adj, general_adj, both_adj.
+
+    table: one row a (drug, line) with `drug`, `auc`, the modules and both controls. One aggregation: the correlations
+    of four columns by (drug, module); partial ones follow from them, a constant control adjusting nothing."""
+    own = table.filter(F.col("drug").isin(drugs)).dropna(subset=["auc", msi, general])
+    n = own.groupBy("drug").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    cells = own.select("drug", F.col("auc").alias("_y"), F.col(msi).cast("double").alias("_m"), F.col(general).cast("double").alias("_g"), F.inline(F.array(*[F.struct(F.lit(m).alias("module"), F.col(f"`{m}`").cast("double").alias("_x")) for m in modules])))
+    pairs = {a + b: safe_corr(f"_{a}", f"_{b}") for a, b in ("xy", "xm", "ym", "xg", "yg", "mg")}
+    per = cells.filter("_x IS NOT NULL").groupBy("drug", "module").agg(F.count(F.lit(1)).alias("_k"), *[c.alias(k) for k, c in pairs.items()])
+    known = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+
+    def partial(xy, xz, yz):
+        return F.try_divide(xy - xz * yz, F.nullif(F.sqrt(F.greatest((1 - xz * xz) * (1 - yz * yz), F.lit(0.0))), F.lit(0.0)))
+
+    xy_m = partial(F.col("xy"), known("xm"), known("ym"))
+    xg_m, yg_m = partial(known("xg"), known("xm"), known("mg")), partial(known("yg"), known("ym"), known("mg"))
+    r = {"raw": F.col("xy"), "msi_adj": xy_m, "general_adj": partial(F.col("xy"), known("xg"), known("yg")), "both_adj": partial(xy_m, F.coalesce(xg_m, F.lit(0.0)), F.coalesce(yg_m, F.lit(0.0)))}
+    out = per.join(n, "drug").select("drug", "module", "n", F.lit(0).alias("_f"), *[c.alias(f"r_{k}") for k, c in r.items()], *[stats.pearson_p_udf(c, F.col("_k").cast("double")).alias(f"p_{k}") for k, c in r.items()])
+    for k in r:
+        out = out.withColumn(f"q_{k}", bh_q(f"p_{k}", "_f"))
+    return out.drop("_f")
 
 
 def adjusted(p: np.ndarray) -> np.ndarray:

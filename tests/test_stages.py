@@ -47,7 +47,7 @@ def test_confounds(spark):
     f = stages.flag_correlations(t.select("model_id", F.col("msi").alias("TP53")), t, "y", ["TP53", "none"]).first()
     assert (f.gene, f.n, f.n_mutant) == ("TP53", 60, 20)
     spec = stages.specificity(t.select(F.lit("d").alias("drug"), F.col("y").alias("auc"), "score", "msi", F.col("score").alias("gen")), ["d", "x"], ["score"], "msi", "gen")
-    assert list(spec["drug"]) == ["d"] and "q_both_adj" in spec
+    assert [r.drug for r in spec.collect()] == ["d"] and "q_both_adj" in spec.columns
     long = spark.createDataFrame([(i, f"d{j}", float(rng.normal() + i)) for i in range(12) for j in range(4)], "line int, item string, v double")
     assert stages.specific_response(long, "line", "item", "v", "d0", 10).count() == 12
 
@@ -126,3 +126,27 @@ def test_matrix_verbs(spark):
     both = relational.suffixed_union({"prom": long, "body": long}, "f")
     assert both.count() == 54 and both.select("f").distinct().count() == 6
     assert {tuple(r) for r in relational.pairs_of(spark.createDataFrame([("b",), ("a",), ("c",)], "d string"), "d").collect()} == {("a", "b"), ("a", "c"), ("b", "c")}
+
+
+def test_specificity_by_definition(spark):
+    rng = np.random.default_rng(6)
+    rows, want = [], {}
+    for d, n in (("a", 40), ("b", 30), ("few", 10)):
+        msi, gen = rng.integers(0, 2, n), rng.normal(size=n)
+        x = rng.normal(size=(n, 2)) + gen[:, None]
+        y = x[:, 0] + msi + gen + rng.normal(size=n)
+        if d == "b":
+            msi[:] = 0  # a control that adjusts nothing
+        rows += [(d, float(y[i]), float(x[i, 0]), None if (d, i) == ("a", 3) else float(x[i, 1]), int(msi[i]), float(gen[i])) for i in range(n)]
+        for m in (0, 1):
+            keep = np.arange(n) if (d, m) != ("a", 1) else np.delete(np.arange(n), 3)
+            for name, controls in (("raw", []), ("msi_adj", [msi]), ("general_adj", [gen]), ("both_adj", [msi, gen])):
+                c = np.column_stack([np.ones(len(keep)), *[k[keep] for k in controls]])
+                left = [v[keep] - c @ np.linalg.lstsq(c, v[keep], rcond=None)[0] for v in (x[:, m], y)]
+                want[d, f"m{m}", name] = np.corrcoef(*left)[0, 1]
+    t = spark.createDataFrame(rows, "drug string, auc double, m0 double, m1 double, msi int, gen double")
+    got = stages.specificity(t, ["a", "b", "few", "none"], ["m0", "m1"], "msi", "gen").collect()
+    assert {(r.drug, r.module, r.n) for r in got} == {(d, m, n) for d, n in (("a", 40), ("b", 30)) for m in ("m0", "m1")}
+    for r in got:
+        for k in ("raw", "msi_adj", "general_adj", "both_adj"):
+            assert r[f"r_{k}"] == pytest.approx(want[r.drug, r.module, k], abs=1e-9) and r[f"p_{k}"] <= r[f"q_{k}"]
