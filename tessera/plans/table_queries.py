@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from ..functions.ranks import spearman, with_rank
 from ..operators import genesets, genomics, modelling, regression, relational, resampling, scoring, stats
 from . import stages
-from .queries import DAYS, LONG, SCREENS, _screen, features, query, rounded, table
+from .queries import DAYS, LONG, RANKS, SCREENS, _screen, features, query, rounded, table
 
 # ---------------------------------------------------------------- rows
 
@@ -292,3 +292,45 @@ def display_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _lines(spark, sf_dir, "x1").count()
     return modelling.fold_table(spark, n, 5, 3, 42).groupBy(F.col("repeat").cast("int").alias("repeat"), F.col("fold").cast("int").alias("fold")).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- probes, lists and parts of sets
+
+
+@query(f"""WITH {LONG}, v AS (SELECT sample, feature // 4 AS gene, CASE WHEN value <= 0.35 THEN value END AS v FROM l) SELECT gene, sample, CASE WHEN count(*) = count(v) THEN round(avg(v), 8) END AS value FROM v GROUP BY ALL""")
+def mean_na_propagates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of four probes a gene; one that is missing makes the mean missing."""
+    long = features(spark, sf_dir).withColumn("value", F.when(F.col("value") <= 0.35, F.col("value")))
+    pairs = spark.range(64).select(F.col("id").cast("int").alias("feature"), F.expr("cast(id div 4 as int)").alias("gene"))
+    return rounded(genomics.gene_means(long, pairs, "feature", "gene", "sample", "value", propagate=True), 8)
+
+
+@query("""WITH p AS (SELECT p_partkey, string_split(p_type, ' ') AS a, string_split(upper(p_type), ' ') AS b FROM part) SELECT DISTINCT p_partkey, word, loud FROM (SELECT p_partkey, unnest(a) AS word, unnest(b) AS loud FROM p) WHERE word <> ''""")
+def paired_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("word"), F.upper("p_type").alias("loud"))
+    return genomics.explode_lists(p, ["p_partkey"], "word", "loud", " ", distinct=True)
+
+
+@query("""WITH p AS (SELECT p_partkey % 97 AS gene, CASE WHEN p_size < 17 THEN 'low' WHEN p_size < 34 THEN 'mid' ELSE 'high' END AS region, p_retailprice > 1500 AS e FROM part), s AS (SELECT DISTINCT c_mktsegment AS "set", c_custkey % 131 AS gene FROM customer WHERE c_mktsegment IS NOT NULL),
+g AS (SELECT gene, count(*) AS n, count(*) FILTER (e) AS e, count(*) FILTER (region = 'low') AS lo, count(*) FILTER (region = 'high') AS hi FROM p GROUP BY 1)
+SELECT "set", count(*) AS n_genes, count(n) AS n_genes_any_probe, coalesce(sum(n), 0)::BIGINT AS n_probe_gene_pairs, coalesce(sum(e), 0)::BIGINT AS n_enhancer_probe_gene_pairs, count(*) FILTER (e > 0) AS n_genes_with_enhancer_probe, coalesce(sum(lo), 0)::BIGINT AS region_low, coalesce(sum(hi), 0)::BIGINT AS region_high,
+  round(100.0 * count(n) / count(*), 6) AS pct_genes_any_probe, round(100.0 * count(*) FILTER (e > 0) / count(*), 6) AS pct_genes_with_enhancer_probe FROM s LEFT JOIN g USING (gene) GROUP BY 1""")
+def coverage_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = F.when(F.col("p_size") < 17, "low").when(F.col("p_size") < 34, "mid").otherwise("high")
+    pairs = table(spark, sf_dir, "part").select((F.col("p_partkey") % 97).alias("gene"), region.alias("region"), (F.col("p_retailprice") > 1500).alias("enhancer"))
+    sets = table(spark, sf_dir, "customer").filter("c_mktsegment IS NOT NULL").select(F.col("c_mktsegment").alias("set"), (F.col("c_custkey") % 131).alias("gene"))
+    return rounded(genomics.coverage(sets, pairs, "gene", "region", "enhancer", ["low", "high"]))
+
+
+@query(f"""WITH {RANKS}, m AS (SELECT 'whole' AS "set", unnest(range(0, 64, 4))::INT AS feature UNION ALL SELECT 'one', unnest(range(0, 32, 4))::INT UNION ALL SELECT 'two', unnest(range(32, 64, 4))::INT),
+t AS (SELECT sample, count(*) AS n, avg(p) AS m, var_samp(p) AS v FROM r GROUP BY 1), b AS (SELECT sample, "set", (avg(p) - any_value(t.m)) / sqrt(any_value(t.v) / count(*) * (any_value(t.n) - count(*)) / (any_value(t.n) - 1)) AS score FROM r JOIN m USING (feature) JOIN t USING (sample) GROUP BY ALL)
+SELECT "set", count(*) AS n, round(corr(score, label), 6) AS r FROM b JOIN embeddings ON vec_id = sample GROUP BY 1""")
+def split_readouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set's score against a response, beside those of its two halves."""
+    long = features(spark, sf_dir).withColumnRenamed("feature", "gene")
+    ranks = scoring.rank_matrix(long, "sample", "gene", "value")
+    every = spark.range(0, 64, 4).select(F.col("id").cast("int").alias("gene"))
+    whole = scoring.background_score(ranks, every.withColumn("set", F.lit("up")), "sample", "gene")
+    parts = every.withColumn("set", F.when(F.col("gene") < 32, "one").otherwise("two"))
+    y = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("sample"), F.col("label").cast("double").alias("y"))
+    return rounded(stages.split_readouts(whole, ranks, parts, y, "y").drop("p"))
