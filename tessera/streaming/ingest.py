@@ -23,6 +23,24 @@ def running_means(stream: DataFrame, ids: DataFrame) -> DataFrame:
     return needed.groupBy("model_id", "gene_symbol").agg(F.avg("rsem_tpm").alias("value"), F.count("rsem_tpm").alias("n"))
 
 
-def start(means: DataFrame, name: str, checkpoint: str):
-    """Write the running means to an in-memory table `name`, until no more input is there."""
-    return means.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start(means: DataFrame, path: str, checkpoint: str):
+    """Write the running means that each batch changes to `path`, until no more input is there.
+
+    A batch has a folder of its own, written anew if it is run again, so nothing is counted twice
+    and nothing is held on the driver."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return means.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """model_id, gene_symbol, value, n: the means as the last batch that changed them left them."""
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+    return rows.groupBy("model_id", "gene_symbol").agg(F.max_by(F.struct("value", "n"), "batch").alias("m")).select("model_id", "gene_symbol", "m.value", "m.n")
+
+
+def compact(spark: SparkSession, path: str, to: str) -> None:
+    """The latest means as one table, for readers and for a new start."""
+    latest(spark, path).write.mode("overwrite").parquet(to)

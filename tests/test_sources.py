@@ -29,9 +29,14 @@ def test_stream_equals_batch(spark, tmp_path):
     _write(tmp_path / "in/a.csv", head + "m1,A,1.0,false,x\nm1,A,9,true,x\n")
     _write(tmp_path / "in/b.csv", head + "m1,A,3.0,,x\nm9,A,3.0,,x\n")
     means = ingest.running_means(ingest.expression_stream(spark, str(tmp_path / "in"), 1), spark.createDataFrame([("m1",)], "model_id string"))
-    q = ingest.start(means, "running", str(tmp_path / "ck"))
+    q = ingest.start(means, str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
-    assert [tuple(r) for r in spark.table("running").collect()] == [("m1", "A", 2.0, 2)]
+    assert [tuple(r) for r in ingest.latest(spark, str(tmp_path / "out")).collect()] == [("m1", "A", 2.0, 2)]
+    # a later file goes on from the stream's state; what did not change stays
+    _write(tmp_path / "in/c.csv", head + "m1,B,5.0,,x\n")
+    ingest.start(ingest.running_means(ingest.expression_stream(spark, str(tmp_path / "in"), 1), spark.createDataFrame([("m1",)], "model_id string")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    ingest.compact(spark, str(tmp_path / "out"), str(tmp_path / "table"))
+    assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "table")).collect()} == {("m1", "A", 2.0, 2), ("m1", "B", 5.0, 1)}
 
 
 def test_small_readers(spark, tmp_path):
