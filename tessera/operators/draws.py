@@ -96,7 +96,7 @@ def bootstrap_lines(df: DataFrame, line: str, repeat: str, truth: str, pred: str
 def matched_permutation(values: DataFrame, sets: DataFrame, gene: str, value: str, stratum: str, draws: int = MATCHED, seed: int = 0, least: int = 5) -> DataFrame:
     """set, n, n_missing, obs, null_mean, null_sd, z, p: the mean of a set's genes against means of genes drawn, with
     replacement, each from its own stratum of the genes outside the set (from all of them if that has none);
-    one-sided, (# + 1) / (draws + 1). Sets of fewer than `least` genes with a value, or that leave none outside, are left out.
+    one-sided, (# + 1) / (draws + 1), means that are equal up to rounding counted. Sets of fewer than `least` genes with a value, or that leave none outside, are left out.
 
     values: one row a gene; sets: set, gene. The pool of a set is numbered by stratum, in order of genes."""
     members = sets.select("set", gene).distinct()
@@ -120,7 +120,7 @@ def matched_permutation(values: DataFrame, sets: DataFrame, gene: str, value: st
     named = both.select(F.col("set").alias("_set"), "_s", F.col("_pick").alias("_at"), "_v")
     drawn = chosen.join(named, (F.col("set") == F.col("_set")) & F.col("_from").eqNullSafe(F.col("_s")) & (F.col("_pick") == F.col("_at")))
     means = drawn.groupBy("set", "_draw").agg(F.avg("_v").alias("_m"))
-    null = means.join(obs.select("set", "obs"), "set").groupBy("set").agg(F.avg("_m").alias("null_mean"), F.stddev_pop("_m").alias("null_sd"), F.sum((F.col("_m") >= F.col("obs")).cast("long")).alias("_hits"), F.count(F.lit(1)).alias("_draws"))
+    null = means.join(obs.select("set", "obs"), "set").groupBy("set").agg(F.avg("_m").alias("null_mean"), F.stddev_pop("_m").alias("null_sd"), F.sum((F.col("_m") >= F.col("obs") - 1e-9 * F.abs("obs")).cast("long")).alias("_hits"), F.count(F.lit(1)).alias("_draws"))
     out = obs.join(size, "set").join(null, "set")
     z = F.try_divide(F.col("obs") - F.col("null_mean"), F.nullif("null_sd", F.lit(0.0)))
     return out.select("set", "n", (F.col("_all") - F.col("n")).alias("n_missing"), "obs", "null_mean", "null_sd", z.alias("z"), ((F.col("_hits") + 1) / (F.col("_draws") + 1)).alias("p"))

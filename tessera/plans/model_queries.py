@@ -132,7 +132,7 @@ a AS (SELECT "set", s, v, row_number() OVER (PARTITION BY "set", s ORDER BY gene
 z AS (SELECT "set", s, any_value(n) AS n FROM a GROUP BY ALL), t AS (SELECT o."set", gene, h.s AS s, coalesce(h.n, e.n) AS n FROM o LEFT JOIN z h ON h."set" = o."set" AND h.s = o.s JOIN z e ON e."set" = o."set" AND e.s IS NULL),
 p AS (SELECT "set", s, 4 * pack + k AS draw, {_PICK.format(slot="gene")} AS i FROM t, range(500) c(pack), range(4) d(k)),
 m AS (SELECT p."set", draw, avg(v) AS m FROM p JOIN a ON a."set" = p."set" AND a.s IS NOT DISTINCT FROM p.s AND a.i = p.i GROUP BY ALL)
-SELECT m."set" AS "set", any_value(n) AS n, 0 AS n_missing, round(any_value(obs), 4) AS obs, round(avg(m), 4) AS null_mean, round(stddev_pop(m), 4) AS null_sd, round((any_value(obs) - avg(m)) / stddev_pop(m), 4) AS z, round((1 + count(*) FILTER (m >= obs)) / 2001.0::DOUBLE, 4) AS p FROM m JOIN b ON b."set" = m."set" GROUP BY m."set" """)
+SELECT m."set" AS "set", any_value(n) AS n, 0 AS n_missing, round(any_value(obs), 4) AS obs, round(avg(m), 4) AS null_mean, round(stddev_pop(m), 4) AS null_sd, round((any_value(obs) - avg(m)) / stddev_pop(m), 4) AS z, round((1 + count(*) FILTER (m >= obs - 1e-9::DOUBLE * abs(obs))) / 2001.0::DOUBLE, 4) AS p FROM m JOIN b ON b."set" = m."set" GROUP BY m."set" """)
 def matched_permutation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two sets of parts by price, in strata of size; the second takes a whole stratum, and so falls back to all parts."""
     p = table(spark, sf_dir, "part")
