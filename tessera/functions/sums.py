@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .local import to_local
+from .local import CELLS, TooLarge
 
 #: Numbers of a row between tasks.
 SLICE = 4096
@@ -29,6 +29,8 @@ def block_sums(rows: DataFrame, kernel: Callable[[pd.DataFrame], np.ndarray], si
     def add(key: tuple, own: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"part": [key[0]], "v": [np.sum(np.stack(own["v"].to_numpy()), axis=0).tolist()]})
 
+    if size > CELLS:
+        raise TooLarge(f"{what}: {size} numbers are more than the driver takes ({CELLS})")
     parts = rows.mapInPandas(run, "part long, v array<double>").groupBy("part").applyInPandas(add, "part long, v array<double>")
-    found = to_local(parts, what, SLICE).sort_values("part")
+    found = parts.toPandas().sort_values("part")  # size / SLICE rows
     return np.concatenate([np.asarray(v, float) for v in found["v"]]) if len(found) else np.zeros(size)
