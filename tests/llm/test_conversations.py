@@ -116,7 +116,9 @@ def test_pieces_join_to_the_same(spark, monkeypatch, piece):
 
 def test_one_long_conversation(spark):
     rows = [(1, i, "user" if i % 2 else "assistant", f"Row {i % 1900}.") for i in range(3000)] + [(2, 0, "user", "Q?"), (2, 1, "assistant", "A.")]
-    got = _got(spark, rows)
+    large = [(5, 0, "user", "y " * 1_200_000 + "?"), (5, 2, "assistant", "z" * 1_200_000 + "."), (5, 3, "user", "And?"), (5, 4, "assistant", "So.")]
+    got = _got(spark, rows + large)
+    assert got[5] == _expected(large)[5]
     assert got[1][5] == cv.repair_of(cv.parse(_kinds(rows, 1), cv.START))[0] and got[1][6] == cv.repair_of(cv.parse(_kinds(rows, 1), cv.START))[1]
 
 
