@@ -36,20 +36,37 @@ def nearest_point(peaks: DataFrame, points: DataFrame, chrom: str, pos: str, nam
     return both.select(*keys, F.col("_c").alias(chrom), F.col("_x").alias(pos), best["name"].alias(name), F.when(up, hi).otherwise(lo).alias("distance"))
 
 
+#: Widths of bins for intervals: each is STEP times the one before.
+STEP, LEVELS = 8, 8
+
+
 def best_overlap(left: DataFrame, right: DataFrame, key: str, name: str, chrom: str = "chrom", start: str = "start", end: str = "end", width: int = 16_384) -> DataFrame:
     """key, name, overlap: of the right intervals that overlap a left one ([start, end), empty
     ones none), the one with the longest overlap, then by name.
 
-    Each interval goes to the bins of `width` it touches, and only bins are joined; a pair
-    counts in the first bin both touch."""
-    def binned(df: DataFrame, what: str) -> DataFrame:
-        full = df.filter(F.col(end) > F.col(start)).select(F.col(what), F.col(chrom).alias("_c"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
-        first = F.floor(F.col("_s") / width)
-        return full.withColumn("_b", F.explode(F.sequence(first, F.floor((F.col("_e") - 1) / width))))
+    Bins have several widths, `width` and STEP times the one before. An interval stands in the bins of its own
+    width, the least it fits in, and of those greater widths that intervals of the other side have for their own: two
+    bins each at most, whatever its length. A pair meets at the greater of its two widths, in the first bin both touch."""
+    widths = [width * STEP**i for i in range(LEVELS)]
 
-    a, b = binned(left, key).alias("a"), binned(right, name).alias("b")
-    met = a.join(b, (F.col("a._c") == F.col("b._c")) & (F.col("a._b") == F.col("b._b")) & (F.col("a._s") < F.col("b._e")) & (F.col("b._s") < F.col("a._e")))
-    met = met.filter(F.col("a._b") == F.floor(F.greatest("a._s", "b._s") / width))
+    def levelled(df: DataFrame, what: str) -> DataFrame:
+        full = df.filter(F.col(end) > F.col(start)).select(F.col(what), F.col(chrom).alias("_c"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
+        level = F.lit(LEVELS - 1)
+        for i in reversed(range(LEVELS - 1)):
+            level = F.when(F.col("_e") - F.col("_s") <= widths[i], i).otherwise(level)
+        return full.withColumn("_own", level)
+
+    def binned(df: DataFrame, others: set[int]) -> DataFrame:
+        place = [F.when((F.col("_own") == i) | ((F.col("_own") < i) & F.lit(i in others)), F.struct(F.lit(i).alias("l"), F.sequence(F.floor(F.col("_s") / w), F.floor((F.col("_e") - 1) / w)).alias("b"))) for i, w in enumerate(widths)]
+        rows = df.withColumn("_p", F.explode(F.array_compact(F.array(*place))))
+        return rows.select(*[c for c in df.columns], F.col("_p.l").alias("_l"), F.explode("_p.b").alias("_b"))
+
+    sides = levelled(left, key), levelled(right, name)
+    of = [{r["_own"] for r in side.select("_own").distinct().collect()} for side in sides]  # LEVELS numbers at most
+    a, b = binned(sides[0], of[1]).alias("a"), binned(sides[1], of[0]).alias("b")
+    met = a.join(b, (F.col("a._c") == F.col("b._c")) & (F.col("a._l") == F.col("b._l")) & (F.col("a._b") == F.col("b._b")) & (F.col("a._s") < F.col("b._e")) & (F.col("b._s") < F.col("a._e")))
+    first = F.floor(F.greatest("a._s", "b._s") / F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("a._l") + 1))
+    met = met.filter((F.col("a._l") == F.greatest("a._own", "b._own")) & (F.col("a._b") == first))
     n = F.least("a._e", "b._e") - F.greatest("a._s", "b._s")
     met = met.select(F.col(f"a.{key}").alias(key), F.col(f"b.{name}").alias(name), n.alias("overlap"))
     return met.groupBy(key).agg(F.min_by(F.struct(name, "overlap"), F.struct((-F.col("overlap")).alias("o"), F.col(name).alias("n"))).alias("_b")).select(key, f"_b.{name}", "_b.overlap")

@@ -127,3 +127,19 @@ def test_flags_names_and_recodes(spark):
     assert {r.n: r.model_id for r in relational.lookup_names(want, "n", models).collect()} == {"HT29X": "2", "ht.29": "1", "none": None}
     r = spark.createDataFrame([("CR ",), ("pd",), ("?",)], "x string").select(relational.recode("x", {"1": ["CR", "PR"], "0": ["SD", "PD"]})).collect()
     assert [v[0] for v in r] == ["1", "0", None]
+
+
+def test_overlaps_of_short_and_long_intervals(spark):
+    """Against every pair; a chromosome-long interval stands in two bins, not in thousands."""
+    rng = np.random.default_rng(4)
+    make = lambda n, tag: [(f"{tag}{i}", "c" if i % 7 else "d", int(s), int(s + w)) for i, (s, w) in enumerate(zip(rng.integers(-500, 100_000, n), rng.choice([0, 1, 5, 17, 90, 700, 6000, 200_000], n)))]
+    a, b = make(70, "a") + [("null", None, 1, 5)], make(90, "b") + [("huge", "c", -(10**12), 10**12)]
+    want = {}
+    for k, c, s, e in a:
+        found = [(-(min(e, f) - max(s, r)), n) for n, d, r, f in b if c == d and s < f and r < e and s < e and r < f]
+        if found:
+            o, n = min(found)
+            want[k] = (n, -o)
+    schema = "{} string, chrom string, start long, end long"
+    got = genomics.best_overlap(spark.createDataFrame(a, schema.format("k")), spark.createDataFrame(b, schema.format("n")), "k", "n", width=16)
+    assert {r.k: (r.n, r.overlap) for r in got.collect()} == want
