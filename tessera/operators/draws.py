@@ -1,18 +1,22 @@
 """Bootstraps, matched permutations and random-set nulls as relations.
 
-A draw picks rows by their place in a group, and the place is a checksum of (seed, draw, slot): the
-picks are a table, joined to the rows they name, and what stays of a draw is a few sums. So a
-group may exceed a task, results do not depend on how rows are dealt out, and SQL can list the same picks."""
+A draw picks rows by their place in a group, and the place is a checksum of (seed, draw, slot), so
+results do not depend on how rows are dealt out, and SQL can list the same picks. What stays of a draw is a few
+sums. Picks are not rows: a task writes those of its slots as two bytes each, in one message for every block of PLACES
+places, and a block's values meet the messages for it once. So a group may exceed a task, and
+what is shuffled is two bytes a pick."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.local import cut
+from ..functions.local import cut, sized_broadcast
 from ..functions.nulls import safe_corr
 from ..functions.ranks import numbered
 from . import regression, scoring
@@ -21,20 +25,152 @@ from .stats import pearson_p_udf
 BOOT, BOOT_DIFF, BOOT_LINES, MATCHED, NULL_DRAWS = 500, 2000, 2000, 2000, 1000
 #: Numbers of 32 bits in a checksum.
 NUMBERS = 4
+#: Places of a block (under 2^16), picks that are dealt at once, and bytes of picks in a shuffled partition.
+PLACES, PICKS, PART_BYTES = 1 << 14, 1 << 20, 64 << 20
 
 
-def numbers(*parts: Column) -> Column:
-    """NUMBERS whole numbers under 2^32 from the MD5 of the parts, joined by colons."""
-    h = F.md5(F.concat_ws(":", *parts).cast("binary"))
-    return F.array(*[F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("long") for i in range(NUMBERS)])
+def checksums(draws: int, seed: int, slot: Column) -> Column:
+    """The MD5 of seed:pack:slot of all packs of NUMBERS draws, one after another, as bytes: numbers of 32 bits, one a draw."""
+    packs = F.sequence(F.lit(0), F.lit(-(-draws // NUMBERS) - 1))
+    return F.unhex(F.array_join(F.transform(packs, lambda p: F.md5(F.concat(F.lit(f"{seed}:"), p.cast("string"), F.lit(":"), slot).cast("binary"))), ""))
 
 
-def picks(rows: DataFrame, draws: int, seed: int, slot: Column | str, size: Column | str, *keep: str) -> DataFrame:
-    """keep, _draw, _pick of every row and draw: a place under size, of equal chances (to 2^-32), with replacement."""
-    slot, size = (F.col(c) if isinstance(c, str) else c for c in (slot, size))
-    packs = rows.select(*keep, slot.cast("string").alias("_slot"), size.alias("_size"), F.explode(F.sequence(F.lit(0), F.lit(-(-draws // NUMBERS) - 1))).alias("_pack"))
-    each = packs.select(*keep, "_size", "_pack", F.posexplode(numbers(F.lit(str(seed)), F.col("_pack").cast("string"), F.col("_slot"))).alias("_k", "_u"))
-    return each.select(*keep, (F.col("_pack") * NUMBERS + F.col("_k")).alias("_draw"), (F.col("_u") % F.col("_size")).alias("_pick")).filter(F.col("_draw") < draws)
+_MESSAGE = "key string, block long, role int, at int, layer string, s array<double>, e array<double>, counts binary, picks binary"
+
+
+def _dealt(draws: int):
+    """Slots (key, size, sums) to messages: the picks of one block, by draw, with the number of each draw's."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = min(max(1, PICKS // draws), PLACES)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, most):
+                b = whole.slice(lo, most)
+                coded = b.column("key").dictionary_encode()
+                names, at = coded.dictionary, coded.indices.to_numpy()
+                size = b.column("size").to_numpy()
+                u = np.frombuffer(b"".join(b.column("sums").to_pylist()), ">u4").reshape(b.num_rows, -1)[:, :draws]
+                pick = u.astype(np.uint64) % size[:, None].astype(np.uint64)
+                held = np.ones(len(names), np.int64)
+                held[at] = (size + PLACES - 1) // PLACES
+                first = np.cumsum(held) - held
+                code = first[at][:, None].astype(np.uint64) + pick // np.uint64(PLACES)
+                flat = (code * np.uint64(draws) + np.arange(draws, dtype=np.uint64)) * np.uint64(PLACES) + pick % np.uint64(PLACES)
+                flat = flat.ravel()
+                flat.sort()
+                of = np.bincount((flat // np.uint64(PLACES)).astype(np.int64), minlength=int(held.sum()) * draws).reshape(-1, draws)
+                ends = np.cumsum(of.sum(axis=1))
+                places = (flat % np.uint64(PLACES)).astype("<u2")
+                met = np.flatnonzero(of.any(axis=1))
+                owner = np.searchsorted(first, met, side="right") - 1
+                none = pa.nulls(len(met))
+                yield pa.RecordBatch.from_arrays(
+                    [names.take(pa.array(owner)), pa.array(met - first[owner]), pa.array(np.ones(len(met), np.int32)), none.cast(pa.int32()), none.cast(pa.string()), none.cast(pa.list_(pa.float64())), none.cast(pa.list_(pa.float64())),
+                     pa.array([of[i].astype("<u2").tobytes() for i in met.tolist()], pa.binary()), pa.array([places[ends[i] - of[i].sum() : ends[i]].tobytes() for i in met.tolist()], pa.binary())],
+                    ["key", "block", "role", "at", "layer", "s", "e", "counts", "picks"],
+                )
+
+    return run
+
+
+class _Block:
+    """The values of a block's places by layer, and the sums and least values of its draws."""
+
+    def __init__(self, draws: int, m: int, k: int) -> None:
+        self.draws, self.m, self.k, self.rows, self.layers = draws, m, k, [], None
+
+    def hold(self, b: pa.RecordBatch) -> None:
+        numbers = lambda c, n: b.column(c).flatten().to_numpy().reshape(b.num_rows, n)
+        self.rows.append((b.column("at").to_numpy(), b.column("layer").to_numpy(zero_copy_only=False), numbers("s", self.m), numbers("e", self.k)))
+
+    def _spread(self) -> None:
+        self.layers = {}
+        at, layer, s, e = (np.concatenate(x) for x in zip(*self.rows))
+        self.rows = []
+        for name in dict.fromkeys(layer.tolist()):
+            own = layer == name
+            v, w = np.zeros((self.m, PLACES)), np.full((self.k, PLACES), np.inf)
+            v[:, at[own]], w[:, at[own]] = s[own].T, e[own].T
+            self.layers[name] = (v, w, np.zeros((self.draws, self.m)), np.full((self.draws, self.k), np.inf))
+
+    def add(self, counts: bytes, picks: bytes) -> None:
+        if self.layers is None:
+            self._spread()
+        n = np.frombuffer(counts, "<u2").astype(np.int64)
+        met = np.flatnonzero(n)
+        start, i = (np.cumsum(n) - n)[met], np.frombuffer(picks, "<u2").astype(np.int64)
+        for v, w, total, least in self.layers.values():
+            for j in range(self.m):
+                total[met, j] += np.add.reduceat(v[j][i], start)
+            for j in range(self.k):
+                least[met, j] = np.minimum(least[met, j], np.minimum.reduceat(w[j][i], start))
+
+    def result(self, key: str) -> Iterator[pa.RecordBatch]:
+        for name, (_, _, total, least) in (self.layers or {}).items():
+            wide = lambda x, n: pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, n), pa.int32()) if n else pa.array(np.zeros(len(x) + 1), pa.int32()), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array([key] * self.draws), pa.array([name] * self.draws, pa.string()), pa.array(np.arange(self.draws)), wide(total, self.m), wide(least, self.k)], ["key", "layer", "_draw", "s", "e"])
+
+
+def _added(draws: int, m: int, k: int):
+    """Rows sorted by (key, block, role): the values of a block's places, then the messages for it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, block = None, None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            key, at, role = b.column("key").dictionary_encode().indices.to_numpy(), b.column("block").to_numpy(), b.column("role").to_numpy()
+            edges = np.flatnonzero((key[1:] != key[:-1]) | (at[1:] != at[:-1]) | (role[1:] != role[:-1])) + 1
+            for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), b.num_rows]):
+                here = (b.column("key")[lo].as_py(), int(at[lo]))
+                if here != now:
+                    if block is not None:
+                        yield from block.result(now[0])
+                    now, block = here, _Block(draws, m, k)
+                if role[lo] == 0:
+                    block.hold(b.slice(lo, hi - lo))
+                elif block.rows or block.layers:
+                    for i in range(lo, hi):
+                        block.add(b.column("counts")[i].as_py(), b.column("picks")[i].as_py())
+        if block is not None:
+            yield from block.result(now[0])
+
+    return run
+
+
+def drawn_sums(slots: DataFrame, places: DataFrame, draws: int, seed: int, sums: int, least: int) -> DataFrame:
+    """key, layer, _draw, s0 .. (sums), e0 .. (least values) over a draw's picks: one place under size for every slot, of
+    equal chances (to 2^-32), with replacement.
+
+    slots: key, slot (string), size (the places of the key); places: key, place, layer, s (array of `sums`
+    numbers), e (array of `least` numbers), one row a place and layer at most."""
+    n = slots.count()
+    spark = slots.sparkSession
+    sent = slots.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * draws * 4 // PART_BYTES))).select("key", "size", checksums(draws, seed, F.col("slot")).alias("sums")).mapInArrow(_dealt(draws), _MESSAGE)
+    none = F.lit(None).cast("binary")
+    held = places.select("key", F.floor(F.col("place") / PLACES).alias("block"), F.lit(0).alias("role"), (F.col("place") % PLACES).cast("int").alias("at"), F.coalesce(F.col("layer").cast("string"), F.lit("")).alias("layer"), "s", "e", none.alias("counts"), none.alias("picks"))
+    parts = -(-n * draws * 2 // PART_BYTES)
+    both = sent.unionByName(held)
+    both = both.repartition(parts, "key", "block") if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else both.repartition("key", "block")
+    added = both.sortWithinPartitions("key", "block", "role").mapInArrow(_added(draws, sums, least), "key string, layer string, _draw long, s array<double>, e array<double>")
+    return added.groupBy("key", "layer", "_draw").agg(*[F.sum(F.col("s")[i]).alias(f"s{i}") for i in range(sums)], *[F.min(F.col("e")[i]).alias(f"e{i}") for i in range(least)])
+
+
+def _key(*groups: str) -> Column:
+    return F.to_json(F.struct(*[F.col(g).alias(f"g{i}") for i, g in enumerate(groups)])) if groups else F.lit("{}")
+
+
+def _pairs(x: Column, y: Column) -> tuple[Column, Column]:
+    """(sums, least values) of a pair, from which _r has the correlation."""
+    return F.array(F.lit(1.0), x, y, x * x, y * y, x * y), F.array(x, -x, y, -y)
+
+
+def _r() -> Column:
+    """r of a draw of _pairs: NULL under three rows, or if a side has one value only."""
+    n, x, y, xx, yy, xy = (F.col(f"s{i}") for i in range(6))
+    scale = F.sqrt((xx - x * x / n) * (yy - y * y / n))
+    moves = (F.col("e0") < -F.col("e1")) & (F.col("e2") < -F.col("e3"))
+    return F.when((n >= 3) & moves, F.try_divide(xy - x * y / n, F.nullif(scale, F.lit(0.0))))
 
 
 def interval(value: str) -> list[Column]:
@@ -42,14 +178,13 @@ def interval(value: str) -> list[Column]:
     return [ends[0].alias("lo"), ends[1].alias("hi")]
 
 
-def _drawn(rows: DataFrame, x: str, y: str, draws: int, seed: int, *groups: str) -> DataFrame:
-    """groups, _draw, _r: r of each draw of numbered rows (NULL if constant, or of under 3 rows)."""
-    chosen = picks(rows, draws, seed, "_i", "_n", *groups)
-    on = F.col("_pick") == F.col("_i")
-    named = rows.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], "_i", x, y)
-    for i, g in enumerate(groups):
-        on = on & F.col(g).eqNullSafe(F.col(f"_g{i}"))
-    return chosen.join(named, on).groupBy(*groups, "_draw").agg(F.when(F.count(F.lit(1)) >= 3, safe_corr(x, y)).alias("_r"))
+def _drawn(rows: DataFrame, x: str, y: str, draws: int, seed: int, slot: Column) -> DataFrame:
+    """key, _draw, r of each draw of numbered rows (_of: their key; _i, _n)."""
+    means = rows.groupBy(F.col("_of").alias("_key")).agg(F.avg(x).alias("_x"), F.avg(y).alias("_y"))
+    s, e = _pairs(F.col(x) - F.col("_x"), F.col(y) - F.col("_y"))  # less the means, so that squares lose nothing
+    places = rows.join(sized_broadcast(means, 64), F.col("_of") == F.col("_key")).select(F.col("_of").alias("key"), F.col("_i").alias("place"), F.lit("").alias("layer"), s.alias("s"), e.alias("e"))
+    drawn = drawn_sums(rows.select(F.col("_of").alias("key"), slot.alias("slot"), F.col("_n").alias("size")), places, draws, seed, 6, 4)
+    return drawn.select("key", "_draw", _r().alias("r"))
 
 
 def bootstrap_r(df: DataFrame, x: str, y: str, order: str, groups: Sequence[str] = (), draws: int = BOOT, seed: int = 0) -> DataFrame:
@@ -57,40 +192,37 @@ def bootstrap_r(df: DataFrame, x: str, y: str, order: str, groups: Sequence[str]
 
     `order` names the rows of a group (no two the same). Draws without an r do not count."""
     full = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, order, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
-    rows = numbered(full, [order], *groups)
-    real = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, safe_corr(x, y)).alias("r"))
-    ends = _drawn(rows, x, y, draws, seed, *groups).groupBy(*groups).agg(*interval("_r"))
-    same = F.lit(True)
-    for i, g in enumerate(groups):
-        ends = ends.withColumnRenamed(g, f"_e{i}")
-        same = same & F.col(g).eqNullSafe(F.col(f"_e{i}"))
-    return real.join(ends, same, "left").select(*groups, "n", "r", pearson_p_udf(F.col("r"), F.col("n").cast("double")).alias("p"), "lo", "hi")
+    rows = numbered(full, [order], *groups).withColumn("_of", _key(*groups))
+    real = rows.groupBy(*groups, "_of").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, safe_corr(x, y)).alias("r"))
+    ends = _drawn(rows, x, y, draws, seed, F.col("_i").cast("string")).groupBy("key").agg(*interval("r"))
+    return real.join(ends, F.col("_of") == F.col("key"), "left").select(*groups, "n", "r", pearson_p_udf(F.col("r"), F.col("n").cast("double")).alias("p"), "lo", "hi")
 
 
 def bootstrap_difference(df: DataFrame, x: str, y: str, order: str, side: str, first: object, second: object, draws: int = BOOT_DIFF, seed: int = 0) -> DataFrame:
     """difference, lo, hi of r on the rows of side `first` less r on those of `second`, each drawn on its own."""
     full = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & F.col(side).isin(first, second)).select(side, order, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
-    rows = numbered(full, [order], side)
-    part = lambda r, s: F.max(F.when(F.col(side) == F.lit(s), F.col(r)))
-    real = rows.groupBy(side).agg(F.when(F.count(F.lit(1)) >= 3, safe_corr(x, y)).alias("r")).agg((part("r", first) - part("r", second)).alias("difference"))
+    rows = numbered(full, [order], side).withColumn("_of", F.when(F.col(side) == F.lit(first), "first").otherwise("second"))
+    part = lambda s: F.max(F.when(F.col("key") == s, F.col("r")))
+    real = rows.groupBy(F.col("_of").alias("key")).agg(F.when(F.count(F.lit(1)) >= 3, safe_corr(x, y)).alias("r")).agg((part("first") - part("second")).alias("difference"))
     # slots of the sides are told apart, so that their picks are independent
-    apart = rows.withColumn("_slot", F.concat_ws(":", F.col(side).cast("string"), F.col("_i").cast("string")))
-    chosen = picks(apart, draws, seed, "_slot", "_n", side)
-    named = rows.select(F.col(side).alias("_s"), "_i", x, y)
-    drawn = chosen.join(named, (F.col(side) == F.col("_s")) & (F.col("_pick") == F.col("_i"))).groupBy("_draw", side).agg(F.when(F.count(F.lit(1)) >= 3, safe_corr(x, y)).alias("r"))
-    gaps = drawn.groupBy("_draw").agg((part("r", first) - part("r", second)).alias("_d"))
+    drawn = _drawn(rows, x, y, draws, seed, F.concat_ws(":", F.col(side).cast("string"), F.col("_i").cast("string")))
+    gaps = drawn.groupBy("_draw").agg((part("first") - part("second")).alias("_d"))
     return real.crossJoin(F.broadcast(gaps.agg(*interval("_d"))))  # one row each
 
 
 def bootstrap_lines(df: DataFrame, line: str, repeat: str, truth: str, pred: str, draws: int = BOOT_LINES, seed: int = 0) -> DataFrame:
     """r_mean, lo, hi of the mean r over repeats, lines drawn once for all repeats."""
-    full = df.filter(F.col(truth).isNotNull() & F.col(pred).isNotNull()).select(line, repeat, F.col(truth).cast("double").alias(truth), F.col(pred).cast("double").alias(pred))
+    full = cut(df.filter(F.col(truth).isNotNull() & F.col(pred).isNotNull()).select(line, F.col(repeat).cast("string").alias("layer"), F.col(truth).cast("double").alias("_t"), F.col(pred).cast("double").alias("_p")))
     lines = numbered(full.select(line).distinct(), [line])
-    chosen = picks(lines, draws, seed, "_i", "_n").join(lines.select(F.col("_i").alias("_pick"), line), "_pick")
-    r = F.when(F.count(F.lit(1)) >= 3, safe_corr(truth, pred))
-    per = chosen.join(full, line).groupBy("_draw", repeat).agg(r.alias("r")).groupBy("_draw").agg(F.avg("r").alias("_m"))
-    real = full.groupBy(repeat).agg(r.alias("r")).agg(F.avg("r").alias("r_mean"))
-    return real.crossJoin(F.broadcast(per.agg(*interval("_m"))))
+    means = full.agg(F.avg("_t").alias("_mt"), F.avg("_p").alias("_mp"))
+    s, e = _pairs(F.col("_t") - F.col("_mt"), F.col("_p") - F.col("_mp"))
+    each = full.crossJoin(F.broadcast(means)).select(line, "layer", s.alias("s"), e.alias("e"))  # one row of means
+    per = each.groupBy(line, "layer").agg(F.array(*[F.sum(F.col("s")[i]) for i in range(6)]).alias("s"), F.array(*[F.min(F.col("e")[i]) for i in range(4)]).alias("e"))
+    places = per.join(lines.select(line, F.col("_i").alias("place")), line).select(F.lit("{}").alias("key"), "place", "layer", "s", "e")
+    slots = lines.select(F.lit("{}").alias("key"), F.col("_i").cast("string").alias("slot"), F.col("_n").alias("size"))
+    drawn = drawn_sums(slots, places, draws, seed, 6, 4).withColumn("r", _r()).groupBy("_draw").agg(F.avg("r").alias("_m"))
+    real = full.groupBy("layer").agg(F.when(F.count(F.lit(1)) >= 3, safe_corr("_t", "_p")).alias("r")).agg(F.avg("r").alias("r_mean"))
+    return real.crossJoin(F.broadcast(drawn.agg(*interval("_m"))))
 
 
 def matched_permutation(values: DataFrame, sets: DataFrame, gene: str, value: str, stratum: str, draws: int = MATCHED, seed: int = 0, least: int = 5) -> DataFrame:
@@ -115,11 +247,12 @@ def matched_permutation(values: DataFrame, sets: DataFrame, gene: str, value: st
     here = sizes.filter("_s IS NOT NULL")
     all_ = sizes.filter("_s IS NULL").select("set", F.col("_size").alias("_whole"))
     slots = own.join(obs.select("set"), "set", "left_semi").join(here, ["set", "_s"], "left").join(all_, "set")
-    slots = slots.select("set", gene, F.when(F.col("_size").isNotNull(), F.col("_s")).alias("_from"), F.coalesce("_size", "_whole").alias("_of"))
-    chosen = picks(slots, draws, seed, gene, "_of", "set", "_from")
-    named = both.select(F.col("set").alias("_set"), "_s", F.col("_pick").alias("_at"), "_v")
-    drawn = chosen.join(named, (F.col("set") == F.col("_set")) & F.col("_from").eqNullSafe(F.col("_s")) & (F.col("_pick") == F.col("_at")))
-    means = drawn.groupBy("set", "_draw").agg(F.avg("_v").alias("_m"))
+    key = lambda s: F.to_json(F.struct("set", s.alias("s")))
+    slots = slots.select(key(F.when(F.col("_size").isNotNull(), F.col("_s"))).alias("key"), F.col(gene).cast("string").alias("slot"), F.coalesce("_size", "_whole").alias("size"))
+    places = both.select(key(F.col("_s")).alias("key"), F.col("_pick").alias("place"), F.lit("").alias("layer"), F.array(F.lit(1.0), "_v").alias("s"), F.array().cast("array<double>").alias("e"))
+    drawn = drawn_sums(cut(slots), places, draws, seed, 2, 0)
+    of = both.select("set", "_s").distinct().withColumn("key", key(F.col("_s"))).drop("_s")
+    means = drawn.join(sized_broadcast(of, 64), "key").groupBy("set", "_draw").agg((F.sum("s1") / F.sum("s0")).alias("_m"))
     null = means.join(obs.select("set", "obs"), "set").groupBy("set").agg(F.avg("_m").alias("null_mean"), F.stddev_pop("_m").alias("null_sd"), F.sum((F.col("_m") >= F.col("obs") - 1e-9 * F.abs("obs")).cast("long")).alias("_hits"), F.count(F.lit(1)).alias("_draws"))
     out = obs.join(size, "set").join(null, "set")
     z = F.try_divide(F.col("obs") - F.col("null_mean"), F.nullif("null_sd", F.lit(0.0)))

@@ -160,6 +160,28 @@ def test_bootstraps_by_listing(spark):
     assert m.lo < m.r_mean < m.hi and m.r_mean == pytest.approx(np.corrcoef(np.delete(x, 4), np.delete(y, 4))[0, 1])
 
 
+def test_picks_meet_values_in_blocks(spark):
+    """A group of three blocks and one of ten rows, in two layers: the sums of listed picks, with no row made for a pick."""
+    n, few = 2 * draws.PLACES + 7000, 10
+    v = np.random.default_rng(8).normal(size=n)
+    slots = spark.range(n).select(F.lit("a").alias("key"), F.col("id").cast("string").alias("slot"), F.lit(n).cast("long").alias("size"))
+    slots = slots.unionByName(spark.range(few).select(F.lit("b").alias("key"), F.concat(F.lit("b"), F.col("id")).alias("slot"), F.lit(few).cast("long").alias("size")))
+    rows = [("a", i, "p", [1.0, float(v[i])], [float(v[i])]) for i in range(n)] + [("b", i, k, [1.0, float(i * m)], [-float(i)]) for i in range(few) for k, m in (("p", 1), ("q", 2)) if (i, k) != (3, "q")]
+    places = spark.createDataFrame(rows, "key string, place long, layer string, s array<double>, e array<double>")
+    drawn = draws.drawn_sums(slots, places, 6, 1, 2, 1)
+    assert "Generate" not in drawn._jdf.queryExecution().executedPlan().toString()
+    got = {(r.key, r.layer, r._draw): r for r in drawn.collect()}
+    assert len(got) == 18
+    for d in range(6):
+        i = np.array([_picks(1, d, j, n) for j in range(n)])
+        r = got["a", "p", d]
+        assert r.s0 == n and r.s1 == pytest.approx(v[i].sum()) and r.e0 == v[i].min()
+        i = np.array([_picks(1, d, f"b{j}", few) for j in range(few)])
+        assert (got["b", "p", d].s0, got["b", "p", d].s1, got["b", "p", d].e0) == (few, i.sum(), -i.max())
+        i = i[i != 3]
+        assert (got["b", "q", d].s0, got["b", "q", d].s1, got["b", "q", d].e0) == (len(i), 2 * i.sum(), -i.max() if len(i) else math.inf)
+
+
 def test_numbers_run_on_over_tasks(spark):
     df = spark.range(0, 1000, 1, 7).select(F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "b").alias("g"), (-F.col("id")).alias("v"))
     got = numbered(df, ["v"], "g").collect()
