@@ -6,28 +6,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.local import cut
 from ..functions.nulls import is_true
 
 
-def nearest_point(peaks: DataFrame, points: DataFrame, chrom: str, pos: str, name: str, keys: list[str], width: int = 1 << 22) -> DataFrame:
+def nearest_point(peaks: DataFrame, points: DataFrame, chrom: str, pos: str, name: str, keys: list[str]) -> DataFrame:
     """keys, chrom, pos of the peaks with `name` and `distance` of the nearest point on the
     chromosome; equally near: the lower position; several names at a position: the
     first; no point on the chromosome: NULL.
 
-    Both tables are merged and sorted in stretches of `width` positions; the last point before
-    and the first after each peak come from two running windows, so no pair is ever
+    Both tables are merged and dealt in stretches of about as many rows each; the last point before
+    and the first after each peak come from two running windows, up and down (a window that looks ahead
+    to the end reads the rest of the stretch anew for every row), so no pair is ever
     formed, and the last and first points of the stretches beside (one row each) are carried
     over their borders."""
     p = points.filter(F.col(pos).isNotNull()).groupBy(chrom, pos).agg(F.min(name).alias("_name"))
     p = p.select(F.col(chrom).alias("_c"), F.col(pos).cast("long").alias("_x"), F.struct(F.col(pos).cast("long").alias("x"), F.col("_name").alias("name")).alias("_pt"), *[F.lit(None).cast(peaks.schema[k].dataType).alias(k) for k in keys])
     q = peaks.select(F.col(chrom).alias("_c"), F.col(pos).cast("long").alias("_x"), F.lit(None).cast(p.schema["_pt"].dataType).alias("_pt"), *keys)
     both = q.withColumn("_q", F.lit(True)).unionByName(p.withColumn("_q", F.lit(False)))
-    both = both.withColumn("_b", F.floor(F.col("_x") / width))
+    both = cut(both.repartitionByRange("_c", "_x").withColumn("_b", F.spark_partition_id()))
     ends = both.groupBy(F.col("_c").alias("_ec"), F.col("_b").alias("_eb")).agg(F.max("_pt").alias("_last"), F.min("_pt").alias("_first"))
     beside = W.partitionBy("_ec").orderBy("_eb")
     ends = ends.select("_ec", "_eb", F.last("_last", True).over(beside.rowsBetween(W.unboundedPreceding, -1)).alias("_before"), F.first("_first", True).over(beside.rowsBetween(1, W.unboundedFollowing)).alias("_after"))
-    w = W.partitionBy("_c", "_b").orderBy("_x")
-    both = both.withColumn("_lo", F.last("_pt", True).over(w.rangeBetween(W.unboundedPreceding, 0))).withColumn("_hi", F.first("_pt", True).over(w.rangeBetween(0, W.unboundedFollowing)))
+    w = W.partitionBy("_c", "_b")
+    upto = lambda order: F.last("_pt", True).over(w.orderBy(order).rangeBetween(W.unboundedPreceding, W.currentRow))
+    both = both.withColumn("_lo", upto(F.asc("_x"))).withColumn("_hi", upto(F.desc("_x")))
     both = both.filter("_q").join(ends, F.col("_c").eqNullSafe(F.col("_ec")) & F.col("_b").eqNullSafe(F.col("_eb")))
     both = both.withColumn("_lo", F.coalesce("_lo", "_before")).withColumn("_hi", F.coalesce("_hi", "_after"))
     lo, hi = F.col("_x") - F.col("_lo.x"), F.col("_hi.x") - F.col("_x")

@@ -143,3 +143,11 @@ def test_overlaps_of_short_and_long_intervals(spark):
     schema = "{} string, chrom string, start long, end long"
     got = genomics.best_overlap(spark.createDataFrame(a, schema.format("k")), spark.createDataFrame(b, schema.format("n")), "k", "n", width=16)
     assert {r.k: (r.n, r.overlap) for r in got.collect()} == want
+
+
+def test_nearest_point_reads_no_stretch_anew(spark):
+    pts = spark.range(0, 4000, 2).select(F.lit("c").alias("chrom"), F.col("id").alias("pos"), F.concat(F.lit("p"), F.col("id")).alias("name"))
+    pk = spark.range(0, 4000, 3).select(F.lit("c").alias("chrom"), F.col("id").alias("pos"), F.col("id").alias("peak"))
+    near = genomics.nearest_point(pk, pts, "chrom", "pos", "name", ["peak"])
+    assert "rangeframe, currentrow$(), unboundedfollowing" not in near._jdf.queryExecution().executedPlan().toString().lower()
+    assert all((r.name, r.distance) == (f"p{r.peak - r.peak % 2}", r.peak % 2) for r in near.collect())
