@@ -36,6 +36,40 @@ def in_ranges(counts: DataFrame, value: str, n: str, below: str, ranges: int = 6
     return ranged.withColumn(below, F.element_at(F.array(*[F.lit(int(s)).cast("long") for s in starts]), F.col("_range") + 1) + F.coalesce(before, F.lit(0))).drop("_range")
 
 
+def weights_below(counts: DataFrame, value: str, n: str, *groups: str) -> DataFrame:
+    """counts (one row a group and value, with its weight n) with _task (rises with value in a group), _below: the weight of the
+    group's smaller values, and _total: that of all.
+
+    Values are dealt in ranges, so a group of any number of them is spread over tasks; what a group holds in each task is a row."""
+    rows = cut(counts.repartitionByRange(*groups, value).withColumn("_task", F.spark_partition_id()))
+    w = W.partitionBy(*groups)
+    held = rows.groupBy(*groups, "_task").agg(F.sum(n).alias("_held"))
+    earlier = F.coalesce(F.sum("_held").over(w.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    held = held.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(groups)], F.col("_task").alias("_t"), earlier.alias("_earlier"), F.sum("_held").over(w).alias("_total"))
+    before = F.sum(n).over(W.partitionBy(*groups, "_task").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    same = F.col("_task") == F.col("_t")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    out = rows.withColumn("_before", F.coalesce(before, F.lit(0))).join(sized_broadcast(held, 64), same)
+    return out.withColumn("_below", F.col("_before") + F.col("_earlier")).drop("_before", "_earlier", "_t", *[f"_g{i}" for i in range(len(groups))])
+
+
+def by_value(df: DataFrame, found: DataFrame, value: str, *groups: str) -> DataFrame:
+    """df, left-joined with what was found for its groups and values (groups, value, more)."""
+    named = found.select(*[F.col(g).alias(f"_h{i}") for i, g in enumerate(groups)], F.col(value).alias("_value"), *[c for c in found.columns if c not in (*groups, value)])
+    same = F.col(value) == F.col("_value")
+    for i, g in enumerate(groups):
+        same = same & F.col(g).eqNullSafe(F.col(f"_h{i}"))
+    return df.join(sized_broadcast(named, 48), same, "left").drop("_value", *[f"_h{i}" for i in range(len(groups))])
+
+
+def with_group_rank(df: DataFrame, value: str, name: str, *groups: str) -> DataFrame:
+    """df with average_rank(value, *groups), for groups of any size: equal values are counted first."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("_n"))
+    ranked = weights_below(counts, value, "_n", *groups).select(*groups, value, (F.col("_below") + (F.col("_n") + 1) / F.lit(2.0)).alias(name))
+    return by_value(df, cut(ranked), value, *groups)
+
+
 def with_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with the 1-based rank of value in the whole table, ties at their mean; NULL stays NULL.
 

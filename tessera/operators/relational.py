@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions.nulls import is_true, not_in, pair_count, safe_corr
 from ..functions.local import TooLarge
-from ..functions.ranks import average_rank, keep_first, with_rank
+from ..functions.ranks import average_rank, keep_first, with_group_rank, with_rank
 
 #: Features that go to each sample at once; items whose pairs are made.
 GRID_FEATURES, PAIR_ITEMS = 100_000, 5_000
@@ -209,7 +209,7 @@ def regression_metrics(df: DataFrame, truth: str, pred: str, *groups: str, ceili
     """groups, n, r, rho, r2, rmse, bias (and the share of a ceiling) over complete pairs."""
     both = df.filter(F.col(truth).isNotNull() & F.col(pred).isNotNull())
     if groups:
-        ranked = both.withColumn("_rt", average_rank(truth, *groups)).withColumn("_rp", average_rank(pred, *groups))
+        ranked = with_group_rank(with_group_rank(both, truth, "_rt", *groups), pred, "_rp", *groups)
     else:
         ranked = with_rank(with_rank(both, truth, "_rt"), pred, "_rp")
     t, p = F.col(truth).cast("double"), F.col(pred).cast("double")
