@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.local import to_local
-from ..functions.multiplicity import bh_q
+from ..functions.multiplicity import with_bh_q
 from ..functions.nulls import nan_to_null
 from ..functions.ranks import bin_edges, keep_first, ordinal_bin, spearman, value_bin
 from ..operators import genesets, genomics, relational, scoring, stats
@@ -126,7 +126,7 @@ SELECT l_orderkey, l_linenumber, round(least(1.0::DOUBLE, min(p * m / i) OVER (P
 def bh_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.when(F.col("l_partkey") % 50 == 0, None).otherwise(((F.col("l_partkey") * 7919 + F.col("l_orderkey") * 31) % 1000 + 1) / F.lit(1001.0))
     df = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", p.alias("p"))
-    return rounded(df.select("l_orderkey", "l_linenumber", bh_q("p", "l_returnflag").alias("q")))
+    return rounded(with_bh_q(df, "p", "q", "l_returnflag").select("l_orderkey", "l_linenumber", "q"))
 
 
 def _screen(spark: SparkSession, sf_dir: str, status: str) -> DataFrame:

@@ -5,9 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import special
-from tessera.functions.multiplicity import bh_q
+from tessera.functions.multiplicity import bh_q, with_bh_q
 from tessera.functions.nulls import flag, nan_to_null, not_in, number, safe_corr
-from tessera.functions.ranks import average_rank, bin_edges, ordinal_bin, percentile_rank, value_bin
+from tessera.functions.ranks import average_rank, bin_edges, ordinal_bin, percentile_rank, value_bin, with_group_rank
 
 
 def test_tails_against_known_values():
@@ -77,3 +77,14 @@ def test_bh_with_missing(spark):
     got = {r.i: r.q for r in df.select("i", bh_q("p", "f").alias("q")).collect()}
     want = {0: 0.004, 1: 0.04, 2: None, 3: 0.04 * 4 / 3, 4: 0.5, 9: 0.03}
     assert {k: None if v is None else pytest.approx(v) for k, v in want.items()} == got
+
+
+def test_large_groups_are_spread(spark):
+    """Ranks and q-values of groups of any size are those of the windows, and no window takes a whole group."""
+    df = spark.range(3000).select("id", F.when(F.col("id") % 3 > 0, (F.col("id") % 3).cast("string")).alias("g"), F.when(F.col("id") % 50 > 0, (F.col("id") * 7919 % 401 + 1) / F.lit(402.0)).alias("p"))
+    q, r = with_bh_q(df, "p", "q", "g"), with_group_rank(df, "p", "r", "g")
+    want = {x.id: (x.q, x.r) for x in df.select("id", bh_q("p", "g").alias("q"), average_rank("p", "g").alias("r")).collect()}
+    a, b = {x.id: x.q for x in q.collect()}, {x.id: x.r for x in r.collect()}
+    assert len(a) == len(b) == 3000 and all(a[i] == pytest.approx(want[i][0]) and b[i] == want[i][1] for i in want)
+    for made in (q, r):
+        assert "Window" not in made._jdf.queryExecution().executedPlan().toString()
