@@ -4,7 +4,8 @@ A document's set is its distinct word shingles. Equal sets become one class firs
 Classes are then branched down independent trees: in a node, a few positions of the
 minwise signature are chosen, and a class goes to one child for each, named by its
 token there, so similar sets keep meeting and others part. Nodes of up to `SMALL`
-classes are compared exhaustively; in larger ones every class is compared with a
+classes are compared exhaustively, and those of up to SALT_ROWS as well unless they are tight or hold too many
+pairs that pass; in others every class is compared with a
 few pivots, and the node is branched again. In a node that is tight (seven in ten of a
 hashed sample of it share half of one signature) the classes like that one are not
 branched, as that would only copy them; those with next to nothing of it are branched only,
@@ -21,8 +22,9 @@ node with a chance of 0.15 ** 8 = 3e-7 (at 0.8: 3e-6), and deeper nodes have ROO
 
 Rows are sorted by node and walked once, which counts a node as it comes. Only nodes of
 more than SALT_ROWS rows are counted before: they are spread over tasks by salt, with the
-sample sent to each. Tasks hold no more than SMALL rows of a node at a time. Pairs: at most
-SMALL / 2 a class in a small node, one in a large one.
+sample sent to each. Tasks hold no more than SALT_ROWS rows of a node at a time. Pairs: at most
+SMALL / 2 a class in a node that is compared exhaustively, one in a large one. A crowd that shares a line, and
+little else, thus ends at SALT_ROWS: branched down to SMALL, each level would double what shares it.
 
 A class has a number of its own, so ids may be of any type and a doc_id with several texts
 mixes up nothing.
@@ -60,6 +62,9 @@ SALT_ROWS, HOT_LIST = 1024, 64
 #: a pair at 0.8 of which one has ALIKE places and the other under FAR has a chance of 1e-8.
 ALIKE, FAR = SIGNATURE // 2, 5
 TIGHT_SHARE = 0.7
+#: Places of a signature that name a child at most, and the chance that a pair at the threshold is lost below a node: that of
+#: ROOTS tries of one place a level at 0.8, however many levels.
+NAMED, LOST = 6, 0.0625
 #: Sets of a tight node that are asked about at once.
 ASKED = 1024
 
@@ -188,7 +193,7 @@ class _Rows:
 
 
 def _columns(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-    out = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "salt", "depth", "lead", "rep", "n")}
+    out = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "salt", "salts", "depth", "lead", "rep", "n")}
     raw, _ = offsets_of(b.column("sig"))
     out["sig"] = raw.view("<u2").reshape(-1, SIGNATURE) if len(raw) else np.empty((0, SIGNATURE), "<u2")
     return out
@@ -206,6 +211,9 @@ class _Large:
         self.last = self.depth >= DEPTH
         self.tight = like[mid].mean() >= TIGHT_SHARE
         self.middle = sig[mid].copy()
+        # as many places as part a crowd that is alike by this much into nodes of half of SALT_ROWS
+        size, alike = max(hi - lo, SALT_ROWS * int(c["salts"][lo])), (sig[:, None, :] == sig[None, :, :]).mean()
+        self.named = 1 if self.tight else min(NAMED, max(1, math.ceil(math.log(max(2 * size / SALT_ROWS, 1)) / -math.log(min(max(alike, 1e-3), 0.99)))))
         # the middle and a few others are pivots
         p = lo + np.unique([mid, *range(min(PIVOTS, len(sig)))])
         self.rep, self.sig, self.n = c["rep"][p].copy(), c["sig"][p].copy(), c["n"][p].copy()
@@ -226,6 +234,32 @@ def _walk(similarity: float):
         a, b = np.nonzero(ok)
         out.pairs(MORE_PAIRS, rep[a], rep[b])
 
+    def medium(out: _Rows, c: dict, lo: int, hi: int) -> None:
+        if hi - lo <= SMALL:
+            return small(out, c, lo, hi)
+        of, rep = _Large(c, lo, hi), c["rep"][lo:hi]
+        left, right, most = [], [], SMALL // 2 * (hi - lo)
+        if not of.tight:
+            columns, n = np.ascontiguousarray(c["sig"][lo:hi].T), c["n"][lo:hi]
+            for a in range(0, hi - lo, 128):
+                z, same = min(a + 128, hi - lo), np.zeros((min(128, hi - lo - a), min(a + 128, hi - lo)), np.int8)
+                for v in columns:
+                    same += v[a:z, None] == v[None, :z]
+                low, high = np.minimum(n[a:z, None], n[None, :z]), np.maximum(n[a:z, None], n[None, :z])
+                i, j = np.nonzero(np.tril((same >= agreement_bound(similarity)) & (low >= (similarity - 1e-9) * high), a - 1))
+                left.append(i + a)
+                right.append(j)
+                most -= len(i)
+                if most < 0:
+                    break
+        if of.tight or most < 0:
+            return large(out, c, lo, hi, of)
+        i, j = np.concatenate(left), np.concatenate(right)
+        first = np.ones(len(i), bool)
+        first[1:] = i[1:] != i[:-1]  # the first that passes
+        out.pairs(PAIR, rep[i[first]], rep[j[first]])
+        out.pairs(MORE_PAIRS, rep[i[~first]], rep[j[~first]])
+
     def large(out: _Rows, c: dict, lo: int, hi: int, of: _Large) -> None:
         own = np.flatnonzero(c["lead"][lo:hi] == 1) + lo
         rep, n, sig = c["rep"][own], c["n"][own], c["sig"][own]
@@ -241,10 +275,11 @@ def _walk(similarity: float):
         out.pairs(PAIR, rep[i], partner[i])
         rep, n, sig = rep[goes], n[goes], sig[goes]
         with np.errstate(over="ignore"):
-            for j in range(ROOTS if len(rep) else 0):
+            tries = max(ROOTS, math.ceil(math.log(LOST) / math.log(1 - similarity**of.named * (1 - LOST)) - 1e-9))
+            for j in range(tries if len(rep) else 0):
                 seed = mix64(np.array([of.node], np.int64).view(np.uint64) + np.uint64(j + 1))[0]
-                spot = TREES * ROOTS + int(seed % np.uint64(SIGNATURE - TREES * ROOTS))
-                child = mix64(seed + sig[:, spot].astype(np.uint64) * _PLACE[j])
+                spots = TREES * ROOTS + np.argsort(mix64(seed + np.arange(SIGNATURE - TREES * ROOTS, dtype=np.uint64)), kind="stable")[: of.named]
+                child = mix64(seed + (sig[:, spots].astype(np.uint64) * _PLACE[: of.named]).sum(axis=1, dtype=np.uint64))
                 out.children(child.view(np.int64).tolist(), of.depth + 1, rep, n, sig)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,13 +302,13 @@ def _walk(similarity: float):
                     here = (int(c["node"][a]), int(c["salt"][a]))
                     if here == at:
                         large(out, c, a, z, of)
-                    elif z - a > SMALL or (z < size and here[1] >= 0):
+                    elif here[1] >= 0 and (z - a > SMALL or z < size):
                         at, of = here, _Large(c, a, z)
                         large(out, c, a, z, of)
                     elif z == size:
                         held = {k: v[a:] for k, v in c.items()}
                     else:
-                        small(out, c, a, z)
+                        medium(out, c, a, z)  # not spread: SALT_ROWS rows at most
                 if out.kind:
                     yield out.batch()
         if held is not None:
@@ -281,7 +316,7 @@ def _walk(similarity: float):
             if held["salt"][0] >= 0:
                 large(out, held, 0, size, _Large(held, 0, size))
             else:
-                small(out, held, 0, size)
+                medium(out, held, 0, size)
             if out.kind:
                 yield out.batch()
 
@@ -294,7 +329,7 @@ def _level(rows: DataFrame, similarity: float) -> DataFrame:
     salt is -1 in nodes that are not spread."""
     hot = rows.groupBy("node").agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts")).filter("salts > 1")
     hot = staged(hot.select(F.col("node").alias("_node"), "salts"))  # a row for SALT_ROWS rows at most
-    cols = ["node", "salt", "depth", "lead", "ord", "rep", "n", "sig"]
+    cols = ["node", "salt", "salts", "depth", "lead", "ord", "rep", "n", "sig"]
     rows = rows.withColumn("lead", F.lit(1)).withColumn("ord", F.xxhash64("rep", F.lit("order")))
     if n_hot := hot.count():
         if n_hot <= HOT_LIST:
@@ -308,9 +343,9 @@ def _level(rows: DataFrame, similarity: float) -> DataFrame:
         sample = rows.filter("salts > 1").withColumn("rn", F.row_number().over(first)).filter(F.col("rn") <= SMALL).drop("rn")
         sample = sample.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("lead", F.lit(0))
         rows = rows.withColumn("salt", F.coalesce(F.pmod(F.col("ord"), F.col("salts")), F.lit(-1)).cast("int"))
-        rows = rows.select(cols).unionByName(sample.select(cols))
+        rows = rows.withColumn("salts", F.coalesce("salts", F.lit(0))).select(cols).unionByName(sample.select(cols))
     else:
-        rows = rows.withColumn("salt", F.lit(-1)).select(cols)
+        rows = rows.withColumn("salt", F.lit(-1)).withColumn("salts", F.lit(0)).select(cols)
     dealt = rows.repartition(F.col("node"), F.col("salt")).sortWithinPartitions("node", "salt", "lead", "ord", "rep")
     return dealt.drop("ord").mapInArrow(_walk(similarity), _OUT)
 

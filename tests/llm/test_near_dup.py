@@ -105,3 +105,20 @@ def test_one_row_stays_of_a_kept_doc_id(spark):
     assert kept.columns == df.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 0, 3, 9, 10, 11]
     assert {r.text for r in kept.collect() if r.doc_id == 3} == low
+
+
+def test_a_crowd_under_salt_rows_is_not_branched():
+    """200 classes that share a third of their signature, two of them alike: one pair, and no children."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import near_dup as nd
+
+    n, rng = 200, np.random.default_rng(3)
+    sig = rng.integers(0, 1 << 16, (n, nd.SIGNATURE)).astype("<u2")
+    sig[:, :13] = 7
+    sig[150] = sig[20]
+    same = {"node": 5, "salt": -1, "salts": 0, "depth": 1, "lead": 1}
+    rows = pa.RecordBatch.from_pydict({**{k: [v] * n for k, v in same.items()}, "rep": list(range(n)), "n": [50] * n, "sig": [x.tobytes() for x in sig]})
+    out = [r for b in nd._walk(0.8)(iter([rows])) for r in b.to_pylist()]
+    assert [(r["kind"], r["rep"], r["other"]) for r in out] == [(nd.PAIR, 150, 20)]
