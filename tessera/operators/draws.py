@@ -11,15 +11,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.local import cut, sized_broadcast
+from ..functions.local import cut, sized_broadcast, to_local
 from ..functions.nulls import safe_corr
 from ..functions.ranks import numbered
-from . import regression, scoring
+from . import regression
 from .stats import pearson_p_udf
 
 BOOT, BOOT_DIFF, BOOT_LINES, MATCHED, NULL_DRAWS = 500, 2000, 2000, 2000, 1000
@@ -270,24 +271,63 @@ def random_sets(genes: DataFrame, gene: str, sizes: Sequence[int], draws: int, s
     return ranked.select("draw", side.alias("side"), gene)
 
 
+class _SetScores:
+    """Scores of all draws' sets, up less down, of the samples in a block: products of ranks and memberships, a block of sets at a time."""
+
+    def __init__(self, picks: pd.DataFrame, width: int, count: int, sides: int) -> None:
+        order = np.argsort(picks["set"].to_numpy(), kind="stable")
+        self.set, self.place = picks["set"].to_numpy(np.int32)[order], picks["place"].to_numpy(np.int32)[order]
+        self.width, self.count, self.sides = width, count, sides
+
+    def __call__(self, pdf: pd.DataFrame) -> np.ndarray:
+        """samples x draws; NaN where a set has no score. pdf: places (of named genes) and their ranks, and n, mean, variance of all ranks."""
+        rows, sets = len(pdf), self.count * self.sides
+        cell = np.repeat(np.arange(rows) * self.width, [len(v) for v in pdf["places"]]) + np.concatenate([*pdf["places"], np.empty(0, np.int64)]).astype(np.int64)
+        v = np.concatenate([*pdf["ranks"], np.empty(0)]).astype(float)
+        known, shape = np.isfinite(v), (rows, self.width)
+        add = lambda w: np.bincount(cell, w, rows * self.width).reshape(shape)
+        x, has = add(np.where(known, v, 0.0)), add(np.ones(len(v)))
+        seen = has if known.all() else add(known.astype(float))
+        n, mean, var = (pdf[c].to_numpy(float)[:, None] for c in ("n", "mean", "var"))
+        out, step = np.empty((rows, sets)), max(1, regression.BLOCK // self.width)
+        for lo in range(0, sets, step):
+            hi = min(lo + step, sets)
+            a, z = np.searchsorted(self.set, [lo, hi])
+            member = np.zeros((self.width, hi - lo))
+            member[self.place[a:z], self.set[a:z] - lo] = 1
+            k = member.sum(axis=0)[None, :] if (has == 1).all() else has @ member
+            some = k if seen is has else seen @ member
+            with np.errstate(all="ignore"):
+                out[:, lo:hi] = (x @ member / some - mean) / np.sqrt(var / k * ((n - k) / (n - 1)))
+        out[~np.isfinite(out)] = np.nan
+        out = out.reshape(rows, self.count, self.sides)
+        return out[:, :, 0] - out[:, :, 1] if self.sides == 2 else out[:, :, 0]
+
+
 def random_set_null(ranks: DataFrame, lines: DataFrame, y: str, sets: Sequence[Sequence], controls: Sequence[str] = (), categories: Sequence[str] = (), sample: str = "sample", gene: str = "feature", rank: str = "p", draws: int = NULL_DRAWS, seed: int = 0) -> DataFrame:
     """z, p_random, n_valid: the Wald z of a set's score in a logistic model, or of [up, down] sets' scores, up
     less down, and its two-sided p against random sets of the same sizes, (1 + #) / (1 + fits).
 
-    ranks: sample, gene, rank. One join scores all draws, and all models are fitted together; draws whose model
-    has no estimate do not count."""
+    ranks: sample, gene, rank. A sample is one row, of the ranks of the genes that any set names; the scores of all draws
+    are products of these and the sets' memberships (a bounded list, counted), made anew in each pass, so that
+    no row of a sample and a draw exists. All models are fitted together; draws whose model has no estimate do not count."""
     if len(sets) not in (1, 2):
         raise ValueError("one set, or [up, down]")
     spark = ranks.sparkSession
     kind = ranks.schema[gene].dataType.simpleString()
     observed = spark.createDataFrame([(0, i, g) for i, s in enumerate(sets) for g in s], f"draw int, side int, `{gene}` {kind}")
     of = random_sets(ranks, gene, [len(set(s)) for s in sets], draws, seed)
-    named = cut(observed.unionByName(of).select(F.concat_ws(":", "draw", "side").alias("set"), gene))
-    scores = scoring.background_score(ranks, named, sample, gene, rank)
-    parts = F.split("set", ":")
-    sign = F.when(parts[1] == "0", F.col("score")).otherwise(-F.col("score"))
-    per = scores.groupBy(sample, parts[0].cast("int").alias("_draw")).agg(F.sum(sign).alias("score"), F.count("score").alias("_k")).filter(F.col("_k") == len(sets))
-    fits = regression.logistic(cut(per), lines, y, controls, categories, sample, "_draw", "score")
+    named = cut(observed.unionByName(of).distinct())
+    genes = cut(numbered(named.select(gene).distinct(), [gene]).select(F.col(gene).alias("_gene"), F.col("_i").cast("int").alias("_place")))
+    width, sides = genes.count(), len(sets)
+    places = sized_broadcast(genes, 64)
+    own = named.join(places, F.col(gene) == F.col("_gene")).select((F.col("draw") * sides + F.col("side")).alias("set"), F.col("_place").alias("place"))
+    derive = _SetScores(to_local(own, "genes of random sets"), max(width, 1), draws + 1, sides)
+    hit = F.when(F.col("_place").isNotNull(), F.struct("_place", F.coalesce(F.col(rank).cast("double"), F.lit(float("nan"))).alias("v")))
+    held = ranks.select(sample, gene, rank).join(places, F.col(gene) == F.col("_gene"), "left")
+    held = held.groupBy(sample).agg(F.collect_list(hit).alias("_hits"), F.count(F.lit(1)).alias("n"), F.avg(rank).alias("mean"), F.var_samp(rank).alias("var"))
+    held = held.select(sample, F.col("_hits._place").alias("places"), F.col("_hits.v").alias("ranks"), "n", "mean", "var")
+    fits = regression.logistic_derived(held, derive, draws + 1, lines, y, controls, categories, sample, "_draw")
     real = fits.filter("_draw = 0").select(F.col("z").alias("_real"))
     hits = F.sum((F.abs("z") >= F.abs("_real")).cast("long"))
     n = F.count("z")

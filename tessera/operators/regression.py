@@ -10,7 +10,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -44,15 +44,15 @@ def _design(rows: DataFrame, controls: Sequence[str], categories: Sequence[str])
     return out
 
 
-def _sums(pdf: pd.DataFrame, b: np.ndarray, live: np.ndarray) -> np.ndarray:
+def _sums(pdf: pd.DataFrame, b: np.ndarray, live: np.ndarray, scores: Callable[[pd.DataFrame], np.ndarray]) -> np.ndarray:
     """For each live score: rows, ones, gradient, and the upper triangle of X'WX, the score's column last."""
     p, k = b.shape[1] - 1, len(live)
     up = np.triu_indices(p)
     total = np.zeros((2 + p + 1 + len(up[0]) + p + 1, k))
-    step = max(1, BLOCK // max(1, k))
+    step = max(1, BLOCK // max(1, len(b)))
     for lo in range(0, len(pdf), step):
         part = pdf.iloc[lo : lo + step]
-        x, s, y = np.stack(part["x"].to_numpy()).astype(float), np.stack(part["s"].to_numpy()).astype(float)[:, live], part["y"].to_numpy(float)
+        x, s, y = np.stack(part["x"].to_numpy()).astype(float), scores(part)[:, live], part["y"].to_numpy(float)
         ok = np.isfinite(s)
         s = np.where(ok, s, 0.0)
         mu = 1 / (1 + np.exp(-np.clip(x @ b[live, :p].T + s * b[live, p], -35, 35)))
@@ -81,8 +81,35 @@ def logistic(scores: DataFrame, lines: DataFrame, y: str, controls: Sequence[str
     wide = cells.groupBy(sample).agg(F.collect_list("c").alias("c")).select(sample, F.transform(F.sequence(F.lit(0), F.lit(max(len(names) - 1, 0))), lambda i: F.coalesce(F.try_element_at(by, i), F.lit(float("nan")))).alias("s"))
     design = _design(full, controls, categories)
     rows = cut(full.join(wide, sample).select(F.array(*design).alias("x"), "s", F.col(y).cast("double").alias("y")))
+    return _newton(rows, len(design), names, f"`{feature}` {kind}", lambda pdf: np.stack(pdf["s"].to_numpy()).astype(float))
 
-    p, count = len(design), len(names)
+
+def logistic_derived(held: DataFrame, derive: Callable[[pd.DataFrame], np.ndarray], count: int, lines: DataFrame, y: str, controls: Sequence[str] = (), categories: Sequence[str] = (), sample: str = "sample", feature: str = "feature") -> DataFrame:
+    """What `logistic` gives for features 0 to count - 1, whose scores are no rows: derive(rows of held) makes them anew
+    in each pass, a row a line and a column a feature, NaN where a line has none. Features without any score are left out.
+
+    held: sample, and what derive needs of it, one row a sample."""
+    full = lines.filter(F.col(y).isNotNull()).dropna(subset=[*controls, *categories])
+    held = cut(held.join(lines.select(sample), sample, "left_semi"))
+    step = max(1, BLOCK // max(1, count))
+
+    def parts(pdf: pd.DataFrame, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        return sum((of(derive(pdf.iloc[lo : lo + step])) for lo in range(0, len(pdf), step)), np.zeros((2, count))).ravel()
+
+    n, total = block_sums(held, lambda pdf: parts(pdf, lambda s: np.stack([np.isfinite(s).sum(0), np.nansum(s, axis=0)])), 2 * count, "sums of scores").reshape(2, count)
+    mean = total / np.maximum(n, 1)
+    _, square = block_sums(held, lambda pdf: parts(pdf, lambda s: np.stack([np.isfinite(s).sum(0), np.nansum((s - mean) ** 2, axis=0)])), 2 * count, "squares of scores").reshape(2, count)
+    sd = np.sqrt(square / np.maximum(n, 1))
+    sd[sd <= 1e-12 * np.abs(mean)] = np.nan  # constant
+    names = np.flatnonzero(n > 0)
+    design = _design(full, controls, categories)
+    rows = cut(full.join(held, sample).select(F.array(*design).alias("x"), *[c for c in held.columns if c not in (sample, "x", "y")], F.col(y).cast("double").alias("y")))
+    return _newton(rows, len(design), names.tolist(), f"`{feature}` int", lambda pdf: ((derive(pdf) - mean) / sd)[:, names])
+
+
+def _newton(rows: DataFrame, p: int, names: list, named: str, scores: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
+    """The fits of all scores(rows), by name. rows: x (p columns), y, and what the scores are made of."""
+    spark, count = rows.sparkSession, len(names)
     b, status, rounds = np.zeros((count, p + 1)), np.full(count, "", object), np.zeros(count, int)
     n, se = np.zeros(count, int), np.full((count, p + 1), np.nan)
     up, low = np.triu_indices(p), 3 + p
@@ -92,7 +119,7 @@ def logistic(scores: DataFrame, lines: DataFrame, y: str, controls: Sequence[str
             break
         shared = spark.sparkContext.broadcast((b, live))
         size = (2 + p + 1 + len(up[0]) + p + 1) * len(live)
-        got = block_sums(rows, lambda pdf, own=shared: _sums(pdf, *own.value), size, "sums of logistic fits").reshape(-1, len(live))
+        got = block_sums(rows, lambda pdf, own=shared: _sums(pdf, *own.value, scores), size, "sums of logistic fits").reshape(-1, len(live))
         shared.unpersist()
         for j, k in enumerate(live):
             g = got[:, j]
@@ -125,7 +152,7 @@ def logistic(scores: DataFrame, lines: DataFrame, y: str, controls: Sequence[str
         c, s = float(b[k, p]), float(se[k, p])
         half = 1.959963984540054 * s
         out.append((name, int(n[k]), c, s, c / s, float(normal_two_sided(c / s)), math.exp(c), math.exp(c - half), math.exp(c + half), "ok", int(rounds[k])))
-    return spark.createDataFrame(out, f"`{feature}` {kind}, n long, coef double, se double, z double, p double, odds double, lo double, hi double, status string, rounds int")
+    return spark.createDataFrame(out, f"{named}, n long, coef double, se double, z double, p double, odds double, lo double, hi double, status string, rounds int")
 
 
 # ---------------------------------------------------------------- ridge by folds

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions.ranks import numbered
 from tessera.functions.special import t_two_sided
 from tessera.functions.special import rank_sum_p
-from tessera.operators import adjustment, components, draws, modelling, regression, set_tests
+from tessera.operators import adjustment, components, draws, modelling, regression, scoring, set_tests
 from tessera.plans import stages
 
 
@@ -131,6 +131,25 @@ def test_paired_random_sets(spark):
     assert [r.feature for r in both] == ["DTP", "none"]
 
 
+def test_random_sets_make_no_row_of_a_sample_and_a_draw(spark, monkeypatch):
+    """Values as by definition where ranks are missing or null; what is written is far less than samples x draws."""
+    rng = np.random.default_rng(8)
+    n, genes, written = 90, 30, []
+    y = rng.integers(0, 2, n)
+    p = rng.random((n, genes))
+    p[rng.random(p.shape) < 0.05] = np.nan
+    rows = [(i, j, None if np.isnan(p[i, j]) else float(p[i, j])) for i in range(n) for j in range(genes) if j != i % 40]
+    ranks, lines = spark.createDataFrame(rows, "sample int, feature int, p double"), spark.createDataFrame([(i, int(y[i])) for i in range(n)], "sample int, y int")
+    for module in (draws, draws.regression):
+        monkeypatch.setattr(module, "cut", lambda df, own=module.cut: written.append(own(df)) or written[-1])
+    got = draws.random_set_null(ranks, lines, "y", [[0, 1, 2, 3], [7, 8]], draws=50).first()
+    named = spark.createDataFrame([("0", g) for g in (0, 1, 2, 3)] + [("1", g) for g in (7, 8)], "set string, feature int")
+    both = scoring.background_score(ranks, named, "sample", "feature")
+    score = both.groupBy("sample").agg(F.lit("k").alias("feature"), F.sum(F.when(F.col("set") == "0", F.col("score")).otherwise(-F.col("score"))).alias("score"), F.count("score").alias("c")).filter("c = 2")
+    assert got.z == pytest.approx(regression.logistic(score, lines, "y").first().z, abs=1e-7) and got.n_valid == 50
+    assert max(df.count() for df in written) < n * 50 / 4
+
+
 def _picks(seed, draw, slot, n):
     h = hashlib.md5(f"{seed}:{draw // 4}:{slot}".encode()).hexdigest()
     return int(h[8 * (draw % 4) : 8 * (draw % 4) + 8], 16) % n
