@@ -12,11 +12,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.local import sized_broadcast, to_local
+from ..functions.local import cut, sized_broadcast, to_local
 from ..functions.nulls import safe_corr
 from .resampling import bootstrap_lines, row_r
 
@@ -306,12 +307,132 @@ def cross_validate(matrix: DataFrame, line: str, features: str, y: str, factory:
     return tasks.groupBy("repeat", "fold").applyInPandas(run, OOF)
 
 
+#: Numbers in the sums of all folds at most.
+SUMS = 4_000_000
+
+
+def _fixed_by_sums(long: DataFrame, index: DataFrame, names: DataFrame, y: np.ndarray, group: np.ndarray, plan: np.ndarray, sample: str, feature: str, value: str, model: ElasticNet, deconfound: bool) -> DataFrame:
+    """OOF of an ElasticNet on all features (names), without a block of lines: a line is a row, and two passes add up
+    each fold's group means and the products of its training rows about them. Folds are fitted in tasks of their own.
+
+    y, group (one for all lines if not deconfounded) and plan go by row_ix (index)."""
+    from ..functions.ranks import numbered
+    from ..functions.sums import block_sums
+    from .regression import covariance_path
+
+    spark, n = long.sparkSession, len(y)
+    places = cut(numbered(names, [feature]).select(F.col(feature).alias("_f"), F.col("_i").cast("int").alias("_p")))
+    width = places.count()
+    cells = long.select(sample, feature, F.col(value).cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    cells = cells.join(sized_broadcast(index, 48), sample).join(sized_broadcast(places, 48), F.col(feature) == F.col("_f"))
+    cells = cells.groupBy("row_ix", F.col(sample).cast("string").alias("line")).agg(F.collect_list(F.struct("_p", "v")).alias("c"))
+
+    def dense(batches):
+        for pdf in batches:
+            at = np.repeat(np.arange(len(pdf)) * width, [len(p) for p in pdf["p"]]) + np.concatenate([*pdf["p"], np.empty(0, np.int64)]).astype(np.int64)
+            has = np.bincount(at, minlength=len(pdf) * width)
+            if (has == 0).any():
+                raise ValueError("a line lacks a feature; fill the table first")
+            x = np.bincount(at, np.concatenate([*pdf["v"], np.empty(0)]), len(pdf) * width) / has
+            yield pd.DataFrame({"row_ix": pdf["row_ix"], "line": pdf["line"], "x": list(x.reshape(len(pdf), width))})
+
+    rows = cut(cells.select("row_ix", "line", F.col("c._p").alias("p"), F.col("c.v").alias("v")).mapInPandas(dense, "row_ix int, line string, x array<double>"))
+    if rows.count() < n:
+        raise ValueError("a line lacks a feature; fill the table first")
+    levels = {v: i for i, v in enumerate(sorted({v for v in group.tolist() if v is not None and v == v}, key=str))}
+    of, groups = np.array([levels.get(v, -1) for v in group.tolist()], int), max(len(levels), 1)
+    jobs = [(r, int(f)) for r in range(len(plan)) for f in sorted(set(plan[r].tolist()) - {-1})]
+    # of each job: lines, mean and scale of y by group, and whether the group is in its fit
+    count, centre, scale = (np.zeros((len(jobs), groups)) for _ in range(3))
+    base, far, tested = np.zeros(len(jobs)), np.zeros(len(jobs)), np.zeros(len(jobs), int)
+    for j, (r, f) in enumerate(jobs):
+        fit = (plan[r] != f) & (of >= 0)
+        count[j] = np.bincount(of[fit], minlength=groups)
+        with np.errstate(all="ignore"):
+            mean = np.bincount(of[fit], y[fit], groups) / count[j]
+            sd = np.sqrt(np.bincount(of[fit], (y[fit] - mean[of[fit]]) ** 2, groups) / (count[j] - 1))
+        centre[j], scale[j] = (mean, np.where((count[j] > 1) & (sd > 0), sd, np.nan)) if deconfound else (0.0, 1.0)
+        z = (y[fit] - centre[j, of[fit]]) / scale[j, of[fit]]
+        z = z[np.isfinite(z)]
+        base[j] = z.mean() if len(z) else np.nan
+        far[j] = np.abs(z - base[j]).max(initial=0.0)
+        tested[j] = ((plan[r] == f) & (of >= 0) & (count[j, of] > 0)).sum()
+    at = {job: j for j, job in enumerate(jobs)}
+    shared = spark.sparkContext.broadcast((of, plan, y))
+    folds = int(plan.max(initial=0)) + 2  # lines of no fold come first
+
+    def block(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return pdf["row_ix"].to_numpy(), np.stack(pdf["x"].to_numpy()).astype(float).reshape(len(pdf), width)
+
+    def sums(pdf: pd.DataFrame) -> np.ndarray:
+        (ix, x), (of_, plan_, _) = block(pdf), shared.value
+        total = np.zeros((len(plan_), folds * groups, width))
+        for r in range(len(plan_)):
+            cell = np.where(of_[ix] >= 0, (plan_[r, ix] + 1) * groups + of_[ix], -1)
+            order = np.argsort(cell, kind="stable")
+            order = order[np.searchsorted(cell[order], 0) :]
+            if len(order):
+                found, first = np.unique(cell[order], return_index=True)
+                total[r, found] += np.add.reduceat(x[order], first, axis=0)
+        return total.ravel()
+
+    own = block_sums(rows, sums, len(plan) * folds * groups * width, "means of folds").reshape(len(plan), folds, groups, width)
+    with np.errstate(all="ignore"):
+        means = np.stack([(own[r].sum(axis=0) - own[r, f + 1]) / count[j][:, None] for j, (r, f) in enumerate(jobs)])
+    fits_ = np.isfinite(scale) & (count > 0)
+    known = spark.sparkContext.broadcast((means, centre, scale, base, fits_))
+
+    def products(pdf: pd.DataFrame) -> np.ndarray:
+        (ix, x), (of_, plan_, y_), (means_, centre_, scale_, base_, used) = block(pdf), shared.value, known.value
+        total = np.zeros((len(jobs), width, width + 1))
+        for j, (r, f) in enumerate(jobs):
+            i = np.flatnonzero((plan_[r, ix] != f) & (of_[ix] >= 0) & used[j, of_[ix]])
+            q = of_[ix[i]]
+            z = x[i] - means_[j, q]
+            total[j] += z.T @ np.column_stack([z, (y_[ix[i]] - centre_[j, q]) / scale_[j, q] - base_[j]])
+        return total.ravel()
+
+    gram = spark.sparkContext.broadcast(block_sums(rows, products, len(jobs) * width * (width + 1), "products of folds").reshape(len(jobs), width, width + 1))
+    trained = (count * fits_).sum(axis=1)
+
+    def fit_(batches):
+        for pdf in batches:
+            out = []
+            for j in pdf["id"]:
+                a = gram.value[j] / max(trained[j], 1)
+                sd = np.sqrt(np.maximum(np.diag(a), 0))
+                sd = np.where(sd > 0, sd, 1.0)
+                out.append((covariance_path(a[:, :width] / np.outer(sd, sd), a[:, width] / sd, np.array([model.alpha]), model.l1, max(far[j], 1e-12), 1e-6)[0] / sd).tolist())
+            yield pd.DataFrame({"id": pdf["id"], "b": out})
+
+    fitted = to_local(spark.range(0, len(jobs), 1, len(jobs)).mapInPandas(fit_, "id long, b array<double>"), "models by fold", width) if jobs else pd.DataFrame({"id": [], "b": []})
+    coefs = np.zeros((len(jobs), width))
+    for j, b in zip(fitted["id"], fitted["b"], strict=True):
+        coefs[int(j)] = b
+    given = spark.sparkContext.broadcast(coefs)
+
+    def predict(batches):
+        of_, plan_, y_ = shared.value
+        means_, centre_, scale_, base_, used = known.value
+        for pdf in batches:
+            ix, x = block(pdf)
+            for j, (r, f) in enumerate(jobs):
+                i = np.flatnonzero((plan_[r, ix] == f) & (of_[ix] >= 0))
+                i = i[used[j, of_[ix[i]]]]
+                if len(i) and (not deconfound or tested[j] >= 5):
+                    q = of_[ix[i]]
+                    yield pd.DataFrame({"line": pdf["line"].to_numpy()[i], "repeat": r, "fold": f, "truth": (y_[ix[i]] - centre_[j, q]) / scale_[j, q], "pred": base_[j] + (x[i] - means_[j, q]) @ given.value[j], "alpha": model.alpha, "edge": False, "n_train": int(trained[j])})
+
+    return rows.mapInPandas(predict, OOF)
+
+
 def cross_validate_long(long: DataFrame, target: DataFrame, sample: str, feature: str, value: str, y: str, factory: Callable, group: str | None = None, deconfound: bool = False, folds: int = FOLDS, repeats: int = REPEATS, seed: int = 0, by_group: bool = False, k: int = TOP_FEATURES) -> DataFrame:
     """Out-of-fold predictions (OOF) from a long table of any number of features.
 
     The screen runs in Spark (screen_by_fold, on the de-confounded values if asked); each (repeat,
-    fold) is then a task that gets its own k features of the lines, and fits factory() to them.
-    Values must be complete (median_fill): a line without one of the features raises ValueError."""
+    fold) is then a task that gets its own k features of the lines, and fits factory() to them. An ElasticNet of fixed
+    penalty on k features or fewer needs no screen and no block of lines: all folds are fitted from sums (_fixed_by_sums),
+    for any number of lines the driver's count admits. Values must be complete (median_fill): a line without one of the features raises ValueError."""
     if deconfound and group is None:
         raise ValueError("deconfounding needs a group column")
     lines = target.filter(F.col(y).isNotNull()).join(long.select(sample).distinct(), sample, "left_semi").select(sample, y, *([group] if group else []))
@@ -321,7 +442,13 @@ def cross_validate_long(long: DataFrame, target: DataFrame, sample: str, feature
     plan = _fold_plan(len(pdf), g, folds, repeats, seed, by_group)
     spark = long.sparkSession
     kind = long.schema[sample].dataType.simpleString()
-    index = spark.createDataFrame([(i, v) for i, v in enumerate(ids.tolist())], f"row_ix int, {sample} {kind}")
+    index = spark.createDataFrame(pa.table({"row_ix": np.arange(len(ids)), sample: pa.Array.from_pandas(ids)})).select(F.col("row_ix").cast("int").alias("row_ix"), F.col(sample).cast(kind)) if len(ids) else spark.createDataFrame([], f"row_ix int, {sample} {kind}")
+    model = factory()
+    if type(model) is ElasticNet:
+        names = cut(long.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).join(sized_broadcast(index, 48), sample, "left_semi").select(feature).distinct())
+        width, jobs = names.count(), sum(len(set(p.tolist()) - {-1}) for p in plan)
+        if width <= k and jobs * (width + 1) ** 2 <= SUMS and jobs * (width + 1) * (len(set(g.tolist())) if deconfound else 1) <= SUMS:
+            return _fixed_by_sums(long, index, names, t, g if deconfound else np.full(len(t), "all", object), plan, sample, feature, value, model, deconfound)
     table = spark.createDataFrame([(r, i, int(f)) for r in range(len(plan)) for i, f in enumerate(plan[r]) if f >= 0], "repeat int, row_ix int, fold int")
     rows = lines.join(sized_broadcast(index, 48), sample)
     chosen = screen_by_fold(long, rows, table, sample, feature, value, y, k, group if deconfound else None)

@@ -251,10 +251,10 @@ def ridge_by_fold(rows: DataFrame, line: str, features: str, y: str, alphas: Seq
     return full.mapInPandas(predict, out)
 
 
-def covariance_path(a: np.ndarray, c: np.ndarray, alphas: np.ndarray, l1: float, scale: float) -> np.ndarray:
+def covariance_path(a: np.ndarray, c: np.ndarray, alphas: np.ndarray, l1: float, scale: float, tol: float = 1e-9) -> np.ndarray:
     """Coefficients (alphas x features) of the elastic net with Z'Z / n = a and Z'y / n = c of centred data, from the largest
     penalty down, each from the one before. A step costs one column of a, whatever the rows."""
-    out, b, g, small = np.zeros((len(alphas), len(c))), np.zeros(len(c)), c.astype(float).copy(), 1e-9 * max(scale, 1e-300)
+    out, b, g, small = np.zeros((len(alphas), len(c))), np.zeros(len(c)), c.astype(float).copy(), tol * max(scale, 1e-300)
     for k in np.argsort(-np.asarray(alphas), kind="stable"):
         lam, ridge = alphas[k] * l1, alphas[k] * (1 - l1)
         for _ in range(SWEEPS):

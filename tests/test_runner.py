@@ -123,3 +123,32 @@ def test_statistics_of_the_study():
     rng = np.random.default_rng(3)
     null = np.array([values[rng.choice(50, 10, replace=False)].mean() for _ in range(100)])
     assert c.loc[0, "p_empirical"] == (np.abs(null - null.mean()) >= abs(3.9 - null.mean())).mean() < 1
+
+
+def test_fixed_penalty_forms_no_block_of_lines(spark, monkeypatch):
+    """Folds of an ElasticNet come from sums: groups without a fold's rows, lines without a group, and few tested lines as in one task."""
+    monkeypatch.setattr(modelling, "_one_fold", None)  # no task holds a fold's lines
+    rng = np.random.default_rng(11)
+    n = 75
+    x = rng.normal(3, 1, size=(n, 6))
+    y = x[:, 0] - x[:, 2] + 0.3 * rng.normal(size=n)
+    group = [None if i % 25 == 7 else "solo" if i == 9 else f"g{i % 3}" for i in range(n)]
+    long = spark.createDataFrame([(i, f"f{j}", float(x[i, j])) for i in range(n) for j in range(6)], "line int, f string, v double")
+    target = spark.createDataFrame([(i, float(y[i]), group[i]) for i in range(n)], "line int, y double, g string")
+    for deconfound, by_group in ((False, False), (True, False), (False, True)):
+        got = {(r.line, r.repeat): (r.fold, r.truth, r.pred, r.alpha, r.n_train) for r in modelling.cross_validate_long(long, target, "line", "f", "v", "y", modelling.ElasticNet, "g", deconfound, repeats=2, by_group=by_group).collect()}
+        want, g = {}, np.array(group, object)
+        plan = modelling._fold_plan(n, g, 5, 2, 0, by_group)
+        for r in range(len(plan)):
+            for f in sorted(set(plan[r].tolist()) - {-1}):
+                train, test, xs, ys = plan[r] != f, plan[r] == f, x, y
+                if deconfound:
+                    xs, ys, ok = modelling.deconfounded(x, y, g, train)
+                    train, test = train & ok & np.isfinite(ys), test & ok & np.isfinite(ys)
+                m = modelling.ElasticNet().fit(xs[train], ys[train])
+                want |= {(str(i), r): (f, ys[i], p, m.alpha, train.sum()) for i, p in zip(np.flatnonzero(test), m.predict(xs[test]))}
+        assert got.keys() == want.keys()
+        for key in want:
+            assert got[key] == pytest.approx(want[key], abs=1e-9)
+    with pytest.raises(Exception, match="lacks a feature"):
+        modelling.cross_validate_long(long.filter("line <> 3 OR f <> 'f1'"), target, "line", "f", "v", "y", modelling.ElasticNet, "g").collect()
