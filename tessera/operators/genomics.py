@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.local import cut
+from ..functions.local import cut, sized_broadcast
 from ..functions.nulls import is_true
 
 
@@ -41,6 +44,57 @@ def nearest_point(peaks: DataFrame, points: DataFrame, chrom: str, pos: str, nam
 
 #: Widths of bins for intervals: each is STEP times the one before.
 STEP, LEVELS = 8, 8
+#: Pairs that a bin forms at most for each of its rows (others are swept), and rows of a side in a sweep.
+PAIRS, SWEPT = 64, 200_000
+
+
+def _dominating(px: np.ndarray, py: np.ndarray, value: np.ndarray, qx: np.ndarray, qy: np.ndarray) -> np.ndarray:
+    """The greatest value (0, 1, ...) of the points with px <= qx and py >= qy, for each query; -1 if there is none.
+
+    The points before qx are runs of 1, 2, 4, ... points, one for each binary digit of their number; each run is
+    ordered by py, with its greatest value from there on."""
+    n, by = len(px), np.argsort(px, kind="stable")
+    upto, best = np.searchsorted(px[by], qx, side="right"), np.full(len(qx), -1)
+    levels = np.unique(np.concatenate([py, qy]))
+    y, q, v, wide = np.searchsorted(levels, py[by]), np.searchsorted(levels, qy), value[by], len(levels) + 1
+    for digit in range(n.bit_length()):
+        ask = np.flatnonzero((upto >> digit) & 1)
+        if not len(ask):
+            continue
+        run = np.arange(n) >> digit
+        key = run * wide + y
+        order = np.argsort(key, kind="stable")
+        # from the last down, each run's values above those of the runs after it
+        most = np.maximum.accumulate((v[order] + (run[-1] - run) * n)[::-1])[::-1]
+        own = (upto[ask] >> digit) - 1
+        at = np.searchsorted(key[order], own * wide + q[ask])
+        here = np.minimum(at, n - 1)
+        found = (at < n) & (run[here] == own)
+        best[ask[found]] = np.maximum(best[ask[found]], most[here[found]] - (run[-1] - own[found]) * n)
+    return best
+
+
+def _swept(table: pa.Table) -> pa.Table:
+    """Rows of one bin (right ones have _right) to key, name, overlap: the best of each left interval here. The best overlap
+    is one of those that hold it, lie in it, or reach over its start or its end."""
+    right = table.column("_right").combine_chunks()
+    a, b = table.filter(pc.invert(right)), table.filter(right)
+    s, e, r, f = (t.column(c).to_numpy() for t in (a, b) for c in ("_s", "_e"))
+    name = b.column("_name").combine_chunks()
+    first = pc.rank(name, sort_keys="ascending", null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+    which, most, rank = np.full(len(s), -1), np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
+    zero = np.zeros(len(r), np.int64)
+    for px, qx, py, qy, measure in ((r, s, f, e, zero), (-r, -s, -f, -e, f - r), (r, s, -f, -e, f), (-r, -s, f, e, -r)):
+        order = np.lexsort((-first, measure))
+        value = np.empty(len(r), np.int64)
+        value[order] = np.arange(len(r))
+        got = _dominating(px, py, value, qx, qy)
+        i = order[np.maximum(got, 0)]
+        n = np.minimum(e, f[i]) - np.maximum(s, r[i])
+        better = (got >= 0) & (n > 0) & ((n > most) | ((n == most) & (first[i] < rank)))
+        which[better], most[better], rank[better] = i[better], n[better], first[i][better]
+    has = which >= 0
+    return pa.table({"key": a.column("_key").filter(pa.array(has)), "name": name.take(pa.array(which[has])), "overlap": most[has]})
 
 
 def best_overlap(left: DataFrame, right: DataFrame, key: str, name: str, chrom: str = "chrom", start: str = "start", end: str = "end", width: int = 16_384) -> DataFrame:
@@ -49,7 +103,10 @@ def best_overlap(left: DataFrame, right: DataFrame, key: str, name: str, chrom:
 
     Bins have several widths, `width` and STEP times the one before. An interval stands in the bins of its own
     width, the least it fits in, and of those greater widths that intervals of the other side have for their own: two
-    bins each at most, whatever its length. A pair meets at the greater of its two widths, in the first bin both touch."""
+    bins each at most, whatever its length. A pair meets at the greater of its two widths, in the first bin both touch.
+
+    Bins are counted. Where many intervals lie over each other, no pairs are formed: the bin (in parts of SWEPT rows of a side, if
+    it has more) is one group, swept in n log^2 n steps."""
     widths = [width * STEP**i for i in range(LEVELS)]
 
     def levelled(df: DataFrame, what: str) -> DataFrame:
@@ -66,13 +123,27 @@ def best_overlap(left: DataFrame, right: DataFrame, key: str, name: str, chrom:
 
     sides = levelled(left, key), levelled(right, name)
     of = [{r["_own"] for r in side.select("_own").distinct().collect()} for side in sides]  # LEVELS numbers at most
-    a, b = binned(sides[0], of[1]).alias("a"), binned(sides[1], of[0]).alias("b")
+    a, b = cut(binned(sides[0], of[1]).filter("_c IS NOT NULL")), cut(binned(sides[1], of[0]).filter("_c IS NOT NULL"))
+    at = ["_c", "_l", "_b"]
+    count = a.select(*at, F.lit(1).alias("_m"), F.lit(0).alias("_n")).unionByName(b.select(*at, F.lit(0).alias("_m"), F.lit(1).alias("_n"))).groupBy(*at).agg(F.sum("_m").alias("_m"), F.sum("_n").alias("_n"))
+    full = count.filter(F.col("_m") * F.col("_n") > PAIRS * (F.col("_m") + F.col("_n")))
+    full = sized_broadcast(cut(full.select(*at, F.ceil(F.col("_m") / SWEPT).cast("int").alias("_m"), F.ceil(F.col("_n") / SWEPT).cast("int").alias("_n"))), 48)
+    types = [df.schema[c].dataType.simpleString() for df, c in ((a, key), (b, name))]
+
+    def parts(df: DataFrame, own: str, other: str, col: str, k: Column, v: Column) -> DataFrame:
+        every = F.sequence(F.lit(0), F.col(other) - 1)
+        rows = df.join(full, at).withColumn(own, F.pmod(F.xxhash64(F.col(col), "_s", "_e"), F.col(own)).cast("int")).withColumn(other, F.explode(every))
+        return rows.select(*at, "_m", "_n", "_s", "_e", k.alias("_key"), v.alias("_name"), F.lit(own == "_n").alias("_right"))
+
+    swept = parts(a, "_m", "_n", key, F.col(key), F.lit(None).cast(types[1])).unionByName(parts(b, "_n", "_m", name, F.lit(None).cast(types[0]), F.col(name)))
+    swept = swept.groupBy(*at, "_m", "_n").applyInArrow(_swept, f"key {types[0]}, name {types[1]}, overlap long").select(F.col("key").alias(key), F.col("name").alias(name), "overlap")
+    a, b = a.join(full, at, "left_anti").alias("a"), b.join(full, at, "left_anti").alias("b")
     met = a.join(b, (F.col("a._c") == F.col("b._c")) & (F.col("a._l") == F.col("b._l")) & (F.col("a._b") == F.col("b._b")) & (F.col("a._s") < F.col("b._e")) & (F.col("b._s") < F.col("a._e")))
     first = F.floor(F.greatest("a._s", "b._s") / F.element_at(F.array(*[F.lit(w) for w in widths]), F.col("a._l") + 1))
     met = met.filter((F.col("a._l") == F.greatest("a._own", "b._own")) & (F.col("a._b") == first))
     n = F.least("a._e", "b._e") - F.greatest("a._s", "b._s")
     met = met.select(F.col(f"a.{key}").alias(key), F.col(f"b.{name}").alias(name), n.alias("overlap"))
-    return met.groupBy(key).agg(F.min_by(F.struct(name, "overlap"), F.struct((-F.col("overlap")).alias("o"), F.col(name).alias("n"))).alias("_b")).select(key, f"_b.{name}", "_b.overlap")
+    return met.unionByName(swept).groupBy(key).agg(F.min_by(F.struct(name, "overlap"), F.struct((-F.col("overlap")).alias("o"), F.col(name).alias("n"))).alias("_b")).select(key, f"_b.{name}", "_b.overlap")
 
 
 def explode_lists(df: DataFrame, keys: list[str], first: str, second: str, sep: str = ";", distinct: bool = False) -> DataFrame:

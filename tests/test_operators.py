@@ -151,3 +151,22 @@ def test_nearest_point_reads_no_stretch_anew(spark):
     near = genomics.nearest_point(pk, pts, "chrom", "pos", "name", ["peak"])
     assert "rangeframe, currentrow$(), unboundedfollowing" not in near._jdf.queryExecution().executedPlan().toString().lower()
     assert all((r.name, r.distance) == (f"p{r.peak - r.peak % 2}", r.peak % 2) for r in near.collect())
+
+
+def test_overlaps_in_full_bins_form_no_pairs(spark, monkeypatch):
+    """Against every pair, where many intervals lie over each other; bins are swept, whole and in parts."""
+    rng = np.random.default_rng(12)
+    make = lambda n, tag: [(f"{tag}{i}", "cd"[i % 2], int(s), int(s + w)) for i, (s, w) in enumerate(zip(rng.integers(0, 60, n), rng.choice([0, 1, 5, 17, 17, 40], n)))]
+    a, b = make(400, "a"), make(500, "b") + [(None, "c", 20, 24)]
+    want = {}
+    for k, c, s, e in a:
+        found = [(-(min(e, f) - max(s, r)), n is not None, n) for n, d, r, f in b if c == d and s < f and r < e and s < e and r < f]
+        if found:
+            o, _, n = min(found, key=lambda x: (x[0], x[1], x[2] or ""))
+            want[k] = (n, -o)
+    schema = "{} string, chrom string, start long, end long"
+    for rows in (genomics.SWEPT, 90):
+        monkeypatch.setattr(genomics, "SWEPT", rows)
+        got = genomics.best_overlap(spark.createDataFrame(a, schema.format("k")), spark.createDataFrame(b, schema.format("n")), "k", "n", width=64)
+        assert {r.k: (r.n, r.overlap) for r in got.collect()} == want
+        assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().executedPlan().toString()
