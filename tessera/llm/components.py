@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .common import staged, unstage
 
-#: Edges that are contracted at once.
-BLOCK = 200_000
+#: Edges that are contracted at once, and edges that one task contracts to the end: rounds are for more.
+BLOCK, FEW = 200_000, 50_000
 
 
 def smallest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,10 +61,14 @@ def components(links: DataFrame) -> DataFrame:
     small-star every smaller one; both keep components whole and take O(log^2) rounds, fewer as
     each task first contracts its blocks of edges to stars. Each round is two aggregations
     with map-side minima, so a node with very many links is one row after its partition;
-    nothing is collected but one sum for the end test."""
+    nothing is collected but one sum for the end test. FEW edges at most (1 MB) are one block, and take no round."""
     edges = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a <> b")
     edges = staged(contracted(edges).distinct())
     mark = _mark(edges)
+    if mark[0] <= FEW:
+        few = staged(contracted(edges.coalesce(1)))
+        unstage(edges)
+        return _rooted(few)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -75,7 +79,11 @@ def components(links: DataFrame) -> DataFrame:
         unstage(edges)
         edges, before, mark = new, mark, _mark(new)
         if mark == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+            return _rooted(edges)
+
+
+def _rooted(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
 def _mark(edges: DataFrame) -> tuple:

@@ -96,6 +96,19 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
 
 
+def test_few_edges_take_no_round(spark, monkeypatch):
+    """A long path and a star end in one block; more edges than FEW go by rounds, to the same roots."""
+    from tessera.llm import components as c
+
+    links = spark.createDataFrame([(i * 37 % 300, (i + 1) * 37 % 300) for i in range(200)] + [(500, 500 + i) for i in range(1, 50)], "a long, b long").repartition(9)
+    calls = []
+    monkeypatch.setattr(c, "contracted", lambda df, own=c.contracted: calls.append(1) or own(df))
+    once = {r.node: r.root for r in c.components(links).collect()}
+    assert len(calls) == 2
+    monkeypatch.setattr(c, "FEW", 0)
+    assert {r.node: r.root for r in c.components(links).collect()} == once and len(calls) > 4
+
+
 def test_one_row_stays_of_a_kept_doc_id(spark):
     t = prose(9, 3, 40)
     data = [(None, t[0]), (None, t[0]), (5, t[0]), (3, t[0]), (3, t[1]), (3, t[1]), (8, t[1]), (9, t[2]), (9, t[2]), (10, None), (10, None), (11, "")]
