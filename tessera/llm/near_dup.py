@@ -4,8 +4,8 @@ A document's set is its distinct word shingles. Equal sets become one class firs
 Classes are then branched down independent trees: in a node, a few positions of the
 minwise signature are chosen, and a class goes to one child for each, named by its
 token there, so similar sets keep meeting and others part. Nodes of up to `SMALL`
-classes are compared exhaustively, and those of up to SALT_ROWS as well unless they are tight or hold too many
-pairs that pass; in others every class is compared with a
+classes are compared exhaustively, and those of up to an EACH-th of SALT_ROWS as well unless they are tight or hold
+too many pairs that pass; in others every class is compared with a
 few pivots, and the node is branched again. In a node that is tight (seven in ten of a
 hashed sample of it share half of one signature) the classes like that one are not
 branched, as that would only copy them; those with next to nothing of it are branched only,
@@ -22,9 +22,10 @@ node with a chance of 0.15 ** 8 = 3e-7 (at 0.8: 3e-6), and deeper nodes have ROO
 
 Rows are sorted by node and walked once, which counts a node as it comes. Only nodes of
 more than SALT_ROWS rows are counted before: they are spread over tasks by salt, with the
-sample sent to each. Tasks hold no more than SALT_ROWS rows of a node at a time. Pairs: at most
-SMALL / 2 a class in a node that is compared exhaustively, one in a large one. A crowd that shares a line, and
-little else, thus ends at SALT_ROWS: branched down to SMALL, each level would double what shares it.
+sample sent to each. Tasks hold no more than SALT_ROWS rows of a node at a time, and a node of no more than these is
+branched to the end where it is: whatever lies below it is of its own rows, so its children are no rows of output, and
+a pair that meets in several of them is one. Only nodes of more rows send children on, each as many as part it into
+nodes of half of SALT_ROWS. Pairs: at most SMALL / 2 a class in a node that is compared exhaustively, one in a large one.
 
 A class has a number of its own, so ids may be of any type and a doc_id with several texts
 mixes up nothing.
@@ -56,8 +57,9 @@ SIGNATURE = 40  # positions; the first TREES * ROOTS name the trees' children
 SMALL = 32
 PIVOTS = 4
 DEPTH = 8
-#: Rows of a node in one task; hot nodes that are named in an expression, more are joined.
-SALT_ROWS, HOT_LIST = 1024, 64
+#: Rows of a node in one task (1 MB); the part of them that is compared exhaustively, or are sets of a tight node in one task;
+#: hot nodes that are named in an expression, more are joined.
+SALT_ROWS, EACH, HOT_LIST = 8192, 8, 64
 #: Equal places of a signature from which a class is like the tight node's, and under which it has nothing of it:
 #: a pair at 0.8 of which one has ALIKE places and the other under FAR has a chance of 1e-8.
 ALIKE, FAR = SIGNATURE // 2, 5
@@ -187,6 +189,20 @@ class _Rows:
         self.sig += [None] * len(rep)
         self.other += other
 
+    def below(self, other: _Rows) -> None:
+        """The rows of a node and all below it, its pairs once each."""
+        tight = [i for i, kind in enumerate(other.kind) if kind == TIGHT]
+        met: dict = {}
+        for kind, a, b in zip(other.kind, other.rep, other.other, strict=True):
+            if kind != TIGHT:
+                met[a, b] = min(kind, met.get((a, b), kind))
+        for kind in (PAIR, MORE_PAIRS):
+            of = np.array([p for p, k in met.items() if k == kind], np.int64).reshape(-1, 2)
+            self.pairs(kind, of[:, 0], of[:, 1])
+        for c in ("kind", "node", "depth", "rep", "n", "sig", "other"):
+            column = getattr(other, c)
+            getattr(self, c).extend(column[i] for i in tight)
+
     def batch(self) -> pa.RecordBatch:
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(getattr(self, c), k) for c, k in zip(("kind", "node", "depth", "rep", "n", "sig", "other"), kinds, strict=True)], ["kind", "node", "depth", "rep", "n", "sig", "other"])
@@ -211,9 +227,10 @@ class _Large:
         self.last = self.depth >= DEPTH
         self.tight = like[mid].mean() >= TIGHT_SHARE
         self.middle = sig[mid].copy()
-        # as many places as part a crowd that is alike by this much into nodes of half of SALT_ROWS
+        # as many places as part a crowd that is alike by this much into nodes of half of what one task holds, or compares
         size, alike = max(hi - lo, SALT_ROWS * int(c["salts"][lo])), (sig[:, None, :] == sig[None, :, :]).mean()
-        self.named = 1 if self.tight else min(NAMED, max(1, math.ceil(math.log(max(2 * size / SALT_ROWS, 1)) / -math.log(min(max(alike, 1e-3), 0.99)))))
+        part = SALT_ROWS if c["salt"][lo] >= 0 else SALT_ROWS // EACH
+        self.named = 1 if self.tight else min(NAMED, max(1, math.ceil(math.log(max(2 * size / part, 1)) / -math.log(min(max(alike, 1e-3), 0.99)))))
         # the middle and a few others are pivots
         p = lo + np.unique([mid, *range(min(PIVOTS, len(sig)))])
         self.rep, self.sig, self.n = c["rep"][p].copy(), c["sig"][p].copy(), c["n"][p].copy()
@@ -234,12 +251,22 @@ def _walk(similarity: float):
         a, b = np.nonzero(ok)
         out.pairs(MORE_PAIRS, rep[a], rep[b])
 
-    def medium(out: _Rows, c: dict, lo: int, hi: int) -> None:
+    def whole(out: _Rows, c: dict, lo: int, hi: int) -> None:
+        """A node that is all here, and the nodes below it."""
         if hi - lo <= SMALL:
             return small(out, c, lo, hi)
-        of, rep = _Large(c, lo, hi), c["rep"][lo:hi]
-        left, right, most = [], [], SMALL // 2 * (hi - lo)
-        if not of.tight:
+        all_of_it, nodes = _Rows(), [{k: v[lo:hi] for k, v in c.items()}]
+        while nodes:
+            medium(all_of_it, nodes.pop(), nodes)
+        out.below(all_of_it)
+
+    def medium(out: _Rows, c: dict, nodes: list[dict]) -> None:
+        lo, hi = 0, len(c["rep"])
+        if hi <= SMALL:
+            return small(out, c, lo, hi)
+        of, rep = _Large(c, lo, hi), c["rep"]
+        left, right, most = [], [], SMALL // 2 * hi if hi <= SALT_ROWS // EACH else -1
+        if not of.tight and most >= 0:
             columns, n = np.ascontiguousarray(c["sig"][lo:hi].T), c["n"][lo:hi]
             for a in range(0, hi - lo, 128):
                 z, same = min(a + 128, hi - lo), np.zeros((min(128, hi - lo - a), min(a + 128, hi - lo)), np.int8)
@@ -253,14 +280,15 @@ def _walk(similarity: float):
                 if most < 0:
                     break
         if of.tight or most < 0:
-            return large(out, c, lo, hi, of)
+            return large(out, c, lo, hi, of, nodes)
         i, j = np.concatenate(left), np.concatenate(right)
         first = np.ones(len(i), bool)
         first[1:] = i[1:] != i[:-1]  # the first that passes
         out.pairs(PAIR, rep[i[first]], rep[j[first]])
         out.pairs(MORE_PAIRS, rep[i[~first]], rep[j[~first]])
 
-    def large(out: _Rows, c: dict, lo: int, hi: int, of: _Large) -> None:
+    def large(out: _Rows, c: dict, lo: int, hi: int, of: _Large, nodes: list[dict] | None = None) -> None:
+        """Children go to nodes where the node is all here, and to the next level where it is not."""
         own = np.flatnonzero(c["lead"][lo:hi] == 1) + lo
         rep, n, sig = c["rep"][own], c["n"][own], c["sig"][own]
         ok = _passing(sig, n, of.sig, of.n, similarity)
@@ -280,7 +308,14 @@ def _walk(similarity: float):
                 seed = mix64(np.array([of.node], np.int64).view(np.uint64) + np.uint64(j + 1))[0]
                 spots = TREES * ROOTS + np.argsort(mix64(seed + np.arange(SIGNATURE - TREES * ROOTS, dtype=np.uint64)), kind="stable")[: of.named]
                 child = mix64(seed + (sig[:, spots].astype(np.uint64) * _PLACE[: of.named]).sum(axis=1, dtype=np.uint64))
-                out.children(child.view(np.int64).tolist(), of.depth + 1, rep, n, sig)
+                if nodes is None:
+                    out.children(child.view(np.int64).tolist(), of.depth + 1, rep, n, sig)
+                    continue
+                order = np.argsort(child, kind="stable")
+                for at in np.split(order, np.flatnonzero(np.diff(child[order])) + 1):
+                    if len(at) > 1:  # one alone meets nothing
+                        same = {"node": child[at].view(np.int64), "salt": np.full(len(at), -1), "salts": np.zeros(len(at), int), "depth": np.full(len(at), of.depth + 1)}
+                        nodes.append(same | {"lead": np.ones(len(at), int), "rep": rep[at], "n": n[at], "sig": sig[at]})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict | None = None
@@ -308,7 +343,7 @@ def _walk(similarity: float):
                     elif z == size:
                         held = {k: v[a:] for k, v in c.items()}
                     else:
-                        medium(out, c, a, z)  # not spread: SALT_ROWS rows at most
+                        whole(out, c, a, z)  # not spread: SALT_ROWS rows at most
                 if out.kind:
                     yield out.batch()
         if held is not None:
@@ -316,7 +351,7 @@ def _walk(similarity: float):
             if held["salt"][0] >= 0:
                 large(out, held, 0, size, _Large(held, 0, size))
             else:
-                medium(out, held, 0, size)
+                whole(out, held, 0, size)
             if out.kind:
                 yield out.batch()
 
@@ -448,7 +483,7 @@ def _leftovers(docs: DataFrame, reps: DataFrame, tight: DataFrame, roots: DataFr
     sizes = ask.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("blocks"))
     inside = t.select("root", "rep").distinct().join(sizes.select(F.col("main").alias("_main")), F.col("root") == F.col("_main"), "left_semi")
     rest = staged(inside.select(F.col("root").alias("main"), "rep", "root").unionByName(ask))
-    sizes = staged(rest.groupBy(F.col("main").alias("_main")).agg(F.ceil(F.count(F.lit(1)) / SALT_ROWS).cast("int").alias("salts")).join(sizes, F.col("_main") == F.col("main")).drop("main"))
+    sizes = staged(rest.groupBy(F.col("main").alias("_main")).agg(F.ceil(F.count(F.lit(1)) * EACH / SALT_ROWS).cast("int").alias("salts")).join(sizes, F.col("_main") == F.col("main")).drop("main"))
     rest = rest.join(sizes, F.col("main") == F.col("_main")).drop("_main")
     rest = rest.join(full_sets(docs, reps, rest.select("rep").distinct(), k), "rep")
     ask = rest.filter("root <> main").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).withColumn("role", F.lit(0)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))

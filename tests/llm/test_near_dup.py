@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import common, near_dup
-from tessera.llm.components import components
+from tessera.llm.components import components, smallest
 from tessera.llm.near_dup import dedup_documents, near_duplicates
 
 from .helpers import SCHEMA, edge_texts, near_components, prose, rows
@@ -135,3 +135,28 @@ def test_a_crowd_under_salt_rows_is_not_branched():
     rows = pa.RecordBatch.from_pydict({**{k: [v] * n for k, v in same.items()}, "rep": list(range(n)), "n": [50] * n, "sig": [x.tobytes() for x in sig]})
     out = [r for b in nd._walk(0.8)(iter([rows])) for r in b.to_pylist()]
     assert [(r["kind"], r["rep"], r["other"]) for r in out] == [(nd.PAIR, 150, 20)]
+
+
+def test_a_dense_crowd_in_one_task_sends_no_children_on():
+    """300 classes in four groups that are alike, more pairs than are given: branched where they are, each pair once."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessera.llm import near_dup as nd
+
+    n, rng = 300, np.random.default_rng(4)
+    group = rng.integers(0, 4, n)
+    sig = rng.integers(0, 1 << 16, (n, nd.SIGNATURE)).astype("<u2")
+    sig[:, :30] = group[:, None] * 100 + np.arange(30)
+    same = {"node": 5, "salt": -1, "salts": 0, "depth": 1, "lead": 1}
+    rows = pa.RecordBatch.from_pydict({**{k: [v] * n for k, v in same.items()}, "rep": list(range(n)), "n": [50] * n, "sig": [x.tobytes() for x in sig]})
+    out = [r for b in nd._walk(0.8)(iter([rows])) for r in b.to_pylist()]
+    assert {r["kind"] for r in out} <= {nd.PAIR, nd.MORE_PAIRS, nd.TIGHT}
+    pairs = [(r["rep"], r["other"]) for r in out if r["kind"] != nd.TIGHT]
+    assert len(pairs) == len(set(pairs))
+    met = [(r["rep"], r["other"]) for r in out if r["other"] is not None]
+    assert all(group[a] == group[b] for a, b in met)
+    nodes, root = smallest(*np.array(met).T)
+    low = {g: min(np.flatnonzero(group == g).tolist()) for g in range(4)}
+    assert dict(zip(nodes.tolist(), root.tolist(), strict=True)) == {i: low[g] for i, g in enumerate(group.tolist())}
+    assert len(out) < 4 * n
