@@ -2,12 +2,15 @@
 
 A draw picks rows by their place in a group, and the place is a checksum of (seed, draw, slot), so
 results do not depend on how rows are dealt out, and SQL can list the same picks. What stays of a draw is a few
-sums. Picks are not rows: a task writes those of its slots as two bytes each, in one message for every block of PLACES
-places, and a block's values meet the messages for it once. So a group may exceed a task, and
-what is shuffled is two bytes a pick."""
+sums. Picks are not rows. Where slots are the rows of a group themselves (bootstraps of pairs), a task makes the picks of a range
+of draws anew beside the group's values, up to HELD at a time, and none travels: what is shuffled are the values, once
+a range. Elsewhere a task writes the picks of its slots as two bytes each, in one message for every block of PLACES
+places, and a block's values meet the messages for it once. So a group may exceed a task."""
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -28,6 +31,9 @@ BOOT, BOOT_DIFF, BOOT_LINES, MATCHED, NULL_DRAWS = 500, 2000, 2000, 2000, 1000
 NUMBERS = 4
 #: Places of a block (under 2^16), picks that are dealt at once, and bytes of picks in a shuffled partition.
 PLACES, PICKS, PART_BYTES = 1 << 14, 1 << 20, 64 << 20
+#: Pairs of a group that a task holds (16 bytes each), pairs of a shuffled row, picks that are summed at once, and tasks of
+#: pairs' draws for each core.
+HELD, SEGMENT, SUMMED, TASKS = 1 << 24, 1 << 12, 1 << 18, 4
 
 
 def checksums(draws: int, seed: int, slot: Column) -> Column:
@@ -179,12 +185,99 @@ def interval(value: str) -> list[Column]:
     return [ends[0].alias("lo"), ends[1].alias("hi")]
 
 
-def _drawn(rows: DataFrame, x: str, y: str, draws: int, seed: int, slot: Column) -> DataFrame:
-    """key, _draw, r of each draw of numbered rows (_of: their key; _i, _n)."""
-    means = rows.groupBy(F.col("_of").alias("_key")).agg(F.avg(x).alias("_x"), F.avg(y).alias("_y"))
-    s, e = _pairs(F.col(x) - F.col("_x"), F.col(y) - F.col("_y"))  # less the means, so that squares lose nothing
-    places = rows.join(sized_broadcast(means, 64), F.col("_of") == F.col("_key")).select(F.col("_of").alias("key"), F.col("_i").alias("place"), F.lit("").alias("layer"), s.alias("s"), e.alias("e"))
-    drawn = drawn_sums(rows.select(F.col("_of").alias("key"), slot.alias("slot"), F.col("_n").alias("size")), places, draws, seed, 6, 4)
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (key, lead, size, place, x, y) to segments of a key and block: places in the block and values, as bytes."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, SEGMENT):
+            b = whole.slice(lo, SEGMENT)
+            key, place = b.column("key").dictionary_encode().indices.to_numpy(), b.column("place").to_numpy()
+            block = place // HELD
+            first = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1])
+            ends = [*first[1:].tolist(), b.num_rows]
+            cut_up = lambda v, kind: pa.array([v[i:j].astype(kind).tobytes() for i, j in zip(first.tolist(), ends)], pa.binary())
+            own = [b.column(c).take(pa.array(first)) for c in ("key", "lead", "size")]
+            values = [cut_up(place % HELD, "<u4"), *(cut_up(b.column(c).to_numpy(zero_copy_only=False), "<f8") for c in ("x", "y"))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(block[first]), *values], ["key", "lead", "size", "block", "at", "x", "y"])
+
+
+def _sums_of(x: np.ndarray, y: np.ndarray, low: int, size: int, lead: str, draws: Sequence[int], seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(draws x 6 sums, draws x 4 least values) of _pairs, over the picks of all slots that fall on the places from low."""
+    packs = [f"{seed}:{p}:{lead}".encode() for p in range(draws[0] // NUMBERS, draws[-1] // NUMBERS + 1)]
+    s, e = np.zeros((len(packs) * NUMBERS, 6)), np.full((len(packs) * NUMBERS, 4), np.inf)
+    step = max(1, SUMMED // len(s))
+    for lo in range(0, size, step):
+        slots = [str(i).encode() for i in range(lo, min(lo + step, size))]
+        u = np.frombuffer(b"".join([hashlib.md5(p + i, usedforsecurity=False).digest() for p in packs for i in slots]), ">u4").reshape(len(packs), len(slots), NUMBERS)
+        pick = u.transpose(0, 2, 1).reshape(len(s), len(slots)).astype(np.uint32).astype(np.int64) % size - low
+        here = None if low == 0 and len(x) == size else (pick >= 0) & (pick < len(x))
+        if here is not None:
+            pick = np.where(here, pick, 0)
+        a, b = x[pick], y[pick]
+        for j, v in enumerate((a, b)):
+            for k, w in enumerate((v, -v)):
+                np.minimum(e[:, 2 * j + k], (w if here is None else np.where(here, w, np.inf)).min(axis=1), out=e[:, 2 * j + k])
+        if here is not None:
+            a, b = np.where(here, a, 0.0), np.where(here, b, 0.0)
+        s[:, 0] += len(slots) if here is None else here.sum(axis=1)
+        s[:, 1] += a.sum(axis=1)
+        s[:, 2] += b.sum(axis=1)
+        for j, (v, w) in enumerate(((a, a), (b, b), (a, b)), 3):
+            s[:, j] += np.einsum("ij,ij->i", v, w)
+    return s[: len(draws)], e[: len(draws)]
+
+
+def _summed(draws: int, packs: int, seed: int):
+    """Segments sorted by (key, block, part) to the sums of the part's draws (those of `packs` packs) over the block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, x, y = None, None, None
+
+        def result() -> pa.RecordBatch:
+            key, block, part, lead, size = now
+            of = range(part * packs * NUMBERS, min(draws, (part + 1) * packs * NUMBERS))
+            sums = _sums_of(x, y, block * HELD, size, lead, of, seed)
+            columns = [c for v in sums for c in v.T]
+            return pa.RecordBatch.from_arrays([pa.array([key] * len(of)), pa.array(np.arange(of.start, of.stop)), *map(pa.array, columns)], ["key", "_draw", *_PAIR_SUMS])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                here = tuple(b.column(c)[i].as_py() for c in ("key", "block", "part", "lead", "size"))
+                if here != now:
+                    if now is not None:
+                        yield result()
+                    now, held = here, min(HELD, here[4] - here[1] * HELD)
+                    x, y = np.empty(held), np.empty(held)
+                at = np.frombuffer(b.column("at")[i].as_buffer(), "<u4")
+                x[at], y[at] = (np.frombuffer(b.column(c)[i].as_buffer(), "<f8") for c in ("x", "y"))
+        if now is not None:
+            yield result()
+
+    return run
+
+
+_PAIR_SUMS = [*(f"s{i}" for i in range(6)), *(f"e{i}" for i in range(4))]
+
+
+def _drawn(rows: DataFrame, x: str, y: str, draws: int, seed: int, lead: Column) -> DataFrame:
+    """key, _draw, r of each draw of numbered rows (_of: their key; _i, _n); slot i of a key is named lead, i.
+
+    A task has a range of draws of a key and up to HELD of its places, whatever the key's size; of a key of more places, each
+    block of them makes the key's picks anew."""
+    spark = rows.sparkSession
+    means = cut(rows.groupBy(F.col("_of").alias("_key")).agg(F.avg(x).alias("_x"), F.avg(y).alias("_y"), F.count(F.lit(1)).alias("_rows")))
+    blocks, n = means.agg(F.sum(F.ceil(F.col("_rows") / HELD)), F.sum("_rows")).first()
+    every = -(-draws // NUMBERS)
+    packs = max(1, every // max(1, math.ceil(TASKS * spark.sparkContext.defaultParallelism / (blocks or 1))))
+    parts = -(-every // packs)
+    # less the means, so that squares lose nothing
+    pairs = rows.join(sized_broadcast(means, 64), F.col("_of") == F.col("_key")).select(F.col("_of").alias("key"), lead.alias("lead"), F.col("_n").alias("size"), F.col("_i").alias("place"), (F.col(x) - F.col("_x")).alias("x"), (F.col(y) - F.col("_y")).alias("y"))
+    segments = pairs.mapInArrow(_packed, "key string, lead string, size long, block long, at binary, x binary, y binary")
+    segments = segments.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    # shares are few and large: most of these have one or none
+    tasks = min((blocks or 1) * parts * 8, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n or 0) * parts * 20 // PART_BYTES)))
+    dealt = segments.repartition(tasks, "key", "block", "part").sortWithinPartitions("key", "block", "part")
+    drawn = dealt.mapInArrow(_summed(draws, packs, seed), "key string, _draw long, " + ", ".join(f"{c} double" for c in _PAIR_SUMS))
+    drawn = drawn.groupBy("key", "_draw").agg(*[(F.sum if c[0] == "s" else F.min)(c).alias(c) for c in _PAIR_SUMS])
     return drawn.select("key", "_draw", _r().alias("r"))
 
 
@@ -195,7 +288,7 @@ def bootstrap_r(df: DataFrame, x: str, y: str, order: str, groups: Sequence[str]
     full = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*groups, order, F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y))
     rows = numbered(full, [order], *groups).withColumn("_of", _key(*groups))
     real = rows.groupBy(*groups, "_of").agg(F.count(F.lit(1)).alias("n"), F.when(F.count(F.lit(1)) >= 3, safe_corr(x, y)).alias("r"))
-    ends = _drawn(rows, x, y, draws, seed, F.col("_i").cast("string")).groupBy("key").agg(*interval("r"))
+    ends = _drawn(rows, x, y, draws, seed, F.lit("")).groupBy("key").agg(*interval("r"))
     return real.join(ends, F.col("_of") == F.col("key"), "left").select(*groups, "n", "r", pearson_p_udf(F.col("r"), F.col("n").cast("double")).alias("p"), "lo", "hi")
 
 
@@ -206,7 +299,7 @@ def bootstrap_difference(df: DataFrame, x: str, y: str, order: str, side: str, f
     part = lambda s: F.max(F.when(F.col("key") == s, F.col("r")))
     real = rows.groupBy(F.col("_of").alias("key")).agg(F.when(F.count(F.lit(1)) >= 3, safe_corr(x, y)).alias("r")).agg((part("first") - part("second")).alias("difference"))
     # slots of the sides are told apart, so that their picks are independent
-    drawn = _drawn(rows, x, y, draws, seed, F.concat_ws(":", F.col(side).cast("string"), F.col("_i").cast("string")))
+    drawn = _drawn(rows, x, y, draws, seed, F.concat(F.col(side).cast("string"), F.lit(":")))
     gaps = drawn.groupBy("_draw").agg((part("first") - part("second")).alias("_d"))
     return real.crossJoin(F.broadcast(gaps.agg(*interval("_d"))))  # one row each
 

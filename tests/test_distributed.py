@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +202,35 @@ def test_picks_meet_values_in_blocks(spark):
         assert (got["b", "q", d].s0, got["b", "q", d].s1, got["b", "q", d].e0) == (len(i), 2 * i.sum(), -i.max() if len(i) else math.inf)
 
 
+def test_picks_of_pairs_are_made_beside_the_values(spark, monkeypatch):
+    """A group of three blocks and one of seven rows: the sums of listed picks, from segments in any order; nothing of a pick is shuffled."""
+    monkeypatch.setattr(draws, "HELD", 64)
+    monkeypatch.setattr(draws, "SEGMENT", 10)
+    n, few, packs = 150, 7, 2
+    v = np.random.default_rng(9).normal(size=(2, n))
+    rows = [("a", "", n, i, v[0, i], v[1, i]) for i in range(n)] + [("b", "b:", few, i, v[0, i], v[1, i]) for i in range(few)]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+    given = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["key", "lead", "size", "place", "x", "y"])
+    segments = [s | {"part": part} for b in draws._packed(iter([given])) for s in b.to_pylist() for part in range(2)]
+    segments.sort(key=lambda s: (s["key"], s["block"], s["part"], s["at"][::-1]))
+    got = {}
+    for b in draws._summed(10, packs, 3)(pa.Table.from_pylist(segments).to_batches(max_chunksize=3)):
+        for r in b.to_pylist():
+            got.setdefault((r["key"], r["_draw"]), []).append(list(r.values())[2:])
+    assert sorted(got) == [(k, d) for k in "ab" for d in range(10)] and {len(got["a", d]) for d in range(10)} == {3}
+    for (key, d), found in got.items():
+        i = np.array([_picks(3, d, j if key == "a" else f"b:{j}", n if key == "a" else few) for j in range(n if key == "a" else few)])
+        x, y = v[:, i]
+        found = np.array(found)
+        assert found[:, :6].sum(axis=0) == pytest.approx([len(i), x.sum(), y.sum(), x @ x, y @ y, x @ y]) and found[:, 6:].min(axis=0).tolist() == [x.min(), -x.max(), y.min(), -y.max()]
+    monkeypatch.undo()
+    sc, n = spark.sparkContext._jsc.sc(), 5000
+    shuffled = lambda: sc.listenerBus().waitUntilEmpty() or sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = shuffled()
+    draws.bootstrap_r(spark.range(n).select("id", F.sin("id").alias("x"), F.cos("id").alias("y")), "x", "y", "id", draws=2000).collect()
+    assert shuffled() - before < 2000 * n
+
+
 def test_numbers_run_on_over_tasks(spark):
     df = spark.range(0, 1000, 1, 7).select(F.when(F.col("id") % 10 < 8, "hot").when(F.col("id") % 10 == 8, "b").alias("g"), (-F.col("id")).alias("v"))
     got = numbered(df, ["v"], "g").collect()
